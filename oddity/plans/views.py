@@ -106,13 +106,15 @@ SQL_CUSTOMER_RULES = r"""cr AS (
 def customer_explain(spark: SparkSession, sf: str) -> DataFrame:
     """customer with a rare segment value (for the rare-value reasons)."""
     c = load(spark, sf, "customer")
-    seg = F.when(F.col("c_custkey") % 211 == 0, F.lit("RARE")).otherwise(F.col("c_mktsegment"))
+    seg = (F.when(F.col("c_custkey") % 307 == 0, F.lit("RARE"))
+           .when(F.col("c_custkey") % 11 == 0, F.lit(None)).otherwise(F.col("c_mktsegment")))
     return keyed(c.select("c_custkey", "c_acctbal", "c_nationkey", seg.alias("c_segment")), "c_custkey")
 
 
 SQL_CUSTOMER_EXPLAIN = r"""ce AS (
   SELECT c_custkey, c_acctbal, c_nationkey,
-         CASE WHEN c_custkey % 211 = 0 THEN 'RARE' ELSE c_mktsegment END AS c_segment FROM customer)"""
+         CASE WHEN c_custkey % 307 = 0 THEN 'RARE' WHEN c_custkey % 11 = 0 THEN NULL
+              ELSE c_mktsegment END AS c_segment FROM customer)"""
 
 
 def nation_offices(spark: SparkSession, sf: str) -> DataFrame:
