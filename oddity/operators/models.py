@@ -423,17 +423,18 @@ def silhouette(features: DataFrame, names: list[str], labels: DataFrame, sample_
     return round(float(sil), 4)
 
 
-def select_model(bench: DataFrame, weights: dict | None = None) -> DataFrame:
+def select_model(bench: DataFrame, weights: dict | None = None, order=K.MODEL_KEYS) -> DataFrame:
     """M6: best = max((silhouette + 1) / 2 * weight) over successful models, first key wins a tie.
 
-    ``bench`` has (model_key, silhouette, success). Returns one row (best_key).
+    ``bench`` has (model_key, silhouette, success). Returns one row (best_key);
+    with no successful model the first key of ``order`` is returned.
     """
     spark = bench.sparkSession
-    wt = spark.createDataFrame([(k, float((weights or {}).get(k, 1.0)), i) for i, k in enumerate(K.MODEL_KEYS)],
+    wt = spark.createDataFrame([(k, float((weights or {}).get(k, 1.0)), i) for i, k in enumerate(order)],
                                "model_key string, weight double, ord int")
     scored = (bench.filter("success").join(wt, "model_key", "left")
               .withColumn("weight", F.coalesce("weight", F.lit(1.0)))
               .withColumn("ord", F.coalesce("ord", F.lit(99)))
               .withColumn("weighted", (F.col("silhouette") + 1) / 2 * F.col("weight")))
     best = scored.agg(F.max_by("model_key", F.struct("weighted", (-F.col("ord")).alias("o"))).alias("best_key"))
-    return best.select(F.coalesce("best_key", F.lit(K.MODEL_KEYS[0])).alias("best_key"))
+    return best.select(F.coalesce("best_key", F.lit(order[0])).alias("best_key"))

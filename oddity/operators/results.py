@@ -32,10 +32,10 @@ def result_metrics(df: DataFrame, threshold: float, score: str = "score",
 def score_histogram(df: DataFrame, bins: int = 50, score: str = "score") -> DataFrame:
     """Equal-width bins between min and max; the maximum falls in the last bin."""
     bounds = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
+    pos = F.floor((F.col(score) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins) + 1
     b = (df.crossJoin(F.broadcast(bounds))  # one-row frame
-         .withColumn("bin", F.when(F.col("hi") > F.col("lo"),
-                                   F.least(F.width_bucket(F.col(score), F.col("lo"), F.col("hi"), F.lit(bins)),
-                                           F.lit(bins))).otherwise(F.lit(1))))
+         .withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(pos, F.lit(bins)))
+                     .otherwise(F.lit(1)).cast("long")))
     return (b.groupBy("bin", "lo", "hi").agg(F.count(F.lit(1)).alias("count"))
             .select("bin",
                     (F.col("lo") + (F.col("bin") - 1) * (F.col("hi") - F.col("lo")) / bins).alias("bin_lo"),
