@@ -108,13 +108,16 @@ def customer_explain(spark: SparkSession, sf: str) -> DataFrame:
     c = load(spark, sf, "customer")
     seg = (F.when(F.col("c_custkey") % 307 == 0, F.lit("RARE"))
            .when(F.col("c_custkey") % 11 == 0, F.lit(None)).otherwise(F.col("c_mktsegment")))
-    return keyed(c.select("c_custkey", "c_acctbal", "c_nationkey", seg.alias("c_segment")), "c_custkey")
+    spend = F.col("c_acctbal") * F.when(F.col("c_custkey") % 97 == 0, F.lit(10.0)).otherwise(F.lit(1.0))
+    return keyed(c.select("c_custkey", "c_acctbal", "c_nationkey", seg.alias("c_segment"), spend.alias("c_spend")),
+                 "c_custkey")
 
 
 SQL_CUSTOMER_EXPLAIN = r"""ce AS (
   SELECT c_custkey, c_acctbal, c_nationkey,
          CASE WHEN c_custkey % 307 = 0 THEN 'RARE' WHEN c_custkey % 11 = 0 THEN NULL
-              ELSE c_mktsegment END AS c_segment FROM customer)"""
+              ELSE c_mktsegment END AS c_segment,
+         c_acctbal * CASE WHEN c_custkey % 97 = 0 THEN 10.0 ELSE 1.0 END AS c_spend FROM customer)"""
 
 
 def nation_offices(spark: SparkSession, sf: str) -> DataFrame:
