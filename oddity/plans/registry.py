@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import explain as EX
 from ..operators import order as OR
 from ..operators import results as RS
-from . import q_explain, q_features, q_models, q_profile, q_quality
+from . import q_explain, q_features, q_io, q_models, q_profile, q_quality
 from .views import keyed, load
 
 QUERIES: dict = {}
@@ -47,6 +47,6 @@ FROM r, s WHERE rank <= 20"""
 QUERIES["flagship"] = flagship
 SQL["flagship"] = FLAGSHIP_SQL
 
-for mod in (q_profile, q_quality, q_features, q_models, q_explain):
+for mod in (q_profile, q_quality, q_features, q_models, q_explain, q_io):
     QUERIES.update(mod.QUERIES)
     SQL.update(mod.SQL)
