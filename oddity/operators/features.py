@@ -21,6 +21,7 @@ from .order import attach_by_size, exact_quantile
 from .profile import is_numeric_type
 
 UNKNOWN = "UNKNOWN"
+IN_MEMORY_QUANTILE_ROWS = 5_000_000
 
 
 def _is_feature_numeric(dt) -> bool:
@@ -40,6 +41,11 @@ def medians(df: DataFrame, columns: list[str]) -> dict:
     """F1 statistics: exact (linear-interpolated) median per column."""
     if not columns:
         return {}
+    n = df.count()
+    if n <= IN_MEMORY_QUANTILE_ROWS:
+        # Spark's exact percentile keeps a value -> count map per column: fine at this size
+        row = df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in columns]).first()
+        return row.asDict()
     return {c: exact_quantile(df.select(F.col(c).cast("double").alias(c)).dropna(), c, 0.5)
             for c in columns}
 

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as K
-from .order import attach_by_size, exact_quantile, row_number_global
+from ..session import checkpoint
+from .order import exact_quantile, row_number_global
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -178,9 +179,30 @@ def semi_supervised(features: DataFrame, names: list[str], labels: DataFrame,
 
 
 # --------------------------------------------------------------------------- M2
-def _unit_vector(d: int, seed: int) -> np.ndarray:
-    u = np.random.default_rng(seed).normal(size=d)
-    return u / np.linalg.norm(u)
+def _projection_basis(d: int, m: int, seed: int) -> np.ndarray:
+    """d x m matrix with orthonormal columns (random rotation, fixed seed)."""
+    q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, d)))
+    return q[:, :m]
+
+
+_Z_BITS = 10
+
+
+def _z_value(points: DataFrame, pcols: list[str]):
+    """Morton (Z-order) code of the projections quantised to 2^10 levels each."""
+    ext = points.agg(*[F.min(c).alias(f"lo{j}") for j, c in enumerate(pcols)],
+                     *[F.max(c).alias(f"hi{j}") for j, c in enumerate(pcols)]).first()
+    levels = 1 << _Z_BITS
+    qs = []
+    for j, c in enumerate(pcols):
+        lo, hi = ext[f"lo{j}"], ext[f"hi{j}"]
+        span = (hi - lo) or 1.0
+        qs.append(F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(span) * levels), F.lit(levels - 1)).cast("long"))
+    z = F.lit(0).cast("long")
+    for bit in range(_Z_BITS):
+        for j, q in enumerate(qs):
+            z = z + F.shiftleft(F.shiftright(q, bit).bitwiseAND(F.lit(1)), bit * len(pcols) + j)
+    return z
 
 
 def _dist(a: str, b: str):
@@ -197,37 +219,46 @@ def lof(features: DataFrame, names: list[str], k: int = 20, seed: int = 42,
     """
     n = features.count()
     k = max(min(k, n - 1), 2)
-    u = _unit_vector(len(names), seed).tolist()
+    d = len(names)
+    m_dims = min(d, 3)
+    basis = _projection_basis(d, m_dims, seed)
+    pcols = [f"p{j}" for j in range(m_dims)]
     vec = F.array(*[F.col(c).cast("double") for c in names])
-    proj = reduce(lambda a, b: a + b, [F.col(c).cast("double") * F.lit(w) for c, w in zip(names, u)])
-    # 1. collapse identical points: (pid, x, p, m) with pid = smallest row id
-    points = (features.select(row_id, vec.alias("x"), proj.alias("p"))
-              .groupBy("x").agg(F.min(row_id).alias("pid"), F.count(F.lit(1)).alias("m"),
-                                F.first("p").alias("p")))
+    projs = [reduce(lambda a, b: a + b, [F.col(c).cast("double") * F.lit(float(basis[i, j]))
+                                         for i, c in enumerate(names)]) for j in range(m_dims)]
+    # 1. collapse identical points: (x, pid, m, p*) with pid = smallest row id, m = copies
+    points = checkpoint(
+        features.select(row_id, vec.alias("x"), *[p.alias(c) for p, c in zip(projs, pcols)])
+        .groupBy("x").agg(F.min(row_id).alias("pid"), F.count(F.lit(1)).alias("m"),
+                          *[F.first(c).alias(c) for c in pcols]))
     members = features.select(row_id, vec.alias("x"))
-    # 2. order by projection; candidate window of +-k positions gives an upper bound
-    ranked = row_number_global(points, [F.col("p"), F.col("pid")], "rn").cache()
+    own_pts = points.select(F.col("pid").alias("a"), F.col("m").alias("ma"))
+    # 2. upper bound of every k-distance: the 2k neighbours along a Z-order curve of the projections
+    ranked = row_number_global(points.withColumn("z", _z_value(points, pcols)), [F.col("z"), F.col("pid")], "rn")
     offs = [o for o in range(-k, k + 1) if o != 0]
     a = ranked.select(F.col("pid").alias("a"), F.col("x").alias("xa"), F.col("m").alias("ma"),
-                      F.col("p").alias("pa"), F.explode(F.array(*[F.col("rn") + o for o in offs])).alias("rn"))
+                      F.explode(F.array(*[F.col("rn") + o for o in offs])).alias("rn"))
     b = ranked.select("rn", F.col("pid").alias("b"), F.col("x").alias("xb"), F.col("m").alias("mb"))
     win = a.join(b, "rn").select("a", "ma", "b", "mb", _dist("xa", "xb").alias("d"))
-    own_pts = ranked.select(F.col("pid").alias("a"), F.col("m").alias("ma"))
-    bound = _kth_weighted(win, own_pts, k).select("a", F.col("kd").alias("r"))
-    # 3. exact neighbours: band join |pa - pb| <= r on projection buckets
-    r_all = bound.join(ranked.select(F.col("pid").alias("a"), F.col("p").alias("pa"),
-                                     F.col("x").alias("xa"), F.col("m").alias("ma")), "a")
+    bound = checkpoint(_kth_weighted(win, own_pts, k).select("a", F.col("kd").alias("r")))
+    # 3. exact neighbours: every point within r of a in each projection (|u.(a - b)| <= |a - b|),
+    #    found by an equi-join on grid cells of the projections, then filtered
     width = exact_quantile(bound, "r", 0.9) or 0.0
     width = width if width > 0 else 1.0
     slack = 1e-9
-    lo = F.floor((F.col("pa") - F.col("r") * (1 + slack) - slack) / width).cast("long")
-    hi = F.floor((F.col("pa") + F.col("r") * (1 + slack) + slack) / width).cast("long")
-    qa = r_all.withColumn("bucket", F.explode(F.sequence(lo, hi)))
-    pb = ranked.select(F.col("pid").alias("b"), F.col("p").alias("pb"), F.col("x").alias("xb"),
-                       F.col("m").alias("mb"), F.floor(F.col("p") / width).cast("long").alias("bucket"))
-    cand = (qa.join(pb, "bucket")
-            .filter((F.col("a") != F.col("b"))
-                    & (F.abs(F.col("pa") - F.col("pb")) <= F.col("r") * (1 + slack) + slack))
+    reach_r = F.col("r") * (1 + slack) + slack
+    qa = bound.join(points.select(F.col("pid").alias("a"), F.col("x").alias("xa"), F.col("m").alias("ma"),
+                                  *[F.col(c).alias(f"a{c}") for c in pcols]), "a")
+    for j, c in enumerate(pcols):
+        lo = F.floor((F.col(f"a{c}") - reach_r) / width).cast("long")
+        hi = F.floor((F.col(f"a{c}") + reach_r) / width).cast("long")
+        qa = qa.withColumn(f"cell{j}", F.explode(F.sequence(lo, hi)))
+    pb = points.select(F.col("pid").alias("b"), F.col("x").alias("xb"), F.col("m").alias("mb"),
+                       *[F.col(c).alias(f"b{c}") for c in pcols],
+                       *[F.floor(F.col(c) / width).cast("long").alias(f"cell{j}") for j, c in enumerate(pcols)])
+    near = reduce(lambda x, y: x & y, [F.abs(F.col(f"a{c}") - F.col(f"b{c}")) <= reach_r for c in pcols])
+    cand = (qa.join(pb, [f"cell{j}" for j in range(m_dims)])
+            .filter((F.col("a") != F.col("b")) & near)
             .select("a", "ma", "b", "mb", _dist("xa", "xb").alias("d")))
     nbrs = _weighted_neighbours(cand, own_pts, k)  # (a, b, w, d) with b == a for own copies
     kd = nbrs.groupBy("a").agg(F.max("d").alias("kd"))

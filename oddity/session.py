@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. AQE re-plans joins and coalesces partitions at
@@ -30,6 +31,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor; JVM logging stays off stdout
+            builder = (builder.config("spark.driver.memory", os.environ.get("ODDITY_DRIVER_MEMORY", "16g"))
+                       .config("spark.driver.extraJavaOptions", "-Xlog:all=warning:stderr"))
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
@@ -73,4 +78,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     an executor is lost and a stage is recomputed.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persisted first so writing the checkpoint does not compute the plan a second time
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
