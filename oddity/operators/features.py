@@ -58,20 +58,31 @@ def modes(df: DataFrame, columns: list[str]) -> dict:
     return row.asDict()
 
 
-def impute(df: DataFrame, numeric: list[str], categorical: list[str], row_id: str = "row_id") -> DataFrame:
-    """F1 + F2 in one projection."""
-    med = medians(df, numeric)
-    mod = modes(df, categorical)
+def impute_fills(df: DataFrame, numeric: list[str], categorical: list[str]) -> dict:
+    """F1 + F2 statistics: median per numeric column, mode (or UNKNOWN) per text column."""
+    fills = dict(medians(df, numeric))
+    for c, v in modes(df, categorical).items():
+        fills[c] = v if v is not None else UNKNOWN
+    return fills
+
+
+def apply_fills(df: DataFrame, fills: dict, numeric: list[str], categorical: list[str],
+                row_id: str = "row_id") -> DataFrame:
+    """F1 + F2 in one projection with frozen fill values."""
     out = [F.col(row_id)]
     for c in numeric:
-        fill = med.get(c)
         x = F.col(c).cast("double")
-        out.append((F.coalesce(x, F.lit(fill)) if fill is not None else x).alias(c))
+        out.append((F.coalesce(x, F.lit(fills[c])) if fills.get(c) is not None else x).alias(c))
     for c in categorical:
-        out.append(F.coalesce(F.col(c), F.lit(mod.get(c) if mod.get(c) is not None else UNKNOWN)).alias(c))
+        out.append(F.coalesce(F.col(c), F.lit(fills[c])).alias(c))
     return df.select(*out)
 
 
+def impute(df: DataFrame, numeric: list[str], categorical: list[str], row_id: str = "row_id") -> DataFrame:
+    """F1 + F2 in one projection."""
+    return apply_fills(df, impute_fills(df, numeric, categorical), numeric, categorical, row_id)
+
+
 def share_table(df: DataFrame, cols: list[str], name: str) -> DataFrame:
     """Value share of each (possibly multi-column) value, null included as a value."""
     total = df.agg(F.count(F.lit(1)).alias("_total"))
@@ -120,6 +131,9 @@ class FeatureSpec:
     names: list[str] = field(default_factory=list)
     means: dict = field(default_factory=dict)
     stds: dict = field(default_factory=dict)
+    fills: dict = field(default_factory=dict)
+    shares: dict = field(default_factory=dict)  # column -> frozen value-share table
+    row_level_only: bool = True
 
 
 def rule_features(df: DataFrame, selected: list[str]) -> list[tuple[str, Column]]:
@@ -170,20 +184,15 @@ def build_features(df: DataFrame, selected: list[str], max_onehot: int = 15,
     and leaves zero-variance features centred only (F11).
     """
     numeric, categorical, dropped = split_selected(df, selected)
-    imputed = impute(df, numeric, categorical, row_id)
+    fills = impute_fills(df, numeric, categorical)
+    imputed = apply_fills(df, fills, numeric, categorical, row_id)
     onehot = onehot_categories(imputed, categorical, max_onehot)
     freq_encoded = [c for c in categorical if c not in onehot]
+    shares = {c: share_table(imputed, [c], f"_fe_{c}") for c in freq_encoded}
     frame = imputed
     for c in freq_encoded:
-        frame = attach_share(frame, [c], f"_fe_{c}")
-    cols: list[tuple[str, Column]] = [(c, F.col(c)) for c in numeric]
-    for c in categorical:
-        if c in onehot:
-            cats = onehot[c]
-            keep = cats[1:] if len(cats) == 2 else cats
-            cols += [(f"{c}_{v}", (F.col(c) == F.lit(v)).cast("double")) for v in keep]
-        else:
-            cols.append((f"{c}_freq", F.col(f"_fe_{c}")))
+        frame = _join_share(frame, [c], shares[c], f"_fe_{c}")
+    cols = _encoded_columns(numeric, categorical, onehot)
     # F5 / F6 read the original (not imputed) values
     raw_needed = list(dict.fromkeys((rare_columns or []) + (combo_columns or [])))
     rule_cols = rule_features(df, selected) if add_rule_features else []
@@ -215,11 +224,53 @@ def build_features(df: DataFrame, selected: list[str], max_onehot: int = 15,
         merged.append((name, e.cast("double")))
     features = frame.select(row_id, *[e.alias(n) for n, e in merged])
     spec = FeatureSpec(numeric, categorical, dropped, onehot, freq_encoded, [n for n, _ in merged])
+    spec.fills, spec.shares = fills, shares
+    spec.row_level_only = not (raw_needed or rule_cols or extra is not None)
     if scale:
         features, spec = standard_scale(features, spec, row_id)
     return features, spec
 
 
+def _encoded_columns(numeric, categorical, onehot) -> list[tuple[str, Column]]:
+    """Numeric columns, then one-hot (sorted categories; a two-category column keeps the
+    second only) or frequency encoding per text column."""
+    cols: list[tuple[str, Column]] = [(c, F.col(c)) for c in numeric]
+    for c in categorical:
+        if c in onehot:
+            cats = onehot[c]
+            keep = cats[1:] if len(cats) == 2 else cats
+            cols += [(f"{c}_{v}", (F.col(c) == F.lit(v)).cast("double")) for v in keep]
+        else:
+            cols.append((f"{c}_freq", F.col(f"_fe_{c}")))
+    return cols
+
+
+def _join_share(df: DataFrame, cols: list[str], shares: DataFrame, name: str) -> DataFrame:
+    cond = None
+    for i, c in enumerate(cols):
+        e = df[c].eqNullSafe(shares[f"_k{i}"])
+        cond = e if cond is None else cond & e
+    joined = df.join(shares, cond, "left")  # one row per distinct value; AQE picks the strategy
+    return joined.drop(*[f"_k{i}" for i in range(len(cols))]).withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))
+
+
+def project_features(df: DataFrame, spec: FeatureSpec, row_id: str = "row_id") -> DataFrame:
+    """Apply frozen statistics (fills, categories, value shares, means, stds) to new rows.
+
+    Row-local apart from a join with the frozen share tables, so it also runs on a
+    streaming DataFrame (stream-static join). Only specs without rare, combination,
+    rule or extra features can be projected this way.
+    """
+    if not spec.row_level_only:
+        raise ValueError("only numeric / one-hot / frequency features can be projected onto new rows")
+    frame = apply_fills(df, spec.fills, spec.numeric, spec.categorical, row_id)
+    for c in spec.freq_encoded:
+        frame = _join_share(frame, [c], spec.shares[c], f"_fe_{c}")
+    cols = dict(_encoded_columns(spec.numeric, spec.categorical, spec.onehot))
+    raw = frame.select(row_id, *[cols[n].cast("double").alias(n) for n in spec.names])
+    return apply_scaling(raw, spec, row_id) if spec.means else raw
+
+
 def standard_scale(features: DataFrame, spec: FeatureSpec, row_id: str = "row_id"):
     """(x - mean) / population std; a zero-variance feature is only centred."""
     names = spec.names

@@ -47,6 +47,23 @@ FROM r, s WHERE rank <= 20"""
 QUERIES["flagship"] = flagship
 SQL["flagship"] = FLAGSHIP_SQL
 
+
+def review_top(spark, sf):
+    """The whole review flow on the customer table (finance preset): top 20 with reason counts.
+
+    Includes the randomised models, so it is checked by rows and invariants only.
+    """
+    from .review import review
+    from .views import customer_rules
+    r = review(customer_rules(spark, sf), preset="İşlem / Finans Verisi", top_n=20, as_of="2026-01-01 00:00:00")
+    n_reasons = r.reasons.groupBy("row_id").agg(F.count(F.lit(1)).alias("n_reasons"))
+    return (r.top.join(n_reasons, "row_id", "left")
+            .select(F.col("row_id").alias("c_custkey"), "rank", F.round("ensemble_score", 6).alias("ensemble_score"),
+                    "any_top", F.coalesce("n_reasons", F.lit(0)).alias("n_reasons")))
+
+
+QUERIES["review_top"] = review_top
+
 for mod in (q_profile, q_quality, q_features, q_models, q_explain, q_io):
     QUERIES.update(mod.QUERIES)
     SQL.update(mod.SQL)
