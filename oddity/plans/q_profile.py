@@ -390,6 +390,6 @@ def balanced_selection(spark, sf):
 def combo_eligible(spark, sf):
     li = load(spark, sf, "lineitem")
     df = li.withColumn("row_id", F.lit(0).cast("long"))  # no text column needs row order here
-    q = PF.column_quality(df.select("row_id", *LINE_COLS))
+    q = PF.column_quality(df.select("row_id", *LINE_COLS)).cache()  # one row per column, read three times
     sel = [r["column"] for r in PF.balanced_selection(q, PF.id_columns(q)).filter("included").collect()]
     return PF.combo_eligible(q, sel)
