@@ -112,12 +112,16 @@ def onehot_categories(imputed: DataFrame, columns: list[str], max_onehot: int) -
     """
     if not columns:
         return {}
-    counts = imputed.agg(*[F.count_distinct(c).alias(c) for c in columns]).first().asDict()
-    small = [c for c in columns if counts[c] <= max_onehot]
-    cats = {}
-    for c in small:
-        cats[c] = sorted(r[0] for r in imputed.select(c).distinct().collect())
-    return cats
+    # distinct (column, value) pairs, combined map-side; then the columns under the bound
+    distinct = (imputed.select(*[F.col(c).cast("string").alias(c) for c in columns])
+                .withColumn("_k", F.lit(0)).unpivot(["_k"], columns, "column", "value")
+                .groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n")))
+    sizes = distinct.groupBy("column").agg(F.count(F.lit(1)).alias("_d"))
+    small = distinct.join(F.broadcast(sizes.filter(F.col("_d") <= max_onehot)), "column")  # one row per column
+    cats: dict = {}
+    for r in small.select("column", "value").collect():  # at most columns x max_onehot rows
+        cats.setdefault(r["column"], []).append(r["value"])
+    return {c: sorted(cats[c]) for c in columns if c in cats}
 
 
 @dataclass

@@ -94,22 +94,24 @@ def fit_isolation_forest(features: DataFrame, names: list[str], n_trees: int = 1
     """Grow the forest; returns flat node arrays (bounded by n_trees x (2 psi - 1))."""
     n = features.count()
     psi = int(min(max_samples, n))
-    # pre-filter: each row joins tree t when its hash is small; the kept share gives
-    # ~4 psi rows per tree so that the exact psi-smallest can be taken per tree.
-    p_keep = min(1.0, 4.0 * psi / max(n, 1) + 1e-9)
+    # One hash per row picks a uniform candidate set of about psi * trees / 2 rows; each
+    # tree then takes the psi candidates with the smallest (row, tree) hash, which is a
+    # uniform sample without replacement. Only the candidates are expanded per tree.
+    p_keep = min(1.0, psi * n_trees / 2.0 / max(n, 1))
 
     def sample(p):
-        tagged = features.select(row_id, *names, F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-        tagged = tagged.withColumn("_h", _uniform_hash([F.col(row_id), F.col("tree")], seed))
+        base = features.select(row_id, *names)
         if p < 1.0:
-            tagged = tagged.filter(F.col("_h") < p)
+            base = base.filter(_uniform_hash([F.col(row_id)], seed + 1) < p)
+        tagged = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+        tagged = tagged.withColumn("_h", _uniform_hash([F.col(row_id), F.col("tree")], seed))
         w = Window.partitionBy("tree").orderBy("_h", row_id)
         return tagged.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= psi).drop("_r", "_h")
 
     samples = sample(p_keep)
     if p_keep < 1.0:
         short = samples.groupBy("tree").count().filter(F.col("count") < psi).limit(1).count()
-        if short:  # an unlucky hash draw: redo without the pre-filter (exact)
+        if short:  # fewer than psi candidates by an unlucky draw: take all rows as candidates
             samples = sample(1.0)
     nodes = samples.groupBy("tree").applyInPandas(_grow_tree_fn(names, psi, seed), NODE_SCHEMA)
     pdf = nodes.toPandas().sort_values(["tree", "node"]).reset_index(drop=True)

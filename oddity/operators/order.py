@@ -11,8 +11,7 @@ so the sorted frame is checkpointed before partition ids are read.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,6 +112,7 @@ def attach_by_size(big: DataFrame, small: DataFrame, on, how: str = "inner",
     Beyond the bound a shuffle join is used and AQE's skew-join splitting keeps a
     hot key from landing in one task.
     """
+    small = small.persist(StorageLevel.MEMORY_AND_DISK)  # counted once, then joined from the cache
     n_small = small.count()
     side = F.broadcast(small) if n_small <= max_broadcast_rows else small
     return big.join(side, on, how)

@@ -148,3 +148,19 @@ def test_feedback_signature_insert_and_weights(spark):
     stats = FB.model_stats(spark.createDataFrame(rows, schema))
     w = {r["model_key"]: r["weight"] for r in FB.derived_weights(stats, "P", {"lof": 1.0, "ocsvm": 0.9}).collect()}
     assert w == {"lof": round(1.0 * (0.5 + 8 / 12), 3), "ocsvm": 0.9}
+
+
+def test_summary_stats_distributed_quartiles_match_pandas(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"row_id": np.arange(501), "a": np.round(rng.normal(size=501), 2),
+                        "b": rng.integers(0, 9, 501).astype(float)})
+    pdf.loc[[3, 7], "a"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("a", F.when(F.isnan("a"), None).otherwise(F.col("a")))
+    for bound in (5_000_000, 0):   # in-memory percentile, then the distributed order statistics
+        s = PF.summary_stats(df, ["a", "b"], in_memory_rows=bound).toPandas().set_index("column")
+        d = pdf[["a", "b"]].describe()
+        for c in ("a", "b"):
+            assert s.loc[c, "count"] == d.loc["count", c]
+            for q, k in (("25%", "q25"), ("50%", "q50"), ("75%", "q75")):
+                assert s.loc[c, k] == pytest.approx(d.loc[q, c])
+            assert s.loc[c, "std"] == pytest.approx(d.loc["std", c])
