@@ -293,3 +293,30 @@ def rescore_delta(spark, sf):
     old_t = exact_quantile(ez, "score", 1 - CONTAMINATION)
     new_t = exact_quantile(nz, "score", 1 - CONTAMINATION)
     return RS.rescore_delta(ez, nz, old_t, new_t)
+
+
+# ------------------------------------------------------------------ M2 on a wide matrix
+EMB_DIMS = 64
+_EMB_COLS = [f"e{i}" for i in range(EMB_DIMS)]
+_SQL_EMB = ("ef AS (SELECT vec_id AS id, " + ", ".join(
+    f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(EMB_DIMS)) + " FROM embeddings)")
+_SQL_EMB_DIST = " + ".join(f"(a.e{i} - b.e{i}) * (a.e{i} - b.e{i})" for i in range(EMB_DIMS))
+
+
+@register("lof_embeddings", with_ctes(
+    _SQL_EMB,
+    f"d AS (SELECT a.id AS a, b.id AS b, sqrt({_SQL_EMB_DIST}) AS d FROM ef a JOIN ef b ON a.id <> b.id)",
+    "nn AS (SELECT a, b, d FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM d) q"
+    " WHERE r <= 20)",
+    "kd AS (SELECT a, max(d) AS kd FROM nn GROUP BY a)",
+    "lrd AS (SELECT nn.a, 1.0 / (avg(greatest(kd.kd, nn.d)) + 1e-10) AS lrd FROM nn JOIN kd ON nn.b = kd.a"
+    " GROUP BY nn.a)")
+    + """SELECT l1.a AS vec_id, round(avg(l2.lrd) / l1.lrd, 6) AS score FROM nn JOIN lrd l1 ON nn.a = l1.a
+         JOIN lrd l2 ON nn.b = l2.a GROUP BY l1.a, l1.lrd""")
+def lof_embeddings(spark, sf):
+    """M2 on the 64-dimensional embedding vectors (unscaled), exact."""
+    e = load(spark, sf, "embeddings")
+    feats = e.select(F.col("vec_id").alias("row_id"),
+                     *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(_EMB_COLS)])
+    s = MD.lof(feats, _EMB_COLS, k=20)
+    return s.select(F.col("row_id").alias("vec_id"), F.round("score", 6).alias("score"))
