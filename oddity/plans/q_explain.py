@@ -105,7 +105,7 @@ _KIND_SQL = 'SELECT c_custkey, "column", round(score, 6) AS score FROM reasons W
 def top_deviations(spark, sf):
     ce, top, _ = _inputs(spark, sf)
     d = EX.top_deviations(ce, top, SELECTED, 5)
-    return d.select(F.col("row_id").alias("c_custkey"), "feature", "value", "typical", "deviation", "position")
+    return d.select(F.col("row_id").alias("c_custkey"), "feature", "value", "typical", "deviation", F.col("position").cast("long").alias("position"))
 
 
 @register("reasons_numeric", with_ctes(*SQL_BASE) + _KIND_SQL + "'numeric'")
@@ -136,7 +136,7 @@ def reasons_rule(spark, sf):
 def explain(spark, sf):
     ce, top, flags = _inputs(spark, sf)
     e = EX.explain(ce, top, SELECTED, RARE, COMBO, flags, top_k=8)
-    return e.select(F.col("row_id").alias("c_custkey"), "reason_rank", "kind", "column",
+    return e.select(F.col("row_id").alias("c_custkey"), F.col("reason_rank").cast("long").alias("reason_rank"), "kind", "column",
                     F.round("score", 6).alias("score"))
 
 

@@ -49,8 +49,8 @@ def impute(spark, sf):
 
 # ------------------------------------------------------------------------- F3
 @register("one_hot", "SELECT c_custkey, " + ", ".join(
-    f"CASE WHEN c_mktsegment = '{s}' THEN 1.0 ELSE 0.0 END AS {_q('c_mktsegment_' + s)}" for s in SEGMENTS)
-    + ", CASE WHEN c_acctbal >= 0 THEN 1.0 ELSE 0.0 END AS c_tier_pos FROM customer")
+    f"CASE WHEN c_mktsegment = '{s}' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS {_q('c_mktsegment_' + s)}" for s in SEGMENTS)
+    + ", CASE WHEN c_acctbal >= 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS c_tier_pos FROM customer")
 def one_hot(spark, sf):
     c = keyed(load(spark, sf, "customer"), "c_custkey")
     c = c.withColumn("c_tier", F.when(F.col("c_acctbal") >= 0, F.lit("pos")).otherwise(F.lit("neg")))
@@ -71,7 +71,7 @@ def freq_encode(spark, sf):
 # ------------------------------------------------------------------------- F5
 @register("rare_category", with_ctes(SQL_CUSTOMER_EXPLAIN) + """SELECT c_custkey,
     round(count(*) OVER (PARTITION BY c_segment) / count(*) OVER (), 6) AS c_segment_freq,
-    CASE WHEN count(*) OVER (PARTITION BY c_segment) / count(*) OVER () < 0.005 THEN 1.0 ELSE 0.0 END
+    CASE WHEN count(*) OVER (PARTITION BY c_segment) / count(*) OVER () < 0.005 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
       AS c_segment_is_rare FROM ce""")
 def rare_category(spark, sf):
     ce = customer_explain(spark, sf)
@@ -87,7 +87,7 @@ COMBO_NAME = FT.combo_name(COMBO)
 @register("combo_freq", f"""SELECT l_orderkey, l_linenumber,
     round(count(*) OVER (PARTITION BY l_returnflag, l_linestatus) / count(*) OVER (), 6) AS {_q(COMBO_NAME + '_freq')},
     CASE WHEN count(*) OVER (PARTITION BY l_returnflag, l_linestatus) / count(*) OVER () < 0.005
-         THEN 1.0 ELSE 0.0 END AS {_q(COMBO_NAME + '_is_rare')} FROM lineitem""")
+         THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS {_q(COMBO_NAME + '_is_rare')} FROM lineitem""")
 def combo_freq(spark, sf):
     li = dense_index(load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *COMBO))
     feats, _ = FT.build_features(li, [], combo_columns=COMBO, scale=False)
@@ -140,7 +140,7 @@ def rule_features_branch(spark, sf):
     "coalesce(c_mktsegment, (SELECT v FROM mo), 'UNKNOWN') AS seg_imp, c_mktsegment FROM cn)")
     + """SELECT c_custkey, round(c_acctbal, 6) AS c_acctbal,
       round(count(*) OVER (PARTITION BY seg_imp) / count(*) OVER (), 6) AS c_mktsegment_freq,
-      CASE WHEN count(*) OVER (PARTITION BY c_mktsegment) / count(*) OVER () < 0.005 THEN 1.0 ELSE 0.0 END
+      CASE WHEN count(*) OVER (PARTITION BY c_mktsegment) / count(*) OVER () < 0.005 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
         AS c_mktsegment_is_rare FROM imp""")
 def feature_merge(spark, sf):
     """the encoded c_mktsegment_freq (after imputation) wins over the rare-feature one."""
@@ -167,12 +167,12 @@ MATRIX_FEATURES = (["c_acctbal", "c_nationkey"] + [f"c_mktsegment_{s}" for s in
 
 def _sql_matrix() -> str:
     raw = ("raw AS (SELECT c_custkey, c_acctbal, c_nationkey, " + ", ".join(
-        f"CASE WHEN c_mktsegment = '{s}' THEN 1.0 ELSE 0.0 END AS {_q('c_mktsegment_' + s)}" for s in SEGMENTS)
+        f"CASE WHEN c_mktsegment = '{s}' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS {_q('c_mktsegment_' + s)}" for s in SEGMENTS)
         + ", count(*) OVER (PARTITION BY c_mktsegment) / count(*) OVER () AS c_mktsegment_freq"
-        + ", CASE WHEN count(*) OVER (PARTITION BY c_mktsegment) / count(*) OVER () < 0.005 THEN 1.0 ELSE 0.0 END"
+        + ", CASE WHEN count(*) OVER (PARTITION BY c_mktsegment) / count(*) OVER () < 0.005 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"
         + " AS c_mktsegment_is_rare"
         + ", CASE WHEN regexp_matches(coalesce(c_name, ''), '^\\s*\\d+\\s*$') AND length(coalesce(c_name, '')) > 0"
-        + " THEN 1.0 ELSE 0.0 END AS " + _q("isim_alanında_sadece_rakam__c_name") + " FROM cr)")
+        + " THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS " + _q("isim_alanında_sadece_rakam__c_name") + " FROM cr)")
     cols = ", ".join(
         f"round(CASE WHEN stddev_pop({_q(c)}) OVER () > 0 THEN ({_q(c)} - avg({_q(c)}) OVER ()) / "
         f"stddev_pop({_q(c)}) OVER () ELSE {_q(c)} - avg({_q(c)}) OVER () END, 6) AS {_q(c)}"

@@ -158,7 +158,7 @@ def dq_long_text(spark, sf):
         "doc_id", "column",
         F.length(F.coalesce(F.when(F.col("column") == "text", F.col("text"))
                             .when(F.col("column") == "lang", F.col("lang")).otherwise(F.col("source")),
-                            F.lit(""))).alias("n_chars"))
+                            F.lit(""))).cast("long").alias("n_chars"))
 
 
 @register("dq_digits_only", with_ctes(SQL_CUSTOMER_RULES)
