@@ -208,3 +208,48 @@ PRESETS = {
     },
 }
 DEFAULT_PRESET = "Genel (Varsayılan)"
+
+# --- fixed values: display texts -----------------------------------------------
+SEVERITY_TEXT = {"high": "Yüksek", "medium": "Orta", "low": "Düşük"}
+RULE_DESCRIPTIONS = {
+    RULE_REQUIRED: "Bu kolonda zorunlu olduğu halde değer eksik",
+    RULE_NEGATIVE: "Sayısal alanda negatif değer (tutar/bakiye için sıra dışı)",
+    RULE_ZERO: "Tutar tam sıfır",
+    RULE_EXTREME: "Standart sapmanın 4 katından fazla sapma",
+    RULE_BAD_NUMBER: "Sayısal olması beklenen alanda parse edilemeyen değer",
+    RULE_BAD_DATE: "Tarih olması beklenen alanda parse edilemeyen değer",
+    RULE_FUTURE_DATE: "10 yıldan uzak gelecek tarih",
+    RULE_PAST_DATE: "1900 öncesi tarih",
+    RULE_CONTROL_CHAR: "Metinde \\n, \\t, \\r gibi kontrol karakterleri",
+    RULE_LONG_TEXT: "{threshold} karakterden uzun değer",
+    RULE_DIGITS_IN_NAME: "İsim alanında sadece rakam — bozuk veya kasıtlı manipülasyon olabilir",
+    RULE_CURRENCY: "{allowed} dışında para birimi",
+    RULE_DUPLICATE_ID: "Aynı ID/Referans birden fazla kez görülüyor",
+}
+QUALITY_FLAG_REASONS = {
+    "constant": "Tek bir değer içeriyor, analiz için bilgi taşımaz",
+    "id_like": "Her satırda neredeyse farklı bir değer var — muhtemelen ID sütunu",
+    "free_text": "Serbest metin alanı — anomali tespitine uygun değil",
+    "high_cardinality": "Çok fazla kategori var, otomatik olarak frekans bazlı dönüşüm uygulanacak",
+}
+SELECTION_REASONS = {
+    "id": "ID/Referans olarak işaretlendi",
+    "constant": "Tek değer içeriyor (bilgi taşımaz)",
+    "id_like": "ID benzeri (her satırda neredeyse farklı)",
+    "free_text": "Serbest metin alanı",
+    "numeric": "Sayısal alan",
+    "datetime": "Tarih alanı (zaman serisi panelinde kullanılır)",
+    "low_card": "Düşük kardinaliteli kategorik",
+    "mid_card_in": "Orta kardinaliteli kategorik (frekans-encode)",
+    "mid_card_out": "Orta kardinaliteli — kapsam dengesi için dışarıda",
+    "high_card": "Yüksek kardinaliteli ({n} kategori) — modele eklenmedi",
+    "limit": "Default kapsam üst sınırı ({max_columns}) doldu",
+}
+# explanation texts (Java format patterns for format_string)
+REASON_NUMERIC = "**%s** değeri **%.2f** — tipik **%.2f**'den %.1fσ daha %s"
+REASON_RARE = "**%s** = `%s` veri setinde **%%%.2f** sıklıkta — nadir görülen bir değer"
+REASON_UNSEEN = "**%s** = `%s` — veri setinde başka örneği yok"
+REASON_COMBO = "Kombinasyon (%s) veri setinde **%%%.2f** sıklıkta — olağan dışı"
+REASON_RULE = "Kural ihlali: **{rule}**"
+DIRECTION_HIGH = "yüksek"
+DIRECTION_LOW = "düşük"

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from .features import medians
 from .profile import is_numeric_type
 
@@ -82,9 +83,8 @@ def reasons(df: DataFrame, rows: DataFrame, selected: list[str], rare_threshold:
         long = t.select(row_id, F.explode(F.array(*parts)).alias("s")).select(row_id, "s.*") \
             .filter(F.col("v").isNotNull() & ~F.isnan("v"))
         z = F.abs(F.col("v") - F.col("med")) / F.col("sd")
-        direction = F.when(F.col("v") > F.col("med"), F.lit("yüksek")).otherwise(F.lit("düşük"))
-        msg = F.format_string("**%s** değeri **%.2f** — tipik **%.2f**'den %.1fσ daha %s",
-                              F.col("column"), F.col("v"), F.col("med"), z, direction)
+        direction = F.when(F.col("v") > F.col("med"), F.lit(K.DIRECTION_HIGH)).otherwise(F.lit(K.DIRECTION_LOW))
+        msg = F.format_string(K.REASON_NUMERIC, F.col("column"), F.col("v"), F.col("med"), z, direction)
         out.append(long.filter(z >= 2).select(row_id, F.lit(KIND_NUMERIC).alias("kind"), "column",
                                               msg.alias("message"), z.alias("score"), "seq"))
     n_total = df.agg(F.count(F.lit(1)).alias("_n"))  # one-row frame
@@ -104,9 +104,8 @@ def reasons(df: DataFrame, rows: DataFrame, selected: list[str], rare_threshold:
                 .crossJoin(F.broadcast(n_total)).select("column", "value", (F.col("cnt") / F.col("_n")).alias("f")))
         j = long.join(freq, ["column", "value"], "left").withColumn("f", F.coalesce("f", F.lit(0.0)))
         rare = (F.col("f") > 0) & (F.col("f") < rare_threshold)
-        msg_rare = F.format_string("**%s** = `%s` veri setinde **%%%.2f** sıklıkta — nadir görülen bir değer",
-                                   F.col("column"), F.col("value"), F.col("f") * 100)
-        msg_unseen = F.format_string("**%s** = `%s` — veri setinde başka örneği yok", F.col("column"), F.col("value"))
+        msg_rare = F.format_string(K.REASON_RARE, F.col("column"), F.col("value"), F.col("f") * 100)
+        msg_unseen = F.format_string(K.REASON_UNSEEN, F.col("column"), F.col("value"))
         out.append(j.filter(rare | (F.col("f") == 0)).select(
             row_id, F.lit(KIND_CATEGORICAL).alias("kind"), "column",
             F.when(rare, msg_rare).otherwise(msg_unseen).alias("message"),
@@ -123,8 +122,7 @@ def reasons(df: DataFrame, rows: DataFrame, selected: list[str], rare_threshold:
         j = tk.join(counts, kn, "left").withColumn("f", F.coalesce("f", F.lit(0.0)))
         pretty = F.concat_ws(" + ", *[F.concat(F.lit(f"{c}=`"), F.col(k), F.lit("`"))
                                       for c, k in zip(combo_columns, kn)])
-        msg = F.format_string("Kombinasyon (%s) veri setinde **%%%.2f** sıklıkta — olağan dışı", pretty,
-                              F.col("f") * 100)
+        msg = F.format_string(K.REASON_COMBO, pretty, F.col("f") * 100)
         out.append(j.filter((F.col("f") > 0) & (F.col("f") < rare_threshold)).select(
             row_id, F.lit(KIND_COMBO).alias("kind"), F.lit(" + ".join(combo_columns)).alias("column"),
             msg.alias("message"), ((F.lit(rare_threshold) - F.col("f")) / rare_threshold * 4).alias("score"),
@@ -140,7 +138,7 @@ def reasons(df: DataFrame, rows: DataFrame, selected: list[str], rare_threshold:
                      for i, c in enumerate(fcols)]
             long = ft.select(row_id, F.explode(F.array(*parts)).alias("s")).select(row_id, "s.*") \
                 .filter(F.coalesce(F.col("v"), F.lit(0)) != 0)
-            msg = F.concat(F.lit("Kural ihlali: **"), F.regexp_replace("rule", "_", " "), F.lit("**"),
+            msg = F.concat(F.replace(F.lit(K.REASON_RULE), F.lit("{rule}"), F.regexp_replace("rule", "_", " ")),
                            F.when(F.col("column") != "", F.concat(F.lit(" ("), F.col("column"), F.lit(")")))
                            .otherwise(F.lit("")))
             out.append(long.select(row_id, F.lit(KIND_RULE).alias("kind"), "column", msg.alias("message"),

@@ -182,10 +182,10 @@ def column_quality(df: DataFrame, columns: list[str] | None = None, row_id: str
                         F.when(high_card, F.lit("high_cardinality")))
     reasons = F.concat_ws(
         " | ",
-        F.when(constant, F.lit("Tek bir değer içeriyor, analiz için bilgi taşımaz")),
-        F.when(id_like, F.lit("Her satırda neredeyse farklı bir değer var — muhtemelen ID sütunu")),
-        F.when(free_text, F.lit("Serbest metin alanı — anomali tespitine uygun değil")),
-        F.when(high_card, F.lit("Çok fazla kategori var, otomatik olarak frekans bazlı dönüşüm uygulanacak")))
+        F.when(constant, F.lit(K.QUALITY_FLAG_REASONS["constant"])),
+        F.when(id_like, F.lit(K.QUALITY_FLAG_REASONS["id_like"])),
+        F.when(free_text, F.lit(K.QUALITY_FLAG_REASONS["free_text"])),
+        F.when(high_card, F.lit(K.QUALITY_FLAG_REASONS["high_cardinality"])))
     return q.select(
         "position", "column", "dtype", "is_numeric", "is_datetime",
         F.col("n_distinct").alias("unique"),
@@ -224,24 +224,23 @@ def balanced_selection(quality: DataFrame, ids: DataFrame, max_columns: int = K.
     """
     q = quality.join(ids.withColumn("_is_id", F.lit(True)), "column", "left") \
         .withColumn("_is_id", F.coalesce("_is_id", F.lit(False)))
-    skip_reason = (F.when(F.col("_is_id"), F.lit("ID/Referans olarak işaretlendi"))
-                   .when(F.col("constant"), F.lit("Tek değer içeriyor (bilgi taşımaz)"))
-                   .when(F.col("id_like"), F.lit("ID benzeri (her satırda neredeyse farklı)"))
-                   .when(F.col("free_text"), F.lit("Serbest metin alanı")))
+    R = K.SELECTION_REASONS
+    skip_reason = (F.when(F.col("_is_id"), F.lit(R["id"]))
+                   .when(F.col("constant"), F.lit(R["constant"]))
+                   .when(F.col("id_like"), F.lit(R["id_like"]))
+                   .when(F.col("free_text"), F.lit(R["free_text"])))
     medium = skip_reason.isNull() & ~F.col("is_numeric") & ~F.col("is_datetime") \
         & (F.col("unique") > K.LOW_CARD_LIMIT) & (F.col("unique") <= K.MEDIUM_CARD_LIMIT)
     w_before = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     q = q.withColumn("_medium", medium) \
         .withColumn("_medium_before", F.coalesce(F.sum(F.col("_medium").cast("int")).over(w_before), F.lit(0)))
     reason = (F.when(skip_reason.isNotNull(), skip_reason)
-              .when(F.col("is_numeric"), F.lit("Sayısal alan"))
-              .when(F.col("is_datetime"), F.lit("Tarih alanı (zaman serisi panelinde kullanılır)"))
-              .when(F.col("unique") <= K.LOW_CARD_LIMIT, F.lit("Düşük kardinaliteli kategorik"))
-              .when(F.col("_medium") & (F.col("_medium_before") < max_high_card_cat),
-                    F.lit("Orta kardinaliteli kategorik (frekans-encode)"))
-              .when(F.col("_medium"), F.lit("Orta kardinaliteli — kapsam dengesi için dışarıda"))
-              .otherwise(F.concat(F.lit("Yüksek kardinaliteli ("), F.col("unique").cast("string"),
-                                  F.lit(" kategori) — modele eklenmedi"))))
+              .when(F.col("is_numeric"), F.lit(R["numeric"]))
+              .when(F.col("is_datetime"), F.lit(R["datetime"]))
+              .when(F.col("unique") <= K.LOW_CARD_LIMIT, F.lit(R["low_card"]))
+              .when(F.col("_medium") & (F.col("_medium_before") < max_high_card_cat), F.lit(R["mid_card_in"]))
+              .when(F.col("_medium"), F.lit(R["mid_card_out"]))
+              .otherwise(F.replace(F.lit(R["high_card"]), F.lit("{n}"), F.col("unique").cast("string"))))
     included = skip_reason.isNull() & (
         F.col("is_numeric")
         | (~F.col("is_datetime") & (F.col("unique") <= K.LOW_CARD_LIMIT))
@@ -258,7 +257,7 @@ def balanced_selection(quality: DataFrame, ids: DataFrame, max_columns: int = K.
     return q.select(
         "position", "column",
         (F.col("_inc") & ~over_limit).alias("included"),
-        F.when(over_limit, F.lit(f"Default kapsam üst sınırı ({max_columns}) doldu"))
+        F.when(over_limit, F.lit(R["limit"].format(max_columns=max_columns)))
         .otherwise(F.col("_reason")).alias("reason"))
 
 

@@ -346,32 +346,35 @@ def safe_columns(spark, sf):
     return PF.safe_columns(PF.column_quality(keyed(load(spark, sf, "part"), "p_partkey")))
 
 
+_R = K.SELECTION_REASONS
+
+
 def sql_selection(max_columns=K.MAX_SELECTED_COLUMNS, max_mid=K.MAX_MEDIUM_CARD) -> list[str]:
     return [f"""sel0 AS (SELECT quality.*, ids."column" IS NOT NULL AS is_id FROM quality
                  LEFT JOIN ids ON quality."column" = ids."column")""",
-            f"""sel1 AS (SELECT *, CASE WHEN is_id THEN 'ID/Referans olarak işaretlendi'
-                  WHEN constant THEN 'Tek değer içeriyor (bilgi taşımaz)'
-                  WHEN id_like THEN 'ID benzeri (her satırda neredeyse farklı)'
-                  WHEN free_text THEN 'Serbest metin alanı' END AS skip_reason FROM sel0)""",
+            f"""sel1 AS (SELECT *, CASE WHEN is_id THEN '{_R["id"]}'
+                  WHEN constant THEN '{_R["constant"]}'
+                  WHEN id_like THEN '{_R["id_like"]}'
+                  WHEN free_text THEN '{_R["free_text"]}' END AS skip_reason FROM sel0)""",
             f"""sel2 AS (SELECT *, skip_reason IS NULL AND NOT is_num AND NOT is_dt AND "unique" > {K.LOW_CARD_LIMIT}
                   AND "unique" <= {K.MEDIUM_CARD_LIMIT} AS mid FROM sel1)""",
             f"""sel3 AS (SELECT *, coalesce(sum(CASE WHEN mid THEN 1 ELSE 0 END) OVER (ORDER BY position
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS mid_before FROM sel2)""",
             f"""sel4 AS (SELECT *, skip_reason IS NULL AND (is_num OR (NOT is_dt AND "unique" <= {K.LOW_CARD_LIMIT})
                   OR (mid AND mid_before < {max_mid})) AS inc,
-                  CASE WHEN skip_reason IS NOT NULL THEN skip_reason WHEN is_num THEN 'Sayısal alan'
-                       WHEN is_dt THEN 'Tarih alanı (zaman serisi panelinde kullanılır)'
-                       WHEN "unique" <= {K.LOW_CARD_LIMIT} THEN 'Düşük kardinaliteli kategorik'
-                       WHEN mid AND mid_before < {max_mid} THEN 'Orta kardinaliteli kategorik (frekans-encode)'
-                       WHEN mid THEN 'Orta kardinaliteli — kapsam dengesi için dışarıda'
-                       ELSE 'Yüksek kardinaliteli (' || CAST("unique" AS VARCHAR) || ' kategori) — modele eklenmedi'
+                  CASE WHEN skip_reason IS NOT NULL THEN skip_reason WHEN is_num THEN '{_R["numeric"]}'
+                       WHEN is_dt THEN '{_R["datetime"]}'
+                       WHEN "unique" <= {K.LOW_CARD_LIMIT} THEN '{_R["low_card"]}'
+                       WHEN mid AND mid_before < {max_mid} THEN '{_R["mid_card_in"]}'
+                       WHEN mid THEN '{_R["mid_card_out"]}'
+                       ELSE replace('{_R["high_card"]}', '{{n}}', CAST("unique" AS VARCHAR))
                   END AS reason0 FROM sel3)""",
             f"""sel5 AS (SELECT *, sum(CASE WHEN inc THEN 1 ELSE 0 END) OVER (ORDER BY position
                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sel_through FROM sel4)""",
             f"""sel6 AS (SELECT *, min(CASE WHEN skip_reason IS NULL AND NOT is_num AND NOT is_dt
                   AND sel_through >= {max_columns} THEN position END) OVER () AS stop_pos FROM sel5)""",
             f"""selection AS (SELECT position, "column", inc AND NOT coalesce(position > stop_pos, false) AS included,
-                  CASE WHEN coalesce(position > stop_pos, false) THEN 'Default kapsam üst sınırı ({max_columns}) doldu'
+                  CASE WHEN coalesce(position > stop_pos, false) THEN '{_R["limit"].format(max_columns=max_columns)}'
                        ELSE reason0 END AS reason FROM sel6)"""]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..operators import explain as EX
 from ..operators import order as OR
 from ..operators import results as RS
@@ -24,8 +25,8 @@ def flagship(spark, sf):
     ranked = RS.ranked(pct, "pct")
     top = ranked.filter(F.col("rank") <= 20)
     why = EX.reasons(ev, top.select("row_id"), ["value"]).filter(F.col("kind") == EX.KIND_NUMERIC)
-    direction = F.when(F.col("message").contains("daha yüksek"), F.lit("yüksek")) \
-        .when(F.col("message").contains("daha düşük"), F.lit("düşük"))
+    direction = F.when(F.col("message").endswith(K.DIRECTION_HIGH), F.lit(K.DIRECTION_HIGH)) \
+        .when(F.col("message").endswith(K.DIRECTION_LOW), F.lit(K.DIRECTION_LOW))
     return (top.join(why.select("row_id", F.col("score").alias("reason_score"), direction.alias("direction")),
                      "row_id", "left")
             .select("event_id", "rank", F.round("pct", 6).alias("pct"), F.round("abs_z", 6).alias("abs_z"),
