@@ -67,9 +67,9 @@ def impute_fills(df: DataFrame, numeric: list[str], categorical: list[str]) -> d
 
 
 def apply_fills(df: DataFrame, fills: dict, numeric: list[str], categorical: list[str],
-                row_id: str = "row_id") -> DataFrame:
-    """F1 + F2 in one projection with frozen fill values."""
-    out = [F.col(row_id)]
+                row_id: str = "row_id", carry: list[Column] | None = None) -> DataFrame:
+    """F1 + F2 in one projection with frozen fill values (``carry``: further columns to keep)."""
+    out = [F.col(row_id), *(carry or [])]
     for c in numeric:
         x = F.col(c).cast("double")
         out.append((F.coalesce(x, F.lit(fills[c])) if fills.get(c) is not None else x).alias(c))
@@ -180,7 +180,8 @@ def combo_name(cols: list[str]) -> str:
 def build_features(df: DataFrame, selected: list[str], max_onehot: int = 15,
                    rare_columns: list[str] | None = None, combo_columns: list[str] | None = None,
                    add_rule_features: bool = False, extra: DataFrame | None = None,
-                   row_id: str = "row_id", scale: bool = True):
+                   row_id: str = "row_id", scale: bool = True,
+                   extra_columns: list[tuple[str, Column]] | None = None):
     """the full feature matrix. Returns (DataFrame(row_id, *features), FeatureSpec).
 
     Order of features: numeric, encoded, rare, combination, rule, extra; on equal
@@ -189,7 +190,15 @@ def build_features(df: DataFrame, selected: list[str], max_onehot: int = 15,
     """
     numeric, categorical, dropped = split_selected(df, selected)
     fills = impute_fills(df, numeric, categorical)
-    imputed = apply_fills(df, fills, numeric, categorical, row_id)
+    # F5 / F6 read the original (not imputed) values; they, the rule features and the
+    # extra flag expressions travel in the same projection as the imputed values, so
+    # no step joins two row-level frames on row_id
+    raw_needed = list(dict.fromkeys((rare_columns or []) + (combo_columns or [])))
+    rule_cols = rule_features(df, selected) if add_rule_features else []
+    extra_cols = list(extra_columns or [])
+    carried = ([F.col(c).alias(f"_raw_{c}") for c in raw_needed] + [e.alias(n) for n, e in rule_cols]
+               + [e.alias(f"_x{i}") for i, (_, e) in enumerate(extra_cols)])
+    imputed = apply_fills(df, fills, numeric, categorical, row_id, carry=carried)
     onehot = onehot_categories(imputed, categorical, max_onehot)
     freq_encoded = [c for c in categorical if c not in onehot]
     shares = {c: share_table(imputed, [c], f"_fe_{c}") for c in freq_encoded}
@@ -197,26 +206,19 @@ def build_features(df: DataFrame, selected: list[str], max_onehot: int = 15,
     for c in freq_encoded:
         frame = _join_share(frame, [c], shares[c], f"_fe_{c}")
     cols = _encoded_columns(numeric, categorical, onehot)
-    # F5 / F6 read the original (not imputed) values
-    raw_needed = list(dict.fromkeys((rare_columns or []) + (combo_columns or [])))
-    rule_cols = rule_features(df, selected) if add_rule_features else []
-    if raw_needed or rule_cols:
-        raw = df.select(row_id, *[F.col(c).alias(f"_raw_{c}") for c in raw_needed],
-                        *[e.alias(n) for n, e in rule_cols])
-        for c in rare_columns or []:
-            raw = attach_share(raw, [f"_raw_{c}"], f"_rare_{c}")
-        if combo_columns and len(combo_columns) >= 2:
-            raw = attach_share(raw, [f"_raw_{c}" for c in combo_columns], "_combo")
-        frame = frame.join(raw, row_id)
-        for c in rare_columns or []:
-            cols.append((f"{c}_freq", F.col(f"_rare_{c}")))
-            cols.append((f"{c}_is_rare", (F.col(f"_rare_{c}") < K.RARE_FEATURE_THRESHOLD).cast("double")))
-        if combo_columns and len(combo_columns) >= 2:
-            name = combo_name(combo_columns)
-            cols.append((f"{name}_freq", F.col("_combo")))
-            cols.append((f"{name}_is_rare", (F.col("_combo") < K.RARE_FEATURE_THRESHOLD).cast("double")))
-        cols += [(n, F.col(n)) for n, _ in rule_cols]
-    if extra is not None:
+    for c in rare_columns or []:
+        frame = _join_share(frame, [f"_raw_{c}"], share_table(imputed, [f"_raw_{c}"], f"_rare_{c}"), f"_rare_{c}")
+        cols.append((f"{c}_freq", F.col(f"_rare_{c}")))
+        cols.append((f"{c}_is_rare", (F.col(f"_rare_{c}") < K.RARE_FEATURE_THRESHOLD).cast("double")))
+    if combo_columns and len(combo_columns) >= 2:
+        keys = [f"_raw_{c}" for c in combo_columns]
+        frame = _join_share(frame, keys, share_table(imputed, keys, "_combo"), "_combo")
+        name = combo_name(combo_columns)
+        cols.append((f"{name}_freq", F.col("_combo")))
+        cols.append((f"{name}_is_rare", (F.col("_combo") < K.RARE_FEATURE_THRESHOLD).cast("double")))
+    cols += [(n, F.col(n)) for n, _ in rule_cols]
+    cols += [(n, F.coalesce(F.col(f"_x{i}").cast("double"), F.lit(0.0))) for i, (n, _) in enumerate(extra_cols)]
+    if extra is not None:  # flags held in a separate frame: joined on row_id
         extra_cols = [c for c in extra.columns if c != row_id]
         frame = frame.join(extra, row_id, "left")
         cols += [(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for c in extra_cols]
@@ -229,7 +231,7 @@ def build_features(df: DataFrame, selected: list[str], max_onehot: int = 15,
     features = frame.select(row_id, *[e.alias(n) for n, e in merged])
     spec = FeatureSpec(numeric, categorical, dropped, onehot, freq_encoded, [n for n, _ in merged])
     spec.fills, spec.shares = fills, shares
-    spec.row_level_only = not (raw_needed or rule_cols or extra is not None)
+    spec.row_level_only = not (raw_needed or rule_cols or extra is not None or extra_cols)
     if scale:
         features, spec = standard_scale(features, spec, row_id)
     return features, spec

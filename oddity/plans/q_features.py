@@ -184,11 +184,10 @@ def matrix(spark, sf, preset: str = K.DEFAULT_PRESET):
     """F12 as the application runs it: DQ flags of enabled rules are extra features."""
     cr = customer_rules(spark, sf)
     p = K.PRESETS[preset]
-    summ, flags = QC.run_quality_checks(cr, allowed_currencies=p["allowed_currencies"])
-    _, flags_on = QC.apply_toggles(summ, flags, preset)
-    return FT.build_features(cr, ["c_acctbal", "c_nationkey", "c_mktsegment"],
+    _, frame, flag_cols = QC.quality_flags(cr, allowed_currencies=p["allowed_currencies"], preset=preset)
+    return FT.build_features(frame, ["c_acctbal", "c_nationkey", "c_mktsegment"],
                              max_onehot=p["encoding"]["onehot_max_unique"], rare_columns=["c_mktsegment"],
-                             extra=flags_on)
+                             extra_columns=flag_cols)
 
 
 @register("feature_matrix", _sql_matrix())

@@ -60,13 +60,15 @@ def review(df: DataFrame, preset: str = K.DEFAULT_PRESET, contamination: float |
     ids = PF.id_columns(quality, kind_ids)
     selection = PF.balanced_selection(quality, ids)
     selected = [r["column"] for r in selection.filter("included").orderBy("position").collect()]
-    summ, flags = QC.run_quality_checks(typed, kinds, p["allowed_currencies"], as_of=as_of, row_id=row_id)
-    summ, flags = QC.apply_toggles(summ, flags, preset, row_id)
+    summ, frame, flag_cols = QC.quality_flags(typed, kinds, p["allowed_currencies"], as_of=as_of,
+                                              row_id=row_id, preset=preset)
+    flags = frame.select(row_id, *[e.alias(n) for n, e in flag_cols])
     text_sel = [s for s in selected if not PF.is_numeric_type(typed.schema[s].dataType)]
     distinct = {r["column"]: r["unique"] for r in quality.select("column", "unique").collect()}
     rare_cols = [s for s in text_sel if distinct.get(s, 0) <= K.MEDIUM_CARD_LIMIT]
-    feats, spec = FT.build_features(typed, selected, p["encoding"]["onehot_max_unique"], rare_columns=rare_cols,
-                                    extra=flags if len(flags.columns) > 1 else None, row_id=row_id)
+    # DQ flags are evaluated in the feature projection itself (no join on row_id)
+    feats, spec = FT.build_features(frame, selected, p["encoding"]["onehot_max_unique"], rare_columns=rare_cols,
+                                    extra_columns=flag_cols, row_id=row_id)
     feats = feats.cache()
     weights = dict(p["model_weights"])
     if feedback is not None:
