@@ -310,7 +310,7 @@ def _rff_fn(names, W, b, scale):
 
 
 def ocsvm(features: DataFrame, names: list[str], nu: float = 0.05, n_components: int = 256,
-          iterations: int = 40, seed: int = 42, row_id: str = "row_id") -> DataFrame:
+          iterations: int = 40, seed: int = 42, row_id: str = "row_id", tol: float = 1e-3) -> DataFrame:
     """M3: one-class SVM with an RBF kernel, gamma = 1 / (d Var(X)); (row_id, score = rho - w.z).
 
     Random Fourier features (Rahimi and Recht 2007) make the model linear; the
@@ -345,7 +345,11 @@ def ocsvm(features: DataFrame, names: list[str], nu: float = 0.05, n_components:
         viol_sum = stats["viol_sum_z"]
         grad = w - viol_sum / (nu * n)
         step = 1.0 / (it + 2)
-        w = w - step * grad
+        w_new = w - step * grad
+        converged = np.linalg.norm(w_new - w) <= tol * max(np.linalg.norm(w), 1e-12)
+        w = w_new
+        if it >= 4 and converged:  # every pass reads all rows: stop once w settles
+            break
     stats = _rff_pass(data, names, params, w, rho, n_components)
     rho = _quantile_from_hist(stats, nu)
     bw = spark.sparkContext.broadcast(w)
