@@ -98,21 +98,26 @@ def fit_isolation_forest(features: DataFrame, names: list[str], n_trees: int = 1
     # tree then takes the psi candidates with the smallest (row, tree) hash, which is a
     # uniform sample without replacement. Only the candidates are expanded per tree.
     p_keep = min(1.0, psi * n_trees / 2.0 / max(n, 1))
+    # per tree, only candidates whose (row, tree) hash is small enough to be among the
+    # psi smallest with near certainty (~4 psi expected) go through the per-tree sort
+    p_tree = min(1.0, 4.0 * psi / max(p_keep * n, 1.0))
 
-    def sample(p):
+    def sample(p, q):
         base = features.select(row_id, *names)
         if p < 1.0:
             base = base.filter(_uniform_hash([F.col(row_id)], seed + 1) < p)
         tagged = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
         tagged = tagged.withColumn("_h", _uniform_hash([F.col(row_id), F.col("tree")], seed))
+        if q < 1.0:
+            tagged = tagged.filter(F.col("_h") < q)
         w = Window.partitionBy("tree").orderBy("_h", row_id)
         return tagged.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= psi).drop("_r", "_h")
 
-    samples = sample(p_keep)
-    if p_keep < 1.0:
+    samples = sample(p_keep, p_tree)
+    if p_keep < 1.0 or p_tree < 1.0:
         short = samples.groupBy("tree").count().filter(F.col("count") < psi).limit(1).count()
-        if short:  # fewer than psi candidates by an unlucky draw: take all rows as candidates
-            samples = sample(1.0)
+        if short:  # an unlucky draw left a tree short: take every row as a candidate (exact)
+            samples = sample(1.0, 1.0)
     nodes = samples.groupBy("tree").applyInPandas(_grow_tree_fn(names, psi, seed), NODE_SCHEMA)
     pdf = nodes.toPandas().sort_values(["tree", "node"]).reset_index(drop=True)
     offsets = pdf.groupby("tree").cumcount().to_numpy()
