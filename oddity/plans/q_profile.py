@@ -396,3 +396,18 @@ def combo_eligible(spark, sf):
     q = PF.column_quality(df.select("row_id", *LINE_COLS)).cache()  # one row per column, read three times
     sel = [r["column"] for r in PF.balanced_selection(q, PF.id_columns(q)).filter("included").collect()]
     return PF.combo_eligible(q, sel)
+
+
+# ------------------------------------------------------------------------- P5 on conversation turns
+CONV_COLS = ["conv_id", "turn", "role", "text"]
+CONV_TYPES = {"conv_id": (True, False), "turn": (True, False)}
+_SQL_CONV = "conv AS (SELECT conv_id * 100000 + turn AS rid, * FROM conversations)"
+
+
+@register("column_quality_conversations", with_ctes(_SQL_CONV, *sql_quality_cte("conv", "rid", CONV_COLS, CONV_TYPES))
+          + _QUALITY_OUT)
+def column_quality_conversations(spark, sf):
+    """P5 on (conv_id, turn)-keyed turns; row order is conversation, then turn."""
+    c = load(spark, sf, "conversations")
+    df = c.select((F.col("conv_id") * 100000 + F.col("turn")).alias("row_id"), *CONV_COLS)
+    return _quality_out(PF.column_quality(df))

@@ -272,3 +272,16 @@ def dq_toggled(spark, sf):
     summ, flags = _summary(spark, sf)
     visible, _ = QC.apply_toggles(summ, flags, K.DEFAULT_PRESET)
     return visible.select("rule", "column", "count", "severity_label")
+
+
+# ------------------------------------------------------------------------- Q9, Q10 on raw web pages
+PAGE_TEXT = ["url", "html"]
+
+
+@register("dq_text_pages", union(
+    sql_hits("pages", "page_id", K.RULE_CONTROL_CHAR, c, f"regexp_matches(coalesce({c}, ''), '{K.CONTROL_CHAR_RE}')")
+    for c in PAGE_TEXT) + "\nUNION ALL " + union(
+    sql_hits("pages", "page_id", K.RULE_LONG_TEXT, c, f"length(coalesce({c}, '')) > 200") for c in PAGE_TEXT))
+def dq_text_pages(spark, sf):
+    p = keyed(load(spark, sf, "pages"), "page_id")
+    return hits(p, ["page_id"], {K.RULE_CONTROL_CHAR, K.RULE_LONG_TEXT})
