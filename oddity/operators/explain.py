@@ -87,7 +87,7 @@ def reasons(df: DataFrame, rows: DataFrame, selected: list[str], rare_threshold:
         msg = F.format_string(K.REASON_NUMERIC, F.col("column"), F.col("v"), F.col("med"), z, direction)
         out.append(long.filter(z >= 2).select(row_id, F.lit(KIND_NUMERIC).alias("kind"), "column",
                                               msg.alias("message"), z.alias("score"), "seq"))
-    n_total = df.agg(F.count(F.lit(1)).alias("_n"))  # one-row frame
+    n_total = df.count()  # one scalar: shares count nulls in the denominator
     # E3 rare categorical value (share counts nulls in the denominator). Only the
     # values of the rows being explained are counted: the whole column is
     # semi-joined with that small value set (broadcast), then aggregated.
@@ -101,7 +101,7 @@ def reasons(df: DataFrame, rows: DataFrame, selected: list[str], rare_threshold:
         freq = (base.unpivot(["_k"], cat, "column", "value")
                 .join(F.broadcast(wanted), ["column", "value"], "left_semi")
                 .groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-                .crossJoin(F.broadcast(n_total)).select("column", "value", (F.col("cnt") / F.col("_n")).alias("f")))
+                .select("column", "value", (F.col("cnt") / F.lit(n_total)).alias("f")))
         j = long.join(freq, ["column", "value"], "left").withColumn("f", F.coalesce("f", F.lit(0.0)))
         rare = (F.col("f") > 0) & (F.col("f") < rare_threshold)
         msg_rare = F.format_string(K.REASON_RARE, F.col("column"), F.col("value"), F.col("f") * 100)
@@ -118,7 +118,7 @@ def reasons(df: DataFrame, rows: DataFrame, selected: list[str], rare_threshold:
         tk = t.select(row_id, *keys)
         counts = (df.select(*keys).join(F.broadcast(tk.select(*kn).distinct()), kn, "left_semi")
                   .groupBy(*kn).agg(F.count(F.lit(1)).alias("cnt"))
-                  .crossJoin(F.broadcast(n_total)).select(*kn, (F.col("cnt") / F.col("_n")).alias("f")))
+                  .select(*kn, (F.col("cnt") / F.lit(n_total)).alias("f")))
         j = tk.join(counts, kn, "left").withColumn("f", F.coalesce("f", F.lit(0.0)))
         pretty = F.concat_ws(" + ", *[F.concat(F.lit(f"{c}=`"), F.col(k), F.lit("`"))
                                       for c, k in zip(combo_columns, kn)])

@@ -85,11 +85,10 @@ def impute(df: DataFrame, numeric: list[str], categorical: list[str], row_id: st
 
 def share_table(df: DataFrame, cols: list[str], name: str) -> DataFrame:
     """Value share of each (possibly multi-column) value, null included as a value."""
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    total = df.count()  # one scalar
     counts = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_cnt"))
-    return counts.crossJoin(F.broadcast(total)).select(
-        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(cols)],
-        (F.col("_cnt") / F.col("_total")).alias(name))
+    return counts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(cols)],
+                         (F.col("_cnt") / F.lit(total)).alias(name))
 
 
 def attach_share(df: DataFrame, cols: list[str], name: str, source: DataFrame | None = None) -> DataFrame:

@@ -122,9 +122,8 @@ def percentile_rank(df: DataFrame, score: str, out: str = "pct",
                     dist: DataFrame | None = None) -> DataFrame:
     """pandas ``rank(pct=True, method="average")``: average 1-based rank over n."""
     dist = dist if dist is not None else score_distribution(df, score)
-    total = dist.agg(F.sum("cnt").alias("_n"))
-    ranked = dist.crossJoin(F.broadcast(total)).select(
-        score, ((F.col("before") + (F.col("cnt") + 1) / 2.0) / F.col("_n")).alias(out))
+    total = dist.agg(F.sum("cnt")).first()[0]  # one scalar
+    ranked = dist.select(score, ((F.col("before") + (F.col("cnt") + 1) / 2.0) / F.lit(total)).alias(out))
     return attach_by_size(df, ranked, score, "left")
 
 

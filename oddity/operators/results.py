@@ -31,11 +31,11 @@ def result_metrics(df: DataFrame, threshold: float, score: str = "score",
 
 def score_histogram(df: DataFrame, bins: int = 50, score: str = "score") -> DataFrame:
     """Equal-width bins between min and max; the maximum falls in the last bin."""
-    bounds = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
+    bounds = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi")).first()  # two scalars
+    b = df.withColumn("lo", F.lit(bounds["lo"]).cast("double")).withColumn("hi", F.lit(bounds["hi"]).cast("double"))
     pos = F.floor((F.col(score) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins) + 1
-    b = (df.crossJoin(F.broadcast(bounds))  # one-row frame
-         .withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(pos, F.lit(bins)))
-                     .otherwise(F.lit(1)).cast("long")))
+    b = b.withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(pos, F.lit(bins)))
+                     .otherwise(F.lit(1)).cast("long"))
     return (b.groupBy("bin", "lo", "hi").agg(F.count(F.lit(1)).alias("count"))
             .select("bin",
                     (F.col("lo") + (F.col("bin") - 1) * (F.col("hi") - F.col("lo")) / bins).alias("bin_lo"),
@@ -52,6 +52,8 @@ def id_first(df: DataFrame, id_cols: list[str], score: str = "score", rank: str
 def rescore_delta(old: DataFrame, new: DataFrame, old_threshold: float, new_threshold: float,
                   score: str = "score") -> DataFrame:
     """Suspicious count after re-scoring minus before (two one-row aggregates)."""
-    a = old.agg(F.count_if(F.col(score) >= F.lit(old_threshold)).alias("old_suspicious"))
+    a = old.agg(F.count_if(F.col(score) >= F.lit(old_threshold))).first()[0]
     b = new.agg(F.count_if(F.col(score) >= F.lit(new_threshold)).alias("new_suspicious"))
-    return a.crossJoin(b).withColumn("delta", F.col("new_suspicious") - F.col("old_suspicious"))
+    return (b.withColumn("old_suspicious", F.lit(a).cast("long"))
+            .select("old_suspicious", "new_suspicious",
+                    (F.col("new_suspicious") - F.col("old_suspicious")).alias("delta")))

@@ -45,11 +45,10 @@ def rolling_band(df: DataFrame, date_col: str, value_col: str, window: int = 14,
     cnt = F.count(v).over(w)
     mean = F.when(cnt >= min_periods, F.avg(v).over(w))
     std = F.when(cnt >= min_periods, F.stddev_samp(v).over(w))
-    global_std = ts.agg(F.stddev_samp(value_col).alias("_gstd"))
+    global_std = ts.agg(F.stddev_samp(value_col)).first()[0]  # one scalar
     out = (allrows.withColumn("rolling_mean", mean).withColumn("_rstd", std)
            .filter("_home")
-           .crossJoin(F.broadcast(global_std))  # one-row frame
-           .withColumn("rolling_std", F.coalesce(F.col("_rstd"), F.col("_gstd"))))
+           .withColumn("rolling_std", F.coalesce(F.col("_rstd"), F.lit(global_std).cast("double"))))
     upper = F.col("rolling_mean") + F.lit(k) * F.col("rolling_std")
     lower = F.col("rolling_mean") - F.lit(k) * F.col("rolling_std")
     flag = F.coalesce((v > upper) | (v < lower), F.lit(False))

@@ -51,8 +51,8 @@ def entries(spark, sf, corrections: bool = False):
     s_if, s_lof, s_oc = (d % 100) / 100.0, ((d * 7) % 100) / 100.0, ((d * 13) % 100) / 100.0
     scores = F.create_map(F.lit("isolation_forest"), s_if, F.lit("lof"), s_lof, F.lit("ocsvm"), s_oc,
                           F.lit("ensemble"), (s_if + s_lof + s_oc) / 3.0)
-    base = lab.crossJoin(F.broadcast(n)).select(
-        FB.signature_expr(F.lit("documents.parquet"), F.col("_n"), SIG_COLUMNS).alias("signature"),
+    base = lab.select(
+        FB.signature_expr(F.lit("documents.parquet"), F.lit(n.first()["_n"]), SIG_COLUMNS).alias("signature"),
         F.lit(PRESET).alias("preset"), d.cast("long").alias("row_id"), F.col("toxic").cast("int").alias("label"),
         scores.alias("scores"), F.lit("").alias("note"),
         F.timestamp_seconds(F.lit(1767225600) + d).alias("ts"))
