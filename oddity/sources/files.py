@@ -144,7 +144,7 @@ def read_xml(spark: SparkSession, path: str, row_tag: str = "record", row_id: st
 
 MEMBER_SCHEMA = T.StructType([
     T.StructField("archive", T.StringType()), T.StructField("member", T.StringType()),
-    T.StructField("line", T.LongType()), T.StructField("record", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("line", T.LongType()), T.StructField("values", T.ArrayType(T.StringType())),
     T.StructField("columns", T.ArrayType(T.StringType()))])
 
 
@@ -162,10 +162,10 @@ def _archive_rows(batches):
                     if not _is_data_member(name) or not name.lower().endswith(".csv"):
                         continue
                     table = pd.read_csv(io.BytesIO(zf.read(name)), dtype=str, keep_default_na=False)
-                    cols = list(table.columns)
-                    recs = table.to_dict(orient="records")
-                    yield pd.DataFrame({"archive": path, "member": name, "line": range(len(recs)),
-                                        "record": recs, "columns": [cols] * len(recs)})
+                    cols = [str(c) for c in table.columns]
+                    values = table.to_numpy(dtype=object).tolist()  # one list of texts per row
+                    yield pd.DataFrame({"archive": path, "member": name, "line": range(len(values)),
+                                        "values": values, "columns": [cols] * len(values)})
 
 
 def archive_members(spark: SparkSession, path: str) -> DataFrame:
@@ -198,7 +198,9 @@ def read_archive(spark: SparkSession, path: str, member: str | None = None,
         raise EmptyTableError(f"no CSV rows in archives at {path}")
     cols = list(first["columns"])
     ordered = rows.orderBy("archive", "member", "line")
-    flat = ordered.select(*[F.col("record")[c].alias(c) for c in cols])
+    # a member's value for column c sits at c's position in that member's header
+    flat = ordered.select(*[F.try_element_at("values", F.array_position("columns", F.lit(c)).cast("int")).alias(c)
+                            for c in cols])
     flat = na_to_null(flat)
     df = dense_index(flat, row_id)
     df = df.select(row_id, *cols)
