@@ -91,18 +91,6 @@ def share_table(df: DataFrame, cols: list[str], name: str) -> DataFrame:
                          (F.col("_cnt") / F.lit(total)).alias(name))
 
 
-def attach_share(df: DataFrame, cols: list[str], name: str, source: DataFrame | None = None) -> DataFrame:
-    """Join the value share back, null-safe (a null looks up its own share)."""
-    shares = share_table(source if source is not None else df, cols, name)
-    cond = None
-    for i, c in enumerate(cols):
-        e = df[c].eqNullSafe(shares[f"_k{i}"])
-        cond = e if cond is None else cond & e
-    joined = attach_by_size(df, shares, cond, "left")
-    return joined.drop(*[f"_k{i}" for i in range(len(cols))]) \
-        .withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))
-
-
 def onehot_categories(imputed: DataFrame, columns: list[str], max_onehot: int) -> dict:
     """Sorted categories of each column with at most ``max_onehot`` distinct values.
 
@@ -255,7 +243,8 @@ def _join_share(df: DataFrame, cols: list[str], shares: DataFrame, name: str) ->
     for i, c in enumerate(cols):
         e = df[c].eqNullSafe(shares[f"_k{i}"])
         cond = e if cond is None else cond & e
-    joined = df.join(shares, cond, "left")  # one row per distinct value; AQE picks the strategy
+    # one row per distinct value: broadcast under a checked row bound, else a shuffle join
+    joined = attach_by_size(df, shares, cond, "left")
     return joined.drop(*[f"_k{i}" for i in range(len(cols))]).withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))
 
 
