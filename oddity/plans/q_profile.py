@@ -411,3 +411,24 @@ def column_quality_conversations(spark, sf):
     c = load(spark, sf, "conversations")
     df = c.select((F.col("conv_id") * 100000 + F.col("turn")).alias("row_id"), *CONV_COLS)
     return _quality_out(PF.column_quality(df))
+
+
+# ------------------------------------------------------------------------- T2 with automatic column choice
+def _sql_autopick() -> str:
+    """Report rows for the text columns T2 would pick by itself on the dirty view."""
+    cand = [c for c in DIRTY_TEXT_COLUMNS if not is_id_kind_name(c)]
+    parts = []
+    for c in cand:
+        hint = "true" if name_has_hint(c, K.NUMERIC_NAME_HINTS) else "false"
+        picked = (f"({hint} OR (SELECT count({sql_parse(sql_clean('v'))}) / count(*) FROM (SELECT {c} AS v FROM dirty "
+                  f"WHERE {c} IS NOT NULL ORDER BY o_orderkey LIMIT 500) s) >= 0.85)")
+        x = (f"(SELECT o_orderkey AS rid, {c} AS orig, {sql_parse(sql_clean(c))} AS newv FROM dirty)")
+        parts.append(_SQL_REPORT.format(col=c, x=x.replace("FROM dirty)", "FROM dirty) xx")) + f" HAVING {picked}")
+    return with_ctes(SQL_DIRTY) + "\nUNION ALL ".join(parts)
+
+
+@register("numeric_autopick", _sql_autopick())
+def numeric_autopick(spark, sf):
+    """T2 without a column list: name hint, or >= 85 % of the first 500 values parse; never ID names."""
+    _, rep = KD.coerce_numeric(_dirty(spark, sf), None)
+    return rep

@@ -164,3 +164,12 @@ def test_summary_stats_distributed_quartiles_match_pandas(spark):
             for q, k in (("25%", "q25"), ("50%", "q50"), ("75%", "q75")):
                 assert s.loc[c, k] == pytest.approx(d.loc[q, c])
             assert s.loc[c, "std"] == pytest.approx(d.loc["std", c])
+
+
+def test_numeric_auto_pick(spark):
+    rows = [(i, f"{i},5" if i % 10 else "x", f"word{i}", str(1000 + i), "abc", f"{i}.{i % 7}")
+            for i in range(60)]
+    df = frame(spark, rows, "measure string, label string, acct_no string, tutar string, ratio_txt string")
+    # measure: "12,5" is a Turkish decimal (-> 12.5), 54 of 60 parse = 90 % >= 85 % -> picked;
+    # label: no value parses; acct_no: ID-like name, never picked; tutar: name hint; ratio_txt: all parse
+    assert KD.auto_numeric_columns(df) == ["measure", "tutar", "ratio_txt"]
