@@ -92,3 +92,10 @@ def test_entry_and_registry_contract(spark):
     assert set(sql) <= set(q)
     assert {"isolation_forest", "ocsvm", "semi_supervised"} <= set(q) - set(sql)
     assert len(q) >= 75
+
+
+def test_checkpoints_go_to_the_configured_folder(spark):
+    from oddity.session import ensure_checkpoint_dir
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    used = ensure_checkpoint_dir(spark)
+    assert configured and configured.rstrip("/").split(":")[-1] in used
