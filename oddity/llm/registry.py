@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import block_mixing, external_shuffle, quality_divergence
+from . import block_mixing, external_shuffle, length_histogram, quality_divergence, url_templates
 
-MODULES = (quality_divergence, block_mixing, external_shuffle)
+MODULES = (quality_divergence, block_mixing, external_shuffle, length_histogram, url_templates)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in getattr(m, "SQL", {}).items()}
