@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from . import block_mixing, external_shuffle, hyperminhash_dedup, length_histogram, qgram_decontamination, quality_divergence, url_templates
+from . import (
+    block_mixing,
+    external_shuffle,
+    hyperminhash_dedup,
+    language_mixture,
+    length_histogram,
+    qgram_decontamination,
+    quality_divergence,
+    toxicity_automata,
+    url_templates,
+    warc_source,
+)
 
 MODULES = (quality_divergence, block_mixing, external_shuffle, length_histogram, url_templates, qgram_decontamination,
-           hyperminhash_dedup)
+           hyperminhash_dedup, language_mixture, toxicity_automata, warc_source)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in getattr(m, "SQL", {}).items()}
