@@ -37,8 +37,10 @@ MARKS = "".join(chr(c) for c in range(ord("0"), ord("0") + len(CELLS)))
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
 #: Guards: shorter documents are not judged by that histogram.
 GUARD_CHARS, GUARD_WORDS = 200, 50
-#: Largest Jensen-Shannon distances of a kept document.
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.6
+#: Largest Jensen-Shannon distances of a long document. A histogram of n draws is off by chance, which adds
+#: a part in proportion to 1/n to the squared distance: so many characters and words over n.
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.2, 0.235
+CHARS_NOISE, WORDS_NOISE = 13.0, 2.6
 
 
 def repeated_words(ws: Column, window: int = WINDOW) -> Column:
@@ -159,6 +161,11 @@ def references(measured: DataFrame, name: str, lang: str = "lang") -> dict[str,
     return {r["l"]: {"classes": list(r["classes"]), "words": list(r["words"])} for r in sorted(rows, key=lambda r: r["l"])}
 
 
+def below(distance: Column, most: float, noise: float, n: Column) -> Column:
+    """Whether a distance is within its limit for n draws; true without a distance."""
+    return F.coalesce(distance * distance <= most * most + noise / n, F.lit(True))
+
+
 def verdict(m: Column, refs: dict[str, dict[str, list[int]]]) -> Column:
     """Struct of base metrics, distances to the nearest language and verdict."""
     def near(part: str, enough: Column) -> Column:
@@ -172,8 +179,8 @@ def verdict(m: Column, refs: dict[str, dict[str, list[int]]]) -> Column:
         m["n_dup_lines"].alias("n_dup_lines"), m["n_repeat_words"].alias("n_repeat_words"),
         base_failed(m).alias("base_failed"), x["class_distance"].alias("class_distance"),
         x["word_distance"].alias("word_distance"),
-        (~base_failed(m) & (F.coalesce(x["class_distance"], F.lit(0.0)) <= MAX_CLASS_DISTANCE)
-         & (F.coalesce(x["word_distance"], F.lit(0.0)) <= MAX_WORD_DISTANCE)).alias("kept")))
+        (~base_failed(m) & below(x["class_distance"], MAX_CLASS_DISTANCE, CHARS_NOISE, m["word_chars"] + m["classes"][7])
+         & below(x["word_distance"], MAX_WORD_DISTANCE, WORDS_NOISE, m["n_words"])).alias("kept")))
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> tuple[DataFrame, str]:
