@@ -13,9 +13,11 @@ differing shingle changes one band at most, and two classes at the threshold dif
 d = n (100 - percent) / percent shingles, so by the prefix-filter lemma they meet in one of the
 d + 1 rarest bands of each; a class drops its more frequent ones.
 
-Groups never become all their pairs. In each round every bucket compares its members with a few
-leaders, which then leave the bucket; a bucket is done when its members are all in one component
-or all compared. Links are joined to components in the cluster.
+Groups never become all their pairs. Each band compares its members with a central one, and links are
+joined to components in the cluster. Where members of a band are left in several components, they are
+compared with a second central one for their exact differences from it. Two of them that are not both
+linked with it can only be linked if they share differences, so a join on the rarest differences finds
+every pair still possible (:func:`alike`), and these are confirmed on full sets.
 
 Only what is compared needs full sets: these are computed again from the texts of one document a
 class. Digests, links and labels are written to the shared folder, which cuts lineage.
@@ -42,8 +44,6 @@ from .components import connected
 #: Words in a shingle, and least similarity in percent, where no contract says otherwise.
 WORDS, PERCENT = 5, 80
 REGISTERS, MANTISSA, MISS, ERRORS = 128, 10, 1e-6, 5.0
-#: Leaders of a bucket: one in the first round, then eight times as many each round up to this.
-MOST_LEADERS = 32
 SLICE = 256
 _EMPTY = 0xFFFF
 _BASE = 0x5851F42D4C957F2D
@@ -228,32 +228,100 @@ def full_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFram
     return d.mapInArrow(run, "cls binary, set binary").dropDuplicates(["cls"])
 
 
-def compare_rounds(docs: DataFrame, key: str, text: str, words: int, percent: int, classes: DataFrame) -> DataFrame | None:
+def star(live: DataFrame) -> DataFrame:
+    """(band, leader): for each band the member that is in most live bands, so the one nearest to the others."""
+    central = live.groupBy("node").agg(F.count(F.lit(1)).alias("bands"))
+    best = F.max(F.struct("bands", hash_part(1, F.col("node")).alias("h"), F.col("node").alias("x")))
+    return live.join(central, "node").groupBy("band").agg(best.alias("l")).select("band", F.col("l.x").alias("leader"))
+
+
+def link_classes(docs: DataFrame, key: str, text: str, words: int, percent: int, classes: DataFrame) -> DataFrame | None:
     """(node, label) of the classes linked with others; None if there are none."""
     live = stored(shared_bands(classes, percent), "bands")
-    labels = tested = None
-    leaders = 1
-    while not live.isEmpty():
-        pick = [F.min(F.struct(hash_part(k, F.col("node")).alias("h"), F.col("node").alias("x"))).alias(f"l{k}") for k in range(leaders)]
-        chosen = stored(live.groupBy("band").agg(*pick).select(
-            "band", F.explode(F.array_distinct(F.array(*[F.col(f"l{k}")["x"] for k in range(leaders)]))).alias("leader")), "bands")
-        pairs = live.join(chosen, "band").where(F.col("node") != F.col("leader"))
-        if labels is not None:
-            pairs = labelled(labelled(pairs, labels, "node"), labels, "leader").where(F.col("of_node") != F.col("of_leader"))
-        pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        labels = merged(labels, compared(docs, key, text, words, percent, classes, pairs))
-        live = live.join(chosen.withColumnRenamed("leader", "node"), ["band", "node"], "left_anti")
-        if labels is not None:
-            name = labelled(live, labels, "node")
-            spread = name.groupBy("band").agg(F.min("of_node").alias("lo"), F.max("of_node").alias("hi"))
-            live = live.join(spread.where(F.col("lo") != F.col("hi")).select("band"), "band")
-        live = stored(several(live), "bands")
-        leaders = min(8 * leaders, MOST_LEADERS)
-    return labels
+    # first each band's members are compared with one of them
+    chosen = stored(star(live), "bands")
+    pairs = live.join(chosen, "band").where(F.col("node") != F.col("leader"))
+    pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    labels = merged(None, compared(docs, key, text, words, percent, classes, pairs))
+    # then, in bands whose members are not all linked, with another, now for their exact differences from it
+    live = live.join(chosen.withColumnRenamed("leader", "node"), ["band", "node"], "left_anti")
+    if labels is not None:
+        name = labelled(live, labels, "node")
+        spread = name.groupBy("band").agg(F.min("of_node").alias("lo"), F.max("of_node").alias("hi"))
+        live = live.join(spread.where(F.col("lo") != F.col("hi")).select("band"), "band")
+    live = stored(several(live), "bands")
+    if live.isEmpty():
+        return labels
+    pairs = live.join(star(live), "band").where(F.col("node") != F.col("leader")).select("leader", "node").distinct()
+    pairs = stored(pairs, "pairs")
+    nodes = pairs.select(F.col("leader").alias("cls")).union(pairs.select("node")).distinct()
+    sets = stored(full_sets(docs, key, text, words, classes.select("cls", "key").join(nodes, "cls")), "sets")
+    spokes = stored(differences(pairs, sets, percent), "spokes")
+    labels = merged(labels, spokes.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    # and with each other only if they differ from it in the same way
+    pairs = alike(spokes, percent)
+    if labels is not None:
+        pairs = labelled(labelled(pairs, labels, "a"), labels, "b").where(F.col("of_a") != F.col("of_b")).select("a", "b")
+    close = stored(likely(pairs, classes, percent), "pairs")
+    return merged(labels, stored(verified(close, sets, percent), "links"))
+
+
+def differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(leader, node, linked, n, prefix, tokens) of the pairs (leader, node); n is the size of the node's set.
+
+    A token names a shingle that only one of the two has, and which of them. ``prefix`` is how many
+    of its tokens, rarest first, a node needs so as to meet every node that it could be linked with
+    (see :func:`alike`).
+    """
+    side = lambda s: sets.select(F.col("cls").alias(s), F.col("set").alias(f"s_{s}"))
+    both = pairs.join(side("leader"), "leader").join(side("node"), "node").select("leader", "node", "s_leader", "s_node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                p = batch.slice(at, SLICE)
+                rows = []
+                for x, y in zip(p.column(2).to_pylist(), p.column(3).to_pylist(), strict=True):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    gone, new = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                    d, n = len(gone) + len(new), len(x) + len(y)
+                    linked = 100 * (len(x) - len(gone)) >= percent * (len(y) + len(gone))
+                    need = -(-d * percent // (100 + percent)) if linked else -(-(d * (100 + percent) - n * (100 - percent)) // (2 * (100 + percent)))
+                    tokens = np.concatenate([mixed(gone), mixed(new ^ np.uint64(0xA5A5A5A5A5A5A5A5))]).view(np.int64)
+                    rows.append((linked, len(y), d - max(1, need) + 1, tokens.tolist()))
+                linked, size, prefix, tokens = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [p.column(0), p.column(1), pa.array(linked), pa.array(size, pa.int64()), pa.array(prefix, pa.int64()),
+                     pa.array(tokens, pa.list_(pa.int64()))], names=["leader", "node", "linked", "n", "prefix", "tokens"])
+
+    return both.mapInArrow(run, "leader binary, node binary, linked boolean, n long, prefix long, tokens array<long>")
+
+
+def alike(spokes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of nodes of a leader that could be linked though not both are linked with it.
+
+    Let d(x) be the number of shingles in which x and its leader differ, n(x) the size of its set, and
+    c = (100 - percent) / (100 + percent). Two nodes x and y differ in d(x) + d(y) - 2 s shingles, where
+    s is the number of tokens they share, and are linked if that is at most c (n(x) + n(y)). If x is
+    not linked with the leader, d(x) is above c (n(x) + n(leader)); as d(y) is at least the difference
+    of n(y) and n(leader), s must be at least (d(x) - c (n(x) + n(leader))) / 2, and at least
+    d(y) (1 - c) / 2, so never 0. By the prefix-filter lemma such nodes share one of the d - s + 1
+    tokens of each that are rarest among the leader's nodes; and from the first token that they
+    share on, either must have s tokens left.
+    """
+    tokens = spokes.select("leader", "node", "linked", "n", "prefix", F.size("tokens").alias("d"), F.explode("tokens").alias("token"))
+    found = tokens.groupBy("leader", "token").agg(F.count(F.lit(1)).alias("m"), F.bool_and("linked").alias("settled"))
+    of_node = Window.partitionBy("leader", "node").orderBy("m", "token")
+    rare = (tokens.join(found, ["leader", "token"]).withColumn("rest", F.col("d") - F.row_number().over(of_node) + 1)
+            .where((F.col("d") - F.col("rest") < F.col("prefix")) & (F.col("m") > 1) & ~F.col("settled"))
+            .select("leader", "token", "node", "linked", "n", "d", "rest"))
+    rare = stored(rare, "tokens")
+    x, y = rare.where(~F.col("linked")).alias("x"), rare.alias("y")
+    most = F.least("x.rest", "y.rest")  # if this is the first token that they share
+    need = (100 + percent) * (F.col("x.d") + F.col("y.d")) - (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    return (x.join(y, (F.col("x.leader") == F.col("y.leader")) & (F.col("x.token") == F.col("y.token"))
+                   & (F.col("y.linked") | (F.col("x.node") < F.col("y.node"))) & (2 * (100 + percent) * most >= need))
+            .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
 
 
 def labelled(rows: DataFrame, labels: DataFrame, node: str) -> DataFrame:
@@ -291,7 +359,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     full = d.where(F.col("n") > 0)
     classes = stored(full.groupBy("cls").agg(F.min("key").alias("key"), F.first("n").alias("n"),
                                              F.first("registers").alias("registers")), "classes")
-    labels = compare_rounds(docs, key, text, words, percent, classes)
+    labels = link_classes(docs, key, text, words, percent, classes)
     named = classes.select("cls", F.col("key").alias("least"))
     if labels is not None:
         named = named.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
