@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import col, hash_part, stored, table
 
-SAMPLE, TERMS, LEAST_DOCS, LEAST_WEIGHT, SHORTEST, PREFIXES = 20_000, 2_000, 8, 2.5, 4, (4, 5, 6)
+SAMPLE, TERMS, LEAST_DOCS, LEAST_SHARE, LEAST_WEIGHT, SHORTEST, PREFIXES = 20_000, 2_000, 8, 0.03, 2.5, 4, (4, 5, 6)
 WINDOW, SLICE, STATES, WORDS_KEPT = 5, 256, 100_000, 300_000
 _EDGE = ".,;:!?\"'()[]{}<>«»“”„‘’…-–—*_~`|/\\"
 _QUOTES = frozenset("\"“”„«»")
@@ -186,6 +186,18 @@ class Scorer:
         return f
 
 
+_SCORERS: dict[int, Scorer] = {}
+
+
+def scorer(terms: dict[str, float]) -> Scorer:
+    """The scorer of a lexicon, built once a worker, as its states and known words serve all tasks."""
+    name = hash(tuple(terms.items()))
+    if name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[name] = Scorer(terms)
+    return _SCORERS[name]
+
+
 def term_counts(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
     """(term, docs) over rows (text): documents with each word or beginning of words, of those in ``only`` if given."""
     shared = rows.sparkSession.sparkContext.broadcast(only)
@@ -216,7 +228,8 @@ def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_c
     def weight(t: str) -> float:
         return math.log((toxic[t] + 0.5) / (n_toxic + 1)) - math.log((clean.get(t, 0) + 0.5) / (n_clean + 1))
 
-    pure = {t: weight(t) for t in toxic if toxic[t] >= LEAST_DOCS and weight(t) >= LEAST_WEIGHT}
+    least = max(LEAST_DOCS, LEAST_SHARE * n_toxic)  # a word that only copies of a few texts have is no term
+    pure = {t: weight(t) for t in toxic if toxic[t] >= least and weight(t) >= LEAST_WEIGHT}
     best: dict[str, int] = {}
     for t in pure:
         if not t.endswith("*"):
@@ -256,7 +269,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """The lexicon and the regression's coefficients."""
     chosen = stored(sample(labels, key, label, rows), "labels")
     d = docs.select(col(key).alias("key"), col(text).cast("string").alias("text"))
-    d = stored(d.join(F.broadcast(chosen), "key").select("text", "y"), "labelled")
+    d = d.join(F.broadcast(chosen), "key").withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "y"])  # copies say no more
+    d = stored(d.select("text", "y"), "labelled")
     n = {r["y"]: r["n"] for r in d.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         share = n.get(1, 0) / max(1, sum(n.values()))
@@ -275,11 +289,11 @@ def features(docs: DataFrame, terms: dict[str, float], keep: tuple[str, ...], te
     shared = d.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        features_of = scorer(shared.value).features
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 p = batch.slice(at, SLICE)
-                f = [scorer.features(t) for t in p.column(len(keep)).to_pylist()]
+                f = [features_of(t) for t in p.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*p.columns[:-1], pa.array(f, pa.list_(pa.float64()))],
                                                  names=[*p.schema.names[:-1], "features"])
 
