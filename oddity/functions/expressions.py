@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import constants as K
 
@@ -16,6 +17,14 @@ NUMBER_TEXT_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 INF_WORDS = ("inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN counts as missing: one projection over the floating-point columns."""
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    if not floats:
+        return df
+    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in floats else F.col(c) for c in df.columns])
+
+
 def clean_numeric_text(c: Column) -> Column:
     """Strip whitespace/newlines, currency marks, and rewrite 1.234,56 as 1234.56."""
     s = c.cast("string")

@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from .order import attach_by_size, prefix_sum
+from .order import known_scores, prefix_sum
 
 
 def grouped_distribution(scores: DataFrame, group: str = "model_key", score: str = "score") -> DataFrame:
-    """(group, score, cnt, before, n): ``before`` rows of the group have a smaller score."""
-    counts = scores.groupBy(group, score).agg(F.count(F.lit(1)).alias("cnt"))
+    """(group, score, cnt, before, n): ``before`` rows of the group have a smaller score; missing scores are left out."""
+    counts = known_scores(scores, score).groupBy(group, score).agg(F.count(F.lit(1)).alias("cnt"))
     cum = prefix_sum(counts, [group, score], "cnt", "_before_all")
     start = cum.groupBy(group).agg(F.min("_before_all").alias("_start"), F.sum("cnt").alias("n"))
     return (cum.join(F.broadcast(start), group)  # one row per group
@@ -43,10 +43,10 @@ def grouped_quantile(dist: DataFrame, p: float, group: str = "model_key", score:
 
 def percentile_ranks(scores: DataFrame, group: str = "model_key", score: str = "score",
                      row_id: str = "row_id", dist: DataFrame | None = None) -> DataFrame:
-    """M7 per group: (row_id, group, score, pct) with pct = average rank / n."""
+    """M7 per group: (row_id, group, score, pct) with pct = average rank / n; null for a missing score."""
     dist = dist if dist is not None else grouped_distribution(scores, group, score)
     pct = dist.select(group, score, ((F.col("before") + (F.col("cnt") + 1) / 2.0) / F.col("n")).alias("pct"))
-    return attach_by_size(scores, pct, [group, score], "inner")
+    return scores.join(pct, [group, score], "left")
 
 
 def ensemble(scores: DataFrame, contamination: float = 0.05, weights: dict | None = None,
@@ -62,13 +62,15 @@ def ensemble(scores: DataFrame, contamination: float = 0.05, weights: dict | Non
     wt = spark.createDataFrame([(k, float(v)) for k, v in (weights or {}).items()] or [("", 1.0)],
                                "model_key string, weight double")
     ranked = (percentile_ranks(scores, dist=dist)
-              .join(F.broadcast(thr), "model_key")  # one row per model
+              .join(F.broadcast(thr), "model_key", "left")  # one row per model
               .join(F.broadcast(wt), "model_key", "left")
               .withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-              .withColumn("top", F.col("score") >= F.col("threshold")))
+              .withColumn("top", F.coalesce((F.col("score") >= F.col("threshold")) & ~F.isnan("score"), F.lit(False))))
     models = [r[0] for r in scores.select("model_key").distinct().collect()]  # at most a few keys
     models = sorted(models, key=lambda m: (K.MODEL_KEYS.index(m) if m in K.MODEL_KEYS else 99, m))
-    agg = [(F.sum(F.col("weight") * F.col("pct")) / F.sum("weight")).alias("ensemble_score"),
+    # a row that a model gives no score has no ensemble score, as a sum with a missing rank has none
+    agg = [F.when(F.count("pct") == F.count(F.lit(1)), F.sum(F.col("weight") * F.col("pct")) / F.sum("weight"))
+           .alias("ensemble_score"),
            F.bool_or("top").alias("any_top")]
     for m in models:
         agg.append(F.max(F.when(F.col("model_key") == m, F.col("pct"))).alias(f"pct_{m}"))
@@ -84,5 +86,6 @@ def model_thresholds(scores: DataFrame, contamination: float) -> DataFrame:
 def quantile_label_frame(scores: DataFrame, contamination: float, row_id: str = "row_id") -> DataFrame:
     """M4 per model: (row_id, model_key, score, label)."""
     thr = model_thresholds(scores, contamination)
-    return (scores.join(F.broadcast(thr), "model_key")
-            .withColumn("label", (F.col("score") >= F.col("threshold")).cast("int")).drop("threshold"))
+    return (scores.join(F.broadcast(thr), "model_key", "left")
+            .withColumn("label", F.coalesce((F.col("score") >= F.col("threshold")) & ~F.isnan("score"), F.lit(False))
+                        .cast("int")).drop("threshold"))

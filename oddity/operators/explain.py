@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.expressions import nan_to_null
 from .features import medians
 from .profile import is_numeric_type
 
@@ -27,6 +28,7 @@ REASON_SCHEMA = "row_id long, kind string, column string, message string, score
 def _numeric_stats(df: DataFrame, cols: list[str]) -> dict:
     if not cols:
         return {}
+    df = nan_to_null(df.select(*cols))
     med = medians(df, cols)
     row = df.agg(*[F.stddev_samp(F.col(c).cast("double")).alias(c) for c in cols]).first()
     return {c: (med[c], row[c]) for c in cols}

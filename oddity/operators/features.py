@@ -3,8 +3,8 @@ combination frequencies, rule features, merge and standard scaling.
 
 Two passes over the data: one aggregate pass for statistics (medians, modes,
 category lists, frequencies, means and population std), then one projection.
-Frequency lookups are joins on small per-column frequency tables; those tables
-are broadcast only under a checked row bound.
+Frequency lookups are joins on per-column frequency tables, whose strategy the
+planner chooses by size.
 """
 
 from __future__ import annotations
@@ -16,12 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as K
-from ..functions.expressions import contains_any_token
-from .order import attach_by_size, exact_quantile
+from ..functions.expressions import contains_any_token, nan_to_null
+from .ensemble import grouped_distribution, grouped_quantile
 from .profile import is_numeric_type
 
 UNKNOWN = "UNKNOWN"
-IN_MEMORY_QUANTILE_ROWS = 5_000_000
 
 
 def _is_feature_numeric(dt) -> bool:
@@ -37,25 +36,30 @@ def split_selected(df: DataFrame, selected: list[str]):
     return numeric, categorical, dropped
 
 
+def long_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value) of the numeric columns, as double."""
+    return (df.select(*[F.col(c).cast("double").alias(c) for c in columns]).withColumn("_k", F.lit(0))
+            .unpivot(["_k"], columns, "column", "value").select("column", "value"))
+
+
 def medians(df: DataFrame, columns: list[str]) -> dict:
-    """F1 statistics: exact (linear-interpolated) median per column."""
+    """F1 statistics: exact (linear-interpolated) median per column; None when all missing."""
     if not columns:
         return {}
-    n = df.count()
-    if n <= IN_MEMORY_QUANTILE_ROWS:
-        # Spark's exact percentile keeps a value -> count map per column: fine at this size
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in columns]).first()
-        return row.asDict()
-    return {c: exact_quantile(df.select(F.col(c).cast("double").alias(c)).dropna(), c, 0.5)
-            for c in columns}
+    dist = grouped_distribution(long_numbers(df, columns), "column", "value")
+    found = {r["column"]: r["median"] for r in grouped_quantile(dist, 0.5, "column", "value", "median").collect()}
+    return {c: found.get(c) for c in columns}  # one row per column
 
 
 def modes(df: DataFrame, columns: list[str]) -> dict:
     """F2 statistics: most frequent value, smallest on a tie; None when all null."""
     if not columns:
         return {}
-    row = df.agg(*[F.mode(F.col(c), True).alias(c) for c in columns]).first()
-    return row.asDict()
+    counts = (df.select(*columns).withColumn("_k", F.lit(0)).unpivot(["_k"], columns, "column", "value")
+              .filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+    best = counts.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("b"))
+    found = {r["column"]: r["b"]["value"] for r in best.collect()}  # one row per column
+    return {c: found.get(c) for c in columns}
 
 
 def impute_fills(df: DataFrame, numeric: list[str], categorical: list[str]) -> dict:
@@ -71,7 +75,7 @@ def apply_fills(df: DataFrame, fills: dict, numeric: list[str], categorical: lis
     """F1 + F2 in one projection with frozen fill values (``carry``: further columns to keep)."""
     out = [F.col(row_id), *(carry or [])]
     for c in numeric:
-        x = F.col(c).cast("double")
+        x = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
         out.append((F.coalesce(x, F.lit(fills[c])) if fills.get(c) is not None else x).alias(c))
     for c in categorical:
         out.append(F.coalesce(F.col(c), F.lit(fills[c])).alias(c))
@@ -129,6 +133,7 @@ class FeatureSpec:
 
 def rule_features(df: DataFrame, selected: list[str]) -> list[tuple[str, Column]]:
     """F7-F9 as 0/1 columns (numeric: negative / zero / extreme; text: name and branch rules)."""
+    df = nan_to_null(df)
     types = {f.name: f.dataType for f in df.schema.fields}
     num_cols = [c for c in selected if is_numeric_type(types[c])]
     stats = {}
@@ -175,6 +180,7 @@ def build_features(df: DataFrame, selected: list[str], max_onehot: int = 15,
     names the first wins (F10). Scaling uses the population standard deviation
     and leaves zero-variance features centred only (F11).
     """
+    df = nan_to_null(df)
     numeric, categorical, dropped = split_selected(df, selected)
     fills = impute_fills(df, numeric, categorical)
     # F5 / F6 read the original (not imputed) values; they, the rule features and the
@@ -243,8 +249,7 @@ def _join_share(df: DataFrame, cols: list[str], shares: DataFrame, name: str) ->
     for i, c in enumerate(cols):
         e = df[c].eqNullSafe(shares[f"_k{i}"])
         cond = e if cond is None else cond & e
-    # one row per distinct value: broadcast under a checked row bound, else a shuffle join
-    joined = attach_by_size(df, shares, cond, "left")
+    joined = df.join(shares, cond, "left")
     return joined.drop(*[f"_k{i}" for i in range(len(cols))]).withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))
 
 
@@ -270,6 +275,7 @@ def standard_scale(features: DataFrame, spec: FeatureSpec, row_id: str = "row_id
     names = spec.names
     if not names:
         return features, spec
+    features = nan_to_null(features)
     row = features.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)],
                        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(names)]).first()
     spec.means = {c: row[f"m{i}"] for i, c in enumerate(names)}

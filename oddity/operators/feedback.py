@@ -69,9 +69,9 @@ def derived_weights(stats: DataFrame, preset: str, base_weights: dict | None = N
 
 
 def latest_labels(feedback: DataFrame, signature: str | None = None) -> DataFrame:
-    """The last label stored for each row (by timestamp)."""
+    """The last label stored for each row (by timestamp; of equal ones the larger label)."""
     fb = feedback if signature is None else feedback.filter(F.col("signature") == signature)
-    return fb.groupBy("signature", "row_id").agg(F.max_by("label", "ts").alias("label"))
+    return fb.groupBy("signature", "row_id").agg(F.max_by("label", F.struct("ts", "label")).alias("label"))
 
 
 def totals(labels: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,35 +90,37 @@ NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, rig
                "leaf_value double")
 
 
-def fit_isolation_forest(features: DataFrame, names: list[str], n_trees: int = 100,
-                         max_samples: int = 256, seed: int = 42, row_id: str = "row_id") -> dict:
-    """Grow the forest; returns flat node arrays (bounded by n_trees x (2 psi - 1))."""
-    n = features.count()
-    psi = int(min(max_samples, n))
-    # One hash per row picks a uniform candidate set of about psi * trees / 2 rows; each
-    # tree then takes the psi candidates with the smallest (row, tree) hash, which is a
-    # uniform sample without replacement. Only the candidates are expanded per tree.
-    p_keep = min(1.0, psi * n_trees / 2.0 / max(n, 1))
-    # per tree, only candidates whose (row, tree) hash is small enough to be among the
-    # psi smallest with near certainty (~4 psi expected) go through the per-tree sort
-    p_tree = min(1.0, 4.0 * psi / max(p_keep * n, 1.0))
-
-    def sample(p, q):
-        base = features.select(row_id, *names)
-        if p < 1.0:
-            base = base.filter(_uniform_hash([F.col(row_id)], seed + 1) < p)
-        tagged = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-        tagged = tagged.withColumn("_h", _uniform_hash([F.col(row_id), F.col("tree")], seed))
+def forest_samples(features: DataFrame, names: list[str], n_trees: int, psi: int, seed: int,
+                   row_id: str = "row_id", n: int | None = None) -> DataFrame:
+    """(row_id, features, tree): ``psi`` rows drawn without replacement for every tree."""
+    n = features.count() if n is None else n
+    # Every tree samples on its own: it takes the psi rows with the smallest (row, tree) hash.
+    # A row is expanded only for the trees whose hash is small enough to be among them
+    # (about 4 psi rows per tree), so the sort of a tree is short at any table size.
+    def sample(q):
+        trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
         if q < 1.0:
-            tagged = tagged.filter(F.col("_h") < q)
+            trees = F.filter(trees, lambda t: _uniform_hash([F.col(row_id), t], seed) < q)
+        tagged = features.select(row_id, *names).withColumn("tree", F.explode(trees))
+        tagged = tagged.withColumn("_h", _uniform_hash([F.col(row_id), F.col("tree")], seed))
         w = Window.partitionBy("tree").orderBy("_h", row_id)
         return tagged.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= psi).drop("_r", "_h")
 
-    samples = sample(p_keep, p_tree)
-    if p_keep < 1.0 or p_tree < 1.0:
+    q = min(1.0, 4.0 * psi / max(n, 1))
+    samples = sample(q)
+    if q < 1.0:
         short = samples.groupBy("tree").count().filter(F.col("count") < psi).limit(1).count()
         if short:  # an unlucky draw left a tree short: take every row as a candidate (exact)
-            samples = sample(1.0, 1.0)
+            samples = sample(1.0)
+    return samples
+
+
+def fit_isolation_forest(features: DataFrame, names: list[str], n_trees: int = 100,
+                         max_samples: int = 256, seed: int = 42, row_id: str = "row_id") -> dict:
+    """Grow the forest; returns flat node arrays (bounded by n_trees x (2 psi - 1))."""
+    n = features.count()
+    psi = int(min(max_samples, n))
+    samples = forest_samples(features, names, n_trees, psi, seed, row_id, n)
     nodes = samples.groupBy("tree").applyInPandas(_grow_tree_fn(names, psi, seed), NODE_SCHEMA)
     pdf = nodes.toPandas().sort_values(["tree", "node"]).reset_index(drop=True)
     offsets = pdf.groupby("tree").cumcount().to_numpy()
@@ -309,25 +311,18 @@ def _weighted_neighbours(cand: DataFrame, own_pts: DataFrame, k: int) -> DataFra
 
 
 # --------------------------------------------------------------------------- M3
-def _rff_fn(names, W, b, scale):
-    def transform(X):
-        return scale * np.cos(X @ W + b)
-    return transform
-
-
 def ocsvm(features: DataFrame, names: list[str], nu: float = 0.05, n_components: int = 256,
-          rounds: int = 6, epochs: int = 3, batch_rows: int = 2048, seed: int = 42, row_id: str = "row_id",
-          tol: float = 1e-3) -> DataFrame:
+          rounds: int = 30, seed: int = 42, row_id: str = "row_id", tol: float = 1e-10) -> DataFrame:
     """M3: one-class SVM with an RBF kernel, gamma = 1 / (d Var(X)); (row_id, score = rho - w.z).
 
-    Random Fourier features (Rahimi and Recht 2007) make the model linear; the
-    nu objective (Schoelkopf et al. 2001) is minimised by mini-batch sub-gradient
-    steps (step 1/t, as for a strongly convex objective) inside each task, with the
-    task results averaged between rounds (iterative parameter mixing). rho is finally
-    set to the nu-quantile of the margins, as the dual solution satisfies.
+    Random Fourier features (Rahimi and Recht 2007) make the model linear. The nu
+    objective (Schoelkopf et al. 2001) with its hinge rounded over a narrow band is
+    minimised by Newton steps on all rows: each pass adds up loss, gradient and Hessian
+    per task over Arrow batches and merges them as a tree, so the result depends neither
+    on the partitioning nor on a task holding its rows. rho is finally the exact
+    nu-quantile of the margins, as the dual solution satisfies.
     """
-    d = len(names)
-    spark = features.sparkSession
+    d, spark = len(names), features.sparkSession
     # Var(X) over all entries = E[x^2] - E[x]^2 pooled across columns
     agg = features.agg(*[F.avg(F.col(c)).alias(f"m{i}") for i, c in enumerate(names)],
                        *[F.avg(F.col(c) * F.col(c)).alias(f"q{i}") for i, c in enumerate(names)],
@@ -341,116 +336,80 @@ def ocsvm(features: DataFrame, names: list[str], nu: float = 0.05, n_components:
     W = rng.normal(scale=math.sqrt(2.0 * gamma), size=(d, n_components))
     bias = rng.uniform(0, 2 * math.pi, size=n_components)
     scale = math.sqrt(2.0 / n_components)
-    data = features.select(row_id, *names).persist()
+    data = features.select(row_id, *[F.col(c).cast("double").alias(c) for c in names]).persist()
     params = spark.sparkContext.broadcast((W, bias, scale))
-    w = np.zeros(n_components)
-    rho = 0.0
-    # mean embedding as the starting point (the nu -> 1 solution)
-    stats = _rff_pass(data, names, params, w, rho, n_components)
-    w = stats["sum_z"] / n
-    rho = _quantile_from_hist(_rff_pass(data, names, params, w, rho, n_components), nu)
-    # Iterative parameter mixing: each task runs mini-batch sub-gradient epochs on its
-    # own rows, the driver averages the per-task (w, rho) weighted by row counts. A
-    # round reads the data once; a handful of rounds replaces dozens of full passes.
-    steps = 0
-    for r in range(rounds):
-        w_prev = w
-        w, rho, steps = _mixing_round(data, names, params, w, rho, nu, epochs, batch_rows, steps, seed + r)
-        if np.linalg.norm(w - w_prev) <= tol * max(np.linalg.norm(w_prev), 1e-12):
-            break
-    stats = _rff_pass(data, names, params, w, rho, n_components)
-    rho = _quantile_from_hist(stats, nu)
-    bw = spark.sparkContext.broadcast(w)
-
-    @F.pandas_udf(T.DoubleType())
-    def score(*cols: pd.Series) -> pd.Series:
-        Wm, bb, sc = params.value
-        X = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-        return pd.Series(rho - (sc * np.cos(X @ Wm + bb)) @ bw.value)
 
-    out = data.select(row_id, score(*[F.col(c) for c in names]).alias("score"))
-    return out
+    def margins(w):
+        bw = spark.sparkContext.broadcast(w)
 
+        @F.pandas_udf(T.DoubleType())
+        def margin(*cols: pd.Series) -> pd.Series:
+            Wm, bb, sc = params.value
+            X = np.column_stack([c.to_numpy(dtype=float) for c in cols])
+            return pd.Series((sc * np.cos(X @ Wm + bb)) @ bw.value)
 
-def _mixing_round(data: DataFrame, names, params, w0, rho0, nu, epochs, batch_rows, steps0, seed):
-    """One round: local mini-batch epochs per task, then the row-weighted average of (w, rho).
+        return data.select(row_id, margin(*[F.col(c) for c in names]).alias("margin"))
 
-    A task holds its partition's feature rows (not the random features) in memory,
-    i.e. at most one input partition of ``len(names)`` doubles per row.
-    """
-    schema = T.StructType([T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("rho", T.DoubleType()),
-                           T.StructField("n", T.LongType()), T.StructField("steps", T.LongType())])
-    w_init = np.asarray(w0, dtype=float)
+    # the mean embedding (the nu -> 1 solution) is the starting point
+    w = _row_sums(data, names, params, lambda Z: Z.sum(axis=0)) / n
+    spread = margins(w).agg(F.stddev_pop("margin")).first()[0] or 1.0
+    x = np.append(w, exact_quantile(margins(w), "margin", nu))
+    for band in (0.3 * spread, 0.1 * spread, 0.03 * spread):
+        x = _newton(data, names, params, x, nu, n, band, rounds, tol)
+    w = x[:-1]
+    found = margins(w)
+    rho = exact_quantile(found, "margin", nu)
+    return found.select(row_id, (F.lit(rho) - F.col("margin")).alias("score"))
 
-    def part(batches):
-        Wm, bb, sc = params.value
-        frames = [pdf[names].to_numpy(dtype=float) for pdf in batches]
-        X = np.concatenate(frames) if frames else np.zeros((0, len(names)))
-        if len(X) == 0:
-            return
-        rng = np.random.default_rng(seed * 7919 + TaskContext.get().partitionId())
-        w, rho, t = w_init.copy(), float(rho0), steps0
-        for _ in range(epochs):
-            order = rng.permutation(len(X))
-            for s in range(0, len(X), batch_rows):
-                Z = sc * np.cos(X[order[s:s + batch_rows]] @ Wm + bb)
-                viol = (Z @ w) < rho
-                lr = 1.0 / (t + 2)
-                w = w - lr * (w - Z[viol].sum(axis=0) / (nu * len(Z)))
-                rho = rho - lr * (viol.mean() / nu - 1.0)
-                t += 1
-        yield pd.DataFrame({"w": [w.tolist()], "rho": [rho], "n": [len(X)], "steps": [t - steps0]})
-
-    rows = data.mapInPandas(part, schema).collect()  # one bounded row per partition
-    n = sum(r["n"] for r in rows)
-    w = np.sum([np.asarray(r["w"]) * r["n"] for r in rows], axis=0) / n
-    rho = sum(r["rho"] * r["n"] for r in rows) / n
-    steps = steps0 + int(round(sum(r["steps"] * r["n"] for r in rows) / n))
-    return w, rho, steps
-
-
-_HIST_BINS = 1024
-
-
-def _rff_pass(data: DataFrame, names, params, w, rho, D) -> dict:
-    """One distributed pass: sums of z, of z over margin violators, margin histogram."""
-    schema = T.StructType([T.StructField("sum_z", T.ArrayType(T.DoubleType())),
-                           T.StructField("viol_sum_z", T.ArrayType(T.DoubleType())),
-                           T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()),
-                           T.StructField("margins", T.ArrayType(T.DoubleType()))])
-    wv = np.asarray(w, dtype=float)
 
+def _row_sums(data: DataFrame, names, params, of) -> np.ndarray:
+    """Sum over all rows of ``of`` (random features of a batch -> array), one array per task merged as a tree."""
     def part(batches):
         Wm, bb, sc = params.value
-        sum_z = np.zeros(D)
-        viol = np.zeros(D)
-        margins = []
-        for pdf in batches:
-            X = pdf[names].to_numpy(dtype=float)
-            Z = sc * np.cos(X @ Wm + bb)
-            m = Z @ wv
-            sum_z += Z.sum(axis=0)
-            viol += Z[m < rho].sum(axis=0)
-            margins.append(m)
-        m = np.concatenate(margins) if margins else np.zeros(0)
-        # margins are summarised as a fixed-size sorted sketch (at most _HIST_BINS values)
-        if len(m) > _HIST_BINS:
-            m = np.quantile(m, np.linspace(0, 1, _HIST_BINS))
-        yield pd.DataFrame({"sum_z": [sum_z.tolist()], "viol_sum_z": [viol.tolist()],
-                            "lo": [float(m.min()) if len(m) else 0.0],
-                            "hi": [float(m.max()) if len(m) else 0.0],
-                            "margins": [np.sort(m).tolist()]})
-
-    rows = data.mapInPandas(part, schema).collect()  # one bounded row per partition
-    sum_z = np.sum([np.asarray(r["sum_z"]) for r in rows], axis=0)
-    viol = np.sum([np.asarray(r["viol_sum_z"]) for r in rows], axis=0)
-    margins = np.concatenate([np.asarray(r["margins"]) for r in rows if r["margins"]])
-    return {"sum_z": sum_z, "viol_sum_z": viol, "margins": margins}
-
-
-def _quantile_from_hist(stats: dict, q: float) -> float:
-    m = stats["margins"]
-    return float(np.quantile(m, q)) if len(m) else 0.0
+        total = None
+        for b in batches:
+            X = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in range(b.num_columns)])
+            for s in range(0, len(X), 4096):
+                v = of(sc * np.cos(X[s:s + 4096] @ Wm + bb))
+                total = v if total is None else total + v
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(total, float).tobytes()], pa.binary())], names=["v"])
+
+    parts = data.select(*names).mapInArrow(part, "v binary").rdd.map(lambda r: np.frombuffer(r[0]))
+    return parts.treeReduce(lambda a, b: a + b)
+
+
+def _newton(data: DataFrame, names, params, x, nu, n, band, rounds, tol) -> np.ndarray:
+    """Minimise |w|^2 / 2 - rho + sum h(rho - w.z) / (nu n), h the hinge rounded over ``band``, from x = (w, rho)."""
+    D = len(x) - 1
+    best, step, value = None, None, None
+    for _ in range(rounds):
+        w, rho = x[:D], x[D]
+
+        def of(Z, w=w, rho=rho):
+            t = rho - Z @ w
+            inside = (t > 0) & (t < band)
+            slope = np.clip(t / band, 0, 1)
+            Y = np.column_stack([Z, np.full(len(Z), -1.0)])
+            loss = np.where(t >= band, t - band / 2, np.where(t > 0, t * t / (2 * band), 0.0)).sum()
+            return np.concatenate([[loss], -(slope @ Y), (Y[inside].T @ Y[inside] / band).ravel()])
+
+        sums = _row_sums(data, names, params, of) / (nu * n)
+        now = 0.5 * w @ w - rho + sums[0]
+        if value is not None and now > value + 1e-12 * abs(value):  # too far: half the step
+            step = step / 2
+            if np.linalg.norm(step) <= tol * max(np.linalg.norm(best), 1e-12):
+                return best
+            x = best + step
+            continue
+        best, value = x, now
+        gradient = np.append(w, -1.0) + sums[1:D + 2]
+        hessian = np.diag(np.append(np.ones(D), 1e-6)) + sums[D + 2:].reshape(D + 1, D + 1)
+        step = -np.linalg.solve(hessian, gradient)
+        if np.linalg.norm(step) <= tol * max(np.linalg.norm(x), 1e-12):
+            return x + step
+        x = best + step
+    return best
 
 
 # --------------------------------------------------------------------------- M4-M6
@@ -461,48 +420,35 @@ def quantile_labels(scores: DataFrame, contamination: float, score: str = "score
     return scores.withColumn(out, (F.col(score) >= F.lit(thr)).cast("int")), thr
 
 
-def silhouette(features: DataFrame, names: list[str], labels: DataFrame, sample_size: int = 5000,
-               seed: int = 42, row_id: str = "row_id", label: str = "label") -> float:
-    """M5: mean Euclidean silhouette; -1 unless 2 label values and more than 10 rows.
+def silhouette(features: DataFrame, names: list[str], labels: DataFrame, row_id: str = "row_id",
+               label: str = "label") -> float:
+    """M5: mean silhouette over squared Euclidean distances; -1 unless 2 label values and more than 10 rows.
 
-    Above ``sample_size`` rows a sample of the rows with the smallest hash is
-    used. The sample (at most ``sample_size`` rows) is broadcast and each task
-    computes the distances of its share of sample rows with numpy.
+    The mean squared distance of x to a group is |x|^2 - 2 x.mean + mean |x|^2, so one
+    aggregate per label and one projection give the exact value over all rows.
     """
-    joined = features.select(row_id, *names).join(labels.select(row_id, label), row_id)
-    stats = joined.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("k")).first()
-    if stats["k"] < 2 or stats["n"] <= 10:
+    joined = features.select(row_id, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(names)]) \
+        .join(labels.select(row_id, F.col(label).alias("_label")), row_id)
+    xs = [F.col(f"_x{i}") for i in range(len(names))]
+    joined = joined.withColumn("_sq", reduce(lambda a, b: a + b, [x * x for x in xs]))
+    groups = joined.groupBy("_label").agg(F.count(F.lit(1)).alias("n"), F.avg("_sq").alias("q"),
+                                          *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)]).collect()  # a row per label
+    if len(groups) < 2 or sum(g["n"] for g in groups) <= 10:
         return -1.0
-    if stats["n"] > sample_size:
-        joined = (joined.withColumn("_h", _uniform_hash([F.col(row_id)], seed))
-                  .orderBy("_h", row_id).limit(sample_size).drop("_h"))
-    sample = joined.toPandas()  # bounded by sample_size rows
-    X = sample[names].to_numpy(dtype=float)
-    y = sample[label].to_numpy()
-    spark = features.sparkSession
-    bc = spark.sparkContext.broadcast((X, y))
-    idx = spark.range(len(X)).repartition(max(1, min(64, len(X) // 500 + 1)))
 
-    def part(batches):
-        Xa, ya = bc.value
-        for pdf in batches:
-            ids = pdf["id"].to_numpy()
-            sq = (Xa * Xa).sum(axis=1)
-            D = np.sqrt(np.maximum(sq[ids, None] + sq[None, :] - 2.0 * Xa[ids] @ Xa.T, 0.0))
-            D[np.arange(len(ids)), ids] = 0.0
-            s = np.zeros(len(ids))
-            for j, i in enumerate(ids):
-                same = ya == ya[i]
-                n_same = same.sum() - 1
-                if n_same == 0:
-                    continue
-                a = D[j, same].sum() / n_same
-                b = min(D[j, ya == other].mean() for other in np.unique(ya) if other != ya[i])
-                s[j] = (b - a) / max(a, b) if max(a, b) > 0 else 0.0
-            yield pd.DataFrame({"s": s})
-
-    sil = idx.mapInPandas(part, "s double").agg(F.avg("s")).first()[0]
-    return round(float(sil), 4)
+    def to(g):
+        dot = reduce(lambda a, b: a + b, [x * F.lit(g[f"m{i}"]) for i, x in enumerate(xs)])
+        return F.greatest(F.col("_sq") - 2 * dot + F.lit(g["q"]), F.lit(0.0))
+
+    s = F.lit(0.0)  # a group of one row
+    for g in groups:
+        if g["n"] > 1:
+            a = to(g) * (g["n"] / (g["n"] - 1))
+            others = [to(h) for h in groups if h["_label"] != g["_label"]]
+            b = F.least(*others) if len(others) > 1 else others[0]
+            most = F.greatest(a, b)
+            s = F.when(F.col("_label") == F.lit(g["_label"]), F.when(most > 0, (b - a) / most).otherwise(0.0)).otherwise(s)
+    return round(float(joined.agg(F.avg(s)).first()[0]), 4)
 
 
 def select_model(bench: DataFrame, weights: dict | None = None, order=K.MODEL_KEYS) -> DataFrame:

@@ -11,7 +11,7 @@ so the sorted frame is checkpointed before partition ids are read.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,36 +95,31 @@ def prefix_sum(df: DataFrame, order_cols: list[str], weight: str, out: str = "be
             .drop("_pid", "_offset"))
 
 
+def known_scores(df: DataFrame, score: str) -> DataFrame:
+    """Rows whose score is neither null nor NaN."""
+    return df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+
+
 def score_distribution(df: DataFrame, score: str) -> DataFrame:
-    """One row per distinct score: ``cnt`` rows hold it, ``before`` rows are smaller.
+    """One row per distinct known score: ``cnt`` rows hold it, ``before`` rows are smaller.
 
     The count is combined map-side, so a score held by a third of the rows is
     one row here.
     """
-    counts = df.groupBy(score).agg(F.count(F.lit(1)).alias("cnt"))
+    counts = known_scores(df, score).groupBy(score).agg(F.count(F.lit(1)).alias("cnt"))
     return prefix_sum(counts, [score], "cnt", "before")
 
 
-def attach_by_size(big: DataFrame, small: DataFrame, on, how: str = "inner",
-                   max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Join ``small`` to ``big``, broadcasting it only when its row count is under the bound.
-
-    Beyond the bound a shuffle join is used and AQE's skew-join splitting keeps a
-    hot key from landing in one task.
-    """
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)  # counted once, then joined from the cache
-    n_small = small.count()
-    side = F.broadcast(small) if n_small <= max_broadcast_rows else small
-    return big.join(side, on, how)
-
-
 def percentile_rank(df: DataFrame, score: str, out: str = "pct",
                     dist: DataFrame | None = None) -> DataFrame:
-    """pandas ``rank(pct=True, method="average")``: average 1-based rank over n."""
+    """pandas ``rank(pct=True, method="average")``: average 1-based rank over the number of known scores.
+
+    Rows without a score stay, with a null rank.
+    """
     dist = dist if dist is not None else score_distribution(df, score)
     total = dist.agg(F.sum("cnt")).first()[0]  # one scalar
     ranked = dist.select(score, ((F.col("before") + (F.col("cnt") + 1) / 2.0) / F.lit(total)).alias(out))
-    return attach_by_size(df, ranked, score, "left")
+    return df.join(ranked, score, "left")
 
 
 def quantile_from_distribution(dist: DataFrame, p: float) -> float | None:
@@ -152,13 +147,6 @@ def quantile_from_distribution(dist: DataFrame, p: float) -> float | None:
     return x_lo + (h - lo) * (x_hi - x_lo)
 
 
-def exact_quantile(df: DataFrame, score: str, p: float,
-                   in_memory_rows: int = 5_000_000) -> float | None:
-    """Exact quantile. Small inputs use Spark's exact ``percentile``; large ones read
-    two order statistics from the distributed score distribution."""
-    n = df.count()
-    if n == 0:
-        return None
-    if n <= in_memory_rows:
-        return df.agg(F.percentile(F.col(score), F.lit(p))).first()[0]
+def exact_quantile(df: DataFrame, score: str, p: float) -> float | None:
+    """Exact linear-interpolated quantile of the known scores; None without any."""
     return quantile_from_distribution(score_distribution(df, score), p)

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as K
-from ..functions.expressions import word_count
+from ..functions.expressions import nan_to_null, word_count
+from .ensemble import grouped_distribution, grouped_quantile
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType, T.BooleanType)
@@ -68,6 +69,7 @@ def value_freq(df: DataFrame, columns: list[str], row_id: str = "row_id") -> Dat
 def column_stats(df: DataFrame, columns: list[str] | None = None, row_id: str = "row_id",
                  freq: DataFrame | None = None) -> DataFrame:
     """Per column: rows, non-null, missing, distinct non-null values."""
+    df = nan_to_null(df)
     cols = columns or data_columns(df, row_id)
     freq = freq if freq is not None else value_freq(df, cols, row_id)
     return (freq.groupBy("column").agg(
@@ -117,8 +119,7 @@ def kind_review(df: DataFrame, kinds: DataFrame, row_id: str = "row_id") -> Data
                     .alias("missing_pct")))
 
 
-def summary_stats(df: DataFrame, columns: list[str] | None = None, row_id: str = "row_id",
-                  in_memory_rows: int = 5_000_000) -> DataFrame:
+def summary_stats(df: DataFrame, columns: list[str] | None = None, row_id: str = "row_id") -> DataFrame:
     """Dtype, missing, distinct and ``describe()`` statistics of numeric columns.
 
     One aggregate over the typed columns; quartiles are exact with linear
@@ -127,34 +128,28 @@ def summary_stats(df: DataFrame, columns: list[str] | None = None, row_id: str =
     cols = columns or [c for c in data_columns(df, row_id)
                        if is_numeric_type(df.schema[c].dataType)
                        and not isinstance(df.schema[c].dataType, T.BooleanType)]
-    # Spark's exact percentile keeps a value -> count map per column in one reducer; above
-    # the bound the quartiles come from per-column score distributions instead
-    in_memory = df.count() <= in_memory_rows
+    df = nan_to_null(df)
     parts = []
     for c in cols:
         x = F.col(c).cast("double")
-        quart = ([F.percentile(x, F.lit(p)).alias(f"q{int(p * 100)}") for p in (0.25, 0.5, 0.75)]
-                 if in_memory else [])
         parts.append(F.struct(
             F.lit(c).alias("column"),
             F.count(x).alias("count"),
             F.avg(x).alias("mean"),
             F.stddev_samp(x).alias("std"),
             F.min(x).alias("min"),
-            *quart,
             F.max(x).alias("max"),
             F.sum(x.isNull().cast("long")).alias("missing"),
         ).alias(c))
     wide = df.agg(*parts)
     stats = wide.select(F.explode(F.array(*[F.col(c) for c in cols])).alias("s")).select("s.*")
-    if not in_memory:
-        from .ensemble import grouped_distribution, grouped_quantile
-        long = (df.select(*[F.col(c).cast("double").alias(c) for c in cols]).withColumn("_k", F.lit(0))
-                .unpivot(["_k"], cols, "column", "value").filter(F.col("value").isNotNull()))
-        dist = grouped_distribution(long, "column", "value").cache()
-        for p in (0.25, 0.5, 0.75):
-            stats = stats.join(grouped_quantile(dist, p, "column", "value", f"q{int(p * 100)}"), "column", "left")
-        stats = stats.select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max", "missing")
+    # quartiles from the counted distinct values of each column, at any size
+    long = (df.select(*[F.col(c).cast("double").alias(c) for c in cols]).withColumn("_k", F.lit(0))
+            .unpivot(["_k"], cols, "column", "value"))
+    dist = grouped_distribution(long, "column", "value")
+    for p in (0.25, 0.5, 0.75):
+        stats = stats.join(grouped_quantile(dist, p, "column", "value", f"q{int(p * 100)}"), "column", "left")
+    stats = stats.select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max", "missing")
     distinct = column_stats(df, cols, row_id).select("column", "n_distinct")
     types = catalog_frame(df, cols, row_id).select("column", "dtype")
     return stats.join(distinct, "column").join(types, "column")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.expressions import nan_to_null
 from .order import row_number_global
 
 
@@ -27,9 +28,9 @@ def rolling_band(df: DataFrame, date_col: str, value_col: str, window: int = 14,
     the global sample std; rows without a mean are not flagged.
     """
     before, after = window // 2, (window - 1) // 2
-    ts = df.select(row_id, F.col(date_col).cast("timestamp").alias(date_col),
-                   F.col(value_col).cast("double").alias(value_col))
-    ranked = row_number_global(ts, [F.asc(date_col), F.asc(row_id)], "_pos")
+    ts = nan_to_null(df.select(row_id, F.col(date_col).cast("timestamp").alias(date_col),
+                               F.col(value_col).cast("double").alias(value_col)))
+    ranked = row_number_global(ts, [F.asc_nulls_last(date_col), F.asc(row_id)], "_pos")
     ranked = ranked.withColumn("_pos", F.col("_pos") - 1)
     bucket = F.floor(F.col("_pos") / bucket_rows).cast("long")
     offset = F.col("_pos") - bucket * bucket_rows

@@ -49,7 +49,7 @@ def events_long_scores(spark, sf):
     ez = events_z(spark, sf)
     n = ez.count()
     share = ez.groupBy("event_type").agg((F.count(F.lit(1)) / F.lit(n)).alias("_share"))
-    ez = ez.join(share, "event_type")
+    ez = ez.join(share.withColumnRenamed("event_type", "_type"), F.col("event_type").eqNullSafe(F.col("_type")))
     return ez.select("row_id", F.explode(F.array(
         F.struct(F.lit("value").alias("model_key"), F.col("value").alias("score")),
         F.struct(F.lit("zscore").alias("model_key"), F.col("score").alias("score")),
@@ -118,6 +118,52 @@ def semi_supervised(spark, sf):
     return s.select(F.col("row_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+# M1, M3, M10 as facts that hold for any seed: every row scored, no null, the (1 - c) quantile at 0, planted rows found
+def _facts(scores, planted):
+    return scores.agg(F.count(F.lit(1)).alias("n_scores"), F.count_if(F.col("score").isNull()).alias("n_null"),
+                      F.count_if(F.col("score") >= -1e-9).alias("n_flagged"),
+                      F.count_if(planted & (F.col("score") >= 0)).alias("planted_flagged"))
+
+
+def _sql_facts(table, planted):
+    """Rows at or above the linear quantile at 1 - c: the order statistics from ceil((n - 1)(1 - c)) on."""
+    return (f"SELECT count(*) AS n_scores, 0::BIGINT AS n_null, (count(*) - ceil((count(*) - 1) * {1 - CONTAMINATION}))::BIGINT"
+            f" AS n_flagged, count(*) FILTER (WHERE {planted}) AS planted_flagged FROM {table}")
+
+
+@register("isolation_forest_facts", _sql_facts("events", "event_id % 1000 = 7"))
+def isolation_forest_facts(spark, sf):
+    """events with planted rows, whose value is far outside."""
+    ev = keyed(load(spark, sf, "events"), "event_id")
+    far = F.col("event_id") % 1000 == 7
+    ev = ev.withColumn("value", F.when(far, F.lit(1e5) + F.col("event_id")).otherwise(F.col("value")))
+    feats, spec = FT.build_features(ev, ["value", "user_id"])
+    return _facts(MD.isolation_forest(feats, spec.names, CONTAMINATION), F.col("row_id") % 1000 == 7)
+
+
+@register("ocsvm_facts", _sql_facts("customer", "c_custkey % 500 = 7"))
+def ocsvm_facts(spark, sf):
+    """customers with planted balances; the nu-quantile of the margins puts 1 + floor((n - 1) nu) rows at or above 0."""
+    c = keyed(load(spark, sf, "customer"), "c_custkey")
+    far = F.col("c_custkey") % 500 == 7
+    c = c.withColumn("c_acctbal", F.when(far, F.lit(9e4) + F.col("c_custkey")).otherwise(F.col("c_acctbal")))
+    feats, spec = FT.build_features(c, ["c_acctbal", "c_nationkey"])
+    return _facts(MD.ocsvm(feats, spec.names, nu=CONTAMINATION), F.col("row_id") % 500 == 7)
+
+
+@register("semi_supervised_facts", "SELECT count(*) AS n_scores, 0::BIGINT AS n_null, "
+          "count(*) FILTER (WHERE event_id % 1000 = 7) AS confirmed_flagged FROM events")
+def semi_supervised_facts(spark, sf):
+    """The planted events are confirmed, left out of the training rows, and still flagged."""
+    ev = keyed(load(spark, sf, "events"), "event_id")
+    far = F.col("event_id") % 1000 == 7
+    ev = ev.withColumn("value", F.when(far, F.lit(1e5) + F.col("event_id")).otherwise(F.col("value")))
+    feats, spec = FT.build_features(ev, ["value", "user_id"])
+    labels = ev.filter(far).select("row_id", F.lit(1).alias("label"))
+    facts = _facts(MD.semi_supervised(feats, spec.names, labels, CONTAMINATION), F.col("row_id") % 1000 == 7)
+    return facts.select("n_scores", "n_null", F.col("planted_flagged").alias("confirmed_flagged"))
+
+
 # ------------------------------------------------------------------ M2
 @register("lof", with_ctes(*SQL_LOF) + "SELECT id AS c_custkey, round(score, 6) AS score FROM lof")
 def lof(spark, sf):
@@ -136,10 +182,10 @@ def quantile_labels(spark, sf):
 
 # ------------------------------------------------------------------ M5, M6
 def _sql_silhouette(name: str, labels: str) -> list[str]:
-    """CTE ``name`` = silhouette of ``labels`` (id, label) over the feature CTE f."""
+    """CTE ``name`` = silhouette (squared distances) of ``labels`` (id, label) over the feature CTE f."""
     return [f"{name}_l AS ({labels})",
             f"""{name}_p AS (SELECT a.id AS a, la.label AS la, lb.label AS lb,
-                 sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2)) AS d
+                 (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2) AS d
                FROM f a JOIN f b ON a.id <> b.id JOIN {name}_l la ON la.id = a.id JOIN {name}_l lb ON lb.id = b.id)""",
             f"""{name}_s AS (SELECT a, CASE WHEN count(*) FILTER (WHERE lb = la) = 0 THEN 0.0 ELSE
                  (avg(d) FILTER (WHERE lb <> la) - avg(d) FILTER (WHERE lb = la))

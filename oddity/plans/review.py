@@ -95,8 +95,8 @@ def review(df: DataFrame, preset: str = K.DEFAULT_PRESET, contamination: float |
     spark = df.sparkSession
     bench = spark.createDataFrame(bench_rows, "model_key string, silhouette double, n_anomalies long, success boolean")
     best_key = MD.select_model(bench, weights).first()["best_key"]
-    scores = parts[0]
-    for s in parts[1:]:
+    scores = spark.createDataFrame([], f"{row_id} long, model_key string, score double")
+    for s in parts:
         scores = scores.unionByName(s)
     ens = EN.ensemble(scores, c, weights, row_id)
     ranked = RS.ranked(ens, "ensemble_score", row_id)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,9 @@ class FeedbackTable:
     def read(self, signature: str | None = None) -> DataFrame:
         try:
             df = self.spark.read.schema(FEEDBACK_SCHEMA).parquet(self.path)
-        except Exception:  # nothing stored yet
+        except AnalysisException as e:  # nothing stored yet; any other failure is the caller's to see
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             df = self.spark.createDataFrame([], FEEDBACK_SCHEMA)
         return df if signature is None else df.filter(F.col("signature") == signature)
 

@@ -156,8 +156,8 @@ def test_summary_stats_distributed_quartiles_match_pandas(spark):
                         "b": rng.integers(0, 9, 501).astype(float)})
     pdf.loc[[3, 7], "a"] = np.nan
     df = spark.createDataFrame(pdf).withColumn("a", F.when(F.isnan("a"), None).otherwise(F.col("a")))
-    for bound in (5_000_000, 0):   # in-memory percentile, then the distributed order statistics
-        s = PF.summary_stats(df, ["a", "b"], in_memory_rows=bound).toPandas().set_index("column")
+    for frame in (df, spark.createDataFrame(pdf)):   # null, then NaN as missing
+        s = PF.summary_stats(frame, ["a", "b"]).toPandas().set_index("column")
         d = pdf[["a", "b"]].describe()
         for c in ("a", "b"):
             assert s.loc[c, "count"] == d.loc["count", c]
