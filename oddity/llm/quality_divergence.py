@@ -34,6 +34,8 @@ COMMON_WORDS = {
 CELLS = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 #: One letter for each cell.
 MARKS = "".join(chr(c) for c in range(ord("0"), ord("0") + len(CELLS)))
+#: Classes of characters, each counted in what the earlier ones leave.
+CLASSES = ["[a-z]+", "[A-Z]+", "[0-9]+", "[.,;:!?'\"()-]+", "[#*$%&|<>]+", "[^\\x00-\\x7F]+"]
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
 #: Guards: shorter documents are not judged by that histogram.
 GUARD_CHARS, GUARD_WORDS = 200, 50
@@ -84,12 +86,10 @@ def class_counts(joined: Column, blanks: Column) -> Column:
 
     ``joined`` is the text without blanks, so runs of small letters are few and long.
     """
-    patterns = ["[a-z]+", "[A-Z]+", "[0-9]+", "[.,;:!?'\"()-]+", "[#*$%&|<>]+", "[^\\x00-\\x7F]+"]
-
     def strip(rest: Column, k: int, counts: list[Column]) -> Column:
-        if k == len(patterns):
+        if k == len(CLASSES):
             return F.array(*counts, F.length(rest).cast("long"), blanks.cast("long"))
-        return let(F.struct(rest.alias("was"), F.regexp_replace(rest, patterns[k], "").alias("now")),
+        return let(F.struct(rest.alias("was"), F.regexp_replace(rest, CLASSES[k], "").alias("now")),
                    lambda s: strip(s["now"], k + 1, [*counts, (F.length(s["was"]) - F.length(s["now"])).cast("long")]))
 
     return strip(joined, 0, [])
@@ -208,3 +208,39 @@ def op1_quality_divergence(spark, sf_dir):
 
 
 QUERIES = {"op1_quality_divergence": op1_quality_divergence}
+
+
+def oracle() -> str:
+    """DuckDB SQL of the query: windows as joined words, histograms cell by cell."""
+    rest = "length(j) - length(regexp_replace(j, '{}', '', 'g'))"
+    classes = [rest.format(p.replace("'", "''")) for p in CLASSES]
+    word = "len(list_filter(ws, lambda x: x = '{}'))"
+    return rf"""WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''),
+  '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (SELECT *, len(ws) AS n, array_to_string(ws, '') AS j, list_filter(string_split(t, chr(10)),
+  lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + {WINDOW - 1}], ' ')) AS c
+  FROM (SELECT doc_id, ws, unnest(range(1, n - {WINDOW - 2})) AS i FROM b WHERE n > {WINDOW})),
+r AS (SELECT doc_id, sum(least({WINDOW}, coalesce(after - i, {WINDOW}))) AS n_repeat_words
+  FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM g WHERE c > 1) GROUP BY doc_id),
+m AS (SELECT b.doc_id, lang, n AS n_words, length(j) AS word_chars, {classes[4]} AS n_symbols, len(ls) - len(list_distinct(ls))
+  AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, length(t) AS chars,
+  [{", ".join(classes)}, length(t) - length(j)] AS cs, [{", ".join(word.format(x) for x in CELLS)}] AS wc FROM b LEFT JOIN r USING (doc_id)),
+k AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM m),
+h AS (SELECT doc_id, 0 AS part, unnest(range(1, 9)) AS cell, unnest(list_append(cs, word_chars - list_sum(cs[1:6]))) AS v FROM k
+  UNION ALL SELECT doc_id, 1, unnest(range(1, {len(CELLS) + 2})), unnest(list_append(wc, n_words - list_sum(wc))) FROM k),
+f AS (SELECT lang, part, cell, sum(v) AS v FROM h JOIN k USING (doc_id) WHERE lang IN ({", ".join(f"'{x}'" for x in COMMON_WORDS)})
+  AND NOT base_failed AND chars >= {GUARD_CHARS} AND n_words >= {GUARD_WORDS} GROUP BY ALL),
+q AS (SELECT lang, part, cell, v / sum(v) OVER (PARTITION BY lang, part) AS q FROM f),
+p AS (SELECT doc_id, part, cell, v / sum(v) OVER (PARTITION BY doc_id, part) AS p FROM h),
+d AS (SELECT doc_id, part, lang, sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END
+  + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2) AS js FROM p JOIN q USING (part, cell) GROUP BY ALL),
+s AS (SELECT doc_id, min(js) FILTER (WHERE part = 0) AS c, min(js) FILTER (WHERE part = 1) AS w FROM d GROUP BY doc_id)
+SELECT k.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(chars < {GUARD_CHARS} OR c <= {MAX_CLASS_DISTANCE ** 2!r} + {CHARS_NOISE} / chars, true)
+  AND coalesce(n_words < {GUARD_WORDS} OR w <= {MAX_WORD_DISTANCE ** 2!r} + {WORDS_NOISE} / n_words, true) AS kept
+FROM k LEFT JOIN s USING (doc_id)"""
+
+
+SQL = {"op1_quality_divergence": oracle()}
