@@ -3,8 +3,9 @@
 Pass one scatters records by seeded hashes: the shard is the one with the highest hash of
 (id, shard) (rendezvous hashing, law ``key``), and within a shard a second hash deals records
 uniformly to buckets of a set number of bytes. Pass two shuffles each bucket: its records get
-ordinals, a Fisher-Yates permutation of the ordinals (``shuffle``) gives their places, and the
-buckets of a shard are laid end to end, so slots run from 0 without a gap.
+ordinals, a Fisher-Yates permutation of the ordinals (``shuffle``, an array of one number a record
+of the bucket) gives their places, and the buckets of a shard are laid end to end, so slots run
+from 0 without a gap. Records move once.
 
 With one shard more, a record moves only if the new shard has the highest hash, so rows go to the
 new shard alone. Permutations are drawn in a range of one partition a bucket, so that the draw
@@ -65,16 +66,16 @@ def external_shuffle(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     before = Window.partitionBy(F.floor(F.col("b") / subs)).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
     spark, n_buckets = docs.sparkSession, shards * subs
+    # a row a bucket, joined where the window below has its records already
     places = (spark.range(0, n_buckets, 1, n_buckets).withColumnRenamed("id", "b").join(F.broadcast(counts), "b")
-              .select("b", "start", F.posexplode(F.shuffle(F.sequence(F.lit(1).cast("long"), F.col("n")), seed)))
-              .select(F.col("b").alias(work["b"]), F.col("col").alias(work["ordinal"]),
-                      (F.col("start") + F.col("pos")).cast("long").alias(work["place"])))
+              .select(F.col("b").alias(work["b"]), F.col("start").alias(work["place"]),
+                      F.shuffle(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), seed).alias(work["order"])).hint("merge"))
     by = Window.partitionBy(col(names["bucket"])).orderBy(col(work["order"]), col(work["key"]))
-    numbered = scattered.withColumn(work["ordinal"], F.row_number().over(by).cast("long"))
-    placed = numbered.join(places, (numbered[names["bucket"]] == places[work["b"]])
-                           & (numbered[work["ordinal"]] == places[work["ordinal"]]))
+    numbered = scattered.withColumn(work["ordinal"], F.row_number().over(by))
+    placed = numbered.join(places, numbered[names["bucket"]] == places[work["b"]])
+    slot = places[work["place"]] + F.get(places[work["order"]], numbered[work["ordinal"]] - 1)
     return placed.select(*[numbered[c] for c in docs.columns], numbered[names["size"]], numbered[names["shard"]],
-                         places[work["place"]].alias(names["slot"]), numbered[names["bucket"]],
+                         slot.alias(names["slot"]), numbered[names["bucket"]],
                          numbered[names["grown"]]), names
 
 
