@@ -81,5 +81,5 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     until the folder is cleared.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -196,9 +196,13 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[st
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents that pass, with their own columns."""
-    judged, name = judge(docs, text, lang)
-    return judged.where(col(name)["kept"]).select(*[col(c) for c in docs.columns])
+    """The documents that pass, with their own columns.
+
+    Texts are scanned twice, for the references and for the verdicts, so that none is written.
+    """
+    measured, name = measure(docs, text)
+    kept = measured.where(verdict(col(name), references(measured, name, lang))["kept"])
+    return kept.select(*[col(c) for c in docs.columns])
 
 
 def op1_quality_divergence(spark, sf_dir):
