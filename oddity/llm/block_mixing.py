@@ -29,7 +29,7 @@ from .common import GAP, NOT_GAP, buckets_for, col, fresh, hash_part, let, store
 
 SEED, WEIGHTS, MOST = 6, (5, 2, 1), 3
 #: Words in a block, blocks in an output shard, rows in a bucket of a source, slots made by one row.
-BLOCK_WORDS, SHARD_BLOCKS, BUCKET_ROWS, CHUNK = 128, 8192, 50_000, 4096
+BLOCK_WORDS, SHARD_BLOCKS, BUCKET_ROWS, CHUNK = 128, 8192, 4096, 4096
 ROUNDS = 24
 
 
@@ -100,15 +100,17 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", block: int
               .select("row", "s", "block", (F.greatest("from", F.col("block") * block) - F.col("from")).alias("first"),
                       (F.least("to", (F.col("block") + 1) * block) - F.greatest("from", F.col("block") * block)).alias("n")))
 
+    total = sources.agg(F.sum("slots")).first()[0] or 0
     chunks = (sources.where(F.col("slots") > 0)
               .select("s", "blocks", "slots", F.explode(F.sequence(zero(), F.col("slots") - 1, F.lit(CHUNK).cast("long"))).alias("c"))
-              .repartition(F.col("s"), F.col("c")))
-    n_shards = F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(sources.agg(F.sum("slots")).first()[0] or 0) / SHARD_BLOCKS))
+              .repartition(buckets_for(total, 16 * CHUNK), F.col("s"), F.col("c")))
+    n_shards = F.lit(buckets_for(total, SHARD_BLOCKS)).cast("long")
     slots = (chunks.select("s", "blocks", F.explode(F.sequence("c", F.least(F.col("c") + CHUNK, F.col("slots")) - 1)).alias("i"))
              .select("s", permuted(F.col("i") % F.col("blocks"), F.col("blocks"), ROUNDS, F.col("s"),
                                    F.floor(F.col("i") / F.col("blocks"))).alias("block"),
                      F.pmod(hash_part(SEED + 2, F.col("s"), F.col("i")), n_shards).alias("shard")))
-    return {"rows": rows.drop("bucket"), "sources": sources, "slots": slots, "pieces": pieces}
+    # written, as the planner takes exploded rows for as small as what they came from, and would broadcast them
+    return {"rows": rows.drop("bucket"), "sources": sources, "slots": stored(slots, "mix"), "pieces": pieces}
 
 
 def used(tables: dict[str, DataFrame]) -> DataFrame:
