@@ -15,7 +15,9 @@ show any, gives the score.
 Training uses at most ``SAMPLE`` labelled rows of each class, those with the smallest hash of
 their id; the ids are broadcast (16 bytes each), so texts are not shuffled. All else covers all
 rows. Terms are counted in two passes, over toxic rows and then, for the terms those have, over
-clean rows. What reaches the driver: the lexicon (at most ``TERMS`` terms) and a row of nine numbers
+clean rows. A term needs ``LEAST_DOCS`` toxic texts, however large the sample is; a group of near
+copies (see ``hyperminhash_dedup``) counts as one text, so that words which only copies of a few
+texts have are no terms. What reaches the driver: the lexicon (at most ``TERMS`` terms) and a row of nine numbers
 for each sampled row.
 
 Defined results: null and empty texts have no hit and get the score of a document without hits;
@@ -35,8 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, hash_part, stored, table
+from .hyperminhash_dedup import near_duplicates
 
-SAMPLE, TERMS, LEAST_DOCS, LEAST_SHARE, LEAST_WEIGHT, SHORTEST, PREFIXES = 20_000, 2_000, 8, 0.03, 2.5, 4, (4, 5, 6)
+SAMPLE, TERMS, LEAST_DOCS, LEAST_WEIGHT, SHORTEST, PREFIXES = 20_000, 2_000, 8, 2.5, 4, (4, 5, 6)
 WINDOW, SLICE, STATES, WORDS_KEPT = 5, 256, 100_000, 300_000
 _EDGE = ".,;:!?\"'()[]{}<>«»“”„‘’…-–—*_~`|/\\"
 _QUOTES = frozenset("\"“”„«»")
@@ -53,6 +56,15 @@ def allowed(term: str) -> int:
     return 0 if term.endswith("*") or len(term) < 4 else 1 if len(term) < 8 else 2
 
 
+def shortened(word: str, edits: int) -> set[str]:
+    """The word, and what is left of it without at most so many letters."""
+    out = last = {word}
+    for _ in range(edits):
+        last = {w[:i] + w[i + 1:] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
 class Automaton:
     """The Levenshtein automata of all terms, run on their trie. A term may end in ``*``: then any word beginning so fits."""
 
@@ -76,8 +88,22 @@ class Automaton:
             if self.ends[node] < 0 or term.endswith("*"):
                 self.ends[node] = k
             self.open[node] |= term.endswith("*")
+        self.stems = {t[:-1] for t in self.terms if t.endswith("*")}
+        self.stem_sizes = sorted({len(t) for t in self.stems})
+        self.left: dict[int, set[str]] = {}
+        self.sizes: dict[int, set[int]] = {}
+        for term in self.terms:
+            if not term.endswith("*"):
+                k = allowed(term)
+                self.left.setdefault(k, set()).update(shortened(term, k))
+                self.sizes.setdefault(k, set()).update(range(len(term) - k, len(term) + k + 1))
         self.reset()
 
+    def possible(self, word: str) -> bool:
+        """False only for words that no term fits: each edit takes at most one letter of the word and one of the term."""
+        return any(word[:n] in self.stems for n in self.stem_sizes) or any(
+            len(word) in self.sizes[k] and not left.isdisjoint(shortened(word, k)) for k, left in self.left.items())
+
     def reset(self) -> None:
         self.names: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
@@ -130,6 +156,8 @@ class Automaton:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the best fit of a word."""
+        if not self.possible(word):
+            return None
         if len(self.sets) > STATES:
             self.reset()
         state = 1
@@ -198,29 +226,44 @@ def scorer(terms: dict[str, float]) -> Scorer:
     return _SCORERS[name]
 
 
+def with_copies(rows: DataFrame) -> DataFrame:
+    """``rows`` (h, text, y) with ``copies``, the name of the group of near copies that a text is in; null if it has none."""
+    near = stored(near_duplicates(rows.dropDuplicates(["h"]), "h", "text").select("key", "component"), "copies")
+    groups = near.groupBy("component").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where(F.col("lo") != F.col("hi"))
+    near = near.join(groups, "component").select(F.col("key").alias("h"), F.col("component").alias("copies"))
+    return rows.join(near, "h", "left")
+
+
 def term_counts(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
-    """(term, docs) over rows (text): documents with each word or beginning of words, of those in ``only`` if given."""
+    """(term, docs) over rows (text, copies): texts with each word or beginning of words, of those in ``only`` if given.
+
+    The texts of one group ``copies`` count as one.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, n = shared.value, Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "docs"])
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([t for t, _ in n], pa.string()), pa.array([g for _, g in n], pa.int64()),
+                 pa.array([k if g is None else 0 for (_, g), k in n.items()], pa.int64())], names=["term", "copies", "docs"])
             n.clear()
             return out
 
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                for text in batch.slice(at, SLICE).column(0).to_pylist():
+                part = batch.slice(at, SLICE)
+                for text, group in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     ws = {t.strip(_EDGE) for t in (text or "").lower().split()}
                     terms = {w for w in ws if len(w) >= SHORTEST} | {w[:k] + "*" for w in ws for k in PREFIXES if len(w) >= k}
-                    n.update(terms if wanted is None else terms & wanted)
+                    n.update((t, group) for t in (terms if wanted is None else terms & wanted))
                 if len(n) > WORDS_KEPT:
                     yield flush()
         yield flush()
 
-    return rows.select("text").mapInArrow(run, "term string, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
+    counted = rows.select("text", "copies").mapInArrow(run, "term string, copies long, docs long")
+    return counted.groupBy("term").agg((F.sum("docs") + F.count_distinct("copies")).alias("docs"))
 
 
 def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
@@ -228,8 +271,7 @@ def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_c
     def weight(t: str) -> float:
         return math.log((toxic[t] + 0.5) / (n_toxic + 1)) - math.log((clean.get(t, 0) + 0.5) / (n_clean + 1))
 
-    least = max(LEAST_DOCS, LEAST_SHARE * n_toxic)  # a word that only copies of a few texts have is no term
-    pure = {t: weight(t) for t in toxic if toxic[t] >= least and weight(t) >= LEAST_WEIGHT}
+    pure = {t: weight(t) for t in toxic if toxic[t] >= LEAST_DOCS and weight(t) >= LEAST_WEIGHT}
     best: dict[str, int] = {}
     for t in pure:
         if not t.endswith("*"):
@@ -270,8 +312,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen = stored(sample(labels, key, label, rows), "labels")
     d = docs.select(col(key).alias("key"), col(text).cast("string").alias("text"))
     d = d.join(F.broadcast(chosen), "key").withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "y"])  # copies say no more
-    d = stored(d.select("text", "y"), "labelled")
-    n = {r["y"]: r["n"] for r in d.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    d = stored(with_copies(stored(d.select("h", "text", "y"), "labelled")), "labelled")
+    n = {r["y"]: r["n"] for r in d.groupBy("y").agg(F.count_distinct(F.coalesce("copies", "h")).alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         share = n.get(1, 0) / max(1, sum(n.values()))
         odds = math.log((share + 1e-9) / (1 - share + 1e-9))

@@ -270,3 +270,19 @@ def test_toxicity_of_rows_held_out(spark):
     pairs = [(r["score"], label[r["doc_id"]]) for r in out if r["doc_id"] in label]
     good, bad = [s for s, y in pairs if y], [s for s, y in pairs if not y]
     assert sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / (len(good) * len(bad)) > 0.8
+
+
+def test_rare_terms_are_kept_in_large_samples_and_words_of_near_copies_are_not(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("aeioulmnrst") for _ in range(rnd.randrange(4, 9)))
+    base = [word() for _ in range(60)] + ["kopierwort"]
+    rows = [(k, " ".join(word() for _ in range(12)) + (" grobnik" if k < 12 else "")) for k in range(800)]
+    rows += [(1000 + k, " ".join([*base, f"n{k}"])) for k in range(40)]  # near copies of one text
+    rows += [(2000 + k, " ".join(word() for _ in range(12))) for k in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 2000)) for i, _ in rows], "doc_id long, toxic int")
+    model = T.learn(docs, labels)
+    assert "grobnik" in model[0] and "kopierwort" not in model[0]
+    got = T.score(spark.createDataFrame([(1, "das gr0bnik da"), (2, "das haus da")], "doc_id long, text string"), model, ("doc_id",))
+    score = {r["doc_id"]: r["score"] for r in got.collect()}
+    assert score[1] > score[2]
