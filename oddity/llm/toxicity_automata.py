@@ -42,6 +42,8 @@ from .hyperminhash_dedup import near_duplicates
 SAMPLE, TERMS, LEAST_DOCS, LEAST_WEIGHT, SHORTEST, PREFIXES = 20_000, 2_000, 8, 2.5, 4, (4, 5, 6)
 WINDOW, SLICE, STATES, WORDS_KEPT = 5, 256, 100_000, 300_000
 _EDGE = ".,;:!?\"'()[]{}<>«»“”„‘’…-–—*_~`|/\\"
+#: Marks a state in the open end of a term; no letter equals it.
+_REST = "**"
 _QUOTES = frozenset("\"“”„«»")
 #: Words that report what others said, and words that address the reader (fixed values).
 REPORTING = frozenset("said says wrote writes quoted quote called calls word term sagte schrieb zitat wort dit écrit mot dijo escribió palabra".split())
@@ -72,7 +74,7 @@ class Automaton:
         self.terms = sorted(terms)
         self.weights = [terms[t] for t in self.terms]
         self.children: list[dict[str, int]] = [{}]
-        self.most, self.ends, self.open = [0], [-1], [False]
+        self.most, self.ends, self.open = [0], [-1], [-1]
         for k, term in enumerate(self.terms):
             node, edits = 0, allowed(term)
             self.most[0] = max(self.most[0], edits)
@@ -82,12 +84,10 @@ class Automaton:
                     self.children.append({})
                     self.most.append(0)
                     self.ends.append(-1)
-                    self.open.append(False)
+                    self.open.append(-1)
                 node = self.children[node][c]
                 self.most[node] = max(self.most[node], edits)
-            if self.ends[node] < 0 or term.endswith("*"):
-                self.ends[node] = k
-            self.open[node] |= term.endswith("*")
+            (self.open if term.endswith("*") else self.ends)[node] = k
         self.stems = {t[:-1] for t in self.terms if t.endswith("*")}
         self.stem_sizes = sorted({len(t) for t in self.stems})
         self.left: dict[int, set[str]] = {}
@@ -118,11 +118,13 @@ class Automaton:
         todo = list(items)
         while todo:
             node, edits, owed = todo.pop()
-            if edits > self.most[node] and not self.open[node] or best.get((node, owed), 99) <= edits:
+            if edits > self.most[node] or best.get((node, owed), 99) <= edits:
                 continue
             best[node, owed] = edits
             if not owed:
                 todo += [(x, edits + 1, "") for x in self.children[node].values()]
+                if self.open[node] >= 0 and not edits:
+                    todo.append((node, 0, _REST))
         return frozenset((n, e, o) for (n, o), e in best.items())
 
     def state(self, items: frozenset) -> int:
@@ -132,18 +134,20 @@ class Automaton:
             self.steps.append({})
             fits = [(e, -self.weights[self.ends[n]], self.ends[n]) for n, e, o in items
                     if not o and self.ends[n] >= 0 and e <= allowed(self.terms[self.ends[n]])]
+            fits += [(0, -self.weights[self.open[n]], self.open[n]) for n, e, o in items if o == _REST]
             self.accepts.append((min(fits)[2], min(fits)[0]) if fits else None)
         return self.names[items]
 
     def step(self, state: int, c: str) -> int:
         out = set()
         for node, edits, owed in self.sets[state]:
+            if owed == _REST:
+                out.add((node, 0, _REST))
+                continue
             if owed:
                 if owed == c:
                     out.add((node, edits, ""))
                 continue
-            if self.open[node]:
-                out.add((node, edits, ""))
             below = self.children[node]
             if c in below:
                 out.add((below[c], edits, ""))
@@ -267,7 +271,7 @@ def term_counts(rows: DataFrame, only: frozenset[str] | None = None) -> DataFram
 
 
 def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Terms with their log odds: pure beginnings where a family of words shares them, else pure words."""
+    """Terms with their log odds: pure words, and pure beginnings that a family of words shares."""
     def weight(t: str) -> float:
         return math.log((toxic[t] + 0.5) / (n_toxic + 1)) - math.log((clean.get(t, 0) + 0.5) / (n_clean + 1))
 
@@ -282,7 +286,7 @@ def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_c
         stem = t[:-1]
         if toxic[t] >= 1.5 * max(best.get(stem, 0), 1) and not any(stem[:k] + "*" in families for k in PREFIXES):
             families[t] = pure[t]
-    words = {t: w for t, w in pure.items() if not t.endswith("*") and not any(t[:k] + "*" in families for k in PREFIXES)}
+    words = {t: w for t, w in pure.items() if not t.endswith("*")}  # also those of a family, as only words may be misspelled
     return dict(sorted((families | words).items(), key=lambda x: (-x[1] * math.log1p(toxic[x[0]]), x[0]))[:TERMS])
 
 

@@ -286,3 +286,24 @@ def test_rare_terms_are_kept_in_large_samples_and_words_of_near_copies_are_not(s
     got = T.score(spark.createDataFrame([(1, "das gr0bnik da"), (2, "das haus da")], "doc_id long, text string"), model, ("doc_id",))
     score = {r["doc_id"]: r["score"] for r in got.collect()}
     assert score[1] > score[2]
+
+
+def test_misspelled_members_of_a_learned_family_are_found():
+    toxic = {"idiot": 60, "idiots": 60, "idiotic": 60, "idio*": 180, "idiot*": 180, "idioti*": 60}
+    terms = T.choose_terms(toxic, {}, 400, 400)
+    machine = T.Automaton(terms)
+    fits = lambda w: (found := machine.match(w)) and found[1]
+    assert "idio*" in terms and [fits(w) for w in ("idiot", "idiocy", "idoit", "ldiot", "idotic")] == [0, 0, 1, 1, 1]
+    assert [fits(w) for w in ("audio", "ido", "idol", "iidiocy")] == [None] * 4
+
+
+def test_automaton_with_words_beside_their_beginnings_equals_edit_distance():
+    rnd = random.Random(7)
+    words = {"".join(rnd.choice("abc") for _ in range(rnd.randrange(4, 11))) for _ in range(20)}
+    stems = {w[:4] for w in list(words)[:8]}
+    machine = T.Automaton(dict.fromkeys(words, 1.0) | {s + "*": 2.0 for s in stems})
+    for _ in range(3000):
+        w = "".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 12)))
+        fits = [edits(t, w) for t in words if edits(t, w) <= T.allowed(t)] + [0] * (w[:4] in stems)
+        found = machine.match(w)
+        assert (found is None) == (not fits) and (not fits or found[1] == min(fits))
