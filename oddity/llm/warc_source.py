@@ -162,12 +162,12 @@ def sha1_base32(value: Column) -> Column:
 
 
 def revisits(pages: DataFrame, key: str, payload: str, least_bytes: int) -> DataFrame:
-    """(key, refers_to) of the pages whose payload another page with a larger key has."""
+    """(key, digest, refers_to) of the pages whose payload another page with a larger key has."""
     body = F.coalesce(col(payload), F.lit("")).cast("binary")
     d = pages.select(col(key).alias("key"), F.sha1(body).alias("digest"), F.length(body).alias("n")).where(F.col("n") >= least_bytes)
     first = d.groupBy("digest").agg(F.max("key").alias("refers_to"), F.min("key").alias("lo"))
     first = first.where(F.col("refers_to") != F.col("lo")).drop("lo")
-    return d.join(first, "digest").where(F.col("key") != F.col("refers_to")).select("key", "refers_to").distinct()
+    return d.join(first, "digest").where(F.col("key") != F.col("refers_to")).select("key", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html",
@@ -175,7 +175,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     """One record for each page, in WARC files below ``path``; the number of files is that of the partitions."""
     known = stored(revisits(pages, key, payload, least_bytes), "revisits")
     p = pages.select(col(key).alias("key"), F.coalesce(col(url), F.lit("")).alias("url"), F.coalesce(col(payload), F.lit("")).alias("body"))
-    p = p.join(known, "key", "left")
+    p = p.withColumn("digest", F.sha1(F.col("body").cast("binary"))).join(known, ["key", "digest"], "left")
     again = F.col("refers_to").isNotNull()
     record = lambda k: F.concat(F.lit("<urn:x-page:"), k.cast("string"), F.lit(">"))
     clean = F.regexp_replace("url", "[\\r\\n]+", " ")

@@ -307,3 +307,13 @@ def test_automaton_with_words_beside_their_beginnings_equals_edit_distance():
         fits = [edits(t, w) for t in words if edits(t, w) <= T.allowed(t)] + [0] * (w[:4] in stems)
         found = machine.match(w)
         assert (found is None) == (not fits) and (not fits or found[1] == min(fits))
+
+
+def test_archives_keep_both_payloads_of_a_repeated_page(spark):
+    pages = [(1, "u", "first"), (1, "u", "second"), (2, "v", "first"), (3, "w", "third"), (3, "w", "fourth"), (4, "x", "third"), (5, "y", "fourth")]
+    W.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), path := shared_path(spark, "warc"))
+    rows = W.read_archives(spark, path, payload="text").collect()
+    got = sorted((int(r["page_id"]), r["record_type"], r["refers_to"] or r["payload"]) for r in rows)
+    page = "<urn:x-page:{}>".format
+    assert got == [(1, "response", "second"), (1, "revisit", page(2)), (2, "response", "first"), (3, "revisit", page(4)),
+                   (3, "revisit", page(5)), (4, "response", "third"), (5, "response", "fourth")]
