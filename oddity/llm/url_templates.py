@@ -13,7 +13,8 @@ rejected if its purity, the share of blocked among its labelled pages smoothed t
 corpus, is high enough. A template without enough labelled pages is never rejected.
 
 Pages are aggregated to (host, first template) before any other step, so the tree works on counts
-and a host with a third of all pages costs as many rows as it has templates. The last join takes
+and a host with a third of all pages costs as many rows as it has templates. The tree has as many
+levels as the longest first template has segments, and each level is written once. The last join takes
 verdicts back to pages by (host, first template).
 
 Defined results: a null url, or one without ``://``, has empty host and path and no rule; repeated
@@ -28,8 +29,6 @@ from pyspark.sql import functions as F
 from .common import col, fresh, stored, table
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-#: Levels of the tree; what lies deeper is one segment ``**``.
-DEPTH = 4
 #: A branch with more children than this, and fewer pages a child than that, gets one wildcard.
 CHILDREN, PAGES_EACH = 32, 8
 BIN_PAGES, PRIOR_PAGES, LEAST_LABELLED, PURITY = 25, 2.0, 5, 0.8
@@ -53,12 +52,11 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return F.coalesce(*out) if out else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def first_template(path: Column, depth: int) -> Column:
+def first_template(path: Column) -> Column:
     """Segments with ids replaced by wildcards, the extension kept."""
     parts = F.array_remove(F.split(path, "/"), "")
     ids = ("^([0-9]+|[0-9a-fA-F-]{12,}|(?=.*[0-9])(?=.*[A-Za-z])[0-9A-Za-z_-]{16,})(\\.[A-Za-z]{1,5})?$", "*$2")
-    parts = F.transform(parts, lambda s: F.regexp_replace(s, *ids))
-    return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
+    return F.transform(parts, lambda s: F.regexp_replace(s, *ids))
 
 
 def share_bin(blocked: Column, labelled: Column, prior: float) -> Column:
@@ -92,22 +90,22 @@ def template_tree(leaves: DataFrame, depth: int, prior: float) -> DataFrame:
     return t
 
 
-def judge(pages: DataFrame, url: str = "url", rules: list[tuple[str, str]] = RULES, depth: int = DEPTH) -> tuple[DataFrame, str]:
+def judge(pages: DataFrame, url: str = "url", rules: list[tuple[str, str]] = RULES) -> tuple[DataFrame, str]:
     """All columns of ``pages`` plus one struct (host, path, rule, verdict, template, purity); its name is returned."""
     name, key_host, key_first = fresh(pages, "url_", "tree_host", "tree_first")
     host, path = host_and_path(col(url))
     p = pages.withColumn(name, F.struct(host.alias("host"), path.alias("path")))
     p = p.withColumn(name, F.struct(col(name)["host"].alias("host"), col(name)["path"].alias("path"),
                                     rule_of(col(name)["host"], col(name)["path"], rules).alias("rule"),
-                                    first_template(col(name)["path"], depth).alias("first")))
+                                    first_template(col(name)["path"]).alias("first")))
     of = lambda v: F.sum(F.when(F.col("v") == v, 1).otherwise(0)).alias(v)
     leaves = (p.select(col(name)["host"].alias("host"), col(name)["first"].alias("first"), col(name)["rule"]["verdict"].alias("v"))
               .groupBy("host", "first").agg(F.count(F.lit(1)).alias("pages"), of("block"), of("allow"))
               .select("host", "first", "pages", (F.col("block") + F.col("allow")).alias("labelled"), F.col("block").alias("blocked")))
     leaves = stored(leaves, "templates")
-    seen = leaves.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("n")).first()
+    seen = leaves.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("n"), F.max(F.size("first")).alias("depth")).first()
     prior = seen["b"] / seen["n"] if seen["n"] else 0.0
-    tree = template_tree(leaves, depth, prior)
+    tree = template_tree(leaves, seen["depth"] or 0, prior)
     judged = (tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
               .withColumn("purity", (F.col("blocked") + PRIOR_PAGES * prior) / (F.col("labelled") + PRIOR_PAGES))
               .withColumn("rejected", (F.col("labelled") >= LEAST_LABELLED) & (F.col("purity") >= PURITY)))

@@ -317,3 +317,11 @@ def test_archives_keep_both_payloads_of_a_repeated_page(spark):
     page = "<urn:x-page:{}>".format
     assert got == [(1, "response", "second"), (1, "revisit", page(2)), (2, "response", "first"), (3, "revisit", page(4)),
                    (3, "revisit", page(5)), (4, "response", "third"), (5, "response", "fourth")]
+
+
+def test_deep_paths_are_split_by_their_deep_segments(spark):
+    urls = [f"http://s.com/a/b/c/d/{w}/{k}" for w in ("ads", "news") for k in range(40)]
+    rules = [("block", "s.com/a/b/c/d/ads/1"), ("allow", "s.com/a/b/c/d/news/1")]
+    judged, name = U.judge(spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string"), rules=rules)
+    rows = judged.select("url", f"{name}.verdict").collect()
+    assert {(("ads" in r["url"]), r["verdict"]) for r in rows} == {(True, "block"), (False, "allow")}
