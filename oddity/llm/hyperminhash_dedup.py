@@ -24,7 +24,8 @@ class. Digests, links and labels are written to the shared folder, which cuts li
 
 Defined results: null and empty texts have an empty set and are linked with nothing; a text with
 fewer words than a shingle has its whole sequence as the only one; repeated rows are linked as
-copies; an empty table gives an empty result; any number of words per text works, as hashing is
+copies; documents without a key are linked like others, and their component is null if none of its
+documents has a key; an empty table gives an empty result; any number of words per text works, as hashing is
 done on bytes of one text at a time.
 """
 
@@ -127,9 +128,15 @@ def band_rows(percent: int) -> int:
     return max(fits, default=1)
 
 
-def digests(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(key, n, cls, registers): set size, 128-bit name of the set, HyperMinHash; both null without a set."""
+def named_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text, h): h is a hash of the text where the key is null, so that the text can be found again; else null."""
     d = docs.select(col(key).alias("key"), col(text).cast("string").alias("text"))
+    return d.withColumn("h", F.when(F.col("key").isNull(), F.xxhash64("text")))
+
+
+def digests(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """(key, h, n, cls, registers): set size, 128-bit name of the set, HyperMinHash; both null without a set."""
+    d = named_texts(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,10 +146,10 @@ def digests(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                     s = shingles(t, words)
                     out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), registers(s).tobytes()) if len(s) else (0, None, None))
                 n, cls, regs = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()),
-                                                  pa.array(regs, pa.binary())], names=["key", "n", "cls", "registers"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.binary()),
+                                                  pa.array(regs, pa.binary())], names=["key", "h", "n", "cls", "registers"])
 
-    return d.mapInArrow(run, f"key {d.schema['key'].dataType.simpleString()}, n long, cls binary, registers binary")
+    return d.mapInArrow(run, f"key {d.schema['key'].dataType.simpleString()}, h long, n long, cls binary, registers binary")
 
 
 def bands(classes: DataFrame, rows: int) -> DataFrame:
@@ -213,8 +220,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFrame) -> DataFrame:
-    """(cls, set) of the classes ``wanted`` (cls, key), from the text of one document each."""
-    d = docs.select(col(key).alias("key"), col(text).cast("string").alias("text")).join(wanted, "key").select("cls", "text")
+    """(cls, set) of the classes ``wanted`` (cls, key, h), from the text of one document each."""
+    d, w = named_texts(docs, key, text), wanted.select("cls", F.col("key").alias("of_key"), F.col("h").alias("of_h"))
+    d = d.join(w, F.col("key").eqNullSafe(F.col("of_key")) & F.col("h").eqNullSafe(F.col("of_h"))).select("cls", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,7 +263,7 @@ def link_classes(docs: DataFrame, key: str, text: str, words: int, percent: int,
     pairs = live.join(star(live), "band").where(F.col("node") != F.col("leader")).select("leader", "node").distinct()
     pairs = stored(pairs, "pairs")
     nodes = pairs.select(F.col("leader").alias("cls")).union(pairs.select("node")).distinct()
-    sets = stored(full_sets(docs, key, text, words, classes.select("cls", "key").join(nodes, "cls")), "sets")
+    sets = stored(full_sets(docs, key, text, words, classes.select("cls", "key", "h").join(nodes, "cls")), "sets")
     spokes = stored(differences(pairs, sets, percent), "spokes")
     labels = merged(labels, spokes.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")))
     # and with each other only if they differ from it in the same way
@@ -335,7 +343,7 @@ def compared(docs: DataFrame, key: str, text: str, words: int, percent: int, cla
     """The pairs that are links: estimated first, then confirmed on full sets."""
     close = stored(likely(pairs, classes, percent), "pairs")
     nodes = close.select(F.col("a").alias("cls")).union(close.select("b")).distinct()
-    sets = stored(full_sets(docs, key, text, words, classes.select("cls", "key").join(nodes, "cls")), "sets")
+    sets = stored(full_sets(docs, key, text, words, classes.select("cls", "key", "h").join(nodes, "cls")), "sets")
     return stored(verified(close, sets, percent), "links")
 
 
@@ -357,8 +365,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     """(key, n, component) for every row: size of its shingle set, least key of its component."""
     d = stored(digests(docs, key, text, words), "digests")
     full = d.where(F.col("n") > 0)
-    classes = stored(full.groupBy("cls").agg(F.min("key").alias("key"), F.first("n").alias("n"),
-                                             F.first("registers").alias("registers")), "classes")
+    classes = stored(full.groupBy("cls").agg(F.min("key").alias("key"), F.when(F.min("key").isNull(), F.min("h")).alias("h"),
+                                             F.first("n").alias("n"), F.first("registers").alias("registers")), "classes")
     labels = link_classes(docs, key, text, words, percent, classes)
     named = classes.select("cls", F.col("key").alias("least"))
     if labels is not None:

@@ -161,3 +161,12 @@ def test_leaks_in_blocks_and_empty_tables(spark):
     assert D.find_leaks(d, b).count() == 2
     assert D.find_leaks(d.limit(0), b).count() == 0 and D.find_leaks(d, b.limit(0)).count() == 0
     assert D.drop_leaks(d, b.limit(0)).count() == 2
+
+
+def test_near_copies_without_keys_are_linked(spark):
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*words, x]) for x in ("a", "b")]
+    other = " ".join(f"x{k}" for k in range(60))
+    d = spark.createDataFrame([(None, texts[0]), (None, texts[0]), (5, texts[1]), (None, other), (None, other + " y")], "doc_id long, text string")
+    rows = H.near_duplicates(d).collect()
+    assert sorted((r["key"] or 0, r["component"] or 0) for r in rows) == [(0, 0), (0, 0), (0, 5), (0, 5), (5, 5)]
