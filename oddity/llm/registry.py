@@ -8,6 +8,7 @@ from . import (
     hyperminhash_dedup,
     language_mixture,
     length_histogram,
+    periodic_runs,
     qgram_decontamination,
     quality_divergence,
     toxicity_automata,
@@ -16,6 +17,6 @@ from . import (
 )
 
 MODULES = (quality_divergence, block_mixing, external_shuffle, length_histogram, url_templates, qgram_decontamination,
-           hyperminhash_dedup, language_mixture, toxicity_automata, warc_source)
+           hyperminhash_dedup, language_mixture, toxicity_automata, warc_source, periodic_runs)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in getattr(m, "SQL", {}).items()}
