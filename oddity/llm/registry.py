@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import (
     block_mixing,
+    contextual_pii,
     conversation_trie,
     external_shuffle,
     hyperminhash_dedup,
@@ -19,6 +20,6 @@ from . import (
 
 MODULES = (quality_divergence, block_mixing, external_shuffle, length_histogram, url_templates, qgram_decontamination,
            hyperminhash_dedup, language_mixture, toxicity_automata, warc_source, periodic_runs,
-           conversation_trie)
+           conversation_trie, contextual_pii)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in getattr(m, "SQL", {}).items()}
