@@ -12,8 +12,10 @@ most ``BUCKETS`` counts a language: 256 kB each in memory, the only thing broadc
 label values, whose number does not grow with the rows.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter, or if nothing was
-learned; repeated rows are predicted alike; an empty table gives an empty result; rows with a null
-language are not learned from.
+learned; a text of any length counts whole; repeated rows are predicted alike; languages of equal
+share are ordered by name; an empty table gives an empty result; rows with a null language are not
+learned from; columns that are kept pass through, and the new ones take names that clash with none
+of them.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import col, table
+from .common import col, fresh, table
 
 BUCKETS, SMOOTHING, STEPS, LEAST_SHARE = 1 << 16, 0.5, 15, 0.02
 SLICE, LANGUAGES_HELD = 256, 64
@@ -120,9 +123,18 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang") -> Mixture |
     return Mixture({k: (np.array([x for x, _ in v]), np.array([y for _, y in v])) for k, v in counts.items()}) if counts else None
 
 
-def predict(docs: DataFrame, model: Mixture | None, keep: tuple[str, ...], text: str = "text") -> DataFrame:
-    """The columns ``keep`` plus lang_pred, score and languages (all of the mixture, with shares)."""
-    d = docs.select(*[col(c) for c in keep], col(text).cast("string").alias("text_"))
+def predict(docs: DataFrame, model: Mixture | None, keep: tuple[str, ...],
+            text: str = "text") -> tuple[DataFrame, dict[str, str]]:
+    """The columns ``keep`` plus lang_pred, score and languages (all of the mixture, with shares).
+
+    The second value maps those three to the names used, which clash with no column kept.
+    """
+    d = docs.select(*[col(c) for c in keep])
+    given = ("lang_pred", "score", "languages")
+    names = dict(zip(given, fresh(d, *given), strict=True))
+    d = docs.select(*[col(c) for c in keep], col(text).cast("string").alias(fresh(d, "text_")[0]))
+    schema = T.StructType([*d.schema.fields[:-1], *[T.StructField(names[c], t) for c, t in zip(
+        given, (T.StringType(), T.DoubleType(), T.StringType()), strict=True)]])
     shared = d.sparkSession.sparkContext.broadcast(model)
 
     def one(text: str | None) -> list[tuple[str, float]]:
@@ -136,18 +148,16 @@ def predict(docs: DataFrame, model: Mixture | None, keep: tuple[str, ...], text:
                 found = [one(t) for t in p.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*p.columns[:-1], pa.array([f[0][0] for f in found]), pa.array([min(1.0, f[0][1]) for f in found], pa.float64()),
-                     pa.array([" ".join(f"{k}:{s:.2f}" for k, s in f) for f in found])],
-                    names=[*p.schema.names[:-1], "lang_pred", "score", "languages"])
+                     pa.array([" ".join(f"{k}:{s:.2f}" for k, s in f) for f in found])], names=schema.names)
 
-    fields = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in keep)
-    return d.mapInArrow(run, f"{fields}, lang_pred string, score double, languages string")
+    return d.mapInArrow(run, schema), names
 
 
 def op2_language_mixture(spark, sf_dir):
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (part == 2).alias("held_out"))
     model = learn(docs.where(~F.col("held_out")))
-    return predict(docs.drop("lang"), model, ("doc_id", "held_out"))
+    return predict(docs.drop("lang"), model, ("doc_id", "held_out"))[0]
 
 
 QUERIES = {"op2_language_mixture": op2_language_mixture}

@@ -4,16 +4,19 @@ Each document gives two histograms: eight character classes, and the common word
 languages plus one cell for all other words. The same histograms, summed over all documents of
 a language, are that language's references. A document's distance is its Jensen-Shannon
 distance (base 2, 0 to 1) to the nearest language. Histograms of few characters or words say
-nothing, so minimum lengths guard both tests.
+nothing, so minimum lengths guard both tests, and limits widen with 1/n. Every labelled language
+has a reference of character classes; only languages with a word list have one of words, and
+documents labelled with another language take no test of words.
 
 One pass over the text and no shuffle of it: metrics and histograms are written to the shared
 folder, summed there into one row per language (with map-side combine), and judged against those
-literals. Only languages with a word list become references, so at most four rows reach the
-driver.
+literals. One row for each language reaches the driver: labels are taken to be languages, whose
+number does not grow with the rows.
 
-Defined results: a null or empty text has no words and fails the base rules; a corpus without
-any labelled language has no references, and then the base rules alone decide; null, repeated
-and clashing columns pass through unchanged; equal rows get equal verdicts.
+Defined results: a null or empty text has no words and fails the base rules; a text of any length
+is measured whole; a corpus without any labelled language has no references, and then the base
+rules alone decide; null, repeated and clashing columns pass through unchanged; equal rows get
+equal verdicts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,8 +44,8 @@ MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
 GUARD_CHARS, GUARD_WORDS = 200, 50
 #: Largest Jensen-Shannon distances of a long document. A histogram of n draws is off by chance, which adds
 #: a part in proportion to 1/n to the squared distance: so many characters and words over n.
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.2, 0.235
-CHARS_NOISE, WORDS_NOISE = 13.0, 2.6
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.2, 0.2
+CHARS_NOISE, WORDS_NOISE = 13.0, 4.0
 
 
 def repeated_words(ws: Column, window: int = WINDOW) -> Column:
@@ -125,10 +128,9 @@ def js_distance(counts: Column, reference: list[int]) -> Column:
     return F.sqrt(F.greatest(total_div, F.lit(0.0)))
 
 
-def measure(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
-    """All columns of ``docs`` plus a struct of base metrics and histograms; its name is returned."""
-    (name,) = fresh(docs, "quality")
-    t = F.coalesce(col(text), F.lit(""))
+def measures(text: Column) -> Column:
+    """Struct of base metrics and histograms of a text."""
+    t = F.coalesce(text, F.lit(""))
 
     def of(ws: Column) -> Column:
         joined = F.array_join(ws, "")
@@ -137,7 +139,7 @@ def measure(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
             repeated_lines(t).alias("n_dup_lines"), repeated_words(ws).alias("n_repeat_words"),
             class_counts(j, F.length(t) - F.length(j)).alias("classes"), word_cells(ws).alias("words")))
 
-    return docs.withColumn(name, let(words(t), of)), name
+    return let(words(t), of)
 
 
 def guards(m: Column) -> tuple[Column, Column]:
@@ -149,16 +151,19 @@ def base_failed(m: Column) -> Column:
     return (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > REPEAT_PERCENT * m["n_words"])
 
 
-def references(measured: DataFrame, name: str, lang: str = "lang") -> dict[str, dict[str, list[int]]]:
+def references(docs: DataFrame, m: Column, lang: str = "lang") -> dict[str, dict[str, list[int]]]:
     """Histograms by language, summed over all documents past base rules and guards.
 
-    At most one row for each language with a word list reaches the driver.
+    ``m`` are the measures of a row. They are bound, so that the optimizer does not repeat them for
+    each use. At most one row for each labelled language reaches the driver.
     """
-    m = col(name)
-    d = measured.where(col(lang).isin(list(COMMON_WORDS)) & ~base_failed(m) & guards(m)[0] & guards(m)[1])
-    sums = lambda part, n: F.array(*[F.sum(m[part][i]) for i in range(n)]).alias(part)
-    rows = d.groupBy(col(lang).alias("l")).agg(sums("classes", 8), sums("words", len(CELLS) + 1)).collect()
-    return {r["l"]: {"classes": list(r["classes"]), "words": list(r["words"])} for r in sorted(rows, key=lambda r: r["l"])}
+    part = let(m, lambda x: F.when(~base_failed(x) & guards(x)[0] & guards(x)[1], F.struct(x["classes"].alias("classes"),
+                                                                                           x["words"].alias("words"))))
+    d = docs.where(col(lang).isNotNull()).select(col(lang).cast("string").alias("l"), part.alias("r"))
+    sums = lambda part, n: F.array(*[F.sum(F.col(f"r.{part}")[i]) for i in range(n)]).alias(part)
+    rows = d.groupBy("l").agg(sums("classes", 8), sums("words", len(CELLS) + 1), F.count("r").alias("n")).where("n > 0").collect()
+    return {r["l"]: {"classes": list(r["classes"])} | ({"words": list(r["words"])} if r["l"] in COMMON_WORDS else {})
+            for r in sorted(rows, key=lambda r: r["l"])}
 
 
 def below(distance: Column, most: float, noise: float, n: Column) -> Column:
@@ -166,13 +171,14 @@ def below(distance: Column, most: float, noise: float, n: Column) -> Column:
     return F.coalesce(distance * distance <= most * most + noise / n, F.lit(True))
 
 
-def verdict(m: Column, refs: dict[str, dict[str, list[int]]]) -> Column:
+def verdict(m: Column, refs: dict[str, dict[str, list[int]]], lang: Column) -> Column:
     """Struct of base metrics, distances to the nearest language and verdict."""
     def near(part: str, enough: Column) -> Column:
-        each = [js_distance(m[part], r[part]) for r in refs.values()]
+        each = [js_distance(m[part], r[part]) for r in refs.values() if part in r]
         return F.when(enough, F.least(*each) if len(each) > 1 else each[0]) if each else F.lit(None).cast("double")
 
     by_chars, by_words = guards(m)
+    by_words &= lang.isNull() | lang.cast("string").isin(list(COMMON_WORDS))
     return let(F.struct(near("classes", by_chars).alias("class_distance"), near("words", by_words).alias("word_distance")),
                lambda x: F.struct(
         m["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), m["classes"][4].alias("n_symbols"),
@@ -188,11 +194,11 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[st
 
     The measured rows are written once to the shared folder, so texts are scanned once.
     """
-    measured, name = measure(docs, text)
     kept = docs.columns if keep is None else keep
-    measured = stored(measured.select(*[col(c) for c in dict.fromkeys([*kept, lang])], col(name)), "quality")
-    return measured.withColumn(name, verdict(col(name), references(measured, name, lang))).select(
-        *[col(c) for c in kept], col(name)), name
+    name, label = fresh(docs, "quality", "label_")
+    measured = stored(docs.select(*[col(c) for c in kept], col(lang).alias(label), measures(col(text)).alias(name)), "quality")
+    refs = references(measured, col(name), label)
+    return measured.withColumn(name, verdict(col(name), refs, col(label))).select(*[col(c) for c in kept], col(name)), name
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -200,9 +206,9 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
 
     Texts are scanned twice, for the references and for the verdicts, so that none is written.
     """
-    measured, name = measure(docs, text)
-    kept = measured.where(verdict(col(name), references(measured, name, lang))["kept"])
-    return kept.select(*[col(c) for c in docs.columns])
+    m = measures(col(text))
+    refs = references(docs, m, lang)
+    return docs.where(let(m, lambda x: verdict(x, refs, col(lang)))["kept"])
 
 
 def op1_quality_divergence(spark, sf_dir):
@@ -219,6 +225,7 @@ def oracle() -> str:
     rest = "length(j) - length(regexp_replace(j, '{}', '', 'g'))"
     classes = [rest.format(p.replace("'", "''")) for p in CLASSES]
     word = "len(list_filter(ws, lambda x: x = '{}'))"
+    listed = f"lang IN ({', '.join(repr(x) for x in COMMON_WORDS)})"
     return rf"""WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''),
   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 b AS (SELECT *, len(ws) AS n, array_to_string(ws, '') AS j, list_filter(string_split(t, chr(10)),
@@ -233,7 +240,7 @@ m AS (SELECT b.doc_id, lang, n AS n_words, length(j) AS word_chars, {classes[4]}
 k AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM m),
 h AS (SELECT doc_id, 0 AS part, unnest(range(1, 9)) AS cell, unnest(list_append(cs, word_chars - list_sum(cs[1:6]))) AS v FROM k
   UNION ALL SELECT doc_id, 1, unnest(range(1, {len(CELLS) + 2})), unnest(list_append(wc, n_words - list_sum(wc))) FROM k),
-f AS (SELECT lang, part, cell, sum(v) AS v FROM h JOIN k USING (doc_id) WHERE lang IN ({", ".join(f"'{x}'" for x in COMMON_WORDS)})
+f AS (SELECT lang, part, cell, sum(v) AS v FROM h JOIN k USING (doc_id) WHERE lang IS NOT NULL AND (part = 0 OR {listed})
   AND NOT base_failed AND chars >= {GUARD_CHARS} AND n_words >= {GUARD_WORDS} GROUP BY ALL),
 q AS (SELECT lang, part, cell, v / sum(v) OVER (PARTITION BY lang, part) AS q FROM f),
 p AS (SELECT doc_id, part, cell, v / sum(v) OVER (PARTITION BY doc_id, part) AS p FROM h),
@@ -243,7 +250,7 @@ s AS (SELECT doc_id, min(js) FILTER (WHERE part = 0) AS c, min(js) FILTER (WHERE
 SELECT k.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   NOT base_failed AND coalesce(chars < {GUARD_CHARS} OR c <= {MAX_CLASS_DISTANCE ** 2!r} + {CHARS_NOISE} / chars, true)
-  AND coalesce(n_words < {GUARD_WORDS} OR w <= {MAX_WORD_DISTANCE ** 2!r} + {WORDS_NOISE} / n_words, true) AS kept
+  AND coalesce(n_words < {GUARD_WORDS} OR NOT coalesce({listed}, true) OR w <= {MAX_WORD_DISTANCE ** 2!r} + {WORDS_NOISE} / n_words, true) AS kept
 FROM k LEFT JOIN s USING (doc_id)"""
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from oddity.llm import language_mixture as L
@@ -66,6 +68,23 @@ def test_quality_keeps_prose_and_drops_symbols(spark):
     assert bad == 0 and symbols == 0 and good <= 2
 
 
+def test_texts_are_measured_once_in_the_plan(spark):
+    docs = table(spark, SF001, "documents")
+    plan = Q.keep_good(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 3 and plan.count("regexp_replace(") <= len(Q.CLASSES)
+
+
+def test_a_language_without_a_word_list_is_judged_by_its_own_classes(spark):
+    rnd = random.Random(2)
+    prose = lambda letters: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randrange(2, 9))) for _ in range(150)) + "."
+    rows = [(k, prose("абвгдежзиклмнопрстуя"), "ru", 1) for k in range(20)] + [(k, prose("etaoinshrdlu"), "en", 2) for k in range(20, 40)]
+    d = spark.createDataFrame([*rows, (40, "%&# $* " * 150, "ru", 3)], "doc_id long, text string, lang string, label_ int")
+    kept = {r["doc_id"] for r in Q.keep_good(d).collect()}
+    judged, name = Q.judge(d)
+    assert set(range(20)) <= kept and 40 not in kept and judged.columns == [*d.columns, name]
+    assert {r["doc_id"] for r in judged.where(f"{name}.kept").collect()} == kept
+
+
 def test_quality_of_an_empty_table_and_without_languages(spark):
     d = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert Q.keep_good(d).count() == 0
@@ -95,15 +114,48 @@ def test_language_mixture_and_odd_rows(spark):
     by = {k: " ".join(r["text"] for r in docs.where(F.col("lang") == k).limit(6).collect())[:3000] for k in ("en", "de")}
     d = spark.createDataFrame([(1, by["en"] + " " + by["de"]), (2, None), (3, ""), (4, "12 34 !"), (5, by["de"]), (5, by["de"]),
                                (6, by["en"] * 100)], "score long, text string")
-    rows = L.predict(d, model, ("score",)).toDF("id", "lang_pred", "score", "languages").collect()
+    out, names = L.predict(d, model, ("score",))
+    assert out.columns == ["score", "lang_pred", "_score", "languages"] and names["score"] == "_score"
+    rows = out.toDF("id", "lang_pred", "score", "languages").collect()
     got = {r["id"]: r for r in rows}
     assert len(rows) == 7 and {x.split(":")[0] for x in got[1]["languages"].split()} == {"en", "de"} and 0.3 < got[1]["score"] < 0.7
     assert [got[k]["lang_pred"] for k in (2, 3, 4)] == ["und"] * 3 and got[2]["score"] == 0
     assert got[5]["lang_pred"] == "de" and got[6]["lang_pred"] == "en"
 
 
+def test_inference_equals_a_plain_computation():
+    rnd = random.Random(4)
+    letters = {"aa": "etaoin", "bb": "xyzwqk", "cc": "etxyao"}
+    word = lambda k: "".join(rnd.choice(letters[k]) for _ in range(rnd.randrange(2, 8)))
+    texts = {k: " ".join(word(k) for _ in range(400)) for k in letters}
+    counts = {k: Counter(L.cells(t).tolist()) for k, t in texts.items()}
+    model = L.Mixture({k: (np.array(list(c)), np.array(list(c.values()))) for k, c in counts.items()})
+    logs = {k: [math.log((c.get(x, 0) + L.SMOOTHING) / (sum(c.values()) + L.SMOOTHING * L.BUCKETS)) for x in range(L.BUCKETS)]
+            for k, c in counts.items()}
+
+    def em(n, langs):
+        pi = {k: 1 / len(langs) for k in langs}
+        for _ in range(L.STEPS):
+            new = dict.fromkeys(langs, 0.0)
+            for x, c in n.items():
+                p = {k: pi[k] * math.exp(logs[k][x]) for k in langs}
+                for k in langs:
+                    new[k] += c * p[k] / sum(p.values())
+            pi = {k: v / sum(n.values()) for k, v in new.items()}
+        return pi, sum(c * math.log(sum(pi[k] * math.exp(logs[k][x]) for k in langs)) for x, c in n.items())
+
+    for langs in (("aa",), ("bb",), ("aa", "bb"), ("aa", "cc"), ("aa", "bb", "cc")):
+        text = " ".join(word(rnd.choice(langs)) for _ in range(60))
+        n = Counter(L.cells(text).tolist())
+        order = [k for k in sorted(letters, key=lambda k: -em(n, sorted(letters))[0][k]) if em(n, sorted(letters))[0][k] >= L.LEAST_SHARE]
+        values = [em(n, order[:size])[1] / 3 - 0.5 * (2 * size - 1) * math.log(max(sum(n.values()) / 3, 2)) for size in range(1, len(order) + 1)]
+        size = next((k for k in range(1, len(values)) if values[k] <= values[k - 1]), len(values))
+        want, got = em(n, order[:size])[0], model.infer(L.cells(text))
+        assert {k for k, _ in got} == set(want) and all(abs(s - want[k]) < 1e-4 for k, s in got)
+
+
 def test_language_without_training_rows(spark):
     d = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert L.learn(d) is None
-    assert L.predict(d, None, ("doc_id",)).first()["lang_pred"] == "und"
-    assert L.predict(d.limit(0), None, ("doc_id",)).count() == 0
+    assert L.predict(d, None, ("doc_id",))[0].first()["lang_pred"] == "und"
+    assert L.predict(d.limit(0), None, ("doc_id",))[0].count() == 0
