@@ -47,52 +47,6 @@ def to_number(c: Column) -> Column:
     return parse_cleaned_number(clean_numeric_text(c))
 
 
-# Date text formats tried in order against the first non-null value of a
-# column; the chosen format then applies to every value, as pandas does when
-# it infers the format from the first element.
-DATE_FORMATS = (
-    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd", "%Y-%m-%d"),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S"),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", "yyyy-MM-dd HH:mm", "%Y-%m-%d %H:%M"),
-    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd", "%Y/%m/%d"),
-    (r"^\d{2}\.\d{2}\.\d{4}$", "dd.MM.yyyy", "%d.%m.%Y"),
-    (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy", "%m/%d/%Y"),
-    (r"^\d{4}-\d{2}$", "yyyy-MM", "%Y-%m"),
-    (r"^\d{4}$", "yyyy", "%Y"),
-)
-
-
-def pick_date_format(first_value: str | None) -> str | None:
-    """Spark datetime pattern for a sample value, or None if no known format fits."""
-    if first_value is None:
-        return None
-    v = str(first_value).strip()
-    for pattern, java_fmt, _ in DATE_FORMATS:
-        if re.match(pattern, v):
-            return java_fmt
-    return None
-
-
-def to_timestamp_with(c: Column, java_fmt: str | None) -> Column:
-    """Parse text with a fixed format; text that does not fit is null (never an error)."""
-    s = F.trim(c.cast("string"))
-    if java_fmt is None:
-        return any_date_format(s)
-    pattern = next(p for p, j, _ in DATE_FORMATS if j == java_fmt)
-    return F.when(s.rlike(pattern), F.try_to_timestamp(s, F.lit(java_fmt)))
-
-
-def any_date_format(s: Column) -> Column:
-    """The first known format whose shape the value has (used when the first value fits none)."""
-    out = None
-    for pattern, j, _ in DATE_FORMATS:
-        cond = s.rlike(pattern)
-        parsed = F.try_to_timestamp(s, F.lit(j))
-        out = F.when(cond, parsed) if out is None else out.when(cond, parsed)
-    return out
-
-
 # The characters Python's str.split() / str.strip() treat as whitespace, written
 # so that both Java and RE2 regular expressions read them the same way.
 PY_WHITESPACE = (r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
@@ -118,18 +72,6 @@ def is_id_kind_name(name: str) -> bool:
     return re.search(K.ID_KIND_NAME_RE, str(name).lower()) is not None
 
 
-def is_id_select_name(name: str) -> bool:
-    return re.search(K.ID_SELECT_NAME_RE, str(name), re.IGNORECASE) is not None
-
-
-def has_control_char(c: Column) -> Column:
-    return c.cast("string").rlike(K.CONTROL_CHAR_RE)
-
-
-def digits_only(c: Column) -> Column:
-    return c.cast("string").rlike(K.DIGITS_ONLY_RE)
-
-
 def contains_any_token(c: Column, tokens) -> Column:
     """Upper-cased text contains any of ``tokens`` (plain substrings)."""
     up = F.upper(c.cast("string"))
@@ -137,7 +79,3 @@ def contains_any_token(c: Column, tokens) -> Column:
     for t in tokens:
         expr = expr | F.contains(up, F.lit(t))
     return expr
-
-
-def round6(c: Column) -> Column:
-    return F.round(c, 6)

@@ -13,38 +13,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.expressions import (DATE_FORMATS, any_date_format, clean_numeric_text, is_id_kind_name,
-                                     name_has_hint, parse_cleaned_number, pick_date_format, py_strip,
-                                     to_number, to_timestamp_with)
+from ..functions.dates import infer_format, is_date_text, parse_each, parse_with, to_timestamp
+from ..functions.expressions import (clean_numeric_text, is_id_kind_name, name_has_hint, parse_cleaned_number,
+                                     py_strip, to_number)
 from .profile import (catalog_frame, column_stats, data_columns, first_non_null,
                       is_datetime_type, is_numeric_type)
 
 
-def date_format_of(first_value: Column) -> Column:
-    """Spark datetime pattern chosen from a column's first value (null: none fits)."""
-    expr = None
-    for pattern, java_fmt, _ in DATE_FORMATS:
-        cond = F.trim(first_value).rlike(pattern)
-        expr = F.when(cond, F.lit(java_fmt)) if expr is None else expr.when(cond, F.lit(java_fmt))
-    return expr
+def date_shares(sample: DataFrame, least_digit_share: float = 0.0) -> DataFrame:
+    """(column, n_dates): values of the long sample (column, rn, value) that parse as dates.
 
-
-def parse_with_format_column(value: Column, fmt: Column) -> Column:
-    s = F.trim(value)
-    out = None
-    for pattern, j, _ in DATE_FORMATS:
-        cond = (fmt == F.lit(j)) & s.rlike(pattern)
-        parsed = F.try_to_timestamp(s, F.lit(j))
-        out = F.when(cond, parsed) if out is None else out.when(cond, parsed)
-    return F.when(fmt.isNotNull(), out).otherwise(any_date_format(s))
+    Each column has the format that its first value shows; the values that the formats are taken
+    from, one a column, come to the driver. A column without a format is read value by value, one
+    with digits in too few of its values not at all.
+    """
+    dated = F.when(is_date_text(F.col("value")), F.col("rn"))
+    rows = sample.groupBy("column").agg(F.min_by("value", dated).alias("first"),
+                                        F.avg(F.col("value").rlike(r"\d").cast("double")).alias("digits")).collect()
+    firsts = {r["column"]: r["first"] for r in rows if r["first"] is not None and r["digits"] >= least_digit_share}
+    by_format: dict = {}
+    for c, first in sorted(firsts.items()):
+        by_format.setdefault(infer_format(first), []).append(c)
+    free = by_format.pop(None, [])
+    parts = []
+    if by_format:
+        parsed = F.coalesce(*[F.when(F.col("column").isin(cs), parse_with(F.col("value"), fmt)) for fmt, cs in by_format.items()])
+        parts.append(sample.where(F.col("column").isin([c for cs in by_format.values() for c in cs])).select("column", parsed.alias("t")))
+    if free:
+        parts.append(sample.where(F.col("column").isin(free)).select("column", parse_each(F.col("value")).alias("t")))
+    if not parts:
+        return sample.groupBy("column").agg(F.lit(0).cast("long").alias("n_dates"))
+    return reduce(DataFrame.union, parts).groupBy("column").agg(F.count("t").alias("n_dates"))
 
 
 def first_values(df: DataFrame, columns: list[str], row_id: str = "row_id") -> dict:
-    """First non-null value of each column (one small aggregate; one value per column)."""
+    """First value of each column that is not missing as date text (one small aggregate; one value per column)."""
     if not columns:
         return {}
-    row = df.agg(*[F.min_by(F.col(c).cast("string"), F.when(F.col(c).isNotNull(), F.col(row_id)))
-                   .alias(c) for c in columns]).first()
+    text = lambda c: F.col(c).cast("string")
+    row = df.agg(*[F.min_by(text(c), F.when(is_date_text(text(c)), F.col(row_id))).alias(c) for c in columns]).first()
     return row.asDict()
 
 
@@ -122,7 +129,9 @@ def coerce_datetime(df: DataFrame, columns: list[str], row_id: str = "row_id"):
     firsts = first_values(df, text_cols, row_id)
 
     def convert(d, c):
-        return to_timestamp_with(F.col(c), pick_date_format(firsts.get(c)))
+        if is_numeric_type(d.schema[c].dataType):  # nanoseconds since 1970
+            return F.timestamp_micros(F.floor(F.col(c) / 1000))
+        return to_timestamp(F.col(c), firsts.get(c))
     return coerce_report(df, columns, convert, is_datetime_type, row_id)
 
 
@@ -140,16 +149,11 @@ def content_tests(df: DataFrame, columns: list[str] | None = None, row_id: str =
         F.avg(raw.rlike(r"^0\d").cast("double")).alias("leading_zero_share"),
         F.count_distinct(F.length(raw)).alias("n_lengths"),
         F.min_by(F.length(raw), F.col("rn")).alias("first_length"),
-        F.min_by(F.col("value"), F.col("rn")).alias("first_value"),
         F.sum(in200.cast("long")).alias("n200"),
         F.sum((in200 & F.col("value").rlike(r"\d")).cast("long")).alias("n200_digit"),
     )
     # second pass over the <=200 rows per column: parse with the column's format
-    fmt = sample.groupBy("column").agg(date_format_of(F.min_by(F.col("value"), F.col("rn"))).alias("fmt"))
-    parsed = (sample.filter(in200).join(F.broadcast(fmt), "column")
-              .groupBy("column")
-              .agg(F.count(parse_with_format_column(F.col("value"), F.col("fmt"))).alias("n200_parse")))
-    t = agg.join(parsed, "column", "left")
+    t = agg.join(date_shares(sample.filter(in200), 0.5), "column", "left")
     parse_share = F.col("n_parse") / F.col("n500")
     looks_numeric = F.when(parse_share < K.NUMERIC_CONTENT_SHARE, F.lit(False)) \
         .when((F.col("decimal_share") > 0.05) | F.col("any_negative"), F.lit(True)) \
@@ -157,7 +161,7 @@ def content_tests(df: DataFrame, columns: list[str] | None = None, row_id: str =
               | ((F.col("n_lengths") <= 2) & (F.col("first_length") >= 4)), F.lit(False)) \
         .otherwise(F.lit(True))
     looks_datetime = (F.col("n200_digit") / F.col("n200") >= 0.5) & \
-        (F.coalesce(F.col("n200_parse"), F.lit(0)) / F.col("n200") >= K.DATETIME_CONTENT_SHARE)
+        (F.coalesce(F.col("n_dates"), F.lit(0)) / F.col("n200") >= K.DATETIME_CONTENT_SHARE)
     return t.select("column", looks_numeric.alias("looks_numeric"), looks_datetime.alias("looks_datetime"))
 
 
@@ -219,10 +223,9 @@ def column_type_split(df: DataFrame, row_id: str = "row_id") -> DataFrame:
                  and not is_datetime_type(df.schema[c].dataType)]
     if text_cols:
         sample = first_non_null(df, text_cols, K.TYPE_SPLIT_SAMPLE, row_id)
-        fmt = sample.groupBy("column").agg(date_format_of(F.min_by(F.col("value"), F.col("rn"))).alias("fmt"))
-        share = (sample.join(F.broadcast(fmt), "column").groupBy("column")
-                 .agg((F.count(parse_with_format_column(F.col("value"), F.col("fmt")))
-                       / F.count(F.lit(1))).alias("dt_share")))
+        counts = sample.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+        share = counts.join(date_shares(sample), "column", "left").select(
+            "column", (F.coalesce("n_dates", F.lit(0)) / F.col("n")).alias("dt_share"))
         cat = cat.join(share, "column", "left")
     else:
         cat = cat.withColumn("dt_share", F.lit(None).cast("double"))

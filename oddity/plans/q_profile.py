@@ -8,8 +8,9 @@ from ..functions import constants as K
 from ..functions.expressions import PY_WHITESPACE, clean_numeric_text, is_id_kind_name, name_has_hint
 from ..operators import kinds as KD
 from ..operators import profile as PF
-from .views import (DIRTY_TEXT_COLUMNS, SQL_DATE_TEXT, SQL_DIRTY, date_text, dirty_orders, keyed, load,
-                    sql_clean, sql_date_format_of, sql_parse, sql_parse_date, with_ctes)
+from .views import (DIRTY_TEXT_COLUMNS, FORMAT_COLUMNS, SQL_DATE_FORMATS, SQL_DATE_TEXT, SQL_DIRTY,
+                    SQL_READ_FORMATS, date_formats, date_text, dirty_orders, keyed, load,
+                    sql_clean, sql_parse, with_ctes)
 
 QUERIES, SQL = {}, {}
 
@@ -33,7 +34,7 @@ def sql_strip(x: str) -> str:
 
 def sql_unpivot(table: str, key: str, cols: list[str]) -> str:
     return "\n  UNION ALL ".join(
-        f"SELECT {key} AS rid, '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM {table}" for c in cols)
+        f"SELECT {key} AS rid, '{c.strip(chr(34))}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM {table}" for c in cols)
 
 
 DIRTY_ALL = ["o_orderkey"] + DIRTY_TEXT_COLUMNS
@@ -51,7 +52,16 @@ def sql_meta(cols: list[str], types: dict, preset_hints=()) -> str:
             ") AS m(position, \"column\", is_num, is_dt, hint_num, hint_dt, id_name, hint_preset))")
 
 
-def sql_content_ctes(table: str, key: str, cols: list[str]) -> list[str]:
+#: Of the text columns of the dirty view one holds dates; few values of the others read as one (day or year numbers).
+DIRTY_DATES = {"order_date": "try_strptime(value, '%Y-%m-%d')"}
+
+
+def sql_dates(dates: dict) -> str:
+    """CASE reading a value of the long form as a date, by column; other columns hold none."""
+    return "(CASE " + " ".join(f"WHEN \"column\" = '{c}' THEN {e}" for c, e in dates.items()) + " END)"
+
+
+def sql_content_ctes(table: str, key: str, cols: list[str], dates: dict = DIRTY_DATES) -> list[str]:
     """CTEs s500 (first 500 non-null per column) and ct (looks_numeric, looks_datetime)."""
     strip_v = sql_strip("value")
     return [
@@ -66,12 +76,9 @@ def sql_content_ctes(table: str, key: str, cols: list[str]) -> list[str]:
             count(DISTINCT length({strip_v})) AS n_len,
             arg_min(length({strip_v}), rn) AS first_len,
             sum(CASE WHEN rn <= 200 THEN 1 ELSE 0 END) AS n200,
-            sum(CASE WHEN rn <= 200 AND regexp_matches(value, '\\d') THEN 1 ELSE 0 END) AS n200_digit,
-            arg_min(value, rn) AS first_value
+            sum(CASE WHEN rn <= 200 AND regexp_matches(value, '\\d') THEN 1 ELSE 0 END) AS n200_digit
           FROM s500 GROUP BY "column")""",
-        f"fmt AS (SELECT \"column\", {sql_date_format_of('first_value')} AS fmt FROM agg)",
-        f"""dp AS (SELECT s500."column", count({sql_parse_date('s500.value', 'fmt.fmt')}) AS n200_parse
-          FROM s500 JOIN fmt ON s500."column" = fmt."column" WHERE rn <= 200 GROUP BY s500."column")""",
+        f"""dp AS (SELECT "column", count({sql_dates(dates)}) AS n200_parse FROM s500 WHERE rn <= 200 GROUP BY "column")""",
         """ct AS (SELECT agg."column",
             CASE WHEN n_parse / n500 < 0.85 THEN false
                  WHEN dec_share > 0.05 OR any_neg THEN true
@@ -138,20 +145,32 @@ def numeric_coerce_report(spark, sf):
 
 
 # ------------------------------------------------------------------------- T3
-_FIRST_DATE = "(SELECT order_date_text FROM date_text WHERE order_date_text IS NOT NULL ORDER BY o_orderkey LIMIT 1)"
-
-
 @register("datetime_coerce_report", with_ctes(
-    SQL_DATE_TEXT,
-    f"f AS (SELECT {sql_date_format_of(_FIRST_DATE)} AS fmt)",
-    f"x AS (SELECT o_orderkey AS rid, order_date_text AS orig, "
-    f"{sql_parse_date('order_date_text', 'f.fmt')} AS newv FROM date_text, f)")
+    SQL_DATE_TEXT, "x AS (SELECT o_orderkey AS rid, order_date_text AS orig, try_strptime(order_date_text, '%Y-%m-%d') AS newv FROM date_text)")
     + _SQL_REPORT.format(col="order_date_text", x="x"))
 def datetime_coerce_report(spark, sf):
     _, rep = KD.coerce_datetime(date_text(spark, sf), ["order_date_text"])
     return rep
 
 
+@register("datetime_formats_report", with_ctes(
+    SQL_DATE_FORMATS, *[f"x_{c} AS (SELECT rid, orig, {e} AS newv FROM (SELECT o_orderkey AS rid, \"{c}\" AS orig, \"{c}\" AS value FROM df) q)"
+                        for c, e in SQL_READ_FORMATS.items()])
+    + "\n UNION ALL ".join(_SQL_REPORT.format(col=c, x=f"x_{c}") for c in FORMAT_COLUMNS))
+def datetime_formats_report(spark, sf):
+    """T3 on eleven formats: month or day first, names of months, fractions, offsets, compact digits, none at all."""
+    _, rep = KD.coerce_datetime(date_formats(spark, sf), FORMAT_COLUMNS)
+    return rep
+
+
+@register("datetime_formats_values", with_ctes(SQL_DATE_FORMATS) + "SELECT o_orderkey, " + ", ".join(
+    f"strftime((SELECT {e} FROM (SELECT \"{c}\" AS value) v), '%Y-%m-%d %H:%M:%S.%g') AS \"{c}\"" for c, e in SQL_READ_FORMATS.items())
+    + " FROM df")
+def datetime_formats_values(spark, sf):
+    typed, _ = KD.coerce_datetime(date_formats(spark, sf), FORMAT_COLUMNS)
+    return typed.select("o_orderkey", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSS").alias(c) for c in FORMAT_COLUMNS])
+
+
 # ------------------------------------------------------------------------- T4/T5
 @register("content_kind_tests", with_ctes(SQL_DIRTY, *sql_content_ctes("dirty", "o_orderkey", DIRTY_TEXT_COLUMNS))
           + 'SELECT "column", looks_numeric, looks_datetime FROM ct')
@@ -159,6 +178,12 @@ def content_kind_tests(spark, sf):
     return KD.content_tests(_dirty(spark, sf), DIRTY_TEXT_COLUMNS)
 
 
+@register("content_kind_formats", with_ctes(SQL_DATE_FORMATS, *sql_content_ctes(
+    "df", "o_orderkey", [f'"{c}"' for c in FORMAT_COLUMNS], SQL_READ_FORMATS)) + 'SELECT "column", looks_numeric, looks_datetime FROM ct')
+def content_kind_formats(spark, sf):
+    return KD.content_tests(date_formats(spark, sf), FORMAT_COLUMNS)
+
+
 # ------------------------------------------------------------------------- T6
 @register("kind_inference", with_ctes(SQL_DIRTY, *sql_kinds_ctes("dirty", "o_orderkey", DIRTY_ALL, DIRTY_TYPES))
           + 'SELECT position, "column", kind FROM kinds')
@@ -196,9 +221,7 @@ def apply_kinds(spark, sf):
     SQL_DIRTY, sql_meta(DIRTY_ALL, DIRTY_TYPES), f"lng AS ({sql_unpivot('dirty', 'o_orderkey', DIRTY_TEXT_COLUMNS)})",
     "s50 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY \"column\" ORDER BY rid) AS rn "
     "FROM lng WHERE value IS NOT NULL) q WHERE rn <= 50)",
-    f"fmt AS (SELECT \"column\", {sql_date_format_of('arg_min(value, rn)')} AS fmt FROM s50 GROUP BY \"column\")",
-    f"share AS (SELECT s50.\"column\", count({sql_parse_date('s50.value', 'fmt.fmt')}) / count(*) AS dt_share "
-    f"FROM s50 JOIN fmt ON s50.\"column\" = fmt.\"column\" GROUP BY s50.\"column\")")
+    f"share AS (SELECT \"column\", count({sql_dates(DIRTY_DATES)}) / count(*) AS dt_share FROM s50 GROUP BY \"column\")")
     + """SELECT position, meta."column", CASE WHEN is_num THEN 'numeric' WHEN is_dt THEN 'datetime'
            WHEN coalesce(dt_share, 0) > 0.8 THEN 'datetime' ELSE 'categorical' END AS type_group
          FROM meta LEFT JOIN share ON meta."column" = share."column\"""")
@@ -206,6 +229,15 @@ def column_type_split(spark, sf):
     return KD.column_type_split(_dirty(spark, sf))
 
 
+@register("column_type_split_formats", with_ctes(
+    SQL_DATE_FORMATS, f"lng AS ({sql_unpivot('df', 'o_orderkey', [chr(34) + c + chr(34) for c in FORMAT_COLUMNS])})",
+    "s50 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY \"column\" ORDER BY rid) AS rn FROM lng) q WHERE rn <= 50)")
+    + f"""SELECT "column", CASE WHEN count({sql_dates(SQL_READ_FORMATS)}) / count(*) > 0.8 THEN 'datetime' ELSE 'categorical' END
+          AS type_group FROM s50 GROUP BY "column\"""")
+def column_type_split_formats(spark, sf):
+    return KD.column_type_split(date_formats(spark, sf).drop("o_orderkey")).drop("position")
+
+
 # ------------------------------------------------------------------------- P1
 @register("dataset_metrics", with_ctes(SQL_DIRTY) + "SELECT count(*) AS n_rows, 6 AS n_columns, CAST(" +
           " + ".join(f"(count(*) - count({c}))" for c in DIRTY_ALL) + " AS BIGINT) AS missing_cells FROM dirty")
@@ -236,7 +268,7 @@ def kind_review(spark, sf):
 @register("conversion_report", with_ctes(
     SQL_DIRTY,
     f"x AS (SELECT o_orderkey AS rid, price_text AS orig, {sql_parse(sql_clean('price_text'))} AS newv FROM dirty)",
-    f"y AS (SELECT o_orderkey AS rid, order_date AS orig, {sql_parse_date('order_date', "'%Y-%m-%d'")} AS newv "
+    f"y AS (SELECT o_orderkey AS rid, order_date AS orig, try_strptime(order_date, '%Y-%m-%d') AS newv "
     f"FROM dirty)",
     "rep AS (" + _SQL_REPORT.format(col="price_text", x="x") + " UNION ALL "
     + _SQL_REPORT.format(col="order_date", x="y") + ")")

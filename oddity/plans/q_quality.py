@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.expressions import PY_WHITESPACE
 from ..operators import quality as QC
-from .views import (SQL_CUSTOMER_RULES, SQL_DATE_TEXT, SQL_DIRTY, customer_rules, date_text, dirty_orders,
-                    keyed, load, sql_parse, sql_parse_date, with_ctes)
+from .views import (FORMAT_COLUMNS, SQL_CUSTOMER_RULES, SQL_DATE_FORMATS, SQL_DATE_TEXT, SQL_DIRTY, SQL_READ_FORMATS,
+                    customer_rules, date_formats, date_text, dirty_orders, keyed, load, sql_parse, with_ctes)
 
 QUERIES, SQL = {}, {}
 FINANCE = "İşlem / Finans Verisi"
@@ -104,18 +103,24 @@ def dq_required(spark, sf):
 
 
 # ------------------------------------------------------------------------- Q6
-_FIRST = "(SELECT order_date_text FROM date_text WHERE order_date_text IS NOT NULL ORDER BY o_orderkey LIMIT 1)"
-
-
 @register("dq_parse_date", with_ctes(SQL_DATE_TEXT)
-          + f"SELECT o_orderkey, order_date_text FROM date_text WHERE order_date_text IS NOT NULL AND "
-            + sql_parse_date("order_date_text", "'%Y-%m-%d'") + " IS NULL")
+          + "SELECT o_orderkey, order_date_text FROM date_text WHERE order_date_text IS NOT NULL AND "
+            "try_strptime(order_date_text, '%Y-%m-%d') IS NULL")
 def dq_parse_date(spark, sf):
     d = date_text(spark, sf)
     h = hits(d, ["o_orderkey"], {K.RULE_BAD_DATE}, kinds={"order_date_text": K.KIND_DATETIME})
     return h.join(d.select("o_orderkey", "order_date_text"), "o_orderkey").select("o_orderkey", "order_date_text")
 
 
+@register("dq_parse_date_formats", with_ctes(SQL_DATE_FORMATS) + "\n UNION ALL ".join(
+    f"SELECT o_orderkey, '{c}' AS \"column\" FROM (SELECT o_orderkey, \"{c}\" AS value FROM df) q WHERE {e} IS NULL"
+    for c, e in SQL_READ_FORMATS.items()))
+def dq_parse_date_formats(spark, sf):
+    """Q6 over eleven formats: the rows and columns whose text is not a date of the column's format."""
+    kinds = dict.fromkeys(FORMAT_COLUMNS, K.KIND_DATETIME)
+    return hits(date_formats(spark, sf), ["o_orderkey"], {K.RULE_BAD_DATE}, kinds=kinds).select("o_orderkey", "column")
+
+
 # ------------------------------------------------------------------------- Q7, Q8
 @register("dq_future_date",
           f"SELECT o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '{AS_OF}' + INTERVAL 3650 DAY")

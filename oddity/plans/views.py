@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.expressions import DATE_FORMATS, NUMBER_TEXT_RE
+from ..functions.expressions import NUMBER_TEXT_RE
 
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -68,6 +68,66 @@ SQL_DATE_TEXT = r"""date_text AS (
                           ELSE strftime(o_orderdate, '%Y-%m-%d') END AS order_date_text FROM orders)"""
 
 
+# ---------------------------------------------------------------- dates in many formats
+def date_formats(spark: SparkSession, sf: str) -> DataFrame:
+    """orders with their date as text in eleven formats, a part of each spoilt or in another format."""
+    o = load(spark, sf, "orders")
+    k = F.col("o_orderkey").cast("long")
+    seconds = (k % 24) * 3600 + (k % 60) * 60 + k % 59
+    t = F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + seconds)
+    f = lambda pattern: F.date_format(t, pattern)
+    first = F.lit(o.agg(F.min("o_orderkey")).first()[0])
+    return o.select(
+        k.alias("row_id"), "o_orderkey",
+        F.when(k % 7 == 3, f("yyyy-MM-dd HH:mm:ss")).otherwise(f("yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("iso_zone"),
+        F.concat(f("yyyy-MM-dd HH:mm:ss"), F.lit("."), F.lpad((k % 1000).cast("string"), 3, "0")).alias("millis"),
+        F.when(k % 9 == 4, f("dd/MM/yyyy")).otherwise(f("MM/dd/yyyy")).alias("slashes"), f("dd.MM.yyyy").alias("dots"),
+        F.when(k % 5 == 2, f("'Foo' dd, yyyy")).otherwise(f("MMM dd, yyyy")).alias("short_month"), f("dd MMMM yyyy").alias("long_month"),
+        F.when(k % 11 == 2, f("'x'yyyyMMdd")).otherwise(f("yyyyMMdd")).alias("compact"), f("yyyy-MM-dd HH:mm:ss'+03:00'").alias("offset"),
+        F.when(k % 13 == 6, f("MM/dd/yyyy HH:mm")).otherwise(f("MM/dd/yyyy hh:mm a")).alias("half_days"),
+        F.when(k % 4 == 1, F.lit("NaT")).otherwise(f("dd-MM-yyyy")).alias("dashes"),
+        F.when(k == first, F.lit("unknown")).when(k % 3 == 0, f("MMMM d, yyyy")).when(k % 3 == 1, f("yyyy-MM-dd")).otherwise(F.lit("n/a"))
+        .alias("mixed"))
+
+
+SQL_DATE_FORMATS = """df AS (SELECT o_orderkey,
+    CASE WHEN k % 7 = 3 THEN strftime(t, '%Y-%m-%d %H:%M:%S') ELSE strftime(t, '%Y-%m-%dT%H:%M:%SZ') END AS iso_zone,
+    strftime(t, '%Y-%m-%d %H:%M:%S.') || lpad(CAST(k % 1000 AS VARCHAR), 3, '0') AS millis,
+    CASE WHEN k % 9 = 4 THEN strftime(t, '%d/%m/%Y') ELSE strftime(t, '%m/%d/%Y') END AS slashes,
+    strftime(t, '%d.%m.%Y') AS dots,
+    CASE WHEN k % 5 = 2 THEN strftime(t, 'Foo %d, %Y') ELSE strftime(t, '%b %d, %Y') END AS short_month,
+    strftime(t, '%d %B %Y') AS long_month,
+    CASE WHEN k % 11 = 2 THEN strftime(t, 'x%Y%m%d') ELSE strftime(t, '%Y%m%d') END AS compact,
+    strftime(t, '%Y-%m-%d %H:%M:%S+03:00') AS "offset",
+    CASE WHEN k % 13 = 6 THEN strftime(t, '%m/%d/%Y %H:%M') ELSE strftime(t, '%m/%d/%Y %I:%M %p') END AS half_days,
+    CASE WHEN k % 4 = 1 THEN 'NaT' ELSE strftime(t, '%d-%m-%Y') END AS dashes,
+    CASE WHEN k = first THEN 'unknown' WHEN k % 3 = 0 THEN strftime(t, '%B %-d, %Y') WHEN k % 3 = 1 THEN strftime(t, '%Y-%m-%d')
+      ELSE 'n/a' END AS mixed
+  FROM (SELECT o_orderkey, o_orderkey AS k, (SELECT min(o_orderkey) FROM orders) AS first,
+        CAST(o_orderdate AS TIMESTAMP) + to_seconds((o_orderkey % 24) * 3600 + (o_orderkey % 60) * 60 + o_orderkey % 59) AS t FROM orders) q)"""
+
+
+def _day_or_month_first(column: str, sep: str) -> str:
+    """Month first, unless the first value has a number above 12 there."""
+    first = f"(SELECT arg_min({column}, o_orderkey) FROM df WHERE {column} <> 'NaT')"
+    return (f"CASE WHEN CAST(substr({first}, 1, 2) AS INTEGER) > 12 THEN try_strptime(value, '%d{sep}%m{sep}%Y') "
+            f"ELSE try_strptime(value, '%m{sep}%d{sep}%Y') END")
+
+
+#: How each column of the view reads, stated format by format.
+SQL_READ_FORMATS = {
+    "iso_zone": "try_strptime(value, '%Y-%m-%dT%H:%M:%SZ')", "millis": "try_strptime(value, '%Y-%m-%d %H:%M:%S.%g')",
+    "slashes": _day_or_month_first("slashes", "/"), "dots": _day_or_month_first("dots", "."),
+    "short_month": "try_strptime(value, '%b %d, %Y')", "long_month": "try_strptime(value, '%d %B %Y')",
+    "compact": "CASE WHEN regexp_matches(value, '^[0-9]{8}$') THEN try_strptime(value, '%Y%m%d') END",
+    "offset": "try_strptime(value, '%Y-%m-%d %H:%M:%S+03:00') - INTERVAL 3 HOUR",
+    # a first value just after midnight shows 12 where the hour is 0, so each value is read on its own
+    "half_days": "coalesce(try_strptime(value, '%m/%d/%Y %I:%M %p'), try_strptime(value, '%m/%d/%Y %H:%M'))", "dashes": _day_or_month_first("dashes", "-"),
+    "mixed": "coalesce(try_strptime(value, '%B %d, %Y'), try_strptime(value, '%Y-%m-%d'))",
+}
+FORMAT_COLUMNS = list(SQL_READ_FORMATS)
+
+
 # ---------------------------------------------------------------- customer variants
 def customer_nulls(spark: SparkSession, sf: str) -> DataFrame:
     c = load(spark, sf, "customer")
@@ -156,27 +216,5 @@ def sql_strip(x: str) -> str:
     return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
-def _strptime_fmt(java_fmt: str) -> str:
-    for _, j, p in DATE_FORMATS:
-        if j == java_fmt:
-            return p
-    raise KeyError(java_fmt)
-
-
-def sql_date_format_of(first: str) -> str:
-    """CASE choosing the strptime format from a first value (NULL: none fits)."""
-    parts = " ".join(f"WHEN regexp_matches(trim({first}), '{pat}') THEN '{p}'" for pat, _, p in DATE_FORMATS)
-    return f"(CASE {parts} END)"
-
-
-def sql_parse_date(x: str, fmt: str) -> str:
-    """Parse with the chosen format; without one, the first format that fits the value."""
-    by_fmt = " ".join(f"WHEN {fmt} = '{p}' AND regexp_matches(trim({x}), '{pat}') "
-                      f"THEN try_strptime(trim({x}), '{p}')" for pat, _, p in DATE_FORMATS)
-    any_fmt = " ".join(f"WHEN regexp_matches(trim({x}), '{pat}') THEN try_strptime(trim({x}), '{p}')"
-                       for pat, _, p in DATE_FORMATS)
-    return f"(CASE WHEN {fmt} IS NOT NULL THEN (CASE {by_fmt} END) ELSE (CASE {any_fmt} END) END)"
-
-
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"

@@ -1,9 +1,13 @@
+import random
+import warnings
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from oddity.functions.expressions import clean_numeric_text, pick_date_format, py_strip, to_number, word_count
+from oddity.functions import dates as D
+from oddity.functions.expressions import clean_numeric_text, py_strip, to_number, word_count
 from oddity.operators import order as OR
 
 
@@ -29,11 +33,37 @@ def test_numeric_cleaning(spark, text, cleaned, number):
     assert row["n"] == number
 
 
-def test_date_format_choice():
-    assert pick_date_format("2024-01-05") == "yyyy-MM-dd"
-    assert pick_date_format(" 2024-01-05 10:11:12") == "yyyy-MM-dd HH:mm:ss"
-    assert pick_date_format("05.01.2024") == "dd.MM.yyyy"
-    assert pick_date_format("hello") is None
+FORMATS = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S+03:00", "%Y-%m-%d %H:%M:%S-0530",
+           "%m/%d/%Y", "%d/%m/%Y", "%d.%m.%Y", "%m-%d-%Y", "%Y/%m/%d", "%Y.%m.%d", "%Y%m%d", "%Y%m%d%H%M%S", "%b %d, %Y", "%d %B %Y", "%d-%b-%Y",
+           "%m/%d/%Y %I:%M %p", "%A, %d %B %Y", "%Y-%m-%d %H:%M", "%Y", "%Y-%m", "%d.%m.%Y %H:%M", "%m/%d/%y", "%Y-%m-%d %H:%M:%S UTC"]
+
+
+def test_dates_equal_pandas_in_many_formats(spark):
+    rnd = random.Random(6)
+    some = lambda f: (pd.Timestamp(rnd.randrange(-10 ** 9, 4 * 10 ** 9), unit="s") + pd.Timedelta(microseconds=rnd.randrange(10 ** 6))).strftime(f)
+    columns = []
+    for f in FORMATS:
+        values = [some(f) for _ in range(25)]
+        values += [v[:-1] for v in values[:5]] + [v.replace("0", "", 1) for v in values[:9]] + [v.upper() for v in values[:3]]
+        values += [some(rnd.choice(FORMATS)) for _ in range(10)] + ["", "NaT", "not a date", "2999-01-01", None, "12", "31.02.2024", "02/30/2024"]
+        columns.append(["NaT", None, "", *values] if rnd.random() < 0.3 else values)
+    for f, values in zip(FORMATS, columns, strict=True):
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            read = pd.to_datetime(pd.Series(values, dtype=object), errors="coerce")
+        # where offsets differ, pandas keeps objects of any year, and missing text as it is
+        want = [None if isinstance(t, str) or pd.isna(t) or not 1677 < t.year < 2262 else pd.Timestamp(t) for t in read]
+        want = [t and (t.tz_convert("UTC").tz_localize(None) if t.tzinfo else t).floor("us") for t in want]
+        first = next(v for v in values if v and v not in D.MISSING)
+        d = spark.createDataFrame(list(enumerate(values)), "i int, v string")
+        got = {r["i"]: r["t"] for r in d.select("i", D.to_timestamp(F.col("v"), first).cast("string").alias("t")).collect()}
+        assert [None if got[i] is None else pd.Timestamp(got[i]) for i in range(len(values))] == want, f
+
+
+def test_date_formats_put_the_month_first_unless_forced():
+    shown = {"05.03.2024": "%m.%d.%Y", "25/12/2024": "%d/%m/%Y", "2024-01-05T10:00:00Z": "%Y-%m-%dT%H:%M:%S%z", "Jan 5, 2024": "%b %d, %Y",
+             "2024-01-05 10:00:00.123": "%Y-%m-%d %H:%M:%S.%f", "05-03-2024": "%m-%d-%Y", "20240105": "%Y%m%d", "hello": None, None: None, "NaT": None}
+    assert {v: D.infer_format(v) for v in shown} == shown
 
 
 def test_whitespace_helpers(spark):
