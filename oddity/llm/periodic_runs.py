@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, fresh, let, table, words
+from .common import col, fresh, let, parts, table, words
 
 #: A prime 7 * 2^26 + 1 and its least primitive root: transforms up to 2^26 numbers.
 MODULUS, ROOT = 469762049, 3
@@ -213,17 +213,6 @@ def runs_of(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return rows[np.lexsort((rows[:, 3], rows[:, 1], rows[:, 0]))]
 
 
-def parts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with at most ``most`` words together, one row at least."""
-    ends = np.cumsum(sizes)
-    first = 0
-    while first < len(sizes):
-        before = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
-        yield first, last
-        first = last
-
-
 def treat(lists: pa.Array) -> tuple[pa.Array, pa.Array]:
     """(runs, collapsed text) of every list of words."""
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -7,6 +7,13 @@ sets of (trie node, edits), made when first needed and kept: insertions, deletio
 and swaps of neighbours count one edit each, and long terms may have more edits than short ones.
 Most words leave the machine after a few letters.
 
+Texts are cut into words by Arrow, a slice of ``PART`` bytes at a time, and each different word of
+a slice is looked at once. A sieve leaves out words that cannot fit any term: a word within k edits
+of a term shares with it what is left after taking at most k letters from each. The hashes of
+these leftovers are computed for all words of a length together and looked up in a table of bits;
+only words that pass run through the machine, in order, and only texts with a hit are walked
+through.
+
 Around each hit a window of words tells quotation (quote marks, reporting words) from address
 (second person). A hit counts less for each edit and inside a quotation. A logistic regression on
 these credits, with corrections for misspelled, quoted and addressed hits as far as the labels
@@ -17,30 +24,35 @@ their id; the ids are broadcast (16 bytes each), so texts are not shuffled. All
 rows. Terms are counted in two passes, over toxic rows and then, for the terms those have, over
 clean rows. A term needs ``LEAST_DOCS`` toxic texts, however large the sample is; a group of near
 copies (see ``hyperminhash_dedup``) counts as one text, so that words which only copies of a few
-texts have are no terms. What reaches the driver: the lexicon (at most ``TERMS`` terms) and a row of nine numbers
-for each sampled row.
-
-Defined results: null and empty texts have no hit and get the score of a document without hits;
-without labels of both classes the score is the share of toxic labels (0 without labels); repeated
-rows are scored alike; an empty table gives an empty result.
+texts have are no terms. What reaches the driver: the lexicon (words that ``LEAST_DOCS`` of the
+sampled toxic texts share, all of them) and a row of nine numbers for each sampled row.
+
+Defined results: null and empty texts have no hit and get the score of a document without hits; a
+text of any length is scored whole; without labels of both classes the score is the share of toxic
+labels (0 without labels); repeated rows are scored alike; among terms that fit equally well the
+one of most weight, then the first by name, is the hit; an empty table gives an empty result;
+columns that are kept pass through, and the new ones take names that clash with none of them.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import col, hash_part, stored, table
+from .common import col, fresh, hash_part, parts, stored, table
 from .hyperminhash_dedup import near_duplicates
 
-SAMPLE, TERMS, LEAST_DOCS, LEAST_WEIGHT, SHORTEST, PREFIXES = 20_000, 2_000, 8, 2.5, 4, (4, 5, 6)
-WINDOW, SLICE, STATES, WORDS_KEPT = 5, 256, 100_000, 300_000
+SAMPLE, LEAST_DOCS, LEAST_WEIGHT, SHORTEST, PREFIXES = 20_000, 8, 2.5, 4, (4, 5, 6)
+WINDOW, PART, SIEVED, STATES, WORDS_KEPT = 5, 4 << 20, 1 << 16, 100_000, 300_000
 _EDGE = ".,;:!?\"'()[]{}<>«»“”„‘’…-–—*_~`|/\\"
 #: Marks a state in the open end of a term; no letter equals it.
 _REST = "**"
@@ -58,15 +70,6 @@ def allowed(term: str) -> int:
     return 0 if term.endswith("*") or len(term) < 4 else 1 if len(term) < 8 else 2
 
 
-def shortened(word: str, edits: int) -> set[str]:
-    """The word, and what is left of it without at most so many letters."""
-    out = last = {word}
-    for _ in range(edits):
-        last = {w[:i] + w[i + 1:] for w in last for i in range(len(w))}
-        out = out | last
-    return out
-
-
 class Automaton:
     """The Levenshtein automata of all terms, run on their trie. A term may end in ``*``: then any word beginning so fits."""
 
@@ -88,22 +91,8 @@ class Automaton:
                 node = self.children[node][c]
                 self.most[node] = max(self.most[node], edits)
             (self.open if term.endswith("*") else self.ends)[node] = k
-        self.stems = {t[:-1] for t in self.terms if t.endswith("*")}
-        self.stem_sizes = sorted({len(t) for t in self.stems})
-        self.left: dict[int, set[str]] = {}
-        self.sizes: dict[int, set[int]] = {}
-        for term in self.terms:
-            if not term.endswith("*"):
-                k = allowed(term)
-                self.left.setdefault(k, set()).update(shortened(term, k))
-                self.sizes.setdefault(k, set()).update(range(len(term) - k, len(term) + k + 1))
         self.reset()
 
-    def possible(self, word: str) -> bool:
-        """False only for words that no term fits: each edit takes at most one letter of the word and one of the term."""
-        return any(word[:n] in self.stems for n in self.stem_sizes) or any(
-            len(word) in self.sizes[k] and not left.isdisjoint(shortened(word, k)) for k, left in self.left.items())
-
     def reset(self) -> None:
         self.names: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
@@ -160,8 +149,6 @@ class Automaton:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the best fit of a word."""
-        if not self.possible(word):
-            return None
         if len(self.sets) > STATES:
             self.reset()
         state = 1
@@ -173,34 +160,132 @@ class Automaton:
         return self.accepts[state]
 
 
+class Sieve:
+    """Which words may fit a term at all: no word that does is left out, and few others pass."""
+
+    STEP, MIX = np.uint64(0x100000001B3), (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+    def __init__(self, terms: dict[str, float]):
+        self.bits, self.sizes, self.stems = {}, {}, {}
+        by_edits: dict[int, list[str]] = {}
+        for t in terms:
+            if t.endswith("*"):
+                self.stems.setdefault(len(t) - 1, []).append(t[:-1])
+            else:
+                by_edits.setdefault(allowed(t), []).append(t)
+        self.stems = {n: np.unique(self.prefixes(self.matrix(ts, n))[-1]) for n, ts in self.stems.items()}
+        for k, ts in by_edits.items():
+            sizes = {len(t) for t in ts}
+            self.sizes[k] = {n + d for n in sizes for d in range(-k, k + 1)}
+            found = np.unique(np.concatenate([h for n in sizes for h in self.leftovers(self.matrix([t for t in ts if len(t) == n], n), k)]))
+            shift = np.uint64(64 - max(16, int(len(found)).bit_length() + 6))
+            table = np.zeros(1 << (64 - int(shift)), bool)
+            for mix in self.MIX:
+                table[found * mix >> shift] = True
+            self.bits[k] = (shift, table)
+
+    @staticmethod
+    def matrix(words: list[str], n: int) -> np.ndarray:
+        """The letters of words of at least n letters, cut there."""
+        return np.array(words, f"U{n}").view(np.uint32).reshape(len(words), n).astype(np.uint64)
+
+    def prefixes(self, letters: np.ndarray) -> list[np.ndarray]:
+        """Hashes of all beginnings of every word, the empty one first."""
+        out = [np.zeros(len(letters), np.uint64)]
+        for i in range(letters.shape[1]):
+            out.append(out[-1] * self.STEP + letters[:, i] + np.uint64(1))
+        return out
+
+    def leftovers(self, letters: np.ndarray, edits: int) -> Iterator[np.ndarray]:
+        """Hashes of every word without any choice of at most ``edits`` (2 or fewer) of its letters, choice by choice."""
+        n, p = letters.shape[1], self.prefixes(letters)
+        power = [np.uint64(pow(int(self.STEP), k, 1 << 64)) for k in range(n + 1)]
+        between = lambda a, b: p[b] - p[a] * power[b - a]
+        yield p[n]
+        for i in range(n if edits else 0):
+            yield p[i] * power[n - 1 - i] + between(i + 1, n)
+            for j in range(i + 1, n if edits > 1 else 0):
+                yield (p[i] * power[j - i - 1] + between(i + 1, j)) * power[n - 1 - j] + between(j + 1, n)
+
+    def passing(self, words: pa.Array) -> np.ndarray:
+        """The places of the words that pass, in order."""
+        size = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+        found = []
+        for n, stems in self.stems.items():
+            for at in self.groups(np.flatnonzero(size >= n)):
+                found.append(at[np.isin(self.prefixes(self.matrix(words.take(pa.array(at)).to_pylist(), n))[-1], stems)])
+        for n in set().union(*self.sizes.values()):
+            for at in self.groups(np.flatnonzero(size == n)) if n else ():
+                letters = self.matrix(words.take(pa.array(at)).to_pylist(), n)
+                for k, (shift, table) in self.bits.items():
+                    if n in self.sizes[k]:
+                        ok = np.zeros(len(at), bool)
+                        for h in self.leftovers(letters, k):
+                            ok |= table[h * self.MIX[0] >> shift] & table[h * self.MIX[1] >> shift]
+                        found.append(at[ok])
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+    @staticmethod
+    def groups(at: np.ndarray) -> Iterator[np.ndarray]:
+        for i in range(0, len(at), SIEVED):
+            yield at[i:i + SIEVED]
+
+
+def tokens(texts: pa.Array) -> pa.Array:
+    """The words of every text in small letters, as lists; null and empty texts give one empty word."""
+    return pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(pc.fill_null(texts, ""))))
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with at most ``PART`` bytes together, one text at least."""
+    return parts(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64), PART)
+
+
 class Scorer:
-    """Hits and features of texts; keeps what it has learned about words."""
+    """Hits and features of texts; keeps what it has learned about words that pass the sieve."""
 
     def __init__(self, terms: dict[str, float]):
-        self.machine, self.known = Automaton(terms), {}
-
-    def hits(self, text: str | None) -> tuple[list[str], list[tuple[int, int, int]]]:
-        """The tokens, and (place, term, edits) of each hit."""
-        tokens, known, out = (text or "").lower().split(), self.known, []
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        for at, token in enumerate(tokens):
-            found = known.get(token, 0)
-            if found == 0:
-                found = known[token] = self.machine.match(token.strip(_EDGE))
-            if found:
-                out.append((at, *found))
-        return tokens, out
-
-    def features(self, text: str | None) -> list[float]:
-        tokens, hits = self.hits(text)
+        self.machine, self.sieve, self.known = Automaton(terms), Sieve(terms), {}
+
+    def matches(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(term, edits) of the best fit of every word; term -1 without any."""
+        term, edits = np.full(len(words), -1), np.zeros(len(words), np.int64)
+        if len(self.known) > WORDS_KEPT:
+            self.known.clear()
+        at = self.sieve.passing(words)
+        for i, word in sorted(zip(at.tolist(), words.take(pa.array(at)).to_pylist(), strict=True), key=lambda x: x[1]):
+            if word not in self.known:
+                self.known[word] = self.machine.match(word)
+            if self.known[word]:
+                term[i], edits[i] = self.known[word]
+        return term, edits
+
+    def features(self, texts: pa.Array) -> np.ndarray:
+        """The features of every text."""
+        f = np.zeros((len(texts), FEATURES))
+        f[:, -1] = 1.0
+        for first, last in slices(texts):
+            lists = tokens(texts.slice(first, last - first))
+            flat, starts = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+            each = flat.dictionary_encode()
+            codes = each.indices.to_numpy(zero_copy_only=False)
+            term, edits = self.matches(pc.utf8_trim(each.dictionary, _EDGE))
+            places = np.flatnonzero(term[codes] >= 0)
+            texts_of = np.searchsorted(starts, places, "right") - 1
+            for k in np.unique(texts_of):
+                at = places[np.searchsorted(texts_of, k):np.searchsorted(texts_of, k, "right")]
+                hits = [(int(p - starts[k]), int(term[codes[p]]), int(edits[codes[p]])) for p in at]
+                f[first + k] = self.describe(flat.slice(starts[k], starts[k + 1] - starts[k]).to_pylist(), hits)
+        return f
+
+    def describe(self, tokens: list[str], hits: list[tuple[int, int, int]]) -> list[float]:
+        """The features of a text from its words and its hits (place, term, edits)."""
         f = [0.0] * FEATURES
-        if hits:
-            marks, inside = [], False
-            for t in tokens:
-                n = sum(c in _QUOTES for c in t)
-                marks.append(inside or n > 0)
-                inside ^= n % 2 == 1
+        marks, inside = [], False
+        for t in tokens:
+            n = 0 if t.isalpha() else sum(c in _QUOTES for c in t)
+            marks.append(inside or n > 0)
+            inside ^= n % 2 == 1
         for at, term, edits in hits:
             w = self.machine.weights[term]
             near = {t.strip(_EDGE) for t in tokens[max(0, at - WINDOW):at + WINDOW + 1]}
@@ -211,9 +296,8 @@ class Scorer:
                     f[k] += 1.0 if k else credit
                     f[3 + k] = max(f[3 + k], w if k else w * credit)
             f[6] += bool(near & ADDRESS)
-        if hits:
-            f[7] = math.log1p(100 * f[0] / len(tokens))
-            f[:3] = [math.log1p(x) for x in f[:3]]
+        f[7] = math.log1p(100 * f[0] / len(tokens))
+        f[:3] = [math.log1p(x) for x in f[:3]]
         f[8] = 1.0
         return f
 
@@ -245,8 +329,12 @@ def term_counts(rows: DataFrame, only: frozenset[str] | None = None) -> DataFram
     """
     shared = rows.sparkSession.sparkContext.broadcast(only)
 
+    def terms_of(word: str) -> list[str]:
+        own = [word] * (len(word) >= SHORTEST) + [word[:k] + "*" for k in PREFIXES if len(word) >= k]
+        return own if shared.value is None else [t for t in own if t in shared.value]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, n = shared.value, Counter()
+        n = Counter()
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays(
@@ -256,12 +344,18 @@ def term_counts(rows: DataFrame, only: frozenset[str] | None = None) -> DataFram
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                for text, group in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ws = {t.strip(_EDGE) for t in (text or "").lower().split()}
-                    terms = {w for w in ws if len(w) >= SHORTEST} | {w[:k] + "*" for w in ws for k in PREFIXES if len(w) >= k}
-                    n.update((t, group) for t in (terms if wanted is None else terms & wanted))
+            texts, copies = batch.column(0), batch.column(1).to_pylist()
+            for first, last in slices(texts):
+                lists = tokens(texts.slice(first, last - first))
+                each = lists.flatten().dictionary_encode()
+                words = pc.utf8_trim(each.dictionary, _EDGE).to_pylist()
+                counted_as = [terms_of(w) for w in words]
+                useful = np.array([bool(t) for t in counted_as], bool)
+                codes = each.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                text = np.repeat(np.arange(first, last), pc.list_value_length(lists).to_numpy(zero_copy_only=False))[useful[codes]]
+                pairs = np.unique(text * len(words) + codes[useful[codes]])
+                for k, group in itertools.groupby(pairs.tolist(), lambda x: x // len(words)):
+                    n.update((t, copies[k]) for t in {t for x in group for t in counted_as[x % len(words)]})
                 if len(n) > WORDS_KEPT:
                     yield flush()
         yield flush()
@@ -287,7 +381,7 @@ def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_c
         if toxic[t] >= 1.5 * max(best.get(stem, 0), 1) and not any(stem[:k] + "*" in families for k in PREFIXES):
             families[t] = pure[t]
     words = {t: w for t, w in pure.items() if not t.endswith("*")}  # also those of a family, as only words may be misspelled
-    return dict(sorted((families | words).items(), key=lambda x: (-x[1] * math.log1p(toxic[x[0]]), x[0]))[:TERMS])
+    return dict(sorted((families | words).items(), key=lambda x: (-x[1] * math.log1p(toxic[x[0]]), x[0])))
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
@@ -325,42 +419,50 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     toxic = {r["term"]: r["docs"] for r in term_counts(d.where("y = 1")).where(F.col("docs") >= LEAST_DOCS).toLocalIterator()}
     clean = {r["term"]: r["docs"] for r in term_counts(d.where("y = 0"), frozenset(toxic)).toLocalIterator()}
     terms = choose_terms(toxic, clean, n[1], n[0])
-    seen = features(d, terms, ("y",)).collect()
-    return terms, fit(np.array([r["features"] for r in seen]), np.array([r["y"] for r in seen], float))
+    seen, name = features(d, terms, ("y",))
+    rows = seen.collect()
+    return terms, fit(np.array([r[name] for r in rows]), np.array([r["y"] for r in rows], float))
 
 
-def features(docs: DataFrame, terms: dict[str, float], keep: tuple[str, ...], text: str = "text") -> DataFrame:
-    """The columns ``keep`` plus the features of every text."""
-    d = docs.select(*[col(c) for c in keep], col(text).cast("string").alias("text_"))
+def features(docs: DataFrame, terms: dict[str, float], keep: tuple[str, ...], text: str = "text") -> tuple[DataFrame, str]:
+    """The columns ``keep`` plus the features of every text; their name is returned."""
+    kept = docs.select(*[col(c) for c in keep])
+    name, given = fresh(kept, "features", "text_")
+    d = docs.select(*[col(c) for c in keep], col(text).cast("string").alias(given))
     shared = d.sparkSession.sparkContext.broadcast(terms)
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features_of = scorer(shared.value).features
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                p = batch.slice(at, SLICE)
-                f = [features_of(t) for t in p.column(len(keep)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*p.columns[:-1], pa.array(f, pa.list_(pa.float64()))],
-                                                 names=[*p.schema.names[:-1], "features"])
+            f = features_of(batch.column(len(keep)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1) * FEATURES, pa.int32()), pa.array(f.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=schema.names)
+
+    return d.mapInArrow(run, schema), name
 
-    fields = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in keep)
-    return d.mapInArrow(run, f"{fields}, features array<double>")
 
+def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], keep: tuple[str, ...],
+          text: str = "text") -> tuple[DataFrame, dict[str, str]]:
+    """The columns ``keep`` plus score and predicted.
 
-def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], keep: tuple[str, ...], text: str = "text") -> DataFrame:
-    """The columns ``keep`` plus score and predicted."""
+    The second value maps those two to the names used, which clash with no column kept.
+    """
     terms, b = model
-    f = features(docs, terms, keep, text)
-    logit = sum((F.col("features")[k] * float(x) for k, x in enumerate(b)), F.lit(0.0))
-    return (f.withColumn("score", 1 / (1 + F.exp(-F.least(F.greatest(logit, F.lit(-30.0)), F.lit(30.0))))).drop("features")
-            .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
+    f, given = features(docs, terms, keep, text)
+    kept = f.drop(given)
+    names = dict(zip(("score", "predicted"), fresh(kept, "score", "predicted"), strict=True))
+    logit = sum((col(given)[k] * float(x) for k, x in enumerate(b)), F.lit(0.0))
+    chance = 1 / (1 + F.exp(-F.least(F.greatest(logit, F.lit(-30.0)), F.lit(30.0))))
+    scored = f.select(*[col(c) for c in kept.columns], chance.alias(names["score"]))
+    return scored.withColumn(names["predicted"], (col(names["score"]) >= 0.5).cast("int")), names
 
 
 def op8_toxicity_automata(spark, sf_dir):
     held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
     model = learn(docs, table(spark, sf_dir, "labels").where(~held))
-    return score(docs, model, ("doc_id", "held_out"))
+    return score(docs, model, ("doc_id", "held_out"))[0]
 
 
 QUERIES = {"op8_toxicity_automata": op8_toxicity_automata}

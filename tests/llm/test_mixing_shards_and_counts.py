@@ -10,6 +10,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from oddity.llm import block_mixing as M
@@ -235,10 +236,33 @@ def test_automaton_equals_edit_distance():
 
 def test_quotation_and_address_change_the_features():
     s = T.Scorer({"grobnik": 3.0})
-    kinds = [s.features(t)[:3] for t in ("you are a grobnik", 'he wrote "grobnik" there', "a gr0bnik, sure", "all is well", "", None)]
+    of = lambda *texts: s.features(pa.array(texts, pa.string())).tolist()
+    kinds = [f[:3] for f in of("you are a grobnik", 'he wrote "grobnik" there', "a gr0bnik, sure", "all is well", "", None)]
     assert [[x > 0 for x in k] for k in kinds] == [[1, 0, 0], [1, 0, 1], [1, 1, 0], [0, 0, 0], [0, 0, 0], [0, 0, 0]]
     assert kinds[0][0] > kinds[2][0] > kinds[1][0]
-    assert s.features("you are a grobnik")[6] == 1 and s.features("a grobnik")[6] == 0
+    assert [f[6] for f in of("you are a grobnik", "a grobnik", None)] == [1, 0, 0]
+
+
+def test_sieve_lets_every_fitting_word_pass():
+    rnd = random.Random(12)
+    word = lambda n: "".join(rnd.choice("abcdé") for _ in range(rnd.randrange(n)))
+    terms = {w: 1.0 for w in (word(12) for _ in range(40)) if w} | {"dcba*": 2.0, "ab*": 1.0}
+    sieve, words = T.Sieve(terms), [word(14) for _ in range(3000)]
+    passed = {words[k] for k in sieve.passing(pa.array(words)).tolist()}
+    fits = {w for w in words if w.startswith(("dcba", "ab")) or any(
+        not t.endswith("*") and abs(len(t) - len(w)) < 3 and edits(t, w) <= T.allowed(t) for t in terms)}
+    assert fits <= passed
+    others = ["".join(rnd.choice("vwxyz") for _ in range(rnd.randrange(3, 12))) for _ in range(5000)]
+    assert len(sieve.passing(pa.array(others))) < 500
+    assert len(T.Sieve({}).passing(pa.array(words))) == 0 and len(sieve.passing(pa.array([], pa.string()))) == 0
+
+
+def test_features_do_not_depend_on_slices(monkeypatch):
+    rnd = random.Random(13)
+    texts = [" ".join(rnd.choice(["you", "gr0bnik", '"grobnik"', "zwackel,", "all", "well"]) for _ in range(rnd.randrange(20))) for _ in range(60)]
+    whole = T.Scorer({"grobnik": 3.0, "zwackel": 2.0}).features(pa.array(texts))
+    monkeypatch.setattr(T, "PART", 50)
+    assert (T.Scorer({"grobnik": 3.0, "zwackel": 2.0}).features(pa.array(texts)) == whole).all() and whole[:, 0].max() > 0
 
 
 def test_toxicity_is_learned_and_found_when_misspelled(spark):
@@ -257,11 +281,15 @@ def test_toxicity_is_learned_and_found_when_misspelled(spark):
     test = [(1, " ".join(word() for _ in range(20)) + " you gr0bnik"), (2, "zwakcel " + " ".join(word() for _ in range(20))),
             (3, " ".join(word() for _ in range(40))), (4, None), (5, ""), (6, "grobnik"), (6, "grobnik"), (7, "aeiou " * 50_000)]
     d = spark.createDataFrame([(i, t, 3.0) for i, t in test], "doc_id long, text string, features double")
-    got = {r["doc_id"]: r for r in T.score(d, model, ("doc_id",)).collect()}
+    got = {r["doc_id"]: r for r in T.score(d, model, ("doc_id",))[0].collect()}
     assert {i for i, r in got.items() if r["predicted"]} == {1, 2, 6} and all(0 <= r["score"] <= 1 for r in got.values())
     none = T.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert T.score(d, none, ("doc_id",)).agg(F.max("score")).first()[0] < 0.01
-    assert T.score(d.limit(0), model, ("doc_id",)).count() == 0
+    assert T.score(d, none, ("doc_id",))[0].agg(F.max("score")).first()[0] < 0.01
+    assert T.score(d.limit(0), model, ("doc_id",))[0].count() == 0
+    clash = d.withColumn("Score", F.lit("x")).withColumn("predicted", F.lit(7))
+    out, names = T.score(clash, model, ("doc_id", "features", "Score", "predicted"))
+    assert out.columns == ["doc_id", "features", "Score", "predicted", "_score", "_predicted"] and names["score"] == "_score"
+    assert {(r["features"], r["Score"], r["predicted"]) for r in out.collect()} == {(3.0, "x", 7)}
 
 
 def test_toxicity_of_rows_held_out(spark):
@@ -283,7 +311,7 @@ def test_rare_terms_are_kept_in_large_samples_and_words_of_near_copies_are_not(s
     labels = spark.createDataFrame([(i, int(i < 2000)) for i, _ in rows], "doc_id long, toxic int")
     model = T.learn(docs, labels)
     assert "grobnik" in model[0] and "kopierwort" not in model[0]
-    got = T.score(spark.createDataFrame([(1, "das gr0bnik da"), (2, "das haus da")], "doc_id long, text string"), model, ("doc_id",))
+    got = T.score(spark.createDataFrame([(1, "das gr0bnik da"), (2, "das haus da")], "doc_id long, text string"), model, ("doc_id",))[0]
     score = {r["doc_id"]: r["score"] for r in got.collect()}
     assert score[1] > score[2]
 
