@@ -10,7 +10,6 @@ KIND_CATEGORICAL = "Kategorik/Metin"
 KIND_DATETIME = "Tarih"
 KIND_ID = "ID/Referans"
 KIND_EXCLUDED = "Analiz dışı"
-ALL_KINDS = (KIND_NUMERIC, KIND_CATEGORICAL, KIND_DATETIME, KIND_ID, KIND_EXCLUDED)
 
 # --- fixed values: column-name hints (plain substrings of the lower-cased name)
 NUMERIC_NAME_HINTS = (
@@ -97,6 +96,7 @@ NUMERIC_CONTENT_SAMPLE = 500
 DATETIME_CONTENT_SHARE = 0.8
 DATETIME_CONTENT_SAMPLE = 200
 TYPE_SPLIT_SAMPLE = 50
+SILHOUETTE_SAMPLE = 5000
 FREE_TEXT_SAMPLE = 200
 ID_RATIO_KIND = 0.95
 ID_RATIO_NUMERIC = 0.95
@@ -210,7 +210,6 @@ PRESETS = {
 DEFAULT_PRESET = "Genel (Varsayılan)"
 
 # --- fixed values: display texts -----------------------------------------------
-SEVERITY_TEXT = {"high": "Yüksek", "medium": "Orta", "low": "Düşük"}
 RULE_DESCRIPTIONS = {
     RULE_REQUIRED: "Bu kolonda zorunlu olduğu halde değer eksik",
     RULE_NEGATIVE: "Sayısal alanda negatif değer (tutar/bakiye için sıra dışı)",

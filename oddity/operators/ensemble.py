@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from .order import known_scores, prefix_sum
+from .order import known_scores, prefix_sum, select_quantiles
 
 
 def grouped_distribution(scores: DataFrame, group: str = "model_key", score: str = "score") -> DataFrame:
@@ -80,7 +80,8 @@ def ensemble(scores: DataFrame, contamination: float = 0.05, weights: dict | Non
 
 def model_thresholds(scores: DataFrame, contamination: float) -> DataFrame:
     """M4 per model: (model_key, threshold)."""
-    return grouped_quantile(grouped_distribution(scores), 1.0 - contamination)
+    found = select_quantiles(scores, 1.0 - contamination, "model_key", "score")  # a value for each model
+    return scores.sparkSession.createDataFrame(list(found.items()), "model_key string, threshold double")
 
 
 def quantile_label_frame(scores: DataFrame, contamination: float, row_id: str = "row_id") -> DataFrame:

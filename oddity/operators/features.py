@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions.expressions import contains_any_token, nan_to_null
-from .ensemble import grouped_distribution, grouped_quantile
+from .order import select_quantiles
 from .profile import is_numeric_type
 
 UNKNOWN = "UNKNOWN"
@@ -46,8 +46,7 @@ def medians(df: DataFrame, columns: list[str]) -> dict:
     """F1 statistics: exact (linear-interpolated) median per column; None when all missing."""
     if not columns:
         return {}
-    dist = grouped_distribution(long_numbers(df, columns), "column", "value")
-    found = {r["column"]: r["median"] for r in grouped_quantile(dist, 0.5, "column", "value", "median").collect()}
+    found = select_quantiles(long_numbers(df, columns), 0.5, "column", "value")
     return {c: found.get(c) for c in columns}  # one row per column
 
 
@@ -290,8 +289,3 @@ def apply_scaling(features: DataFrame, spec: FeatureSpec, row_id: str = "row_id"
         centred = F.col(c) - F.lit(mu)
         out.append((centred / F.lit(sd) if sd and sd > 0 else centred).alias(c))
     return features.select(*out)
-
-
-def as_vector(features: DataFrame, names: list[str], row_id: str = "row_id", out: str = "x") -> DataFrame:
-    """(row_id, x array<double>) for the model kernels."""
-    return features.select(row_id, F.array(*[F.col(c) for c in names]).alias(out))

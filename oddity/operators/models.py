@@ -1,7 +1,7 @@
 """Outlier models.
 
 * Isolation forest: per-tree samples are picked by smallest hash (no driver
-  sampling), trees are grown in parallel with ``groupBy(tree).applyInPandas``,
+  sampling), splits are drawn from digests of seed, tree and node, trees are grown in parallel with ``groupBy(tree).applyInPandas``,
   and the forest (bounded by trees x (2 psi - 1) nodes, independent of the
   data size) is broadcast to a vectorised ``pandas_udf`` that scores every row.
 * LOF: exact k nearest neighbours without a cross join. Identical points are
@@ -9,13 +9,14 @@
   bound on each k-distance comes from the 2k neighbours in a random-projection
   order, and the exact neighbours are then found by a band join on the
   projection (|p_a - p_b| <= bound), bucketed so it is an equi-join.
-* One-class SVM: random Fourier features of the RBF kernel and a distributed
-  sub-gradient solver of the nu one-class objective; each iteration is one
-  ``mapInPandas`` partial-sum pass.
+* One-class SVM: random Fourier features of the RBF kernel and Newton steps on the
+  smoothed nu one-class objective; each step is one pass of partial sums.
+* Silhouette: Euclidean, on at most 5000 rows as in the reference.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from functools import reduce
 
@@ -43,10 +44,19 @@ def average_path_length(n):
     return out
 
 
-def _uniform_hash(cols, seed: int):
-    """Deterministic uniform [0, 1) from a hash of the given columns."""
-    h = F.xxhash64(*cols, F.lit(seed))
-    return (F.abs(h % F.lit(1 << 52)) / F.lit(float(1 << 52)))
+_HASH_RANGE = 1 << 32
+
+
+def _row_hashes(row_id: str, seed: int):
+    """Two 32-bit numbers of a row, from an MD5 digest that other engines compute alike."""
+    digest = F.md5(F.concat_ws(":", F.col(row_id).cast("string"), F.lit(str(seed))).cast("binary"))
+    return [F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("long") for k in range(2)]
+
+
+def _node_draws(seed: int, tree: int, node: int) -> tuple[float, float]:
+    """Two uniform numbers of a node of a tree, from an MD5 digest of their names."""
+    digest = hashlib.md5(f"{seed}:{tree}:{node}".encode()).hexdigest()
+    return int(digest[:8], 16) / 2 ** 32, int(digest[8:21], 16) / 2 ** 52
 
 
 # --------------------------------------------------------------------------- M1
@@ -55,31 +65,29 @@ def _grow_tree_fn(names, psi, seed):
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        rng = np.random.default_rng(seed * 1_000_003 + tree)
         X = pdf[names].to_numpy(dtype=float)
         rows = []  # node, feature, threshold, left, right, leaf_value
 
-        def build(idx, depth):
+        def build(idx, depth, name):
+            # ``name`` numbers the nodes as in a heap: the root is 1, the children of k are 2k and 2k + 1
             node = len(rows)
             rows.append(None)
             sub = X[idx]
-            if depth >= max_depth or len(idx) <= 1:
-                rows[node] = (node, -1, 0.0, -1, -1, depth + float(average_path_length([len(idx)])[0]))
-                return node
             lo, hi = sub.min(axis=0), sub.max(axis=0)
             candidates = np.flatnonzero(hi > lo)
-            if len(candidates) == 0:
+            if depth >= max_depth or len(candidates) == 0:
                 rows[node] = (node, -1, 0.0, -1, -1, depth + float(average_path_length([len(idx)])[0]))
                 return node
-            f = int(rng.choice(candidates))
-            thr = float(rng.uniform(lo[f], hi[f]))
+            which, where = _node_draws(seed, tree, name)
+            f = int(candidates[int(which * len(candidates))])
+            thr = float(lo[f] + where * (hi[f] - lo[f]))
             go_left = sub[:, f] <= thr
-            left = build(idx[go_left], depth + 1)
-            right = build(idx[~go_left], depth + 1)
+            left = build(idx[go_left], depth + 1, 2 * name)
+            right = build(idx[~go_left], depth + 1, 2 * name + 1)
             rows[node] = (node, f, thr, left, right, 0.0)
             return node
 
-        build(np.arange(len(X)), 0)
+        build(np.arange(len(X)), 0, 1)
         out = pd.DataFrame(rows, columns=["node", "feature", "threshold", "left", "right", "leaf_value"])
         out.insert(0, "tree", tree)
         return out
@@ -94,15 +102,17 @@ def forest_samples(features: DataFrame, names: list[str], n_trees: int, psi: int
                    row_id: str = "row_id", n: int | None = None) -> DataFrame:
     """(row_id, features, tree): ``psi`` rows drawn without replacement for every tree."""
     n = features.count() if n is None else n
-    # Every tree samples on its own: it takes the psi rows with the smallest (row, tree) hash.
-    # A row is expanded only for the trees whose hash is small enough to be among them
-    # (about 4 psi rows per tree), so the sort of a tree is short at any table size.
+    # Every tree samples on its own: it takes the psi rows with the smallest hash (a + tree b) mod 2^32
+    # of the row's two numbers. A row is expanded only for the trees whose hash is small enough to be
+    # among them (about 4 psi rows per tree), so the sort of a tree is short at any table size.
     def sample(q):
-        trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
+        a, b = _row_hashes(row_id, seed)
+        hashed = features.select(row_id, *names, a.alias("_a"), b.alias("_b"))
+        each = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(
+            t.alias("tree"), ((F.col("_a") + t * F.col("_b")) % F.lit(_HASH_RANGE)).alias("h")))
         if q < 1.0:
-            trees = F.filter(trees, lambda t: _uniform_hash([F.col(row_id), t], seed) < q)
-        tagged = features.select(row_id, *names).withColumn("tree", F.explode(trees))
-        tagged = tagged.withColumn("_h", _uniform_hash([F.col(row_id), F.col("tree")], seed))
+            each = F.filter(each, lambda s: s["h"] < int(q * _HASH_RANGE))
+        tagged = hashed.withColumn("_t", F.explode(each)).select(row_id, *names, "_t.tree", F.col("_t.h").alias("_h"))
         w = Window.partitionBy("tree").orderBy("_h", row_id)
         return tagged.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= psi).drop("_r", "_h")
 
@@ -413,6 +423,9 @@ def _newton(data: DataFrame, names, params, x, nu, n, band, rounds, tol) -> np.n
 
 
 # --------------------------------------------------------------------------- M4-M6
+_SILHOUETTE_BLOCK = 256
+
+
 def quantile_labels(scores: DataFrame, contamination: float, score: str = "score",
                     out: str = "label") -> tuple[DataFrame, float]:
     """M4: label = score >= linear-interpolated (1 - c) quantile."""
@@ -421,34 +434,49 @@ def quantile_labels(scores: DataFrame, contamination: float, score: str = "score
 
 
 def silhouette(features: DataFrame, names: list[str], labels: DataFrame, row_id: str = "row_id",
-               label: str = "label") -> float:
-    """M5: mean silhouette over squared Euclidean distances; -1 unless 2 label values and more than 10 rows.
+               label: str = "label", sample: int = K.SILHOUETTE_SAMPLE) -> float:
+    """M5: mean Euclidean silhouette; -1 unless 2 label values and more than 10 rows.
 
-    The mean squared distance of x to a group is |x|^2 - 2 x.mean + mean |x|^2, so one
-    aggregate per label and one projection give the exact value over all rows.
+    As in the reference it is taken on at most ``sample`` rows, here those with the smallest
+    MD5 of their id. Each task takes some of these rows and their mean distances to all of them by
+    label, block by block; so many rows are what the broadcast holds.
     """
-    joined = features.select(row_id, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(names)]) \
-        .join(labels.select(row_id, F.col(label).alias("_label")), row_id)
-    xs = [F.col(f"_x{i}") for i in range(len(names))]
-    joined = joined.withColumn("_sq", reduce(lambda a, b: a + b, [x * x for x in xs]))
-    groups = joined.groupBy("_label").agg(F.count(F.lit(1)).alias("n"), F.avg("_sq").alias("q"),
-                                          *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)]).collect()  # a row per label
-    if len(groups) < 2 or sum(g["n"] for g in groups) <= 10:
+    joined = (features.select(row_id, F.array(*[F.col(c).cast("double") for c in names]).alias("_x"))
+              .join(labels.select(row_id, F.col(label).cast("string").alias("_label")), row_id))
+    counts = {r["_label"]: r["n"] for r in joined.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per label
+    n = sum(counts.values())
+    if len(counts) < 2 or n <= 10:
         return -1.0
+    if n > sample:
+        joined = joined.orderBy(F.md5(F.col(row_id).cast("string").cast("binary")), row_id).limit(sample)
+    rows = joined.collect()  # at most ``sample`` rows
+    X, y = np.array([r["_x"] for r in rows]), np.unique([r["_label"] for r in rows], return_inverse=True)[1]
+    size = np.bincount(y)
+    if len(size) < 2:
+        return -1.0
+    spark = features.sparkSession
+    shared = spark.sparkContext.broadcast((X - X.mean(axis=0), y, size))
 
-    def to(g):
-        dot = reduce(lambda a, b: a + b, [x * F.lit(g[f"m{i}"]) for i, x in enumerate(xs)])
-        return F.greatest(F.col("_sq") - 2 * dot + F.lit(g["q"]), F.lit(0.0))
-
-    s = F.lit(0.0)  # a group of one row
-    for g in groups:
-        if g["n"] > 1:
-            a = to(g) * (g["n"] / (g["n"] - 1))
-            others = [to(h) for h in groups if h["_label"] != g["_label"]]
-            b = F.least(*others) if len(others) > 1 else others[0]
-            most = F.greatest(a, b)
-            s = F.when(F.col("_label") == F.lit(g["_label"]), F.when(most > 0, (b - a) / most).otherwise(0.0)).otherwise(s)
-    return round(float(joined.agg(F.avg(s)).first()[0]), 4)
+    def part(batches):
+        X, y, size = shared.value
+        for batch in batches:
+            total = 0.0
+            for first in batch.column(0).to_pylist():
+                x, own = X[first:first + _SILHOUETTE_BLOCK], y[first:first + _SILHOUETTE_BLOCK]
+                d = np.sqrt(np.maximum((x ** 2).sum(1)[:, None] + (X ** 2).sum(1) - 2 * x @ X.T, 0.0))
+                d[np.arange(len(x)), first + np.arange(len(x))] = 0.0
+                sums = np.stack([d[:, y == k].sum(axis=1) for k in range(len(size))], axis=1)
+                at = np.arange(len(x))
+                within = sums[at, own] / np.maximum(size[own] - 1, 1)
+                others = sums / size
+                others[at, own] = np.inf
+                nearest, most = others.min(axis=1), np.maximum(others.min(axis=1), within)
+                total += float(np.where((size[own] > 1) & (most > 0), (nearest - within) / np.where(most > 0, most, 1.0), 0.0).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([total])], names=["s"])
+
+    blocks = -(-len(y) // _SILHOUETTE_BLOCK)
+    starts = spark.range(0, len(y), _SILHOUETTE_BLOCK, blocks)
+    return round(float(starts.mapInArrow(part, "s double").agg(F.sum("s")).first()[0]) / len(y), 4)
 
 
 def select_model(bench: DataFrame, weights: dict | None = None, order=K.MODEL_KEYS) -> DataFrame:

@@ -11,6 +11,8 @@ so the sorted frame is checkpointed before partition ids are read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,6 +149,67 @@ def quantile_from_distribution(dist: DataFrame, p: float) -> float | None:
     return x_lo + (h - lo) * (x_hi - x_lo)
 
 
+def select_quantiles(values: DataFrame, p: float, group: str, value: str, most: int = 1 << 16) -> dict:
+    """Exact linear-interpolated quantile of every group, by selection: nothing is sorted or shuffled but counts.
+
+    A sketch brackets the two order statistics of each group; one pass counts the values below the
+    bracket and each distinct value inside it. Brackets with more than ``most`` distinct values are
+    narrowed by a sketch of their inside, and one that missed is widened. The groups are columns or
+    models: a row of each, and at most ``most`` values, reach the driver. Groups without a known
+    value are left out.
+    """
+    data = known_scores(values.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")), "v").persist()
+    try:
+        slack, found, todo = 2.5e-4, {}, None
+        rows = data.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(
+            "v", [max(0.0, p - slack), min(1.0, p + slack)], 10_000).alias("b")).collect()
+        todo = {r["g"]: {"n": r["n"], "lo": r["b"][0], "hi": r["b"][1], "h": (r["n"] - 1) * p, "slack": slack} for r in rows}
+        for state in todo.values():  # the sketch places ranks within 1e-4 of n, and a rank is a whole number
+            if state["n"] * slack < 2:
+                state["lo"], state["hi"] = -math.inf, math.inf
+        while todo:
+            bound = lambda side: F.element_at(F.create_map(*[x for g, s in todo.items() for x in (F.lit(g), F.lit(s[side]))]), F.col("g"))
+            rest = data.where(F.col("g").isin(list(todo))).withColumn("lo", bound("lo")).where(F.col("v") <= bound("hi"))
+            inside = F.when(F.col("v") >= F.col("lo"), F.col("v"))
+            counts = rest.groupBy("g", inside.alias("x")).agg(F.count(F.lit(1)).alias("c")).limit(most + len(todo) + 1).collect()
+            if len(counts) > most + len(todo):
+                _narrow(rest, todo)
+                continue
+            for g, s in list(todo.items()):
+                below = sum(r["c"] for r in counts if r["g"] == g and r["x"] is None)
+                held = sorted((r["x"], r["c"]) for r in counts if r["g"] == g and r["x"] is not None)
+                first = int(s["h"])
+                last = min(first + 1, s["n"] - 1)
+                if below > first or below + sum(c for _, c in held) <= last:
+                    s["lo"], s["hi"], s["slack"] = -math.inf, math.inf, 4 * s["slack"]
+                    continue
+                at, ends = below, {}
+                for x, c in held:
+                    for k in (first, last):
+                        if at <= k < at + c:
+                            ends[k] = x
+                    at += c
+                low, high = ends[first], ends[last]
+                found[g] = low if low == high else low + (s["h"] - first) * (high - low)
+                del todo[g]
+        return found
+    finally:
+        data.unpersist()
+
+
+def _narrow(rest: DataFrame, todo: dict) -> None:
+    """Tighter brackets for groups with too many values inside theirs, from a sketch of these values."""
+    inside = F.col("v") >= F.col("lo")
+    sizes = {r["g"]: r for r in rest.groupBy("g").agg(F.count_if(~inside).alias("below"), F.count_if(inside).alias("m")).collect()}
+    for g, s in todo.items():
+        m = max(1, sizes[g]["m"])
+        share = (s["h"] - sizes[g]["below"]) / m
+        ends = [min(1.0, max(0.0, x)) for x in (share - s["slack"] - 1 / m, share + s["slack"] + 2 / m)]
+        b = rest.where((F.col("g") == F.lit(g)) & inside).agg(F.percentile_approx("v", ends, 10_000)).first()[0]
+        if b:
+            s["lo"], s["hi"] = max(s["lo"], b[0]), min(s["hi"], b[1])
+
+
 def exact_quantile(df: DataFrame, score: str, p: float) -> float | None:
     """Exact linear-interpolated quantile of the known scores; None without any."""
-    return quantile_from_distribution(score_distribution(df, score), p)
+    return select_quantiles(df.select(F.lit(0).alias("g"), F.col(score).alias("v")), p, "g", "v").get(0)

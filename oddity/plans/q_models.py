@@ -1,15 +1,16 @@
 """Registered queries: models, ensemble and ranked results.
 
-M1, M3 and M10 are randomised or iterative: they are registered without an
-oracle (row checks here, invariants in the tests). Everything else is
-compared with DuckDB on deterministic scores: the standard score of
-``events.value`` and LOF on the scaled customer balance and nation.
+The isolation forest (M1, M10) draws its rows and splits from MD5 digests, so
+SQL grows the same trees, level by level. The one-class SVM (M3) is iterative: SQL
+checks facts of its scores. Everything else is compared on deterministic scores:
+the standard score of ``events.value`` and LOF on the scaled customer balance and nation.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..operators import ensemble as EN
 from ..operators import features as FT
 from ..operators import models as MD
@@ -92,8 +93,69 @@ def customer_lof(spark, sf):
     return MD.lof(feats, spec.names, k=20), feats, spec
 
 
-# ------------------------------------------------------------------ M1, M3, M10 (rows only)
-@register("isolation_forest")
+# ------------------------------------------------------------------ M1, M10
+FOREST_SEED, FOREST_DEPTH, FOREST_ROWS = 42, 8, 256
+_PATH = "CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0 ELSE 2 * (ln({n} - 1) + 0.5772156649015329) - 2.0 * ({n} - 1) / {n} END"
+
+
+def _hex(digest: str, start: int, digits: int) -> str:
+    return f"CAST('0x' || substr({digest}, {start}, {digits}) AS BIGINT)"
+
+
+def sql_forest(dims: int, n_trees: int) -> list[str]:
+    """CTEs growing a forest over the training rows t (id, xs) and scoring the rows f (id, xs): forest (id, score)."""
+    draw = f"md5('{FOREST_SEED}:' || tree || ':' || node)"
+    ctes = [f"""drawn AS (SELECT id, xs, {_hex('d', 1, 8)} AS a, {_hex('d', 9, 8)} AS b
+              FROM (SELECT *, md5(CAST(id AS VARCHAR) || ':{FOREST_SEED}') AS d FROM t) q)""",
+            f"""n0 AS MATERIALIZED (SELECT tree, 1::BIGINT AS node, xs FROM (SELECT tree, xs, row_number() OVER (
+              PARTITION BY tree ORDER BY (a + tree * b) % 4294967296, id) AS r FROM drawn, range({n_trees}) s(tree)) q
+              WHERE r <= {FOREST_ROWS})"""]
+    leaves = []
+    for k in range(FOREST_DEPTH + 1):
+        ends = ", ".join(f"[min(xs[{j}]), max(xs[{j}])]" for j in range(1, dims + 1))
+        ctes.append(f"""s{k} AS MATERIALIZED (SELECT *, {k} AS depth, {'len(able) > 0' if k < FOREST_DEPTH else 'false'} AS inner_node,
+          able[1 + CAST(floor({_hex(draw, 1, 8)} / 4294967296.0 * len(able)) AS BIGINT)] AS f FROM (
+          SELECT *, list_filter(range(1, {dims + 1}), lambda j: ends[j][2] > ends[j][1]) AS able FROM (
+          SELECT tree, node, count(*) AS n, [{ends}] AS ends FROM n{k} GROUP BY tree, node) q) q)""")
+        ctes.append(f"""p{k} AS MATERIALIZED (SELECT tree, node, depth, n, inner_node, f,
+          ends[f][1] + {_hex(draw, 9, 13)} / 4503599627370496.0 * (ends[f][2] - ends[f][1]) AS thr FROM s{k})""")
+        leaves.append(f"SELECT tree, node, depth + {_PATH.format(n='n')} AS leaf FROM p{k} WHERE NOT inner_node")
+        if k < FOREST_DEPTH:
+            ctes.append(f"""n{k + 1} AS MATERIALIZED (SELECT n{k}.tree, 2 * n{k}.node + CASE WHEN xs[f] <= thr THEN 0 ELSE 1 END AS node, xs
+              FROM n{k} JOIN p{k} USING (tree, node) WHERE inner_node)""")
+    ctes.append(f"w0 AS (SELECT id, xs, tree, 1::BIGINT AS node FROM f, range({n_trees}) s(tree))")
+    for k in range(FOREST_DEPTH):
+        ctes.append(f"""w{k + 1} AS MATERIALIZED (SELECT id, xs, w{k}.tree, CASE WHEN NOT coalesce(inner_node, false) THEN w{k}.node
+          WHEN xs[f] <= thr THEN 2 * w{k}.node ELSE 2 * w{k}.node + 1 END AS node FROM w{k} LEFT JOIN p{k} USING (tree, node))""")
+    ctes += ["leaves AS (" + " UNION ALL ".join(leaves) + ")",
+             f"psi AS (SELECT least({FOREST_ROWS}, count(*)) AS psi FROM t)",
+             f"""raws AS (SELECT id, pow(2.0, -avg(leaf) / (SELECT {_PATH.format(n='psi')} FROM psi)) AS raw
+               FROM w{FOREST_DEPTH} JOIN leaves USING (tree, node) GROUP BY id)""",
+             f"forest AS (SELECT id, raw - (SELECT quantile_cont(raw, {1 - CONTAMINATION}) FROM raws) AS score FROM raws)"]
+    return ctes
+
+
+def sql_scaled(table: str, key: str, exprs: list[str]) -> list[str]:
+    """CTE f (id, xs) of the scaled expressions (population standard deviation; constant ones are centred)."""
+    each = ", ".join(f"{e} AS x{i}" for i, e in enumerate(exprs))
+    scaled = ", ".join(f"(x{i} - avg(x{i}) OVER ()) / (CASE WHEN stddev_pop(x{i}) OVER () > 0 THEN stddev_pop(x{i}) OVER () ELSE 1 END)"
+                       for i in range(len(exprs)))
+    return [f"base AS (SELECT {key} AS id, {each} FROM {table})", f"f AS MATERIALIZED (SELECT id, [{scaled}] AS xs FROM base)"]
+
+
+def _sql_is(column: str, values: list[str]) -> list[str]:
+    mode = f"(SELECT {column} FROM q_table WHERE {column} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+    return [f"(coalesce({column}, {mode}) = '{v}')::INT::DOUBLE" for v in values]
+
+
+_EVENT_X = ["coalesce(value, (SELECT median(value) FROM events))", "coalesce(user_id::DOUBLE, (SELECT median(user_id) FROM events))",
+            *[e.replace("q_table", "events") for e in _sql_is("event_type", ["click", "error", "purchase", "signup", "view"])]]
+_DOC_X = ["coalesce(n_chars::DOUBLE, (SELECT median(n_chars) FROM documents))",
+          *[e.replace("q_table", "documents") for e in _sql_is("lang", ["de", "en", "es", "fr"])]]
+
+
+@register("isolation_forest", with_ctes(*sql_scaled("events", "event_id", _EVENT_X), "t AS (SELECT * FROM f)", *sql_forest(7, 100))
+          + "SELECT id AS event_id, round(score, 6) AS score FROM forest")
 def isolation_forest(spark, sf):
     ev = keyed(load(spark, sf, "events"), "event_id")
     feats, spec = FT.build_features(ev, ["value", "user_id", "event_type"])
@@ -101,6 +163,7 @@ def isolation_forest(spark, sf):
     return s.select(F.col("row_id").alias("event_id"), F.round("score", 6).alias("score"))
 
 
+# ------------------------------------------------------------------ M3
 @register("ocsvm")
 def ocsvm(spark, sf):
     feats, spec = customer_features(spark, sf)
@@ -108,7 +171,9 @@ def ocsvm(spark, sf):
     return s.select(F.col("row_id").alias("c_custkey"), F.round("score", 6).alias("score"))
 
 
-@register("semi_supervised")
+@register("semi_supervised", with_ctes(
+    *sql_scaled("documents", "doc_id", _DOC_X), "t AS (SELECT * FROM f WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))",
+    *sql_forest(5, 150)) + "SELECT id AS doc_id, round(score, 6) AS score FROM forest")
 def semi_supervised(spark, sf):
     docs = keyed(load(spark, sf, "documents"), "doc_id")
     feats, spec = FT.build_features(docs, ["n_chars", "lang"])
@@ -182,11 +247,13 @@ def quantile_labels(spark, sf):
 
 # ------------------------------------------------------------------ M5, M6
 def _sql_silhouette(name: str, labels: str) -> list[str]:
-    """CTE ``name`` = silhouette (squared distances) of ``labels`` (id, label) over the feature CTE f."""
+    """CTE ``name`` = Euclidean silhouette of ``labels`` (id, label) over the feature CTE f, on at most 5000 rows."""
     return [f"{name}_l AS ({labels})",
-            f"""{name}_p AS (SELECT a.id AS a, la.label AS la, lb.label AS lb,
-                 (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2) AS d
-               FROM f a JOIN f b ON a.id <> b.id JOIN {name}_l la ON la.id = a.id JOIN {name}_l lb ON lb.id = b.id)""",
+            f"""{name}_f AS MATERIALIZED (SELECT f.*, label FROM f JOIN {name}_l USING (id)
+               ORDER BY md5(CAST(id AS VARCHAR)), id LIMIT {K.SILHOUETTE_SAMPLE})""",
+            f"""{name}_p AS (SELECT a.id AS a, a.label AS la, b.label AS lb,
+                 sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2)) AS d
+               FROM {name}_f a JOIN {name}_f b ON a.id <> b.id)""",
             f"""{name}_s AS (SELECT a, CASE WHEN count(*) FILTER (WHERE lb = la) = 0 THEN 0.0 ELSE
                  (avg(d) FILTER (WHERE lb <> la) - avg(d) FILTER (WHERE lb = la))
                  / greatest(avg(d) FILTER (WHERE lb <> la), avg(d) FILTER (WHERE lb = la)) END AS s

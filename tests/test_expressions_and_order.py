@@ -108,3 +108,17 @@ def test_dense_index_follows_partition_order(spark):
     out = OR.dense_index(df).orderBy("row_id").toPandas()
     assert out["v"].tolist() == list(range(1000))
     assert out["row_id"].tolist() == list(range(1000))
+
+
+@pytest.mark.parametrize("most", [1 << 16, 40])
+def test_selected_quantiles_match_numpy(spark, most):
+    rng = np.random.default_rng(3)
+    groups = {"wide": rng.normal(size=30_000), "ties": rng.integers(0, 3, 20_000).astype(float), "few": np.array([4.0, 1.0]), "one": np.array([7.0]),
+              "hot": np.where(np.arange(25_000) % 3 == 0, 0.25, rng.normal(size=25_000)), "ends": np.array([-np.inf, 0.0, 1.0, np.inf])}
+    pdf = pd.DataFrame({"k": np.repeat(list(groups), [len(v) for v in groups.values()]), "x": np.concatenate(list(groups.values()))})
+    d = spark.createDataFrame(pdf).union(spark.createDataFrame([("wide", None), ("void", None), ("few", float("nan"))], "k string, x double"))
+    for p in (0.0, 0.5, 0.95, 1.0):
+        got = OR.select_quantiles(d, p, "k", "x", most)
+        want = {k: np.quantile(v, p) for k, v in groups.items() if k != "ends"}
+        assert {k: got[k] for k in want} == pytest.approx(want) and "void" not in got
+

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -97,7 +99,7 @@ def test_silhouette_matches_numpy(spark):
     pdf = pd.DataFrame({"row_id": np.arange(100), "a": X[:, 0], "b": X[:, 1]})
     feats = spark.createDataFrame(pdf)
     labels = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(100), "label": y}))
-    D = ((X[:, None] - X[None]) ** 2).sum(-1)
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
     s = []
     for i in range(100):
         same, other = y == y[i], y != y[i]
@@ -109,6 +111,27 @@ def test_silhouette_matches_numpy(spark):
     assert MD.silhouette(feats, ["a", "b"], one) == -1.0
 
 
+def test_silhouette_of_a_sample_and_of_labels_with_one_row(spark, monkeypatch):
+    monkeypatch.setattr(MD, "_SILHOUETTE_BLOCK", 7)
+    rng = np.random.default_rng(4)
+    X, y = rng.normal(size=(90, 3)), np.array(["a", "b", "c"] * 30)
+    y[5] = "alone"
+    feats = spark.createDataFrame(pd.DataFrame(X, columns=list("uvw")).assign(row_id=np.arange(90)))
+    labels = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(90), "label": y}))
+
+    def plain(keep):
+        D, s = np.sqrt(((X[keep][:, None] - X[keep][None]) ** 2).sum(-1)), []
+        for i, own in enumerate(y[keep]):
+            same = y[keep] == own
+            a, b = D[i, same].sum() / max(1, same.sum() - 1), min(D[i, y[keep] == k].mean() for k in set(y[keep]) - {own})
+            s.append((b - a) / max(a, b) if same.sum() > 1 else 0.0)
+        return round(float(np.mean(s)), 4)
+
+    assert MD.silhouette(feats, list("uvw"), labels) == plain(np.arange(90))
+    kept = np.array(sorted(sorted(range(90), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:40]))
+    assert MD.silhouette(feats, list("uvw"), labels, sample=40) == plain(kept)
+
+
 def test_select_model_weights_and_ties(spark):
     bench = spark.createDataFrame([("isolation_forest", 0.5, True), ("lof", 0.5, True), ("ocsvm", 0.9, False)],
                                   "model_key string, silhouette double, success boolean")
