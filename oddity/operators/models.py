@@ -7,8 +7,8 @@
 * LOF: exact k nearest neighbours without a cross join. Identical points are
   collapsed first (a hot value becomes one row with a multiplicity), an upper
   bound on each k-distance comes from the 2k neighbours in a random-projection
-  order, and the exact neighbours are then found by a band join on the
-  projection (|p_a - p_b| <= bound), bucketed so it is an equi-join.
+  order, and the exact neighbours are then found by an equi-join on grid cells of
+  the projections, at most 27 cells a point, in grids whose widths double.
 * One-class SVM: random Fourier features of the RBF kernel and Newton steps on the
   smoothed nu one-class objective; each step is one pass of partial sums.
 * Silhouette: Euclidean, on at most 5000 rows as in the reference.
@@ -262,22 +262,28 @@ def lof(features: DataFrame, names: list[str], k: int = 20, seed: int = 42,
     win = a.join(b, "rn").select("a", "ma", "b", "mb", _dist("xa", "xb").alias("d"))
     bound = checkpoint(_kth_weighted(win, own_pts, k).select("a", F.col("kd").alias("r")))
     # 3. exact neighbours: every point within r of a in each projection (|u.(a - b)| <= |a - b|),
-    #    found by an equi-join on grid cells of the projections, then filtered
+    #    found by an equi-join on grid cells of the projections, then filtered. Cells of a point are
+    #    at least as wide as its bound, so it looks into 3 cells a dimension however far out it lies;
+    #    all points are entered once for every width in use, and widths double.
     width = exact_quantile(bound, "r", 0.9) or 0.0
     width = width if width > 0 else 1.0
     slack = 1e-9
     reach_r = F.col("r") * (1 + slack) + slack
+    level = F.greatest(F.ceil(F.log2(reach_r / width)), F.lit(0)).cast("int")
+    cell = lambda x, lv: F.floor(x / (F.lit(width) * F.pow(F.lit(2.0), lv))).cast("long")
+    bound = checkpoint(bound.withColumn("level", level))
+    levels = sorted(r["level"] for r in bound.select("level").distinct().collect())  # doublings of one width
     qa = bound.join(points.select(F.col("pid").alias("a"), F.col("x").alias("xa"), F.col("m").alias("ma"),
                                   *[F.col(c).alias(f"a{c}") for c in pcols]), "a")
     for j, c in enumerate(pcols):
-        lo = F.floor((F.col(f"a{c}") - reach_r) / width).cast("long")
-        hi = F.floor((F.col(f"a{c}") + reach_r) / width).cast("long")
-        qa = qa.withColumn(f"cell{j}", F.explode(F.sequence(lo, hi)))
+        qa = qa.withColumn(f"cell{j}", F.explode(F.sequence(cell(F.col(f"a{c}") - reach_r, F.col("level")),
+                                                            cell(F.col(f"a{c}") + reach_r, F.col("level")))))
     pb = points.select(F.col("pid").alias("b"), F.col("x").alias("xb"), F.col("m").alias("mb"),
                        *[F.col(c).alias(f"b{c}") for c in pcols],
-                       *[F.floor(F.col(c) / width).cast("long").alias(f"cell{j}") for j, c in enumerate(pcols)])
+                       F.explode(F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>")).alias("level"))
+    pb = pb.select("*", *[cell(F.col(f"b{c}"), F.col("level")).alias(f"cell{j}") for j, c in enumerate(pcols)])
     near = reduce(lambda x, y: x & y, [F.abs(F.col(f"a{c}") - F.col(f"b{c}")) <= reach_r for c in pcols])
-    cand = (qa.join(pb, [f"cell{j}" for j in range(m_dims)])
+    cand = (qa.join(pb, ["level", *[f"cell{j}" for j in range(m_dims)]])
             .filter((F.col("a") != F.col("b")) & near)
             .select("a", "ma", "b", "mb", _dist("xa", "xb").alias("d")))
     nbrs = _weighted_neighbours(cand, own_pts, k)  # (a, b, w, d) with b == a for own copies

@@ -92,6 +92,17 @@ def test_semi_supervised_keeps_confirmed_on_top(spark):
     assert set(planted) <= set(s["score"].nlargest(5).index)
 
 
+def test_lof_with_far_outliers_looks_into_few_cells(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    X = rng.normal(size=(150, 4))
+    X[3], X[70] = 1e6, [-4e7, 0, 1e5, 3]
+    pdf = pd.DataFrame(X, columns=list("abcd")).assign(row_id=np.arange(len(X)))
+    cells, was = [], F.sequence
+    monkeypatch.setattr(MD.F, "sequence", lambda lo, hi, *step: cells.append(1) or F.slice(was(lo, hi, *step), 1, 4))
+    got = MD.lof(spark.createDataFrame(pdf), list("abcd"), k=5).toPandas().sort_values("row_id")["score"].to_numpy()
+    assert cells and np.allclose(got, brute_lof(X, 5), rtol=1e-6)
+
+
 def test_silhouette_matches_numpy(spark):
     rng = np.random.default_rng(9)
     X = np.vstack([rng.normal(0, 1, (60, 2)), rng.normal(5, 1, (40, 2))])
