@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -55,49 +55,38 @@ def first_values(df: DataFrame, columns: list[str], row_id: str = "row_id") -> d
     return row.asDict()
 
 
-def _failed_samples(df: DataFrame, value_col: str, failed: Column, row_id: str, column_name: str) -> DataFrame:
-    """First 5 distinct failed values in order of first appearance, joined by ' | '."""
-    firsts = (df.filter(failed).groupBy(F.col(value_col).alias("v"))
-              .agg(F.min(row_id).alias("_first")))
-    # top-5 by first appearance: a distributed TakeOrderedAndProject, never a global window
-    return (firsts.orderBy("_first").limit(5)
-            .agg(F.concat_ws(" | ", F.transform(F.array_sort(F.collect_list(F.struct("_first", "v"))),
-                                                lambda s: s["v"])).alias("failed_samples"))
-            .withColumn("column", F.lit(column_name)))
-
-
 def coerce_report(df: DataFrame, columns: list[str], converter, already_typed, row_id: str = "row_id"):
-    """Shared body of T2 / T3: (converted frame, report frame)."""
-    out_cols = []
-    reports = []
-    for c in columns:
-        if already_typed(df.schema[c].dataType):
-            reports.append(df.agg(F.lit(c).alias("column"),
-                                  F.count(c).alias("converted"), F.lit(0).cast("long").alias("failed"),
-                                  F.count(c).alias("non_null_original"),
-                                  F.lit("").alias("failed_samples"),
-                                  F.lit(True).alias("already_typed")))
-            continue
-        new = converter(df, c)
-        tmp = df.select(row_id, F.col(c).cast("string").alias("_orig"), new.alias("_new"))
-        failed = F.col("_orig").isNotNull() & F.col("_new").isNull()
-        counts = tmp.agg(F.lit(c).alias("column"), F.count("_new").alias("converted"),
-                         F.sum(failed.cast("long")).alias("failed"),
-                         F.count("_orig").alias("non_null_original"))
-        samples = _failed_samples(tmp, "_orig", failed, row_id, c)
-        reports.append(counts.join(samples, "column", "left")
-                       .select("column", "converted", "failed", "non_null_original",
-                               F.coalesce("failed_samples", F.lit("")).alias("failed_samples"),
-                               F.lit(False).alias("already_typed")))
-        out_cols.append((c, new))
-    converted = df
-    for c, new in out_cols:
-        converted = converted.withColumn(c, new)
+    """Shared body of T2 / T3: (converted frame, report frame).
+
+    Whatever the number of columns, the report is one aggregate and one grouped first appearance of
+    the values that fail; at most five of these a column and task are sorted.
+    """
+    new = {c: converter(df, c) for c in columns if not already_typed(df.schema[c].dataType)}
+    converted = df.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
     schema = "column string, converted long, failed long, non_null_original long, " \
              "failed_samples string, already_typed boolean"
-    report = reduce(DataFrame.unionByName, reports) if reports else \
-        df.sparkSession.createDataFrame([], schema)
-    return converted, report
+    if not columns:
+        return converted, df.sparkSession.createDataFrame([], schema)
+    pair = df.select(row_id, *[F.struct(F.col(c).cast("string").alias("was"), new[c].alias("now") if c in new else F.col(c).alias("now"))
+                               .alias(f"_{i}") for i, c in enumerate(columns)])
+    failed = [F.col(f"_{i}.was").isNotNull() & F.col(f"_{i}.now").isNull() for i in range(len(columns))]
+    rows = [F.struct(F.lit(c).alias("column"), F.count(F.col(f"_{i}.now")).alias("converted"), F.count_if(failed[i]).alias("failed"),
+                     F.count(F.col(f"_{i}.was")).alias("non_null_original"), F.lit(c not in new).alias("already_typed"))
+            for i, c in enumerate(columns)]
+    counts = pair.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    bad = [F.when(failed[i], F.struct(F.lit(c).alias("column"), F.col(f"_{i}.was").alias("v")))
+           for i, c in enumerate(columns) if c in new]
+    if bad:
+        firsts = (pair.select(row_id, F.explode(F.filter(F.array(*bad), lambda x: x.isNotNull())).alias("b"))
+                  .groupBy("b.column", "b.v").agg(F.min(row_id).alias("_first")))
+        five = firsts.withColumn("_r", F.row_number().over(Window.partitionBy("column").orderBy("_first", "v"))).filter(F.col("_r") <= 5)
+        samples = five.groupBy("column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "v"))),
+                                                                      lambda s: s["v"]), " | ").alias("failed_samples"))
+        counts = counts.join(samples, "column", "left")
+    else:
+        counts = counts.withColumn("failed_samples", F.lit(None).cast("string"))
+    return converted, counts.select("column", "converted", "failed", "non_null_original",
+                                    F.coalesce("failed_samples", F.lit("")).alias("failed_samples"), "already_typed")
 
 
 def auto_numeric_columns(df: DataFrame, row_id: str = "row_id",

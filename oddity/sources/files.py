@@ -9,10 +9,14 @@ everything else stays text (dates stay text until kinds are applied).
 from __future__ import annotations
 
 import io
+import itertools
 import posixpath
 import zipfile
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,21 +75,194 @@ def infer_text_types(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     return df.select(*out)
 
 
+# --------------------------------------------------------------------------- splits of text files
+SPLIT = ["_file", "_start"]
+
+
+def _text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(_file, _start, line) of text files; ``_start`` is the offset of the split a line was read in."""
+    return (spark.read.option("lineSep", "\n").text(path)
+            .select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+                    F.col("value").alias("line")))
+
+
+def _runs(batches):
+    """(file, start, lines) of each Arrow batch, cut where the split changes; lines of a split follow each other."""
+    for batch in batches:
+        starts, lines = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
+        files = batch.column(0).dictionary_encode()
+        codes = files.indices.to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((np.diff(starts) != 0) | (np.diff(codes) != 0)) + 1 if len(starts) else []
+        for first, last in zip([0, *cuts], [*cuts, len(starts)], strict=True):
+            if last > first:
+                yield files.dictionary[codes[first]].as_py(), int(starts[first]), lines.slice(first, last - first)
+
+
+def _states(lines: pa.Array, inside: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For lines of a split: whether a quoted value is open before and after each, and whether the line is blank."""
+    quotes = pc.count_substring(lines, '"').to_numpy(zero_copy_only=False)
+    after = (inside + np.cumsum(quotes)) % 2
+    before = np.concatenate([[inside], after[:-1]])
+    return before, after, pc.utf8_length(pc.utf8_trim_whitespace(lines)).to_numpy(zero_copy_only=False) == 0
+
+
+def _summarise(batches):
+    """One row a split: parity of its quotes, and the records starting in it if it begins outside or inside a quoted value."""
+    now, totals = None, [0, 0, 0]
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([now[0]]), *[pa.array([x], pa.int64()) for x in (now[1], *totals)]],
+                                          names=["_file", "_start", "parity", "outside", "inside"])
+
+    for file, start, lines in _runs(batches):
+        if (file, start) != now:
+            if now is not None:
+                yield row()
+            now, totals = (file, start), [0, 0, 0]
+        before, after, blank = _states(lines, totals[0])
+        totals[1] += int(((before == 0) & ~blank).sum())
+        totals[2] += int(((before == 1) & ~blank).sum())
+        totals[0] = int(after[-1])
+    if now is not None:
+        yield row()
+
+
+def _plan_records(rows: list) -> tuple[dict, list[int], int]:
+    """From the summaries of all splits: how each begins and ends, where the files' headers are, and the number of records.
+
+    The first maps (file, start) to whether the split begins inside a quoted value, the records
+    before it, and whether it ends inside one.
+    """
+    plan, headers, file, inside, n = {}, [], None, 0, 0
+    for r in sorted(rows, key=lambda r: (r["_file"], r["_start"])):
+        if r["_file"] != file:
+            file, inside, headed = r["_file"], 0, False
+        end = (inside + r["parity"]) % 2
+        begun = r["inside"] if inside else r["outside"]
+        plan[file, r["_start"]] = (inside, n, end)
+        if begun and not headed:
+            headers.append(n)
+            headed = True
+        n, inside = n + begun, end
+    return plan, headers, n
+
+
+def _joined(lines: pa.Array, ends: np.ndarray) -> pa.Array:
+    """The lines between successive ends, each joined to one text."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lines), "\n")
+
+
+def _assemble(plan, pieces: bool):
+    """Records of each split: whole ones (position, record), or with ``pieces`` what crosses its ends (position, start, seq, record)."""
+    def emit(records, position, start=0, seq=0):
+        columns = [pa.array(position, pa.int64())]
+        if pieces:
+            columns += [pa.array([start], pa.int64()), pa.array([seq], pa.int64())]
+        return pa.RecordBatch.from_arrays([*columns, records.cast(pa.string())],
+                                          names=["position", *(["start", "seq"] if pieces else []), "record"])
+
+    def run(batches):
+        now, held, n, seq = None, None, 0, 0
+        for file, start, lines in itertools.chain(_runs(batches), [(None, 0, None)]):
+            if (file, start) != now:
+                if held is not None and pieces:  # the record that the last split ended in
+                    yield emit(_joined(held, [0, len(held)]), [n - 1], now[1], seq)
+                if file is None:
+                    return
+                now, held, seq = (file, start), None, 0
+                inside, n, _ = plan.value[now]
+                heading = inside == 1  # in a record that began in an earlier split
+            before, after, blank = _states(lines, inside)
+            inside, cut = int(after[-1]), 0
+            if heading:
+                heading = bool(after.all())
+                cut = len(after) if heading else int(np.argmin(after)) + 1
+                if pieces:
+                    yield emit(_joined(lines.slice(0, cut), [0, cut]), [n - 1], start, seq)
+                    seq += 1
+            kept = np.arange(len(after)) >= cut
+            kept &= (before == 1) | ~blank
+            begins = ((before == 0) & ~blank)[kept]
+            texts, first = lines.filter(pa.array(kept)), n
+            if held is not None:
+                texts, first = pa.concat_arrays([held, texts]), n - 1
+                begins = np.concatenate([np.arange(len(held)) == 0, begins])
+            n = first + int(begins.sum())
+            ends = np.append(np.flatnonzero(begins), len(texts))
+            whole = len(ends) - 1
+            held = None
+            if whole and inside:
+                whole -= 1
+                held = texts.slice(int(ends[whole]))
+            if whole and not pieces:
+                yield emit(_joined(texts, ends[:whole + 1]), np.arange(first, first + whole))
+    return run
+
+
+def csv_records(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], list[int], int]:
+    """(position, record) of CSV files, read by splits though quoted values may hold line ends.
+
+    A line end is in a quoted value if an odd number of quotes comes before it. A first pass counts
+    the quotes of each split and the records that start in it in either case; running sums over
+    the splits (a row each, on the driver) then say how every split begins and how many records
+    come before it. Positions follow the order of paths and offsets. Records that cross the end of
+    a split are put together from their pieces. Also returned: the files, the positions of their
+    headers, and the number of records.
+    """
+    lines = _text_lines(spark, path)
+    counts = lines.mapInArrow(_summarise, "_file string, _start long, parity long, outside long, inside long").collect()
+    plan, headers, n = _plan_records(counts)
+    shared = spark.sparkContext.broadcast(plan)
+    records = lines.mapInArrow(_assemble(shared, False), "position long, record string")
+    if any(inside or end for inside, _, end in plan.values()):
+        pieces = lines.mapInArrow(_assemble(shared, True), "position long, start long, seq long, record string")
+        joined = pieces.groupBy("position").agg(F.array_sort(F.collect_list(F.struct("start", "seq", "record"))).alias("p")).select(
+            "position", F.array_join(F.transform("p", lambda x: x["record"]), "\n").alias("record"))
+        records = records.union(joined)
+    records = records.withColumn("record", F.regexp_replace("record", "\\A\ufeff|\r\\z", ""))
+    return records, sorted({f for f, _ in plan}), headers, n
+
+
 def read_csv(spark: SparkSession, path: str, infer_types: bool = True, row_id: str = "row_id") -> DataFrame:
     """Header CSV, all values read as text, NA words to null, then pandas-like typing.
 
-    An empty table (no rows) is refused.
+    Quoted values may hold line ends, and a file is still read by several tasks. ``row_id`` is the
+    place in file order (files by path), worked out from counts per split, so nothing is copied.
+    An empty table (no rows) is refused. Lines end in LF or CR LF.
     """
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("multiLine", True).option("escape", '"').csv(path))
-    raw = na_to_null(raw)
-    df = dense_index(raw, row_id)
-    if df.isEmpty():
+    records, files, headers, n = csv_records(spark, path)
+    if n <= len(headers):
         raise EmptyTableError(f"no rows in {path}")
-    df = df.select(row_id, *[c for c in df.columns if c != row_id])
+    options = {"quote": '"', "escape": '"', "sep": ","}
+    names = spark.read.options(**options).option("header", True).option("multiLine", True).csv(files[0]).columns
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in names)
+    # rows lose the headers before them; the positions of the headers, one a file, are looked up in an ordered array
+    heads = F.array(*[F.lit(h) for h in headers])
+    passed = F.size(F.filter(heads, lambda h: h < F.col("position"))) if len(headers) > 1 else F.lit(1)
+    rows = records.where(~F.array_contains(heads, F.col("position"))).select(
+        (F.col("position") - passed).cast("long").alias(row_id), F.from_csv("record", schema, options).alias("_r"))
+    df = na_to_null(rows.select(row_id, *[F.col("_r").getField(c).alias(c) for c in names]), names)
     return infer_text_types(df, row_id) if infer_types else df
 
 
+def scan_index(scan: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """``scan``, straight from files, with each row's place in file order (files by path), without a copy of it.
+
+    Rows of a split follow each other, so a place is the number of rows of the splits before (a row
+    each, counted in a first pass) plus the place since the split's first row.
+    """
+    tagged = scan.withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"),
+                               "_mid": F.monotonically_increasing_id()})
+    splits = tagged.groupBy(*SPLIT).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n")).collect()
+    before, n = [], 0
+    for r in sorted(splits, key=lambda r: (r["_file"], r["_start"])):
+        before.append((r["_file"], r["_start"], n - r["_first"]))
+        n += r["_n"]
+    shifts = scan.sparkSession.createDataFrame(before, "_file string, _start long, _shift long")
+    return (tagged.join(F.broadcast(shifts), SPLIT).withColumn(row_id, F.col("_mid") + F.col("_shift"))
+            .drop(*SPLIT, "_mid", "_shift"))
+
+
 def _flatten(schema: T.StructType, prefix: str = "", path=None):
     """(column path, output name) for every leaf of a nested struct schema."""
     out = []
@@ -135,11 +312,10 @@ def read_xml(spark: SparkSession, path: str, row_tag: str = "record", row_id: st
     for p, name in leaves:
         v = F.trim(_path_col(p).cast("string"))
         cols.append(F.when(v == "", F.lit(None)).otherwise(v).alias(name))
-    flat = raw.select(*cols)
-    df = dense_index(flat, row_id)
+    df = scan_index(raw, row_id).select(row_id, *cols)
     if df.isEmpty():
         raise EmptyTableError(f"no rows in {path}")
-    return df.select(row_id, *[c for c in df.columns if c != row_id])
+    return df
 
 
 MEMBER_SCHEMA = T.StructType([

@@ -1,5 +1,7 @@
+import csv
 import io
 import os
+import random
 import tempfile
 import zipfile
 
@@ -25,6 +27,63 @@ def test_csv_scan_types_na_and_quoted_newline(spark):
     assert rows[0]["note"] == "two\nlines" and rows[1]["amount"] is None and rows[2]["note"] is None
 
 
+def _write_rows(path, rows, end="\n"):
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        w = csv.writer(f, lineterminator=end)
+        w.writerow(["id", "note", "amount"])
+        for r in rows:
+            w.writerow(r)
+            if rnd_blank.random() < 0.05:
+                f.write(end)
+
+
+rnd_blank = random.Random(1)
+
+
+@pytest.mark.parametrize("split", [300, 1500, 1 << 20])
+def test_csv_with_quoted_line_ends_is_read_by_splits(spark, split):
+    rnd, d = random.Random(split), tempfile.mkdtemp()
+    value = lambda: "".join(rnd.choice(['a', 'b ', ',', '"', '""', "\n", "\n\n", " \n", "é", "x" * 40]) for _ in range(rnd.randrange(6)))
+    rows = [[str(k), value() + "z", str(k / 4)] for k in range(400)]
+    rows[7][1] = "long\n" * 400 + "\"end"
+    _write_rows(os.path.join(d, "b.csv"), rows[250:])
+    _write_rows(os.path.join(d, "a.csv"), rows[:250])
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        df = SRC.read_csv(spark, d)
+        tasks = df.rdd.getNumPartitions()
+        got = df.orderBy("row_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert [(r["row_id"], r["id"], r["note"], r["amount"]) for r in got] == [(k, k, r[1], float(r[2])) for k, r in enumerate(rows)]
+    assert split > 1500 or tasks > 5
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" not in plan and "InMemoryTableScan" not in plan
+
+
+def test_csv_equals_the_reader_of_whole_files(spark):
+    d = tempfile.mkdtemp()
+    with open(os.path.join(d, "a.csv"), "w", newline="") as f:
+        f.write("\ufeffa,b b,a,\r\n\r\n1,\"x\r\ny\",,4\r\n  \r\n,\"\"\"q\"\"\",3\r\n5,6,7,8,9\r\n\"open, never closed\r\n1,2,3,4\r\n")
+    options = {"header": True, "multiLine": True, "escape": '"'}
+    whole = SRC.na_to_null(spark.read.options(**options).csv(d))
+    df = SRC.read_csv(spark, d, infer_types=False).orderBy("row_id")
+    assert df.columns == ["row_id", *whole.columns]
+    blank = [None] * 4  # lines of blanks only are rows of the plain reader, but not of the reference's
+    clean = lambda r: [None if v is None or not v.strip() else v.replace("\r\n", "\n").strip() for v in r]
+    assert [clean(r[1:]) for r in df.collect()] == [x for x in map(clean, whole.collect()) if x != blank]
+
+
+def test_row_ids_of_several_xml_files_follow_the_paths(spark):
+    d = tempfile.mkdtemp()
+    for name, first, n in (("b", 30, 5), ("a", 0, 30), ("c", 35, 40)):
+        with open(os.path.join(d, f"{name}.xml"), "w") as f:
+            f.write("<records>" + "".join(f"<record><id>{k}</id></record>" for k in range(first, first + n)) + "</records>")
+    df = SRC.read_xml(spark, d, "record")
+    assert [(r["row_id"], r["id"]) for r in df.orderBy("row_id").collect()] == [(k, str(k)) for k in range(75)]
+
+
 def test_csv_scan_refuses_empty_table(spark):
     d = tempfile.mkdtemp()
     with open(os.path.join(d, "a.csv"), "w") as f:
