@@ -3,13 +3,14 @@ combination frequencies, rule features, merge and standard scaling.
 
 Two passes over the data: one aggregate pass for statistics (medians, modes,
 category lists, frequencies, means and population std), then one projection.
-Frequency lookups are joins on per-column frequency tables, whose strategy the
-planner chooses by size.
+All value frequencies are counted in one pass. Lookups are joins on these tables,
+with values that hold many rows broadcast and kept out of the shuffle.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +18,15 @@ from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions.expressions import contains_any_token, nan_to_null
+from ..session import checkpoint
 from .order import select_quantiles
 from .profile import is_numeric_type
 
 UNKNOWN = "UNKNOWN"
+#: Share of the rows from which a value counts as heavy, and the bytes of heavy values that are broadcast.
+HEAVY, HEAVY_BYTES = 1e-4, 8 << 20
+#: Stands for null among keys; no value begins so.
+_NULL = "\x00null"
 
 
 def _is_feature_numeric(dt) -> bool:
@@ -86,12 +92,21 @@ def impute(df: DataFrame, numeric: list[str], categorical: list[str], row_id: st
     return apply_fills(df, impute_fills(df, numeric, categorical), numeric, categorical, row_id)
 
 
-def share_table(df: DataFrame, cols: list[str], name: str) -> DataFrame:
-    """Value share of each (possibly multi-column) value, null included as a value."""
-    total = df.count()  # one scalar
-    counts = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_cnt"))
-    return counts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(cols)],
-                         (F.col("_cnt") / F.lit(total)).alias(name))
+def share_tables(df: DataFrame, groups: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """For every name, the share of each value of its columns (as text, null included): (_k0, ..., name).
+
+    All groups are counted in one pass, whatever their number; the counts, a row for each distinct
+    value, are written once.
+    """
+    if not groups:
+        return {}
+    keys = [F.struct(F.lit(name).alias("t"), F.array(*[F.col(c).cast("string") for c in cols]).alias("k")) for name, cols in groups.items()]
+    counts = checkpoint(df.select(F.explode(F.array(*keys)).alias("s")).groupBy("s.t", "s.k").agg(F.count(F.lit(1)).alias("_cnt")))
+    first = next(iter(groups))
+    total = counts.filter(F.col("t") == first).agg(F.sum("_cnt")).first()[0]  # one scalar
+    return {name: counts.filter(F.col("t") == name).select(*[F.col("k")[i].alias(f"_k{i}") for i in range(len(cols))],
+                                                           (F.col("_cnt") / F.lit(total)).alias(name))
+            for name, cols in groups.items()}
 
 
 def onehot_categories(imputed: DataFrame, columns: list[str], max_onehot: int) -> dict:
@@ -193,19 +208,20 @@ def build_features(df: DataFrame, selected: list[str], max_onehot: int = 15,
     imputed = apply_fills(df, fills, numeric, categorical, row_id, carry=carried)
     onehot = onehot_categories(imputed, categorical, max_onehot)
     freq_encoded = [c for c in categorical if c not in onehot]
-    shares = {c: share_table(imputed, [c], f"_fe_{c}") for c in freq_encoded}
+    combo = combo_columns if combo_columns and len(combo_columns) >= 2 else []
+    groups = {f"_fe_{c}": [c] for c in freq_encoded} | {f"_rare_{c}": [f"_raw_{c}"] for c in rare_columns or []}
+    groups |= {"_combo": [f"_raw_{c}" for c in combo]} if combo else {}
+    tables = share_tables(imputed, groups)
+    shares = {c: tables[f"_fe_{c}"] for c in freq_encoded}
     frame = imputed
-    for c in freq_encoded:
-        frame = _join_share(frame, [c], shares[c], f"_fe_{c}")
+    for name, table in tables.items():
+        frame = _join_share(frame, groups[name], table, name, row_id)
     cols = _encoded_columns(numeric, categorical, onehot)
     for c in rare_columns or []:
-        frame = _join_share(frame, [f"_raw_{c}"], share_table(imputed, [f"_raw_{c}"], f"_rare_{c}"), f"_rare_{c}")
         cols.append((f"{c}_freq", F.col(f"_rare_{c}")))
         cols.append((f"{c}_is_rare", (F.col(f"_rare_{c}") < K.RARE_FEATURE_THRESHOLD).cast("double")))
-    if combo_columns and len(combo_columns) >= 2:
-        keys = [f"_raw_{c}" for c in combo_columns]
-        frame = _join_share(frame, keys, share_table(imputed, keys, "_combo"), "_combo")
-        name = combo_name(combo_columns)
+    if combo:
+        name = combo_name(combo)
         cols.append((f"{name}_freq", F.col("_combo")))
         cols.append((f"{name}_is_rare", (F.col("_combo") < K.RARE_FEATURE_THRESHOLD).cast("double")))
     cols += [(n, F.col(n)) for n, _ in rule_cols]
@@ -243,13 +259,37 @@ def _encoded_columns(numeric, categorical, onehot) -> list[tuple[str, Column]]:
     return cols
 
 
-def _join_share(df: DataFrame, cols: list[str], shares: DataFrame, name: str) -> DataFrame:
-    cond = None
-    for i, c in enumerate(cols):
-        e = df[c].eqNullSafe(shares[f"_k{i}"])
-        cond = e if cond is None else cond & e
-    joined = df.join(shares, cond, "left")
-    return joined.drop(*[f"_k{i}" for i in range(len(cols))]).withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))
+def _look_up(df: DataFrame, cols: list[str], shares: DataFrame, name: str, spread: Column | None = None) -> DataFrame:
+    """``df`` with the share of its values; rows with ``spread`` look for a key of their own that nothing has."""
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit(_NULL)) for c in cols]
+    if spread is not None:
+        keys[0] = F.coalesce(spread, keys[0])
+    left = df.select("*", *[k.alias(f"_l{i}") for i, k in enumerate(keys)])
+    right = shares.select(*[F.coalesce(f"_k{i}", F.lit(_NULL)).alias(f"_l{i}") for i in range(len(cols))], F.col(name).alias("_share"))
+    on = [f"_l{i}" for i in range(len(cols))]
+    return left.join(right, on, "left").drop(*on)
+
+
+def _join_share(df: DataFrame, cols: list[str], shares: DataFrame, name: str, row_id: str | None = None) -> DataFrame:
+    """``df`` with the share of its values as ``name`` (0 for a value without one).
+
+    Values that hold ``HEAVY`` of the rows or more, at most 1 / ``HEAVY`` of them, are broadcast if
+    they are short enough; the others are joined by shuffle, in which rows with a heavy value are
+    spread evenly. Without ``row_id`` (a stream, a frozen table) the planner chooses.
+    """
+    if row_id is not None:
+        size = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(f"_k{i}")), F.lit(0)) + 16 for i in range(len(cols))])
+        heavy = F.col(name) >= HEAVY
+        found = shares.agg(F.sum(F.when(heavy, size).otherwise(0)).alias("bytes"), F.count_if(~heavy).alias("rest")).first()
+        if (found["bytes"] or 0) <= HEAVY_BYTES:
+            df = _look_up(df, cols, F.broadcast(shares.filter(heavy)), name).withColumnRenamed("_share", name)
+            if not found["rest"]:
+                return df.withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))
+            done = F.when(F.col(name).isNotNull(), F.concat(F.lit(_NULL + "row "), F.col(row_id).cast("string")))
+            df = _look_up(df, cols, shares.filter(~heavy), name, done)
+            return df.withColumn(name, F.coalesce(F.col(name), F.col("_share"), F.lit(0.0))).drop("_share")
+    out = _look_up(df, cols, shares, name)
+    return out.withColumn(name, F.coalesce(F.col("_share"), F.lit(0.0))).drop("_share")
 
 
 def project_features(df: DataFrame, spec: FeatureSpec, row_id: str = "row_id") -> DataFrame:
