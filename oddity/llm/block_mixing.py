@@ -1,11 +1,13 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 Every source's words, document after document, are packed into blocks of a fixed number of words.
-A source's target decides how many slots of the mix it fills. Slots fall on output shards by
-seeded hashes, so the source counts of a shard are a multinomial draw, here conditioned on the
-total of each source, which keeps every source at its target. Slot i of a source takes block
-p(i mod n), where n is its number of blocks and p a pseudorandom permutation (swap-or-not, one for
-each pass over the source), and blocks are joined by (source, index).
+A source's target decides how many slots of the mix it fills. How many of them fall on each output
+shard is drawn first: the slots of all sources, laid end to end, are dealt to shards of
+``SHARD_BLOCKS`` by one pseudorandom permutation, which is a multinomial draw conditioned on the
+total of each source and on the size of each shard. The counts then say which slots a shard has:
+those of a source are numbered shard after shard. Slot i of a source takes block p(i mod n), where n
+is its number of blocks and p a pseudorandom permutation (swap-or-not, one for each pass over the
+source), and blocks are joined by (source, index).
 
 Each pass uses a block once, so no block, and no document, is used more often than passes are
 begun: three at most, as targets stop at three times a source.
@@ -15,15 +17,21 @@ come from a running sum inside buckets plus one over bucket totals. Only the tab
 source and that with a row a bucket pass through small windows; texts are read once for their
 sizes, and shuffled once if pieces are asked for.
 
-Defined results: a null or empty text has size 0 and is taken 0 times; null is a source of its own,
-ordered last; equal rows are separate documents; an empty table gives an empty result; extra
-columns pass through.
+The order of documents within a source is that of seeded hashes of their columns, so the mix
+depends on the rows alone, not on files or partitions; only rows equal in every column may change
+places. A table with a row a source passes through windows in one task, one with a row for each
+source and shard (8,192 blocks) through a window by source.
+
+Defined results: a null or empty text has size 0 and is taken 0 times; a text of any length is cut
+into blocks whole; null is a source of its own, ordered last; equal rows are separate documents; an
+empty table gives an empty result; extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .common import GAP, NOT_GAP, buckets_for, col, fresh, hash_part, let, stored, table, word_count, zero
 
@@ -70,15 +78,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def plan(docs: DataFrame, text: str = "text", source: str = "source", block: int = BLOCK_WORDS,
-         weights: tuple[int, ...] = WEIGHTS, most: int = MOST, keep: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """The mix as tables: rows, sources, slots and pieces.
+         weights: tuple[int, ...] = WEIGHTS, most: int = MOST, keep: tuple[str, ...] = (),
+         order: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
+    """The mix as tables: rows, sources, draw, slots and pieces.
 
     rows: the columns ``keep`` of the documents plus row, s, size; sources: see :func:`targets`;
+    draw: (s, shard, blocks, first) with the blocks of a source in a shard and the first of their slots;
     slots: (s, block, shard) once for every use; pieces: (row, s, block, first, n) with the words
-    of a document that lie in a block.
+    of a document that lie in a block. Documents are ordered by hashes of the columns ``order``
+    (default: all but maps).
     """
+    hashable = [f.name for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
+    named = [col(c) for c in (hashable if order is None else [c for c in order if c in hashable])]
     base = stored(docs.select(*[col(c).alias(f"kept_{k}") for k, c in enumerate(keep)], col(source).alias("source"),
-                              word_count(col(text)).alias("size"), F.monotonically_increasing_id().alias("row")), "mix")
+                              word_count(col(text)).alias("size"), F.monotonically_increasing_id().alias("row"),
+                              *[hash_part(SEED + k, *named).alias(f"h{k}") for k in (3, 4)]), "mix")
     sources = stored(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
                      .withColumn("blocks", F.ceil(F.col("source_size") / block))
                      .withColumn("slots", F.when(F.col("source_size") > 0, F.least(
@@ -87,8 +101,8 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", block: int
     rows = base.join(sources.select(F.col("source").alias("name"), "s"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
 
     n_buckets = buckets_for(base.count(), BUCKET_ROWS)
-    rows = rows.withColumn("bucket", F.pmod(hash_part(SEED, F.col("row")), F.lit(n_buckets)))
-    in_bucket = Window.partitionBy("s", "bucket").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("bucket", F.pmod(F.col("h3"), F.lit(n_buckets)))
+    in_bucket = Window.partitionBy("s", "bucket").orderBy("h3", "h4", "row").rowsBetween(Window.unboundedPreceding, -1)
     of_source = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (rows.groupBy("s", "bucket").agg(F.sum("size").alias("n"))
               .select("s", "bucket", F.coalesce(F.sum("n").over(of_source), zero()).alias("start")))
@@ -100,17 +114,32 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", block: int
               .select("row", "s", "block", (F.greatest("from", F.col("block") * block) - F.col("from")).alias("first"),
                       (F.least("to", (F.col("block") + 1) * block) - F.greatest("from", F.col("block") * block)).alias("n")))
 
-    total = sources.agg(F.sum("slots")).first()[0] or 0
-    chunks = (sources.where(F.col("slots") > 0)
-              .select("s", "blocks", "slots", F.explode(F.sequence(zero(), F.col("slots") - 1, F.lit(CHUNK).cast("long"))).alias("c"))
-              .repartition(buckets_for(total, 16 * CHUNK), F.col("s"), F.col("c")))
-    n_shards = F.lit(buckets_for(total, SHARD_BLOCKS)).cast("long")
-    slots = (chunks.select("s", "blocks", F.explode(F.sequence("c", F.least(F.col("c") + CHUNK, F.col("slots")) - 1)).alias("i"))
-             .select("s", permuted(F.col("i") % F.col("blocks"), F.col("blocks"), ROUNDS, F.col("s"),
-                                   F.floor(F.col("i") / F.col("blocks"))).alias("block"),
-                     F.pmod(hash_part(SEED + 2, F.col("s"), F.col("i")), n_shards).alias("shard")))
+    drawn = stored(draw(sources), "mix")
+    slots = (drawn.select("s", "shard", "of", F.explode(F.sequence("first", F.col("first") + F.col("blocks") - 1)).alias("i"))
+             .select("s", permuted(F.col("i") % F.col("of"), F.col("of"), ROUNDS, F.col("s"), F.floor(F.col("i") / F.col("of")))
+                     .alias("block"), "shard"))
     # written, as the planner takes exploded rows for as small as what they came from, and would broadcast them
-    return {"rows": rows.drop("bucket"), "sources": sources, "slots": stored(slots, "mix"), "pieces": pieces}
+    return {"rows": rows.drop("bucket", "h3", "h4"), "sources": sources, "draw": drawn.drop("of"), "slots": stored(slots, "mix"),
+            "pieces": pieces}
+
+
+def draw(sources: DataFrame, shard_blocks: int | None = None) -> DataFrame:
+    """(s, shard, blocks, first, of): blocks of each source in each output shard, their first slot, and the source's blocks.
+
+    ``sources`` has s, slots and blocks. Slots are dealt in chunks, and counted where they are dealt.
+    """
+    per_shard = shard_blocks or SHARD_BLOCKS
+    total = sources.agg(F.sum("slots")).first()[0] or 0
+    before = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    laid = sources.withColumn("from", F.coalesce(F.sum("slots").over(before), zero())).where(F.col("slots") > 0)
+    chunks = (laid.select("s", F.col("blocks").alias("of"), "slots", "from", F.explode(F.sequence(
+        zero(), F.col("slots") - 1, F.lit(CHUNK).cast("long"))).alias("c")).repartition(buckets_for(total, 16 * CHUNK), F.col("s"), F.col("c")))
+    each = chunks.select("s", "of", F.explode(F.sequence(F.col("from") + F.col("c"), F.col("from") + F.least(
+        F.col("c") + CHUNK, F.col("slots")) - 1)).alias("ticket"))
+    place = permuted(F.col("ticket"), F.lit(total).cast("long"), ROUNDS, F.lit(-1))
+    counts = each.select("s", "of", F.floor(place / per_shard).alias("shard")).groupBy("s", "of", "shard").agg(F.count(F.lit(1)).alias("blocks"))
+    earlier = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("s", "shard", "blocks", F.coalesce(F.sum("blocks").over(earlier), zero()).alias("first"), "of")
 
 
 def used(tables: dict[str, DataFrame]) -> DataFrame:
@@ -119,11 +148,6 @@ def used(tables: dict[str, DataFrame]) -> DataFrame:
     return tables["pieces"].join(times, ["s", "block"])
 
 
-def shard_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """The drawn counts: blocks by output shard and source."""
-    return tables["slots"].groupBy("shard", "s").agg(F.count(F.lit(1)).alias("blocks"))
-
-
 def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", n_chars: str = "n_chars") -> DataFrame:
     """The mix as rows with the columns of ``docs``: the piece of a document in each block, once for each use.
 
@@ -131,7 +155,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
     """
     row, parts = fresh(docs, "row_", "parts_")
     whole = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix")
-    tables = plan(whole, text, source, keep=(row,))
+    tables = plan(whole, text, source, keep=(row,), order=tuple(docs.columns))
     names = tables["rows"].select(F.col("row"), F.col("kept_0").alias(row))
     taken = (used(tables).join(names, "row").groupBy(row)
              .agg(F.array_sort(F.collect_list(F.struct("first", "n", "times"))).alias(parts)))

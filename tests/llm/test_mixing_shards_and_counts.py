@@ -7,10 +7,12 @@ import hashlib
 import itertools
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import functions as F
 
 from oddity.llm import block_mixing as M
@@ -77,6 +79,68 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert sorted(map(tuple, first)) == sorted(map(tuple, M.op6_block_mixing(spark, SF001).collect()))
 
 
+def hashed(*values):
+    """Spark's xxhash64 of whole numbers: int if given as (int,), else long."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def image(x, n, *key):
+    for r in range(1, M.ROUNDS + 1):
+        y = (hashed((M.SEED,), *key, (r,)) % n - x) % n
+        if hashed((M.SEED + 1,), *key, (r,), max(x, y)) % 2 == 1:
+            x = y
+    return x
+
+
+def test_draw_and_slots_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHARD_BLOCKS", 16)
+    rnd = random.Random(3)
+    docs = spark.createDataFrame([(k, " ".join("w" for _ in range(rnd.randrange(900))), rnd.choice("aab") if k % 9 else None) for k in range(60)],
+                                 "doc_id long, text string, source string")
+    tables = M.plan(docs, keep=("doc_id",))
+    sources = sorted(tables["sources"].collect(), key=lambda r: r["s"])
+    total, counts, start = sum(r["slots"] for r in sources), Counter(), 0
+    for r in sources:
+        counts.update((r["s"], image(start + i, total, (-1,)) // 16) for i in range(r["slots"]))
+        start += r["slots"]
+    got = {(r["s"], r["shard"]): (r["blocks"], r["first"]) for r in tables["draw"].collect()}
+    assert {k: b for k, (b, _) in got.items()} == counts and len({j for _, j in counts}) == -(-total // 16) > 5
+    assert all(sum(b for (_, x), b in counts.items() if x == j) == min(16, total - 16 * j) for _, j in counts)
+    slots = Counter()
+    for r in sources:
+        i = 0
+        for j in sorted(j for s, j in counts if s == r["s"]):
+            assert got[r["s"], j][1] == i
+            for _ in range(counts[r["s"], j]):
+                slots[r["s"], image(i % r["blocks"], r["blocks"], (r["s"],), i // r["blocks"]), j] += 1
+                i += 1
+    assert Counter((r["s"], r["block"], r["shard"]) for r in tables["slots"].collect()) == slots
+    # pieces: documents in the order of their hashes, cut every BLOCK_WORDS words
+    words, times = Counter(), Counter()
+    for (s, block, _), k in slots.items():
+        times[s, block] += k
+    for r in tables["pieces"].collect():
+        assert 0 < r["n"] <= M.BLOCK_WORDS
+        words[r["s"], r["block"]] += r["n"]
+    assert all(n == M.BLOCK_WORDS or (s, b + 1) not in words for (s, b), n in words.items()) and set(times) <= set(words)
+
+
+def test_mix_depends_on_the_rows_alone(spark, tmp_path):
+    docs = table(spark, SF001, "documents")
+    results = []
+    for parts in (1, 3, 11):
+        docs.repartition(parts, F.xxhash64(F.lit(parts), "doc_id")).sortWithinPartitions(F.xxhash64(F.lit(parts), "doc_id")).write.parquet(
+            f"{tmp_path}/{parts}/documents.parquet")
+        results.append(sorted(map(tuple, M.op6_block_mixing(spark, f"{tmp_path}/{parts}").collect())))
+    assert results[0] == results[1] == results[2]
+    mixes = [Counter((r["doc_id"], r["text"]) for r in M.mixed_documents(table(spark, f"{tmp_path}/{parts}", "documents")).collect())
+             for parts in (1, 11)]
+    assert mixes[0] == mixes[1]
+
+
 def test_mixed_documents_are_pieces_of_texts(spark):
     d = spark.createDataFrame(ODD, SCHEMA)
     rows = M.mixed_documents(d).collect()
@@ -90,7 +154,7 @@ def test_mixed_documents_are_pieces_of_texts(spark):
         words[r["doc_id"]] += len(WORD.findall(r["text"]))
     planned = M.used(tables).join(tables["rows"], "row").groupBy("kept_0").agg(F.sum(F.col("n") * F.col("times")).alias("k")).collect()
     assert words == Counter({r["kept_0"]: r["k"] for r in planned})
-    counts = M.shard_counts(tables).agg(F.sum("blocks")).first()[0]
+    counts = tables["draw"].agg(F.sum("blocks")).first()[0]
     assert counts == tables["slots"].count() and M.mixed_documents(d.limit(0)).count() == 0
 
 
