@@ -9,13 +9,17 @@ alignment inside it decides and gives the span and the edits.
 The benchmark is the query set. It is read in blocks of ``BLOCK_CHARS`` characters, each
 broadcast, and every whole document is scanned against every block: no shuffle of texts. The scan
 is vectorised over a text, in segments of ``SEGMENT`` characters that overlap by more than an
-item's reach, so memory does not grow with the length of a text.
+item's reach, so memory does not grow with the length of a text. Shared q-grams are counted in
+slices of ``ENTRIES``, and bands that the text has left behind are settled after each, so repetitive
+texts and items take time but no more memory.
 
 Both sides are compared in lower case with blanks squeezed; spans are given in the original text.
 
-Defined results: null and empty texts and items match nothing; items shorter than ``q``
-characters have no q-gram and match nothing; equal items match separately; repeated documents are
-scanned separately; overlapping matches of one item count once, with the fewest edits.
+Defined results: null and empty texts and items match nothing; a text of any length is scanned
+whole; items shorter than ``q`` characters have no q-gram and match nothing; equal items match
+separately; repeated documents are scanned separately; overlapping matches of one item count once,
+with the fewest edits; other columns are not read by :func:`find_leaks`, whose result names the
+document's key first, and pass through :func:`drop_leaks`; empty tables give no match.
 """
 
 from __future__ import annotations
@@ -31,12 +35,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, table
+from .common import col, fresh, parts, table
 
 Q, EDIT_SHARE = 8, 0.1
-BLOCK_CHARS, SEGMENT, SLICE = 2_000_000, 32_768, 256
+BLOCK_CHARS, SEGMENT, SLICE, ENTRIES = 2_000_000, 32_768, 256, 1 << 19
 _BITS = 22
 _NOTHING = np.uint64(1 << 40)
+_NEVER = 1 << 60
 _WORD = re.compile(r"\S+")
 
 
@@ -116,7 +121,7 @@ class Index:
             if len(c) >= q:
                 self.ids.append(key)
                 self.codes.append(c)
-        m = np.array([len(c) for c in self.codes], np.int64)
+        m = self.sizes = np.array([len(c) for c in self.codes], np.int64)
         # an edit budget whose bound is one shared q-gram at least
         self.edits = np.minimum((m * share).astype(np.int64), np.maximum(0, (m - q) // q))
         self.bound = m - q + 1 - self.edits * q
@@ -140,16 +145,29 @@ class Index:
         place, k = place[same], k[same]
         if not len(place):
             return []
+        open_, hits, kept = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        for first, last in parts(self.n[k], ENTRIES):
+            both = self.hits(place[first:last], k[first:last])
+            open_, where = np.unique(np.concatenate([open_, both]), return_inverse=True)
+            hits = np.bincount(where, np.concatenate([hits, np.ones(len(both), np.int64)]), len(open_)).astype(np.int64)
+            # no later place hits a band that lies an item's length and two widths behind
+            item = open_ >> 32
+            behind = ((open_ & 0xFFFFFFFF) - (1 << 30) + 2) * (self.edits[item] + 1) + self.sizes[item] < (
+                place[last] if last < len(place) else _NEVER)
+            enough = behind & (hits >= self.bound[item])
+            kept.append((open_[enough], hits[enough]))
+            open_, hits = open_[~behind], hits[~behind]
+        found, hits = (np.concatenate(x) for x in zip(*kept, strict=True))
+        found = found[np.lexsort((found, -hits))]
+        return [(int(f >> 32), int(f & 0xFFFFFFFF) - (1 << 30)) for f in found]
+
+    def hits(self, place: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """(item, band) of every shared q-gram, twice: bands overlap by half."""
         n = self.n[k]
         entry = np.arange(n.sum()) + np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
         item = self.item[entry]
-        wide = self.edits[item] + 1
-        band = np.floor_divide(np.repeat(place, n) - self.at[entry], wide) + (1 << 30)
-        both = np.concatenate([item << 32 | band, item << 32 | band - 1])
-        found, hits = np.unique(both, return_counts=True)
-        enough = hits >= self.bound[found >> 32]
-        found = found[enough][np.argsort(-hits[enough], kind="stable")]
-        return [(int(f >> 32), int(f & 0xFFFFFFFF) - (1 << 30)) for f in found]
+        band = np.floor_divide(np.repeat(place, n) - self.at[entry], self.edits[item] + 1) + (1 << 30)
+        return np.concatenate([item << 32 | band, item << 32 | band - 1])
 
     def align(self, c: np.ndarray, item: int, band: int) -> tuple[int, int, int] | None:
         """(edits, start, end) of the best place of an item in the band; None beyond its budget."""
@@ -241,7 +259,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     parts = [d.mapInArrow(scan(*block), schema) for block in blocks_of(items, item_key, item_text)]
     none = d.sparkSession.createDataFrame([], schema)
     out = reduce(DataFrame.unionByName, parts) if parts else none
-    return out.withColumnsRenamed({"doc": key, "item": item_key})
+    # if both keys have one name, or one that a result column has, the names are made to differ
+    names = fresh(d.sparkSession.createDataFrame([], "start long, end long, edits int"), key, item_key)
+    return out.select(F.col("doc").alias(names[0]), F.col("item").alias(names[1]), "start", "end", "edits")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:

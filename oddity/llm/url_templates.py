@@ -13,16 +13,21 @@ rejected if its purity, the share of blocked among its labelled pages smoothed t
 corpus, is high enough. A template without enough labelled pages is never rejected.
 
 Pages are aggregated to (host, first template) before any other step, so the tree works on counts
-and a host with a third of all pages costs as many rows as it has templates. The tree has as many
-levels as the longest first template has segments, and each level is written once. The last join takes
-verdicts back to pages by (host, first template).
-
-Defined results: a null url, or one without ``://``, has empty host and path and no rule; repeated
-rows are judged alike; an empty table gives an empty result; extra columns pass through.
+and a host with a third of all pages costs as many rows as it has templates. A round follows each
+chain of nodes with a single child to its end and then merges one branching level, and is written once;
+paths that have ended leave. So there are as many rounds as branchings on one path, not as many as
+segments. The last join takes verdicts back to pages by (host, first template).
+
+Defined results: a null url, or one without ``://``, has empty host and path and no rule; a url of
+any length is judged whole; repeated rows are judged alike; members of a merged branch are named
+after the least; an empty table gives an empty result; extra columns pass through, and the new name
+clashes with none of them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,14 +71,39 @@ def share_bin(blocked: Column, labelled: Column, prior: float) -> Column:
         F.floor(F.asin(F.sqrt(share)) * 2 * BIN_PAGES ** 0.5).cast("int"))
 
 
-def template_tree(leaves: DataFrame, depth: int, prior: float) -> DataFrame:
+def common_prefix(a: Column, b: Column) -> Column:
+    """Number of leading segments that two paths share."""
+    differ = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    return F.when(differ == 0, F.size(a)).otherwise(differ - 1).cast("int")
+
+
+def along_chains(t: DataFrame) -> DataFrame:
+    """Every template made longer as far as the paths under it that go on do not part.
+
+    Such nodes have one child each, so there is nothing to merge; paths that end on the way end there.
+    """
+    key = ["host", "template"]
+    longest = t.groupBy(*key).agg(F.max("rest").alias("longest"))
+    t = t.join(longest, key).withColumn("same", common_prefix(F.col("rest"), F.col("longest"))).drop("longest")
+    parts_at = t.groupBy(*key).agg(F.min(F.when(F.col("same") < F.size("rest"), F.col("same"))).alias("cut"))
+    t = t.join(parts_at, key).withColumn("step", F.least(F.coalesce("cut", F.size("rest")), F.size("rest")))
+    passed = F.array_join(F.transform(F.slice("rest", F.lit(1), F.col("step")), lambda x: F.concat(F.lit("/"), x)), "")
+    return t.withColumn("template", F.concat("template", passed)).withColumn(
+        "rest", F.slice("rest", F.col("step") + 1, F.size("rest"))).drop("same", "cut", "step")
+
+
+def template_tree(leaves: DataFrame, prior: float) -> DataFrame:
     """(host, first, template, pages, labelled, blocked) from leaves (host, first, pages, labelled, blocked)."""
     sums = [F.sum(c).alias(c) for c in ("pages", "labelled", "blocked")]
-    t = leaves.withColumn("template", F.lit(""))
-    for d in range(depth):
-        here = t.where(F.size("first") > d).withColumn("segment", F.get("first", F.lit(d)))
-        nodes = here.groupBy("host", "template", "segment").agg(
-            *sums, F.max(F.size("first") > d + 1).alias("inner"))
+    names = ["host", "first", "template", "pages", "labelled", "blocked"]
+    t, done = leaves.withColumns({"template": F.lit(""), "rest": F.col("first")}), []
+    while True:
+        t = stored(along_chains(t), "templates")
+        done.append(t.where(F.size("rest") == 0).select(*names))
+        t = t.where(F.size("rest") > 0).withColumn("segment", F.get("rest", F.lit(0)))
+        if t.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        nodes = t.groupBy("host", "template", "segment").agg(*sums, F.max(F.size("rest") > 1).alias("inner"))
         parents = nodes.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("pages").alias("all_pages"))
         wide = (F.col("children") > CHILDREN) & (F.col("all_pages") < PAGES_EACH * F.col("children"))
         nodes = nodes.join(parents, ["host", "template"]).withColumn(
@@ -81,13 +111,12 @@ def template_tree(leaves: DataFrame, depth: int, prior: float) -> DataFrame:
                 "|", share_bin(F.col("blocked"), F.col("labelled"), prior), F.col("inner"))))
         classes = nodes.groupBy("host", "template", "class").agg(
             F.min("segment").alias("least"), F.count(F.lit(1)).alias("members"))
-        names = nodes.join(classes, ["host", "template", "class"]).select(
+        longer = nodes.join(classes, ["host", "template", "class"]).select(
             "host", "template", "segment", F.concat("template", F.lit("/"), F.when(F.col("class") == "*", F.lit("*")).when(
                 F.col("members") > 1, F.concat("least", F.lit("~"))).otherwise(F.col("segment"))).alias("longer"))
-        done = t.where(F.size("first") <= d)
-        t = stored(here.join(names, ["host", "template", "segment"]).select(
-            "host", "first", "pages", "labelled", "blocked", F.col("longer").alias("template")).unionByName(done), "templates")
-    return t
+        t = t.join(longer, ["host", "template", "segment"]).select(
+            "host", "first", "pages", "labelled", "blocked", F.col("longer").alias("template"),
+            F.slice("rest", F.lit(2), F.size("rest")).alias("rest"))
 
 
 def judge(pages: DataFrame, url: str = "url", rules: list[tuple[str, str]] = RULES) -> tuple[DataFrame, str]:
@@ -103,9 +132,9 @@ def judge(pages: DataFrame, url: str = "url", rules: list[tuple[str, str]] = RUL
               .groupBy("host", "first").agg(F.count(F.lit(1)).alias("pages"), of("block"), of("allow"))
               .select("host", "first", "pages", (F.col("block") + F.col("allow")).alias("labelled"), F.col("block").alias("blocked")))
     leaves = stored(leaves, "templates")
-    seen = leaves.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("n"), F.max(F.size("first")).alias("depth")).first()
+    seen = leaves.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("n")).first()
     prior = seen["b"] / seen["n"] if seen["n"] else 0.0
-    tree = template_tree(leaves, seen["depth"] or 0, prior)
+    tree = template_tree(leaves, prior)
     judged = (tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
               .withColumn("purity", (F.col("blocked") + PRIOR_PAGES * prior) / (F.col("labelled") + PRIOR_PAGES))
               .withColumn("rejected", (F.col("labelled") >= LEAST_LABELLED) & (F.col("purity") >= PURITY)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 
@@ -152,6 +153,34 @@ def test_leaks_equal_brute_force(spark):
     assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_counting_in_slices_finds_the_same_bands(monkeypatch):
+    rnd = random.Random(4)
+    items = [(k, "".join(rnd.choice("ab ") for _ in range(rnd.randrange(20, 300)))) for k in range(12)] + [(50, "ab" * 90), (51, "a" * 200)]
+    texts = ["".join(rnd.choice("ab ") for _ in range(900)) + items[3][1] + "ab" * 200, "a" * 900, items[5][1] * 3, "no"]
+    index = D.Index(items)
+    whole = [(index.bands(D.codes(D.normal(t))), index.matches(t)) for t in texts]
+    assert sum(len(b) for b, _ in whole) > 20 and any(m for _, m in whole)
+    for entries in (1, 300):
+        monkeypatch.setattr(D, "ENTRIES", entries)
+        assert [(index.bands(D.codes(D.normal(t))), index.matches(t)) for t in texts] == whole
+
+
+def test_repetitive_texts_and_items_need_little_memory():
+    index = D.Index([(1, "ab" * 500), (2, "ab" * 400 + "c")])
+    tracemalloc.start()
+    found = index.matches("ab" * 30_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {k for k, *_ in found} == {0, 1} and peak < 300e6
+
+
+def test_names_of_both_keys_may_be_equal(spark):
+    docs = spark.createDataFrame([(1, "x" * 5 + "the quick brown fox jumps over"), (2, None)], "start long, text string")
+    out = D.find_leaks(docs, spark.createDataFrame([(7, "the quick brown fox jumps over")], "start long, text string"),
+                       key="start", item_key="start").collect()
+    assert [tuple(r) for r in out] == [(1, 7, 5, 35, 0)] and out[0].__fields__ == ["_start", "__start", "start", "end", "edits"]
+
+
 def test_leaks_in_blocks_and_empty_tables(spark):
     rnd = random.Random(2)
     items = [(k, passage(rnd, 20)) for k in range(6)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 import struct
@@ -236,6 +237,58 @@ def test_url_rules_equal_brute_force(spark):
         assert r["verdict"] == (rule[0] if rule else "allow")
 
 
+def level_by_level(leaves, prior):
+    """The template of every (host, path), one level of the tree at a time; leaves map them to (pages, labelled, blocked)."""
+    template, depth = {k: "" for k in leaves}, 0
+    bin_of = lambda b, n: -1 if n < U.LEAST_LABELLED else math.floor(
+        math.asin(math.sqrt((b + U.PRIOR_PAGES * prior) / (n + U.PRIOR_PAGES))) * 2 * U.BIN_PAGES ** 0.5)
+    while any(len(p) > depth for _, p in leaves):
+        nodes = {}
+        for (host, p), counts in leaves.items():
+            if len(p) > depth:
+                node = nodes.setdefault((host, template[host, p], p[depth]), [0, 0, 0, False])
+                for k in range(3):
+                    node[k] += counts[k]
+                node[3] |= len(p) > depth + 1
+        named = {}
+        for host, parent in {k[:2] for k in nodes}:
+            below = {k[2]: v for k, v in nodes.items() if k[:2] == (host, parent)}
+            wide = len(below) > U.CHILDREN and sum(v[0] for v in below.values()) < U.PAGES_EACH * len(below)
+            classes = {}
+            for segment, (_, n, b, inner) in below.items():
+                classes.setdefault("*" if wide else (bin_of(b, n), inner), []).append(segment)
+            for c, members in classes.items():
+                name = "*" if c == "*" else min(members) + "~" if len(members) > 1 else members[0]
+                named.update({(host, parent, x): f"{parent}/{name}" for x in members})
+        template = {(h, p): named[h, t, p[depth]] if len(p) > depth else t for (h, p), t in template.items()}
+        depth += 1
+    return template
+
+
+def test_templates_equal_brute_force_level_by_level(spark):
+    rnd = random.Random(11)
+    leaves = {}
+    for _ in range(500):
+        path = tuple(rnd.choice("abcdef"[:rnd.choice([1, 2, 6])]) for _ in range(rnd.choice([0, 1, 2, 3, 5, 9])))
+        n = rnd.choice([0, 0, 1, 7, 40])
+        leaves[rnd.choice(["x.com", "y.net"]), path] = (max(1, n) + rnd.randrange(3), n, round(n * rnd.choice([0, 0.5, 1])))
+    leaves |= {("wide.org", ("s", f"p{k}", "end")): (1, 0, 0) for k in range(50)}
+    d = spark.createDataFrame([(h, list(p), *c) for (h, p), c in leaves.items()],
+                              "host string, first array<string>, pages long, labelled long, blocked long")
+    got = {(r["host"], tuple(r["first"])): r["template"] for r in U.template_tree(d, 0.3).collect()}
+    assert got == level_by_level(leaves, 0.3)
+
+
+def test_paths_of_thousands_of_segments_take_few_rounds(spark, monkeypatch):
+    deep = [str(k) for k in range(2000)]
+    paths = [("h", p) for p in (["a"], deep, [*deep, "x"], [*deep, "y", "z"], deep[:900])] + [("i", ["c"] * k) for k in range(40)]
+    d = spark.createDataFrame([(h, p, 1, 0, 0) for h, p in paths], "host string, first array<string>, pages long, labelled long, blocked long")
+    rounds, was = [], U.stored
+    monkeypatch.setattr(U, "stored", lambda df, name: rounds.append(name) or was(df, name))
+    got = {(r["host"], tuple(r["first"])): r["template"] for r in U.template_tree(d, 0.5).collect()}
+    assert len(rounds) <= 4 and got == level_by_level({(h, tuple(p)): (1, 0, 0) for h, p in paths}, 0.5)
+
+
 def test_templates_generalise_and_are_rejected_by_purity(spark):
     urls = [f"http://s.com/p/{w}-{k}/x{k}.html" for k in range(60) for w in ("aa", "bb")]  # many unlike names: one wildcard
     urls += [f"http://s.com/ads/{k}" for k in range(40)] + [f"http://s.com/news/{k}" for k in range(40)]
