@@ -57,7 +57,7 @@ def ensemble(scores: DataFrame, contamination: float = 0.05, weights: dict | Non
     any_top = the row is at or above the (1 - c) quantile of at least one model.
     """
     spark = scores.sparkSession
-    dist = grouped_distribution(scores).cache()
+    dist = grouped_distribution(scores)  # built on a checkpoint
     thr = grouped_quantile(dist, 1.0 - contamination)
     wt = spark.createDataFrame([(k, float(v)) for k, v in (weights or {}).items()] or [("", 1.0)],
                                "model_key string, weight double")

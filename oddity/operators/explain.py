@@ -2,8 +2,9 @@
 
 Statistics (medians, sample std, value shares, combination shares) are
 computed once over the whole table; the rows to explain are unpivoted into a
-small long frame (rows x selected columns, bounded by N x 30) which is joined
-to those statistics. No per-row driver loop.
+long frame (rows x selected columns) which is joined to those statistics. Any
+number of rows may be explained: the planner picks the joins by size. No per-row
+driver loop.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.expressions import nan_to_null
+from ..session import checkpoint
 from .features import medians
 from .profile import is_numeric_type
 
@@ -35,8 +37,7 @@ def _numeric_stats(df: DataFrame, cols: list[str]) -> dict:
 
 
 def _targets(df: DataFrame, rows: DataFrame, row_id: str) -> DataFrame:
-    # the rows to explain are a small, bounded set (top-N): broadcast them
-    return df.join(F.broadcast(rows.select(row_id).distinct()), row_id)
+    return df.join(rows.select(row_id).distinct(), row_id)
 
 
 def top_deviations(df: DataFrame, rows: DataFrame, selected: list[str], top_k: int = 5,
@@ -74,7 +75,7 @@ def reasons(df: DataFrame, rows: DataFrame, selected: list[str], rare_threshold:
     sel = [c for c in selected if c in types]
     num = [c for c in sel if is_numeric_type(types[c])]
     cat = [c for c in sel if c not in num]
-    t = _targets(df, rows, row_id).cache()
+    t = checkpoint(_targets(df, rows, row_id))  # read by every kind of reason
     out = []
     # E2 numeric
     stats = {c: s for c, s in _numeric_stats(df, num).items() if s[1] is not None and s[1] > 0}
@@ -92,7 +93,7 @@ def reasons(df: DataFrame, rows: DataFrame, selected: list[str], rare_threshold:
     n_total = df.count()  # one scalar: shares count nulls in the denominator
     # E3 rare categorical value (share counts nulls in the denominator). Only the
     # values of the rows being explained are counted: the whole column is
-    # semi-joined with that small value set (broadcast), then aggregated.
+    # semi-joined with that value set, then aggregated.
     if cat:
         parts = [F.struct(F.lit(c).alias("column"), F.lit(sel.index(c)).alias("seq"),
                           F.col(c).cast("string").alias("value")) for c in cat]
@@ -101,7 +102,7 @@ def reasons(df: DataFrame, rows: DataFrame, selected: list[str], rare_threshold:
         wanted = long.select("column", "value").distinct()
         base = df.select(F.lit(0).alias("_k"), *[F.col(c).cast("string").alias(c) for c in cat])
         freq = (base.unpivot(["_k"], cat, "column", "value")
-                .join(F.broadcast(wanted), ["column", "value"], "left_semi")
+                .join(wanted, ["column", "value"], "left_semi")
                 .groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
                 .select("column", "value", (F.col("cnt") / F.lit(n_total)).alias("f")))
         j = long.join(freq, ["column", "value"], "left").withColumn("f", F.coalesce("f", F.lit(0.0)))
@@ -118,7 +119,7 @@ def reasons(df: DataFrame, rows: DataFrame, selected: list[str], rare_threshold:
         keys = [F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(f"_c{i}") for i, c in enumerate(combo_columns)]
         kn = [f"_c{i}" for i in range(len(combo_columns))]
         tk = t.select(row_id, *keys)
-        counts = (df.select(*keys).join(F.broadcast(tk.select(*kn).distinct()), kn, "left_semi")
+        counts = (df.select(*keys).join(tk.select(*kn).distinct(), kn, "left_semi")
                   .groupBy(*kn).agg(F.count(F.lit(1)).alias("cnt"))
                   .select(*kn, (F.col("cnt") / F.lit(n_total)).alias("f")))
         j = tk.join(counts, kn, "left").withColumn("f", F.coalesce("f", F.lit(0.0)))
@@ -133,7 +134,7 @@ def reasons(df: DataFrame, rows: DataFrame, selected: list[str], rare_threshold:
     if flags is not None:
         fcols = [c for c in flags.columns if c != row_id]
         if fcols:
-            ft = flags.join(F.broadcast(rows.select(row_id).distinct()), row_id)
+            ft = _targets(flags, rows, row_id)
             parts = [F.struct(F.lit(c.split("__", 1)[0]).alias("rule"),
                               F.lit(c.split("__", 1)[1] if "__" in c else "").alias("column"),
                               F.lit(len(sel) + 1 + i).alias("seq"), F.col(c).cast("int").alias("v"))

@@ -366,14 +366,16 @@ def ocsvm(features: DataFrame, names: list[str], nu: float = 0.05, n_components:
 
         return data.select(row_id, margin(*[F.col(c) for c in names]).alias("margin"))
 
-    # the mean embedding (the nu -> 1 solution) is the starting point
-    w = _row_sums(data, names, params, lambda Z: Z.sum(axis=0)) / n
-    spread = margins(w).agg(F.stddev_pop("margin")).first()[0] or 1.0
-    x = np.append(w, exact_quantile(margins(w), "margin", nu))
-    for band in (0.3 * spread, 0.1 * spread, 0.03 * spread):
-        x = _newton(data, names, params, x, nu, n, band, rounds, tol)
-    w = x[:-1]
-    found = margins(w)
+    try:
+        # the mean embedding (the nu -> 1 solution) is the starting point
+        w = _row_sums(data, names, params, lambda Z: Z.sum(axis=0)) / n
+        spread = margins(w).agg(F.stddev_pop("margin")).first()[0] or 1.0
+        x = np.append(w, exact_quantile(margins(w), "margin", nu))
+        for band in (0.3 * spread, 0.1 * spread, 0.03 * spread):
+            x = _newton(data, names, params, x, nu, n, band, rounds, tol)
+        found = checkpoint(margins(x[:-1]))
+    finally:
+        data.unpersist()
     rho = exact_quantile(found, "margin", nu)
     return found.select(row_id, (F.lit(rho) - F.col("margin")).alias("score"))
 

@@ -13,10 +13,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import checkpoint
 
@@ -67,32 +65,16 @@ def dense_index(df: DataFrame, out: str = "row_id") -> DataFrame:
             .drop("_mid", "_pid", "_local", "_one", "_offset"))
 
 
-def _running_sum_in_partition(weight: str, out: str):
-    def fn(batches):
-        running = 0
-        pid = TaskContext.get().partitionId()
-        for pdf in batches:
-            cs = pdf[weight].cumsum() + running
-            if len(cs):
-                running = int(cs.iloc[-1])
-            pdf[out] = cs - pdf[weight]
-            pdf["_pid"] = pid
-            yield pdf
-    return fn
-
-
 def prefix_sum(df: DataFrame, order_cols: list[str], weight: str, out: str = "before") -> DataFrame:
     """Exclusive running total of the integer column ``weight`` in ``order_cols`` order.
 
     ``order_cols`` must be unique in ``df`` (used on grouped frames, e.g. one row
-    per distinct score).
+    per distinct score). Totals run inside range partitions, whose own totals are added.
     """
-    ordered = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.LongType()),
-                                              T.StructField("_pid", T.IntegerType())])
-    local = checkpoint(ordered.mapInPandas(_running_sum_in_partition(weight, out), schema))
-    offsets = _offsets(local, "_pid", weight)
-    return (local.join(F.broadcast(offsets), "_pid")
+    ranged = checkpoint(df.repartitionByRange(*order_cols).withColumn("_pid", F.spark_partition_id()))
+    w = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn(out, F.coalesce(F.sum(weight).over(w), F.lit(0)))
+    return (local.join(F.broadcast(_offsets(ranged, "_pid", weight)), "_pid")  # one row per partition
             .withColumn(out, F.col(out) + F.col("_offset"))
             .drop("_pid", "_offset"))
 

@@ -168,9 +168,16 @@ def column_quality(df: DataFrame, columns: list[str] | None = None, row_id: str
     cols = columns or data_columns(df, row_id)
     cat = catalog_frame(df, cols, row_id)
     stats = column_stats(df, cols, row_id, freq)
-    words = (first_non_null(df, cols, K.FREE_TEXT_SAMPLE, row_id)
-             .groupBy("column").agg(F.avg(word_count(F.col("value"))).alias("avg_words")))
-    q = (cat.join(stats, "column").join(words, "column", "left")
+    # numbers and times never read as more than three words
+    text = [c for c in cols if isinstance(df.schema[c].dataType, T.StringType)]
+    q = cat.join(stats, "column")
+    if text:
+        words = (first_non_null(df, text, K.FREE_TEXT_SAMPLE, row_id)
+                 .groupBy("column").agg(F.avg(word_count(F.col("value"))).alias("avg_words")))
+        q = q.join(words, "column", "left")
+    else:
+        q = q.withColumn("avg_words", F.lit(None).cast("double"))
+    q = (q
          .withColumn("ratio", F.when(F.col("n_rows") > 0, F.col("n_distinct") / F.col("n_rows"))
                      .otherwise(F.lit(0.0))))
     constant = F.col("n_distinct") <= 1

@@ -8,6 +8,7 @@ from ..functions import constants as K
 from ..functions.expressions import PY_WHITESPACE, clean_numeric_text, is_id_kind_name, name_has_hint
 from ..operators import kinds as KD
 from ..operators import profile as PF
+from ..sources.files import scan_index
 from .views import (DIRTY_TEXT_COLUMNS, FORMAT_COLUMNS, SQL_DATE_FORMATS, SQL_DATE_TEXT, SQL_DIRTY,
                     SQL_READ_FORMATS, date_formats, date_text, dirty_orders, keyed, load,
                     sql_clean, sql_parse, with_ctes)
@@ -423,8 +424,8 @@ def balanced_selection(spark, sf):
                JOIN selection ON quality."column" = selection."column"
                WHERE selection.included AND NOT quality.is_num AND quality."unique" <= 200""")
 def combo_eligible(spark, sf):
-    li = load(spark, sf, "lineitem")
-    df = li.withColumn("row_id", F.lit(0).cast("long"))  # no text column needs row order here
+    df = scan_index(load(spark, sf, "lineitem"))
+    li = df.drop("row_id")
     q = PF.column_quality(df.select("row_id", *LINE_COLS)).cache()  # one row per column, read three times
     sel = [r["column"] for r in PF.balanced_selection(q, PF.id_columns(q)).filter("included").collect()]
     return PF.combo_eligible(q, sel)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.expressions import PY_WHITESPACE
 from ..operators import quality as QC
+from ..sources.files import scan_index
 from .views import (FORMAT_COLUMNS, SQL_CUSTOMER_RULES, SQL_DATE_FORMATS, SQL_DATE_TEXT, SQL_DIRTY, SQL_READ_FORMATS,
                     customer_rules, date_formats, date_text, dirty_orders, keyed, load, sql_parse, with_ctes)
 
@@ -68,7 +69,7 @@ LINE_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
 @register("dq_zero", union(sql_hits("lineitem", "l_orderkey, l_linenumber", K.RULE_ZERO, c, f"{c} = 0")
                            for c in LINE_NUM))
 def dq_zero(spark, sf):
-    li = load(spark, sf, "lineitem").withColumn("row_id", F.lit(0).cast("long"))
+    li = scan_index(load(spark, sf, "lineitem"))
     return hits(li, ["l_orderkey", "l_linenumber"], {K.RULE_ZERO})
 
 
@@ -190,7 +191,7 @@ def dq_allowed_values(spark, sf):
     WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL
                          GROUP BY l_orderkey HAVING count(*) > 1)""")
 def dq_duplicate_id(spark, sf):
-    li = load(spark, sf, "lineitem").withColumn("row_id", F.lit(0).cast("long"))
+    li = scan_index(load(spark, sf, "lineitem"))
     return hits(li, ["l_orderkey", "l_linenumber"], {K.RULE_DUPLICATE_ID},
                 kinds={"l_orderkey": K.KIND_ID}).select("l_orderkey", "l_linenumber")
 

@@ -45,6 +45,12 @@ class Review:
     top: DataFrame
     reasons: DataFrame
     errors: dict = field(default_factory=dict)
+    held: list = field(default_factory=list)
+
+    def release(self) -> None:
+        """Drop the frames held for the results; call it when these have been read."""
+        for frame in self.held:
+            frame.unpersist()
 
 
 def review(df: DataFrame, preset: str = K.DEFAULT_PRESET, contamination: float | None = None,
@@ -54,8 +60,14 @@ def review(df: DataFrame, preset: str = K.DEFAULT_PRESET, contamination: float |
     c = contamination if contamination is not None else p["contamination_default"]
     kinds = {r["column"]: r["kind"] for r in KD.infer_kinds(df, row_id, p["numeric_hints"]).collect()}
     typed, _ = KD.apply_kinds(df, kinds, row_id)
-    typed = typed.cache()
-    quality = PF.column_quality(typed, row_id=row_id).cache()
+    held = []
+
+    def hold(frame):
+        held.append(frame.cache())
+        return held[-1]
+
+    typed = hold(typed)
+    quality = hold(PF.column_quality(typed, row_id=row_id))
     kind_ids = df.sparkSession.createDataFrame([(k, v) for k, v in kinds.items()], "column string, kind string")
     ids = PF.id_columns(quality, kind_ids)
     selection = PF.balanced_selection(quality, ids)
@@ -69,7 +81,7 @@ def review(df: DataFrame, preset: str = K.DEFAULT_PRESET, contamination: float |
     # DQ flags are evaluated in the feature projection itself (no join on row_id)
     feats, spec = FT.build_features(frame, selected, p["encoding"]["onehot_max_unique"], rare_columns=rare_cols,
                                     extra_columns=flag_cols, row_id=row_id)
-    feats = feats.cache()
+    feats = hold(feats)
     weights = dict(p["model_weights"])
     if feedback is not None:
         weights = {r["model_key"]: r["weight"]
@@ -82,7 +94,7 @@ def review(df: DataFrame, preset: str = K.DEFAULT_PRESET, contamination: float |
     parts, bench_rows, errors = [], [], {}
     for key in K.MODEL_KEYS:
         try:  # a failing model is recorded, not fatal
-            s = runners[key]().cache()
+            s = hold(runners[key]())
             thr = exact_quantile(s, "score", 1.0 - c)
             lab = s.withColumn("label", (F.col("score") >= F.lit(thr)).cast("int"))
             sil = MD.silhouette(feats, spec.names, lab, row_id=row_id)
@@ -105,4 +117,4 @@ def review(df: DataFrame, preset: str = K.DEFAULT_PRESET, contamination: float |
     reasons = EX.explain(typed, top.select(row_id), selected, rare_t, None,
                          flags if len(flags.columns) > 1 else None, row_id=row_id)
     return Review(kinds, typed, quality, selected, summ, feats, spec.names, weights, bench, best_key, scores,
-                  ens, ranked, top, reasons, errors)
+                  ens, ranked, top, reasons, errors, held)
