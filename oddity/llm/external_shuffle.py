@@ -8,11 +8,12 @@ of the bucket) gives their places, and the buckets of a shard are laid end to en
 from 0 without a gap. Records move once.
 
 With one shard more, a record moves only if the new shard has the highest hash, so rows go to the
-new shard alone. Permutations are drawn in a range of one partition a bucket, so that the draw
-depends on seed, bucket and count only: reruns and retried tasks agree. What is broadcast is one
-row a bucket; with ``bucket_bytes`` each, a terabyte has 16,000 of them.
+new shard alone. Permutations are drawn over a fixed range of buckets, so that the draw depends on
+the seed and the buckets' counts only: reruns and retried tasks agree. What is broadcast is one
+row a bucket; with ``bucket_bytes`` each, a terabyte has 16,000 of them. A task draws for
+``DRAWN`` buckets, always the same ones, in their order.
 
-Defined results: a null text counts 16 bytes and has the checksum of the empty text; rows without
+Defined results: a text of any length is one record; a null text counts 16 bytes and has the checksum of the empty text; rows without
 id are dealt by their text; repeated rows share a bucket and get slots of their own; an empty
 table gives an empty result; other columns pass through.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import buckets_for, col, fresh, hash_part, table
 
-SEED, SHARDS, BUCKET_BYTES = 7, 40, 64 << 20
+SEED, SHARDS, BUCKET_BYTES, DRAWN = 7, 40, 64 << 20, 64
 
 
 def record_size(text: Column) -> Column:
@@ -67,7 +68,7 @@ def external_shuffle(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     counts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
     spark, n_buckets = docs.sparkSession, shards * subs
     # a row a bucket, joined where the window below has its records already
-    places = (spark.range(0, n_buckets, 1, n_buckets).withColumnRenamed("id", "b").join(F.broadcast(counts), "b")
+    places = (spark.range(0, n_buckets, 1, -(-n_buckets // DRAWN)).withColumnRenamed("id", "b").join(F.broadcast(counts), "b")
               .select(F.col("b").alias(work["b"]), F.col("start").alias(work["place"]),
                       F.shuffle(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), seed).alias(work["order"])).hint("merge"))
     by = Window.partitionBy(col(names["bucket"])).orderBy(col(work["order"]), col(work["key"]))

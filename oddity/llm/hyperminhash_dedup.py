@@ -26,7 +26,8 @@ Defined results: null and empty texts have an empty set and are linked with noth
 fewer words than a shingle has its whole sequence as the only one; repeated rows are linked as
 copies; documents without a key are linked like others, and their component is null if none of its
 documents has a key; an empty table gives an empty result; any number of words per text works, as hashing is
-done on bytes of one text at a time.
+done on bytes of one text at a time; :func:`near_duplicates` reads key and text only, and
+:func:`keep_one` passes all columns through, whatever their names.
 """
 
 from __future__ import annotations

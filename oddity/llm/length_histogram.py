@@ -10,7 +10,9 @@ it run in two levels, inside buckets of lengths and over bucket totals, so no ta
 ``SPAN`` lengths.
 
 Defined results: null and empty texts have length 0; repeated rows count each; an empty table
-gives an empty histogram; text that looks like a special token is ordinary text.
+gives an empty histogram; text that looks like a special token is ordinary text; a text of any
+length is encoded whole; null is a group of its own; a group column whose name a result column has
+gets another name.
 """
 
 from __future__ import annotations
@@ -23,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, table, zero
+from .common import col, fresh, table, zero
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's texts are split before merging (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPAN, SLICE = 1024, 256
+RESULTS = ("length", "docs", "docs_from", "tokens_from", "truncated_tokens", "share_to")
 
 
 @lru_cache(maxsize=2)
@@ -85,7 +88,8 @@ def length_histogram(docs: DataFrame, text: str = "text", by: tuple[str, ...] =
            .withColumn("t_in", F.sum(F.col("docs") * F.col("length")).over(upto)).join(sums, same)
            .withColumn("docs_from", F.col("d_in") + F.col("d_later"))
            .withColumn("tokens_from", F.col("t_in") + F.col("t_later")))
-    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], "length", "docs", "docs_from", "tokens_from",
+    results = docs.sparkSession.createDataFrame([], ", ".join(f"{c} int" for c in RESULTS))
+    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, fresh(results, *by), strict=True)], "length", "docs", "docs_from", "tokens_from",
                       (F.col("t_all") - F.col("tokens_from") + F.col("length") * F.col("docs_from")).alias("truncated_tokens"),
                       F.round((F.col("d_all") - F.col("docs_from") + F.col("docs")) / F.col("d_all"), 9).alias("share_to"))
 

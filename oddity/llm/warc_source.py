@@ -15,7 +15,9 @@ Options of the source: ``path`` (a folder or file), ``payload`` (``binary``, ``t
 ``types`` (comma-separated record types), ``bytes`` (size of a partition). The session needs
 ``spark.sql.python.filterPushdown.enabled``, which :func:`read_archives` sets.
 
-Defined results: a null payload is empty; repeated rows with the largest key are all responses;
+Defined results: a null payload is empty; a payload of any length is one record, written and read
+whole; a null url is empty; columns other than the four named are not written, whatever their
+names; repeated rows with the largest key are all responses;
 an empty table gives an archive without records and an empty result; payload bytes and digest of
 a revisit are those of the full payload, kept in its header.
 """

@@ -185,6 +185,30 @@ def test_shards_are_gapless_and_grow_into_the_new_one(spark):
     assert S.external_shuffle(d.limit(0))[0].count() == 0
 
 
+def test_shards_equal_brute_force(spark):
+    d = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    placed, n = S.external_shuffle(d, shards=7)
+    key = lambda i: xxhash.xxh64_intdigest(str(i).encode(), 42)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    for r in placed.collect():
+        best = lambda most, k=signed(key(r["doc_id"])): max(range(most), key=lambda s: hashed((S.SEED,), k, (s,)))
+        assert (r[n["shard"]], r[n["grown"]]) == (best(7), best(8))
+
+
+def test_permutations_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(S, "DRAWN", 2)
+    d = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    of = lambda x: {r["doc_id"]: (r["shard"], r["slot"], r["bucket"]) for r in S.external_shuffle(x, shards=5, bucket_bytes=400)[0].collect()}
+    first = of(d)
+    assert first == of(d.repartition(7)) and len({b for _, _, b in first.values()}) > 10
+    by_bucket = {}
+    for i, (s, slot, b) in first.items():
+        by_bucket.setdefault((s, b), []).append((slot, i))
+    # the records of a bucket lie together, and not in the order of their ids
+    assert all([x for x, _ in sorted(v)] == list(range(min(v)[0], min(v)[0] + len(v))) for v in by_bucket.values())
+    assert sum([i for _, i in sorted(v)] == sorted(i for _, i in v) for v in by_bucket.values()) < len(by_bucket) / 2
+
+
 def test_written_shards_hold_every_record(spark):
     path = shared_path(spark, "shards")
     S.write_shards(spark.createDataFrame(ODD, SCHEMA), path, shards=3)
@@ -226,6 +250,12 @@ def judged_by_rules(url):
     return host, path, max(fits)[1:] if fits else None
 
 
+def test_histogram_groups_with_names_of_results(spark):
+    d = spark.createDataFrame([("x", "a b"), ("x", None), (None, "a b c")], "length string, text string")
+    out = H.length_histogram(d, by=("length",))
+    assert out.columns == ["_length", *H.RESULTS] and {(r["_length"], r["docs"]) for r in out.collect()} == {("x", 1), (None, 1)}
+
+
 def test_url_rules_equal_brute_force(spark):
     d = spark.createDataFrame([(k, u, "x") for k, u in enumerate([*URLS, URLS[4]])], "page_id long, url string, url_ string")
     judged, name = U.judge(d)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from oddity.llm import qgram_decontamination as D
 from oddity.llm.common import stored, table
@@ -55,6 +57,28 @@ def test_stages(spark):
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
 
 
+def test_stages_with_odd_rows(spark, tmp_path):
+    docs = table(spark, SF001, "documents")
+    good = docs.orderBy(F.length("text").desc()).limit(12).collect()
+    odd = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, None, "xx", None, None), (3, " \n\t ", "en", "s", 4),
+           (None, good[0]["text"], "en", None, 1), (4, good[1]["text"], None, "s", 2), (4, good[1]["text"], None, "s", 2),
+           (5, " ".join(good[2]["text"].split() * 20 + good[3]["text"].split() * 20), "en", "t", 3)]
+    rows = [tuple(r[c] for c in docs.columns) for r in good] + odd
+    given = spark.createDataFrame([(*r, "x", 7.0) for r in rows], docs.schema.simpleString()[7:-1].replace(":", " ") + ", Row_ string, quality double")
+    given.write.parquet(f"{tmp_path}/documents.parquet")
+    table(spark, SF001, "benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = table(spark, str(tmp_path), "documents")
+    for name, stage in P.STAGES:
+        before = now
+        now = stored(stage(spark, now, str(tmp_path)), "test")
+        assert now.columns[:len(given.columns)] == given.columns, name
+        assert {r["text"] for r in now.collect()} <= {r["text"] for r in before.collect()} or name in ("mixing", "sharding")
+        assert {(r["Row_"], r["quality"]) for r in now.collect()} == {("x", 7.0)}
+    kept = {r["text"] for r in stored(P.near_duplicates(spark, P.quality(spark, given, str(tmp_path)), str(tmp_path)), "test").collect()}
+    assert good[0]["text"] in kept and None not in kept and "" not in kept
+    assert P.run(spark, str(tmp_path)).count() == now.count()
+
+
 def test_run_of_an_empty_table(spark, tmp_path):
     for name in ("documents", "benchmark"):
         table(spark, SF001, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
