@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -327,79 +328,130 @@ def _weighted_neighbours(cand: DataFrame, own_pts: DataFrame, k: int) -> DataFra
 
 
 # --------------------------------------------------------------------------- M3
-def ocsvm(features: DataFrame, names: list[str], nu: float = 0.05, n_components: int = 256,
-          rounds: int = 30, seed: int = 42, row_id: str = "row_id", tol: float = 1e-10) -> DataFrame:
-    """M3: one-class SVM with an RBF kernel, gamma = 1 / (d Var(X)); (row_id, score = rho - w.z).
+@dataclass
+class SvmModel:
+    """Random features and weights of a fitted one-class SVM, and how it was fitted."""
+    W: np.ndarray
+    bias: np.ndarray
+    scale: float
+    w: np.ndarray
+    offset: float  # of the objective whose hinge is rounded over ``band``
+    band: float
+    nu: float
+    n: int
+    passes: int = 0
+
+
+def fit_ocsvm(features: DataFrame, names: list[str], nu: float = 0.05, n_components: int = 256,
+              rounds: int = 30, seed: int = 42, tol: float = 1e-10) -> SvmModel:
+    """One-class SVM with an RBF kernel, gamma = 1 / (d Var(X)).
 
     Random Fourier features (Rahimi and Recht 2007) make the model linear. The nu
     objective (Schoelkopf et al. 2001) with its hinge rounded over a narrow band is
     minimised by Newton steps on all rows: each pass adds up loss, gradient and Hessian
     per task over Arrow batches and merges them as a tree, so the result depends neither
-    on the partitioning nor on a task holding its rows. rho is finally the exact
-    nu-quantile of the margins, as the dual solution satisfies.
+    on the partitioning nor on a task holding its rows. :func:`ocsvm_certificate` says how
+    far the result is from the best one.
     """
-    d, spark = len(names), features.sparkSession
+    d = len(names)
     # Var(X) over all entries = E[x^2] - E[x]^2 pooled across columns
     agg = features.agg(*[F.avg(F.col(c)).alias(f"m{i}") for i, c in enumerate(names)],
                        *[F.avg(F.col(c) * F.col(c)).alias(f"q{i}") for i, c in enumerate(names)],
                        F.count(F.lit(1)).alias("n")).first()
-    n = agg["n"]
     mean_all = sum(agg[f"m{i}"] for i in range(d)) / d
     sq_all = sum(agg[f"q{i}"] for i in range(d)) / d
     var = max(sq_all - mean_all ** 2, 0.0)
     gamma = 1.0 / (d * var) if var > 0 else 1.0
     rng = np.random.default_rng(seed)
     W = rng.normal(scale=math.sqrt(2.0 * gamma), size=(d, n_components))
-    bias = rng.uniform(0, 2 * math.pi, size=n_components)
-    scale = math.sqrt(2.0 / n_components)
-    data = features.select(row_id, *[F.col(c).cast("double").alias(c) for c in names]).persist()
-    params = spark.sparkContext.broadcast((W, bias, scale))
-
-    def margins(w):
-        bw = spark.sparkContext.broadcast(w)
-
-        @F.pandas_udf(T.DoubleType())
-        def margin(*cols: pd.Series) -> pd.Series:
-            Wm, bb, sc = params.value
-            X = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-            return pd.Series((sc * np.cos(X @ Wm + bb)) @ bw.value)
-
-        return data.select(row_id, margin(*[F.col(c) for c in names]).alias("margin"))
-
+    model = SvmModel(W, rng.uniform(0, 2 * math.pi, size=n_components), math.sqrt(2.0 / n_components), np.zeros(n_components), 0.0,
+                     0.0, nu, agg["n"])
+    data = features.select(*[F.col(c).cast("double").alias(c) for c in names]).persist()
     try:
         # the mean embedding (the nu -> 1 solution) is the starting point
-        w = _row_sums(data, names, params, lambda Z: Z.sum(axis=0)) / n
-        spread = margins(w).agg(F.stddev_pop("margin")).first()[0] or 1.0
-        x = np.append(w, exact_quantile(margins(w), "margin", nu))
-        for band in (0.3 * spread, 0.1 * spread, 0.03 * spread):
-            x = _newton(data, names, params, x, nu, n, band, rounds, tol)
-        found = checkpoint(margins(x[:-1]))
+        model.w = _row_sums(data, names, model, lambda Z: Z.sum(axis=0)) / model.n
+        start = _margins(data, names, model)
+        spread = start.agg(F.stddev_pop("margin")).first()[0] or 1.0
+        model.offset = exact_quantile(start, "margin", nu)
+        for share in (0.3, 0.1, 0.03, 0.01):
+            model.band = share * spread
+            _newton(data, names, model, rounds, tol)
     finally:
         data.unpersist()
+    return model
+
+
+def _margins(data: DataFrame, names: list[str], model: SvmModel, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns ``keep`` and the margin w.z of every row."""
+    shared = data.sparkSession.sparkContext.broadcast((model.W, model.bias, model.scale, model.w))
+
+    @F.pandas_udf(T.DoubleType())
+    def margin(*cols: pd.Series) -> pd.Series:
+        W, bias, scale, w = shared.value
+        X = np.column_stack([c.to_numpy(dtype=float) for c in cols])
+        return pd.Series((scale * np.cos(X @ W + bias)) @ w)
+
+    return data.select(*keep, margin(*[F.col(c).cast("double") for c in names]).alias("margin"))
+
+
+def ocsvm(features: DataFrame, names: list[str], nu: float = 0.05, n_components: int = 256,
+          rounds: int = 30, seed: int = 42, row_id: str = "row_id", tol: float = 1e-10) -> DataFrame:
+    """M3: (row_id, score = rho - w.z) of a fitted one-class SVM.
+
+    rho is the exact nu-quantile of the margins, as the dual solution satisfies.
+    """
+    model = fit_ocsvm(features, names, nu, n_components, rounds, seed, tol)
+    found = checkpoint(_margins(features, names, model, (row_id,)))
     rho = exact_quantile(found, "margin", nu)
     return found.select(row_id, (F.lit(rho) - F.col("margin")).alias("score"))
 
 
-def _row_sums(data: DataFrame, names, params, of) -> np.ndarray:
+def ocsvm_certificate(features: DataFrame, names: list[str], model: SvmModel) -> dict:
+    """How good a fitted model is, from one pass: primal and dual value, their gap, and the shares of the nu-property.
+
+    The slopes of the rounded hinge at the margins are the dual variables. Scaled to a sum of 1 they
+    are a solution of the dual problem (up to ``excess`` above its box), whose value bounds the best
+    primal value from below. Rows with a full slope are bounded, rows with any slope are support rows.
+    """
+    data = features.select(*[F.col(c).cast("double").alias(c) for c in names])
+    rho = exact_quantile(_margins(data, names, model), "margin", model.nu)
+
+    def of(Z):
+        m = Z @ model.w
+        slope = np.clip((model.offset - m) / model.band, 0, 1)
+        return np.concatenate([slope @ Z, [slope.sum(), np.maximum(rho - m, 0).sum(), (slope >= 1).sum(), (slope > 0).sum()]])
+
+    sums = _row_sums(data, names, model, of)
+    weight, hinge, bounded, support = sums[-4:]
+    primal = 0.5 * model.w @ model.w - rho + hinge / (model.nu * model.n)
+    dual = -0.5 * float(np.sum((sums[:-4] / weight) ** 2))
+    return {"n": model.n, "passes": model.passes, "primal": float(primal), "dual": dual, "gap": float(primal - dual),
+            "excess": max(0.0, model.nu * model.n / weight - 1), "bounded_share": bounded / model.n, "support_share": support / model.n}
+
+
+def _row_sums(data: DataFrame, names, model: SvmModel, of) -> np.ndarray:
     """Sum over all rows of ``of`` (random features of a batch -> array), one array per task merged as a tree."""
+    shared = data.sparkSession.sparkContext.broadcast((model.W, model.bias, model.scale))
+
     def part(batches):
-        Wm, bb, sc = params.value
+        W, bias, scale = shared.value
         total = None
         for b in batches:
             X = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in range(b.num_columns)])
             for s in range(0, len(X), 4096):
-                v = of(sc * np.cos(X[s:s + 4096] @ Wm + bb))
+                v = of(scale * np.cos(X[s:s + 4096] @ W + bias))
                 total = v if total is None else total + v
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([np.asarray(total, float).tobytes()], pa.binary())], names=["v"])
 
+    model.passes += 1
     parts = data.select(*names).mapInArrow(part, "v binary").rdd.map(lambda r: np.frombuffer(r[0]))
     return parts.treeReduce(lambda a, b: a + b)
 
 
-def _newton(data: DataFrame, names, params, x, nu, n, band, rounds, tol) -> np.ndarray:
-    """Minimise |w|^2 / 2 - rho + sum h(rho - w.z) / (nu n), h the hinge rounded over ``band``, from x = (w, rho)."""
-    D = len(x) - 1
+def _newton(data: DataFrame, names, model: SvmModel, rounds: int, tol: float) -> None:
+    """Minimise |w|^2 / 2 - rho + sum h(rho - w.z) / (nu n), h the hinge rounded over the model's band, from its w and offset."""
+    x, D, band = np.append(model.w, model.offset), len(model.w), model.band
     best, step, value = None, None, None
     for _ in range(rounds):
         w, rho = x[:D], x[D]
@@ -412,22 +464,23 @@ def _newton(data: DataFrame, names, params, x, nu, n, band, rounds, tol) -> np.n
             loss = np.where(t >= band, t - band / 2, np.where(t > 0, t * t / (2 * band), 0.0)).sum()
             return np.concatenate([[loss], -(slope @ Y), (Y[inside].T @ Y[inside] / band).ravel()])
 
-        sums = _row_sums(data, names, params, of) / (nu * n)
+        sums = _row_sums(data, names, model, of) / (model.nu * model.n)
         now = 0.5 * w @ w - rho + sums[0]
         if value is not None and now > value + 1e-12 * abs(value):  # too far: half the step
             step = step / 2
             if np.linalg.norm(step) <= tol * max(np.linalg.norm(best), 1e-12):
-                return best
+                break
             x = best + step
             continue
         best, value = x, now
         gradient = np.append(w, -1.0) + sums[1:D + 2]
         hessian = np.diag(np.append(np.ones(D), 1e-6)) + sums[D + 2:].reshape(D + 1, D + 1)
         step = -np.linalg.solve(hessian, gradient)
-        if np.linalg.norm(step) <= tol * max(np.linalg.norm(x), 1e-12):
-            return x + step
         x = best + step
-    return best
+        if np.linalg.norm(step) <= tol * max(np.linalg.norm(best), 1e-12):
+            best = x
+            break
+    model.w, model.offset = best[:D], float(best[D])
 
 
 # --------------------------------------------------------------------------- M4-M6

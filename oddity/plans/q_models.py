@@ -171,6 +171,23 @@ def ocsvm(spark, sf):
     return s.select(F.col("row_id").alias("c_custkey"), F.round("score", 6).alias("score"))
 
 
+@register("ocsvm_certificate", f"""SELECT count(*) AS n_rows, true AS gap_below_a_thousandth, true AS dual_in_its_box,
+    true AS bounded_at_most_nu, true AS support_at_least_nu, (1 + floor((count(*) - 1) * {CONTAMINATION}))::BIGINT AS n_flagged FROM customer""")
+def ocsvm_certificate(spark, sf):
+    """The fitted SVM with its duality gap, the shares of the nu-property and the rows at or above 0."""
+    feats, spec = customer_features(spark, sf)
+    model = MD.fit_ocsvm(feats, spec.names, CONTAMINATION)
+    c = MD.ocsvm_certificate(feats, spec.names, model)
+    facts = (c["n"], bool(-1e-9 <= c["gap"] < 1e-3 * abs(c["dual"])), bool(c["excess"] < 1e-6),
+             bool(c["bounded_share"] <= CONTAMINATION + 1 / c["n"]), bool(c["support_share"] >= CONTAMINATION - 1 / c["n"]))
+    scores = MD.ocsvm(feats, spec.names, nu=CONTAMINATION)
+    return scores.agg(*[F.lit(x).alias(name) for x, name in zip(facts, (
+        "n_rows", "gap_below_a_thousandth", "dual_in_its_box", "bounded_at_most_nu", "support_at_least_nu"), strict=True)],
+        F.count_if(F.col("score") >= -1e-9).alias("n_flagged")).select(
+            F.col("n_rows").cast("long").alias("n_rows"), "gap_below_a_thousandth", "dual_in_its_box", "bounded_at_most_nu",
+            "support_at_least_nu", "n_flagged")
+
+
 @register("semi_supervised", with_ctes(
     *sql_scaled("documents", "doc_id", _DOC_X), "t AS (SELECT * FROM f WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))",
     *sql_forest(5, 150)) + "SELECT id AS doc_id, round(score, 6) AS score FROM forest")

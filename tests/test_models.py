@@ -201,3 +201,25 @@ def test_ocsvm_agrees_with_exact_dual_ranking(spark):
     top_ours = set(np.argsort(-s["score"].to_numpy())[:20])
     top_exact = set(np.argsort(-exact)[:20])
     assert len(top_ours & top_exact) >= 15
+
+
+def test_certificate_bounds_the_distance_to_the_optimum(spark):
+    rng = np.random.default_rng(8)
+    X = rng.normal(size=(400, 3))
+    feats = spark.createDataFrame(pd.DataFrame(X, columns=list("abc")).assign(row_id=np.arange(400)))
+    model = MD.fit_ocsvm(feats, list("abc"), nu=0.1)
+    c = MD.ocsvm_certificate(feats, list("abc"), model)
+    assert -1e-9 <= c["gap"] < 1e-3 * abs(c["dual"]) and c["excess"] < 1e-6 and c["n"] == 400
+    assert c["bounded_share"] <= 0.1 + 1 / 400 and c["support_share"] >= 0.1 - 1 / 400 and 5 < c["passes"] < 130
+    # the same sums with numpy
+    Z = model.scale * np.cos(X @ model.W + model.bias)
+    m = Z @ model.w
+    a = np.clip((model.offset - m) / model.band, 0, 1)
+    rho = np.quantile(m, 0.1)
+    primal = 0.5 * model.w @ model.w - rho + np.maximum(rho - m, 0).sum() / 40
+    assert c["primal"] == pytest.approx(primal) and c["dual"] == pytest.approx(-0.5 * ((a @ Z / a.sum()) ** 2).sum())
+    # any other feasible dual solution is no better, any other weights are no better
+    other = rng.permutation(a) / a.sum()
+    assert -0.5 * ((other @ Z) ** 2).sum() <= c["primal"] + 1e-12
+    model.w = model.w * 1.05
+    assert MD.ocsvm_certificate(feats, list("abc"), model)["primal"] > c["dual"]
