@@ -394,18 +394,19 @@ def _margins(data: DataFrame, names: list[str], model: SvmModel, keep: tuple[str
     return data.select(*keep, margin(*[F.col(c).cast("double") for c in names]).alias("margin"))
 
 
-def ocsvm(features: DataFrame, names: list[str], nu: float = 0.05, n_components: int = 256,
-          rounds: int = 30, seed: int = 42, row_id: str = "row_id", tol: float = 1e-10) -> DataFrame:
-    """M3: (row_id, score = rho - w.z) of a fitted one-class SVM.
-
-    rho is the exact nu-quantile of the margins, as the dual solution satisfies.
-    """
-    model = fit_ocsvm(features, names, nu, n_components, rounds, seed, tol)
+def ocsvm_scores(features: DataFrame, names: list[str], model: SvmModel, row_id: str = "row_id") -> DataFrame:
+    """(row_id, score = rho - w.z); rho is the exact nu-quantile of the margins, as the dual solution satisfies."""
     found = checkpoint(_margins(features, names, model, (row_id,)))
-    rho = exact_quantile(found, "margin", nu)
+    rho = exact_quantile(found, "margin", model.nu)
     return found.select(row_id, (F.lit(rho) - F.col("margin")).alias("score"))
 
 
+def ocsvm(features: DataFrame, names: list[str], nu: float = 0.05, n_components: int = 256,
+          rounds: int = 30, seed: int = 42, row_id: str = "row_id", tol: float = 1e-10) -> DataFrame:
+    """M3: (row_id, score) of a one-class SVM fitted to all rows."""
+    return ocsvm_scores(features, names, fit_ocsvm(features, names, nu, n_components, rounds, seed, tol), row_id)
+
+
 def ocsvm_certificate(features: DataFrame, names: list[str], model: SvmModel) -> dict:
     """How good a fitted model is, from one pass: primal and dual value, their gap, and the shares of the nu-property.
 

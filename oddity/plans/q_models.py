@@ -180,7 +180,7 @@ def ocsvm_certificate(spark, sf):
     c = MD.ocsvm_certificate(feats, spec.names, model)
     facts = (c["n"], bool(-1e-9 <= c["gap"] < 1e-3 * abs(c["dual"])), bool(c["excess"] < 1e-6),
              bool(c["bounded_share"] <= CONTAMINATION + 1 / c["n"]), bool(c["support_share"] >= CONTAMINATION - 1 / c["n"]))
-    scores = MD.ocsvm(feats, spec.names, nu=CONTAMINATION)
+    scores = MD.ocsvm_scores(feats, spec.names, model)
     return scores.agg(*[F.lit(x).alias(name) for x, name in zip(facts, (
         "n_rows", "gap_below_a_thousandth", "dual_in_its_box", "bounded_at_most_nu", "support_at_least_nu"), strict=True)],
         F.count_if(F.col("score") >= -1e-9).alias("n_flagged")).select(
