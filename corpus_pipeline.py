@@ -3,6 +3,12 @@
 Every stage takes the documents that its predecessor kept and returns documents; the last adds
 shard, slot and the sizes it was dealt by. Between stages rows are written to the shared folder,
 so a lost executor costs a re-read.
+
+Defined results: null and empty texts fail the quality rules, and texts of any length are worked
+whole; rows without an id, and equal rows, are documents of their own until near-duplicates keeps
+one of each group; columns beyond those of documents pass through every stage under their own
+names, and names that a stage needs itself are made to differ from them; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

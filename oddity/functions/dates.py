@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 MISSING = ("", "NaT", "nat", "NAT", "nan", "NaN", "NAN")
 MONTHS = ("january february march april may june july august september october november december").split()
 DAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
-#: What each strptime letter reads.
+#: What each strptime letter reads (fixed values).
 FIELDS = {
     "Y": r"\d{4}", "m": r"1[0-2]|0[1-9]|[1-9]", "d": r"3[01]|[12]\d|0[1-9]|[1-9]| [1-9]", "H": r"2[0-3]|[01]\d|\d",
     "I": r"1[0-2]|0[1-9]|[1-9]", "M": r"[0-5]\d|\d", "S": r"6[01]|[0-5]\d|\d", "f": r"\d{1,9}", "p": "am|pm",
