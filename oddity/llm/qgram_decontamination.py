@@ -51,7 +51,7 @@ def lowered(text: str) -> str:
 
 
 def normal(text: str) -> str:
-    return " ".join(_WORD.findall(lowered(text)))
+    return " ".join(lowered(text).split())
 
 
 def original_places(text: str) -> np.ndarray:
@@ -148,8 +148,11 @@ class Index:
         open_, hits, kept = np.zeros(0, np.int64), np.zeros(0, np.int64), []
         for first, last in parts(self.n[k], ENTRIES):
             both = self.hits(place[first:last], k[first:last])
-            open_, where = np.unique(np.concatenate([open_, both]), return_inverse=True)
-            hits = np.bincount(where, np.concatenate([hits, np.ones(len(both), np.int64)]), len(open_)).astype(np.int64)
+            if len(open_):
+                open_, where = np.unique(np.concatenate([open_, both]), return_inverse=True)
+                hits = np.bincount(where, np.concatenate([hits, np.ones(len(both), np.int64)]), len(open_)).astype(np.int64)
+            else:
+                open_, hits = np.unique(both, return_counts=True)
             # no later place hits a band that lies an item's length and two widths behind
             item = open_ >> 32
             behind = ((open_ & 0xFFFFFFFF) - (1 << 30) + 2) * (self.edits[item] + 1) + self.sizes[item] < (
