@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from oddity.sources import files as SRC
 from oddity.streaming.scoring import fit_frozen, score_stream
 from tests.conftest import SF001
@@ -125,6 +126,40 @@ def test_archive_scan_skips_metadata_members(spark):
     assert [(r["a"], r["b"]) for r in df.orderBy("row_id").collect()] == [(1, "x"), (2, "y")]
 
 
+def test_archives_with_only_a_header_and_members_larger_than_a_batch(spark, monkeypatch):
+    d = tempfile.mkdtemp()
+    lines = ['"x\ny",0'] + [f"v{i},{i}" for i in range(1, 23)]
+    for name, body in (("a.zip", lines), ("b.zip", []), ("c.zip", ["last,23"])):
+        with zipfile.ZipFile(os.path.join(d, name), "w") as zf:
+            zf.writestr("t.csv", "\n".join(["a,b", *body, ""]))
+    df = SRC.read_archive(spark, d)
+    assert [(r["row_id"], r["a"], r["b"]) for r in df.orderBy("row_id").collect()] == [
+        (i, "x\ny" if i == 0 else "last" if i == 23 else f"v{i}", i) for i in range(24)]
+    monkeypatch.setattr(SRC, "ARCHIVE_ROWS", 5)
+    with open(os.path.join(d, "a.zip"), "rb") as f:
+        parts = list(SRC._archive_rows([pd.DataFrame({"path": ["a.zip"], "content": [f.read()]})]))
+    assert [list(p["line"]) for p in parts] == [list(range(i, min(i + 5, 23))) for i in range(0, 23, 5)]
+
+
+def test_archive_query_on_a_table_with_empty_partitions(spark):
+    d = tempfile.mkdtemp()
+    rows = spark.range(40).select(
+        F.col("id").alias("o_orderkey"), (F.col("id") % 7).alias("o_custkey"), F.lit("O").alias("o_orderstatus"),
+        (F.col("id") / 4).alias("o_totalprice"), F.lit("5-LOW").alias("o_orderpriority"))
+    # three files of rows and one without, read by a task each
+    rows.repartitionByRange(3, "o_orderkey").write.parquet(f"{d}/orders.parquet")
+    rows.where("o_orderkey < 0").coalesce(1).write.mode("append").parquet(f"{d}/orders.parquet")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        got = entry.queries()["archive_scan"](spark, d).orderBy("o_orderkey").collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert [(r["o_orderkey"], r["o_custkey"], r["o_totalprice"]) for r in got] == [(i, i % 7, i / 4) for i in range(40)]
+
+
 def test_streaming_scoring_matches_batch(spark):
     ev = spark.read.parquet(f"{SF001}/events.parquet").select(
         F.col("event_id").alias("row_id"), "value", "user_id", "event_type")
