@@ -223,3 +223,23 @@ def test_certificate_bounds_the_distance_to_the_optimum(spark):
     assert -0.5 * ((other @ Z) ** 2).sum() <= c["primal"] + 1e-12
     model.w = model.w * 1.05
     assert MD.ocsvm_certificate(feats, list("abc"), model)["primal"] > c["dual"]
+
+
+def test_forest_paths_follow_the_nodes(spark):
+    """Trees filled up to one depth give the path of every row through the grown nodes, missing values to the right."""
+    rng = np.random.default_rng(3)
+    feats = spark.createDataFrame(pd.DataFrame(rng.normal(size=(300, 3)), columns=list("abc")).assign(row_id=np.arange(300)))
+    forest = MD.fit_isolation_forest(feats, list("abc"), n_trees=7, max_samples=64)
+    X = rng.normal(size=(1200, 3)) * 2
+    X[5, 1] = np.nan
+    X[6] = np.nan
+
+    def path(root, x):
+        at = root
+        while forest["feature"][at] >= 0:
+            at = forest["left" if x[forest["feature"][at]] <= forest["threshold"][at] else "right"][at]
+        return forest["leaf_value"][at]
+
+    want = np.array([np.mean([path(r, x) for r in forest["roots"]]) for x in X])
+    assert np.allclose(MD._path_lengths(forest, X), want, rtol=1e-12)
+    assert max(f.size for f, _ in MD._heaps(forest)[0]) <= 7 * 64
