@@ -243,3 +243,30 @@ def test_forest_paths_follow_the_nodes(spark):
     want = np.array([np.mean([path(r, x) for r in forest["roots"]]) for x in X])
     assert np.allclose(MD._path_lengths(forest, X), want, rtol=1e-12)
     assert max(f.size for f, _ in MD._heaps(forest)[0]) <= 7 * 64
+
+
+def test_lof_in_many_dimensions_by_pairs_of_blocks(spark, monkeypatch):
+    """Neighbours come from pairs of blocks; copies, ties and blocks of fewer than k points included."""
+    assert MD._GRID_DIMS < 10
+    monkeypatch.setattr(MD, "_BLOCK_ROWS", 16)
+    monkeypatch.setattr(MD, "_grid_candidates", None)  # a grid of projections parts little here
+    rng = np.random.default_rng(21)
+    X = np.vstack([rng.normal(size=(90, 10)), 50 + rng.normal(size=(40, 10)), rng.integers(0, 2, (60, 10)) - 30.0])
+    X[:4] = X[7]
+    names = [f"e{i}" for i in range(10)]
+    for rows, k in ((X, 5), (X[:9], 20)):
+        feats = spark.createDataFrame(pd.DataFrame(rows, columns=names).assign(row_id=np.arange(len(rows))))
+        got = MD.lof(feats, names, k=k).toPandas().sort_values("row_id")["score"].to_numpy()
+        D = np.sqrt(((rows[:, None] - rows[None]) ** 2).sum(-1))
+        k = max(min(k, len(rows) - 1), 2)
+        kd, nn = np.empty(len(rows)), []
+        _, rep = np.unique(rows, axis=0, return_inverse=True)
+        ids = np.array([np.flatnonzero(rep == r).min() for r in rep.ravel()])
+        for i in range(len(rows)):
+            others = [j for j in range(len(rows)) if j != i]
+            others.sort(key=lambda j: (D[i, j], ids[i] != ids[j], ids[j]))
+            nn.append(others[:k])
+            kd[i] = D[i, others[k - 1]]
+        lrd = np.array([1 / (np.mean([max(kd[j], D[i, j]) for j in nn[i]]) + 1e-10) for i in range(len(rows))])
+        want = np.array([np.mean(lrd[nn[i]]) / lrd[i] for i in range(len(rows))])
+        assert np.allclose(got, want, rtol=1e-6)
