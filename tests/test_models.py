@@ -270,3 +270,20 @@ def test_lof_in_many_dimensions_by_pairs_of_blocks(spark, monkeypatch):
         lrd = np.array([1 / (np.mean([max(kd[j], D[i, j]) for j in nn[i]]) + 1e-10) for i in range(len(rows))])
         want = np.array([np.mean(lrd[nn[i]]) / lrd[i] for i in range(len(rows))])
         assert np.allclose(got, want, rtol=1e-6)
+
+
+def test_ocsvm_of_many_rows_starts_on_some_and_ends_on_all(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    feats = spark.createDataFrame(pd.DataFrame(rng.normal(size=(900, 2)), columns=list("ab")).assign(row_id=np.arange(900)))
+    whole = MD.fit_ocsvm(feats, ["a", "b"], 0.1, n_components=32)
+    sizes, was = [], MD._row_sums
+
+    def row_sums(data, names, model, of):
+        sizes.append(model.n)
+        return was(data, names, model, of)
+
+    monkeypatch.setattr(MD, "_row_sums", row_sums)
+    monkeypatch.setattr(MD, "_START_ROWS", 200)
+    short = MD.fit_ocsvm(feats, ["a", "b"], 0.1, n_components=32)
+    assert short.n == 900 and np.allclose(short.w, whole.w, atol=1e-8) and abs(short.offset - whole.offset) < 1e-8
+    assert sizes[-1] == 900 and sum(s == 900 for s in sizes) < whole.passes
