@@ -287,3 +287,25 @@ def test_ocsvm_of_many_rows_starts_on_some_and_ends_on_all(spark, monkeypatch):
     short = MD.fit_ocsvm(feats, ["a", "b"], 0.1, n_components=32)
     assert short.n == 900 and np.allclose(short.w, whole.w, atol=1e-8) and abs(short.offset - whole.offset) < 1e-8
     assert sizes[-1] == 900 and sum(s == 900 for s in sizes) < whole.passes
+
+
+def test_silhouettes_take_all_rows_whatever_their_number(spark, monkeypatch):
+    monkeypatch.setattr(MD, "_SILHOUETTE_BLOCK", 512)
+    rng = np.random.default_rng(6)
+    X = np.vstack([rng.normal(0, 1, (5600, 2)), rng.normal(3, 1, (400, 2))]).round(2)
+    X[:50] = X[60]  # one point many times
+    one, two = (X[:, 0] > 2.5).astype(int), np.where(X[:, 1] > 2, "u", np.where(X[:, 1] < -1, "v", "w"))
+    feats = spark.createDataFrame(pd.DataFrame(X, columns=list("ab")).assign(row_id=np.arange(6000)))
+    labels = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(6000), "one": one, "two": two, "all": 1}))
+
+    def plain(y):
+        D, s, kinds = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1)), [], sorted(set(y))
+        means = np.array([D[:, y == c].sum(axis=1) for c in kinds])
+        for i, own in enumerate(y):
+            a = means[kinds.index(own), i] / (np.sum(y == own) - 1)
+            b = min(means[c, i] / np.sum(y == kinds[c]) for c in range(len(kinds)) if kinds[c] != own)
+            s.append((b - a) / max(a, b))
+        return round(float(np.mean(s)), 4)
+
+    assert MD.silhouettes(feats, ["a", "b"], labels, ["one", "two", "all"]) == {"one": plain(one), "two": plain(two), "all": -1.0}
+    assert MD.silhouette(feats, ["a", "b"], labels, label="one") == plain(one)
