@@ -289,6 +289,19 @@ def test_ocsvm_of_many_rows_starts_on_some_and_ends_on_all(spark, monkeypatch):
     assert sizes[-1] == 900 and sum(s == 900 for s in sizes) < whole.passes
 
 
+def test_lof_in_many_dimensions_leaves_out_points_with_missing_coordinates(spark, monkeypatch):
+    monkeypatch.setattr(MD, "_BLOCK_ROWS", 16)
+    rng = np.random.default_rng(22)
+    names = [f"e{i}" for i in range(10)]
+    known = pd.DataFrame(rng.normal(size=(60, 10)), columns=names).assign(row_id=np.arange(60))
+    schema = ", ".join([f"{c} double" for c in names] + ["row_id long"])
+    rows = known.astype(object).values.tolist()
+    odd = [[None] * 10 + [60], [1.0] * 9 + [None, 61]]
+    want = MD.lof(spark.createDataFrame(rows, schema), names, k=5).toPandas().set_index("row_id")["score"]
+    got = MD.lof(spark.createDataFrame(rows + odd, schema), names, k=5).toPandas().set_index("row_id")["score"]
+    assert np.allclose(got.loc[range(60)], want.loc[range(60)], rtol=1e-9)
+
+
 def test_silhouettes_take_all_rows_whatever_their_number(spark, monkeypatch):
     monkeypatch.setattr(MD, "_SILHOUETTE_BLOCK", 512)
     rng = np.random.default_rng(6)
