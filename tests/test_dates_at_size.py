@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from oddity.functions import dates
 from oddity.operators import kinds as KD
+from oddity.operators import profile as PF
 
 
 def _one_by_one(texts):
@@ -81,6 +82,26 @@ def test_report_converts_each_value_once(spark):
     assert n.value == 600
 
 
+def test_samples_read_the_leading_rows_only(spark):
+    n, same = _counting(spark)
+    df = spark.range(5000).select((4999 - F.col("id")).alias("row_id"), F.col("id").cast("string").alias("v"))
+    got = PF.first_non_null(df.select("row_id", same("v").alias("v")), ["v"], 50).orderBy("rn").collect()
+    assert [(r["rn"], r["row_id"], r["value"]) for r in got] == [(i + 1, i, str(4999 - i)) for i in range(50)]
+    assert n.value < 1000
+
+
+def test_first_values_of_sparse_and_null_keyed_rows(spark):
+    rows = [(None, "k", None, None)] * 2 + [(i // 2, f"d{i // 2}", f"s{i}" if i % 90 == 89 else None, None) for i in range(900)]
+    df = spark.createDataFrame(rows, "row_id long, dense string, sparse string, none string").repartition(5)
+    got = PF.first_non_null(df, ["dense", "sparse", "none"], 7)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan
+    out = {c: [(r["row_id"], r["value"]) for r in got.where(F.col("column") == c).orderBy("rn").collect()] for c in ("dense", "sparse", "none")}
+    assert out["dense"] == [(None, "k")] * 2 + [(0, "d0")] * 2 + [(1, "d1")] * 2 + [(2, "d2")]
+    assert out["sparse"] == [(i // 2, f"s{i}") for i in range(900) if i % 90 == 89][:7]
+    assert out["none"] == []
+
+
 def test_the_first_date_may_come_late(spark):
     df = spark.range(3000).select(F.col("id").alias("row_id"), F.when(F.col("id") == 2900, F.lit("13/02/2001")).when(F.col("id") > 2900, F.lit("03/02/2001")).alias("a"),
                                   F.lit("NaT").alias("b"))
