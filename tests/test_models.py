@@ -322,3 +322,69 @@ def test_silhouettes_take_all_rows_whatever_their_number(spark, monkeypatch):
 
     assert MD.silhouettes(feats, ["a", "b"], labels, ["one", "two", "all"]) == {"one": plain(one), "two": plain(two), "all": -1.0}
     assert MD.silhouette(feats, ["a", "b"], labels, label="one") == plain(one)
+
+
+def _on_lines(rng, n=1200):
+    """Points on 15 lines, two of them close, with copies, far points and labels of one row."""
+    X = np.column_stack([rng.choice([0.0, 1.0, 2.5], n), rng.lognormal(0, 1, n).round(2), rng.choice([0.0, 1e-3, 1.0, 2.0, 4.0], n)])
+    X[:40] = X[50]
+    X[7, 1] = 5e3
+    one, two = (X[:, 1] > 3).astype(int), rng.choice(["u", "v", "w"], n)
+    two[9] = "alone"
+    return X, pd.DataFrame({"row_id": np.arange(n), "one": one, "two": two, "all": 1})
+
+
+def _plain_silhouette(X, y):
+    D, s, kinds = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1)), [], sorted(set(y))
+    for i, own in enumerate(y):
+        same = y == own
+        a, b = D[i, same].sum() / max(1, same.sum() - 1), min(D[i, y == k].mean() for k in kinds if k != own)
+        s.append((b - a) / max(a, b) if same.sum() > 1 else 0.0)
+    return float(np.mean(s))
+
+
+def test_silhouettes_of_points_on_lines_without_pairs_of_blocks(spark, monkeypatch):
+    X, labels = _on_lines(np.random.default_rng(11))
+    monkeypatch.setattr(MD, "_LINE_POINTS", 100, raising=False)
+    monkeypatch.setattr(MD, "_SEGMENT_POINTS", 8, raising=False)
+    monkeypatch.setattr(MD, "_paired", lambda *a: pytest.fail("all pairs of blocks were worked"))
+    found, was = [], getattr(MD, "_silhouettes_on_lines", None)
+    monkeypatch.setattr(MD, "_silhouettes_on_lines", lambda *a: found.append(was(*a)) or found[-1], raising=False)
+    feats = spark.createDataFrame(pd.DataFrame(X, columns=list("abc")).assign(row_id=np.arange(len(X))))
+    want = {c: _plain_silhouette(X, labels[c].to_numpy()) for c in ("one", "two")}
+    got = MD.silhouettes(feats, list("abc"), spark.createDataFrame(labels), ["one", "two", "all"])
+    assert got == {**{c: round(v, 4) for c, v in want.items()}, "all": -1.0}
+    assert np.allclose(found[0][:2], list(want.values()), rtol=0, atol=1e-9)
+
+
+def test_silhouettes_in_doubt_or_off_lines_come_from_pairs_of_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    X, labels = _on_lines(rng, 400)
+    monkeypatch.setattr(MD, "_LINE_POINTS", 100)
+    found, was = [], MD._silhouettes_on_lines
+    monkeypatch.setattr(MD, "_silhouettes_on_lines", lambda *a: found.append(was(*a)) or found[-1])
+    lab = spark.createDataFrame(labels)
+
+    def both(X):
+        feats = spark.createDataFrame(pd.DataFrame(X, columns=list("abc")).assign(row_id=np.arange(len(X))))
+        assert MD.silhouettes(feats, list("abc"), lab, ["one", "two"]) == {
+            c: round(_plain_silhouette(X, labels[c].to_numpy()), 4) for c in ("one", "two")}
+
+    both(rng.normal(size=(400, 3)))                  # every point a line of its own
+    monkeypatch.setattr(MD, "_LINE_ERRORS", (1e-1, 1e-2))
+    monkeypatch.setattr(MD, "_POINTS_A_LINE", 10)
+    both(X)                                          # a bound too wide to round by
+    assert found == [None, None]
+
+
+def test_sums_at_nodes_keep_their_bound(spark):
+    from oddity.operators import line_sums as LS
+    rng = np.random.default_rng(13)
+    for p, apart, half, other in ((0.5, 2.0, 0.7, 0.3), (3.0, 0.0, 1.5, 1.5), (0.0, 4.0, 1.0, 1.0), (0.2, 1.0, 0.4, 0.0), (1.0, 0.0, 1.0, 1.0)):
+        x, y = rng.uniform(-half, half, 200), apart + rng.uniform(-other, other, 200)
+        d = np.sqrt(p * p + (half * LS._PLACES[:, None] - (apart + other * LS._PLACES)) ** 2)
+        got = LS.basis(LS.within(x, -half, half)) @ d @ LS.basis(LS.within(y, apart - other, apart + other)).T
+        worst = np.abs(got - np.sqrt(p * p + (x[:, None] - y) ** 2)).max()
+        assert worst <= LS.error_bound(*np.array([apart, p, half, other])) + 1e-12
+    y, w = np.sort(rng.normal(size=50).round(1)), rng.integers(0, 3, (50, 2)).astype(float)
+    assert np.allclose(LS.sums_on_segment(y, w), np.abs(y[:, None] - y) @ w)
