@@ -388,3 +388,21 @@ def test_sums_at_nodes_keep_their_bound(spark):
         assert worst <= LS.error_bound(*np.array([apart, p, half, other])) + 1e-12
     y, w = np.sort(rng.normal(size=50).round(1)), rng.integers(0, 3, (50, 2)).astype(float)
     assert np.allclose(LS.sums_on_segment(y, w), np.abs(y[:, None] - y) @ w)
+
+
+def test_silhouettes_of_mixed_columns_sum_along_lines_for_three_models(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    n = 2500
+    pdf = pd.DataFrame({"row_id": np.arange(n), "balance": rng.normal(5e3, 3e3, n).round(2), "nation": rng.integers(0, 5, n),
+                        "segment": rng.choice(["a", "b", "c"], n, p=[.6, .3, .1]), "currency": rng.choice(["x", "y"], n)})
+    feats, spec = FT.build_features(spark.createDataFrame(pdf), ["balance", "nation", "segment", "currency"])
+    assert len(spec.names) > 3
+    X = feats.toPandas().sort_values("row_id")[spec.names].to_numpy(float)
+    labels = pd.DataFrame({"row_id": np.arange(n), "isolation_forest": (np.abs(X).max(axis=1) > 2.2).astype(int),
+                           "lof": (rng.random(n) < 0.05).astype(int), "ocsvm": (pdf["balance"] > 9e3).astype(int)})
+    monkeypatch.setattr(MD, "_LINE_POINTS", 100, raising=False)
+    monkeypatch.setattr(MD, "_SEGMENT_POINTS", 16, raising=False)
+    monkeypatch.setattr(MD, "_paired", lambda *a: pytest.fail("all pairs of blocks were worked"))
+    keys = ["isolation_forest", "lof", "ocsvm"]
+    assert MD.silhouettes(feats, spec.names, spark.createDataFrame(labels), keys) == {
+        c: round(_plain_silhouette(X, labels[c].to_numpy()), 4) for c in keys}
