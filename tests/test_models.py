@@ -390,6 +390,20 @@ def test_sums_at_nodes_keep_their_bound(spark):
     assert np.allclose(LS.sums_on_segment(y, w), np.abs(y[:, None] - y) @ w)
 
 
+def test_model_selection_sums_along_lines_of_customers(spark, tmp_path, monkeypatch):
+    from oddity.plans import registry
+    rng = np.random.default_rng(14)
+    n = 900
+    pd.DataFrame({"c_custkey": np.arange(n), "c_name": [f"Customer#{i}" for i in range(n)], "c_nationkey": rng.integers(0, 9, n).astype("int32"),
+                  "c_acctbal": rng.uniform(-999, 9999, n).round(2), "c_mktsegment": "A"}).to_parquet(tmp_path / "customer.parquet")
+    run = lambda: sorted(tuple(r) for r in registry.QUERIES["model_selection"](spark, str(tmp_path)).collect())
+    want = run()
+    monkeypatch.setattr(MD, "_LINE_POINTS", 100, raising=False)
+    monkeypatch.setattr(MD, "_SEGMENT_POINTS", 16, raising=False)
+    monkeypatch.setattr(MD, "_paired", lambda *a: pytest.fail("all pairs of blocks were worked"))
+    assert run() == want
+
+
 def test_silhouettes_of_mixed_columns_sum_along_lines_for_three_models(spark, monkeypatch):
     rng = np.random.default_rng(15)
     n = 2500
